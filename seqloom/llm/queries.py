@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import simhash, unigram
 from .common import table
 
 
@@ -12,5 +12,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_simhash": op10_simhash}
+def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encoded(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_unigram": op8_unigram, "op10_simhash": op10_simhash}
 ORACLE = {}
