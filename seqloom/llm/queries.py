@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash, unigram
-from .common import table
+from . import ppm, simhash, unigram
+from .common import crc_mod, table
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ppm.train(docs, crc_mod("doc_id", 5) != 0)
+    out = ppm.identified(docs, model)
+    return out.withColumn("held_out", crc_mod("doc_id", 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "bits")
+
+
 def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encoded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_unigram": op8_unigram, "op10_simhash": op10_simhash}
+QUERIES = {"op2_ppm": op2_ppm, "op8_unigram": op8_unigram, "op10_simhash": op10_simhash}
 ORACLE = {}
