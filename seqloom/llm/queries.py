@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ppm, simhash, unigram
+from . import ppm, simhash, toxicity, unigram
 from .common import crc_mod, table
 
 
@@ -20,9 +20,16 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", crc_mod("doc_id", 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "bits")
 
 
+def op6_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
+    out = toxicity.scored(docs, model, threshold=0.3)
+    return out.withColumn("held_out", crc_mod("doc_id", 4) == 2).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encoded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_ppm": op2_ppm, "op8_unigram": op8_unigram, "op10_simhash": op10_simhash}
+QUERIES = {"op2_ppm": op2_ppm, "op6_nb_ngrams": op6_nb_ngrams, "op8_unigram": op8_unigram, "op10_simhash": op10_simhash}
 ORACLE = {}
