@@ -121,8 +121,10 @@ def train(docs: DataFrame, training: Column, *, id_column: str = "doc_id", text_
     is in order; at most languages x docs_per_lang x longest bytes come to the driver."""
     labelled = docs.where(training & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     keyed = labelled.select(F.col(lang_column).alias("lang"), F.xxhash64(F.col(id_column)).alias("h"), F.col(text_column).alias("text"))
-    first = Window.partitionBy("lang").orderBy("h")
-    bounds = keyed.select("lang", "h").withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_lang)
+    bounds = keyed.select("lang", "h").withColumn("salt", F.pmod(F.col("h"), F.lit(64)))
+    for within in (["lang", "salt"], ["lang"]):  # salted first: a language's rows never meet in one task
+        first = Window.partitionBy(*within).orderBy("h")
+        bounds = bounds.withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_lang)
     bounds = {r.lang: r.h for r in bounds.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     if not bounds:
         return Model({})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ppm, simhash, toxicity, unigram
+from . import ppm, sharding, simhash, toxicity, unigram
 from .common import crc_mod, table
 
 
@@ -27,9 +27,13 @@ def op6_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", crc_mod("doc_id", 4) == 2).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encoded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_ppm": op2_ppm, "op6_nb_ngrams": op6_nb_ngrams, "op8_unigram": op8_unigram, "op10_simhash": op10_simhash}
-ORACLE = {}
+QUERIES = {"op2_ppm": op2_ppm, "op6_nb_ngrams": op6_nb_ngrams, "op7_bytes": op7_bytes, "op8_unigram": op8_unigram, "op10_simhash": op10_simhash}
+ORACLE = {"op7_bytes": sharding.ORACLE_SQL}
