@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ppm, sharding, simhash, toxicity, unigram
+from . import decontaminate, ppm, sharding, simhash, toxicity, unigram
 from .common import crc_mod, table
 
 
@@ -35,5 +35,9 @@ def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encoded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_ppm": op2_ppm, "op6_nb_ngrams": op6_nb_ngrams, "op7_bytes": op7_bytes, "op8_unigram": op8_unigram, "op10_simhash": op10_simhash}
+def op9_qgram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op2_ppm": op2_ppm, "op6_nb_ngrams": op6_nb_ngrams, "op7_bytes": op7_bytes, "op8_unigram": op8_unigram, "op9_qgram": op9_qgram, "op10_simhash": op10_simhash}
 ORACLE = {"op7_bytes": sharding.ORACLE_SQL}
