@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, hmm, packing, ppm, sharding, simhash, toxicity, unigram
+from . import decontaminate, extract, hmm, mih, packing, ppm, sharding, simhash, toxicity, unigram
 from .common import crc_mod, table
 
 
@@ -30,6 +30,10 @@ def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", crc_mod("doc_id", 7) == 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op5_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(table(spark, sf_dir, "pages"))
 
@@ -53,5 +57,5 @@ def op9_qgram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_best_fit": op1_best_fit, "op2_ppm": op2_ppm, "op3_hmm": op3_hmm, "op5_line_blocks": op5_line_blocks, "op6_nb_ngrams": op6_nb_ngrams, "op7_bytes": op7_bytes, "op8_unigram": op8_unigram, "op9_qgram": op9_qgram, "op10_simhash": op10_simhash}
+QUERIES = {"op1_best_fit": op1_best_fit, "op2_ppm": op2_ppm, "op3_hmm": op3_hmm, "op4_mih": op4_mih, "op5_line_blocks": op5_line_blocks, "op6_nb_ngrams": op6_nb_ngrams, "op7_bytes": op7_bytes, "op8_unigram": op8_unigram, "op9_qgram": op9_qgram, "op10_simhash": op10_simhash}
 ORACLE = {"op7_bytes": sharding.ORACLE_SQL}
