@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, segment_sums, utf8
+from .common import map_batches, segment_sums, utf8, widened
 
 UNKNOWN = "und"
 
@@ -145,22 +145,20 @@ def has_letter(column: pa.Array, raw: np.ndarray, ends: np.ndarray) -> np.ndarra
     return plain
 
 
-def identified(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, bits) for each input row.
+def with_languages(docs: DataFrame, model: Model, *, text_column: str = "text") -> DataFrame:
+    """`docs` with lang_pred, score and bits behind its own columns, in one pass without a join.
 
-    lang_pred is the language of the shortest code (ties: first by name), score its share of
-    2 ** -bits over all languages, bits that code length per byte. A text that is null or has
-    no letter, or any text under a model of no language, is `und` with score 0. Repeated rows
-    and null ids stay; other columns are ignored; an empty table gives an empty result.
-    The model's table has a fixed bound (256 MB) whatever it was trained on.
+    Columns of these names are replaced. What they hold: see identified().
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.drop("lang_pred", "score", "bits")
+    at, out_names = rows.columns.index(text_column), [*rows.columns, "lang_pred", "score", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.langs, UNKNOWN], object)
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(at)
             raw, ends = utf8(texts)
             letters = has_letter(texts, raw, ends)
             if model.langs:
@@ -171,8 +169,20 @@ def identified(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text
             else:
                 best, least, score, letters = (np.zeros(len(letters), k) for k in (int, float, float, bool))
             best = np.where(letters, best, len(names) - 1)
-            out = [batch.column(0), pa.array(names[best], pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(least / np.maximum(np.diff(ends), 1))]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "bits"])
+            out = [pa.array(names[best], pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(least / np.maximum(np.diff(ends), 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=out_names)
+
+    return map_batches(rows, run, widened(rows, lang_pred="string", score="double", bits="double"))
+
 
+def identified(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, bits) for each input row.
+
+    lang_pred is the language of the shortest code (ties: first by name), score its share of
+    2 ** -bits over all languages, bits that code length per byte. A text that is null or has
+    no letter, or any text under a model of no language, is `und` with score 0. Repeated rows
+    and null ids stay; other columns are ignored; an empty table gives an empty result.
+    The model's table has a fixed bound (256 MB) whatever it was trained on.
+    """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return map_batches(rows, run, "doc_id long, lang_pred string, score double, bits double")
+    return with_languages(rows, model).drop("text")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, map_batches
+from .common import code_points, map_batches, widened
 
 BITS = 22
 SIZES = (3, 4, 5, 6)
@@ -165,19 +165,29 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, id_column: st
     return Model(chosen, weights, bias)
 
 
-def scored(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.3) -> DataFrame:
-    """(doc_id, score, predicted) for each input row: the score of label 1, from 0 to 1.
+def with_scores(docs: DataFrame, model: Model, *, text_column: str = "text", threshold: float = 0.3) -> DataFrame:
+    """`docs` with score and predicted behind its own columns, in one pass without a join.
 
-    A null text counts as empty; an empty text has no feature and gets the bias alone. Whole
-    texts count, whatever their length. Repeated rows and null ids stay; other columns are
-    ignored; an empty table gives an empty result.
+    Columns of these names are replaced. Nulls, empty and repeated rows: see scored().
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.drop("score", "predicted")
+    at, names = rows.columns.index(text_column), [*rows.columns, "score", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.scores(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            score = shared.value.scores(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=names)
+
+    return map_batches(rows, run, widened(rows, score="double", predicted="int"))
+
 
+def scored(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.3) -> DataFrame:
+    """(doc_id, score, predicted) for each input row: the score of label 1, from 0 to 1.
+
+    A null text counts as empty; an empty text has no feature and gets the bias alone. Whole
+    texts count, whatever their length. Repeated rows and null ids stay; other columns are
+    ignored; an empty table gives an empty result.
+    """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return map_batches(rows, run, "doc_id long, score double, predicted int")
+    return with_scores(rows, model, threshold=threshold).drop("text")
