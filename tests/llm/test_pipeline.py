@@ -1,0 +1,63 @@
+import corpus_pipeline
+import numpy as np
+from conftest_llm import brute_components
+from pyspark.sql import functions as F
+
+from seqloom.llm import decontaminate, ppm, simhash, toxicity, unigram
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages_against_brute_force(spark, documents, texts, tmp_path):
+    """Each stage on what its predecessor kept, decisions remade without Spark or shortcuts."""
+    docs, kept = documents, dict(texts)
+    labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name == "toxicity":
+            import pyarrow as pa
+
+            model = toxicity.train(before, labels, F.lit(True))
+            score = model.scores(pa.array(list(kept.values())))
+            kept = {d: t for (d, t), s in zip(kept.items(), score) if s < 0.3}
+        elif name == "language":
+            kept = {d: t for d, t in kept.items() if any(c.isalpha() for c in t)}
+        elif name == "near_dedup":
+            found = brute_components({d: simhash.fingerprint(t) for d, t in kept.items()}, 3)
+            kept = {d: t for d, t in kept.items() if found[d] == d}
+        elif name == "decontamination":
+            fold = lambda x: decontaminate.FOLD[np.frombuffer(x.encode(), np.uint8)].tobytes()
+            clean = {d: t for d, t in kept.items() if not any(fold(r.text) in fold(t) for r in bench.collect())}
+            assert len(clean) < len(kept) and {r.doc_id for r in docs.collect()} <= set(clean)
+            extra = set(clean) - {r.doc_id for r in docs.collect()}
+            near = {r.doc_id for r in decontaminate.matches(before, bench).where("edits > 0").collect()}
+            assert extra <= near
+            kept = {d: t for d, t in clean.items() if d not in extra}
+        if name != "pieces":
+            assert docs.columns == COLUMNS
+            assert {r.doc_id: r.text for r in docs.collect()} == kept and docs.count() == len(kept)
+    assert kept and {r.doc_id for r in docs.collect()} == set(kept)
+    assert {r.doc_id: r.text for r in unigram.decoded(docs).collect()} == kept
+    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(kept)
+
+
+def test_toxic_and_wordless_documents_go_and_clean_ones_stay(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    left = corpus_pipeline.toxic_out(spark, docs, sf).select("doc_id").join(labels, "doc_id").collect()
+    total = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    assert sum(r.toxic for r in left) < 0.1 * total[1] and sum(not r.toxic for r in left) > 0.995 * total[0]
+    few = spark.createDataFrame([(1, "123 456", "en", "s", 7), (2, "words here", None, "s", 10), (3, None, "en", "s", 0)], docs.schema)
+    assert [r.doc_id for r in corpus_pipeline.language_out(spark, few, sf).collect()] == [2]
+    assert ppm.UNKNOWN == "und"
+
+
+def test_empty_and_odd_tables(spark, odd, none):
+    for docs in (none, odd):
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF)
+            docs.count()
