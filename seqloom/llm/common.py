@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +94,22 @@ def segment_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def lowest(df: DataFrame, key: Column, n: int, *more: str) -> DataFrame:
+    """The n rows of df with the lowest hash of `key` (ties: by `more`): a bounded sample that
+    depends on the rows alone.
+
+    Hashes beyond a bound that more than n rows almost surely stay under are filtered first, so
+    that the candidates that are sorted don't grow with the number of partitions.
+    """
+    h = F.xxhash64(key)
+    total = df.count()
+    share = min(1.0, (n + 8 * n**0.5 + 8) / max(total, 1))
+    near = df.where(h <= min(2**63 - 1, int(-(2**63) + share * 2**64))) if share < 1 else df
+    if share < 1 and near.limit(n).count() < n:
+        near = df
+    return near.orderBy(h, *more).limit(n)
+
+
 def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of edges (u, v) reaches.
 

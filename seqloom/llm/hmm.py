@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import lowest, map_batches, stored
 
 #: The end of a text as a token: no word is empty.
 END = ""
@@ -253,8 +253,8 @@ def scored(docs: DataFrame, training: Column, *, id_column: str = "doc_id", text
     texts = stored(map_batches(numbered, read, "doc_id long, training boolean, number long, symbols binary, logs double, within double, known long, rest array<struct<word string, n int>>"), name="symbols")
 
     model = Model.begin(states, vocabulary.shares)
-    first = texts.where("training").select("symbols", F.xxhash64("doc_id").alias("h"), "number").orderBy("h", "number").limit(first_texts).collect()
-    sample = [np.frombuffer(bytes(r.symbols), np.uint16)[:] for r in first]
+    first = lowest(texts.where("training").select("doc_id", "symbols", "number"), F.col("doc_id"), first_texts, "number").collect()
+    sample = [np.frombuffer(bytes(r.symbols), np.uint16) for r in first]
     for _ in range(first_rounds if sample else 0):
         model = model.maximised(*model.expected(sample), vocabulary.shares)
     for _ in range(rounds if sample else 0):

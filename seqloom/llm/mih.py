@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import lowest, map_batches, stored
 
 BITS, PARTS = 64, 8
 #: Substrings by their bit counts: the ball of radius s is the first BALL[s] of them.
@@ -147,7 +147,7 @@ def nearest(rows: DataFrame, asked: Column, *, id_column: str = "vec_id", vector
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     vectors = vectors.where(F.size("v") == sizes.d)
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    sample = lowest(vectors, F.col("id"), SAMPLE, "id").collect()
     coder = Coder(np.array([r.v for r in sample]), float(np.sqrt(sizes.most)), k, reach)
     shared = spark.sparkContext.broadcast(coder)
 

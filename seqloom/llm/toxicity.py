@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, map_batches, widened
+from .common import code_points, lowest, map_batches, widened
 
 BITS = 22
 SIZES = (3, 4, 5, 6)
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, id_column: st
     """
     known = labels.where(training & F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
     known = known.groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("label"))
-    known = known.withColumn("h", F.xxhash64("id")).orderBy("h").limit(sample).select("id", "label", "h")
+    known = lowest(known, F.col("id"), sample, "id").withColumn("h", F.xxhash64("id"))
     bound = known.agg(F.max("h").alias("h")).first().h
     if bound is None:
         return Model(np.empty(0, np.int64), np.empty(0), 0.0)
