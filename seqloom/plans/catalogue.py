@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE = {}
+from seqloom.plans import core
+
+QUERIES = core.QUERIES
+ORACLE = core.ORACLE
