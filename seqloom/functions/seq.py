@@ -72,9 +72,9 @@ def pad_end(seq: Column | str, length: int) -> Column:
     return F.when(F.length(s) < length, F.rpad(s, length, "N")).otherwise(s)
 
 
-def shift(seq: Column | str, start: Column | str, room: int) -> Column:
+def shift(seq: Column | str, start: Column | str, room: Column | int) -> Column:
     """room - start N before the read and start N behind: best-matching parts line up."""
-    return F.concat(F.repeat(F.lit("N"), F.lit(room) - col(start)), col(seq), F.repeat(F.lit("N"), col(start)))
+    return F.concat(F.repeat(F.lit("N"), (room if isinstance(room, Column) else F.lit(room)) - col(start)), col(seq), F.repeat(F.lit("N"), col(start)))
 
 
 def well(name: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.plans import core
+from seqloom.plans import core, positional
 
-QUERIES = core.QUERIES
-ORACLE = core.ORACLE
+QUERIES = core.QUERIES | positional.QUERIES
+ORACLE = core.ORACLE | positional.ORACLE

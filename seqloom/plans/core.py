@@ -182,18 +182,18 @@ def revcomp_and_padding(spark: SparkSession, sf: str) -> DataFrame:
     return X.reads(spark, sf).select("read_no", "sample", S.revcomp("seq").alias("rc"), S.pad_end("seq", 160).alias("padded"))
 
 
-@add(f"WITH {X.READS}, w AS (SELECT read_no, i FROM reads, range(0, 145) t(i) WHERE substr(seq, i + 1, 3) = 'ATA') SELECT read_no, string_agg(i, ',' ORDER BY i) AS positions FROM w GROUP BY read_no")
+@add(f"WITH {X.READS}, w AS (SELECT read_no, string_agg(i, ',' ORDER BY i) AS positions FROM reads, range(0, 145) t(i) WHERE substr(seq, i + 1, 3) = 'ATA' GROUP BY read_no) SELECT read_no, coalesce(positions, '') AS positions FROM reads LEFT JOIN w USING (read_no)")
 def match_positions_overlapping(spark: SparkSession, sf: str) -> DataFrame:
     found = X.reads(spark, sf).select("read_no", S.overlapping("seq", F.lit("ATA")).alias("p"))
-    return found.where(F.size("p") > 0).select("read_no", F.array_join(F.col("p").cast("array<string>"), ",").alias("positions"))
+    return found.select("read_no", F.array_join(F.col("p").cast("array<string>"), ",").alias("positions"))
 
 
 @add(f"""WITH {X.READS}, p AS (SELECT read_no, string_split(seq, 'ATA') AS parts FROM reads),
 q AS (SELECT read_no, list_transform(range(1, len(parts)), lambda j: list_sum(list_transform(parts[1:j], lambda x: length(x))) + 3 * (j - 1)) AS pos FROM p)
-SELECT read_no, array_to_string(list_transform(pos, lambda x: x::BIGINT), ',') AS positions FROM q WHERE len(pos) > 0""")
+SELECT read_no, array_to_string(list_transform(pos, lambda x: x::BIGINT), ',') AS positions FROM q""")
 def match_positions_nonoverlapping(spark: SparkSession, sf: str) -> DataFrame:
     found = X.reads(spark, sf).select("read_no", S.non_overlapping("seq", "ATA").alias("p"))
-    return found.where(F.size("p") > 0).select("read_no", F.array_join(F.col("p").cast("array<string>"), ",").alias("positions"))
+    return found.select("read_no", F.array_join(F.col("p").cast("array<string>"), ",").alias("positions"))
 
 
 OLIGOS = ["AR", "NNW", "ACGT", "BDHVKM", "SWRYN"]
