@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.plans import core, positional
+from seqloom.plans import core, positional, rest
 
-QUERIES = core.QUERIES | positional.QUERIES
-ORACLE = core.ORACLE | positional.ORACLE
+QUERIES = core.QUERIES | positional.QUERIES | rest.QUERIES
+ORACLE = core.ORACLE | positional.ORACLE | rest.ORACLE
