@@ -19,6 +19,8 @@ from .common import code_points, lowest, map_batches, widened
 
 BITS = 22
 SIZES = (3, 4, 5, 6)
+#: Positions that are worked on at once.
+STEP = 1 << 18
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,14 +41,22 @@ def slots(points: np.ndarray):
 
 
 def present(points: np.ndarray, ends: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (text, feature), each once, sorted; `keep` tells which features count."""
+    """Pairs (text, feature), each once, sorted; `keep` tells which features count.
+
+    STEP positions are worked on at once, so memory is bounded however long the texts are.
+    """
     found = []
     stops = ends[1:] - 1  # behind each text stands one zero
-    for n, slot in slots(points):
-        at = np.arange(len(slot)) if keep is None else np.flatnonzero(keep[slot])
-        owner = np.searchsorted(ends, at, side="right") - 1
-        inside = at + n <= stops[owner]
-        found.append((owner[inside] << BITS) | slot[at[inside]])
+    for lo in range(0, len(points), STEP):
+        got = []
+        for n, slot in slots(points[lo : lo + STEP + max(SIZES) - 1]):
+            slot = slot[:STEP]
+            at = np.arange(len(slot)) if keep is None else np.flatnonzero(keep[slot])
+            owner = np.searchsorted(ends, at + lo, side="right") - 1
+            inside = at + lo + n <= stops[owner]
+            got.append((owner[inside] << BITS) | slot[at[inside]])
+        if got:
+            found.append(np.unique(np.concatenate(got)))
     pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
@@ -128,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, id_column: st
             label = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             row, feature = present(*code_points(lowered(batch.column(1))))
             for k in (0, 1):
-                sums[k] += np.bincount(feature[label[row] == k], minlength=1 << BITS).astype(np.int32)
+                at, times = np.unique(feature[label[row] == k], return_counts=True)
+                sums[k][at] += times.astype(np.int32)
                 n[k] += int((label == k).sum())
         at = np.flatnonzero(sums.any(0))
         cols = [np.append(at, -1), np.append(sums[1][at], n[1]), np.append(sums[0][at], n[0])]
