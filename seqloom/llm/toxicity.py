@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, lowest, map_batches, widened
+from .common import code_points, discard, lowest, map_batches, stored, widened
 
 BITS = 22
 SIZES = (3, 4, 5, 6)
@@ -97,6 +97,17 @@ def likelihood_ratios(positive: np.ndarray, negative: np.ndarray, n_positive: in
     return 2 * sum(term(*c) for c in cells)
 
 
+def likelihood_ratio_column(positive: Column, negative: Column, n_positive: int, n_negative: int) -> Column:
+    """likelihood_ratios() in the JVM, so that only the best features leave it."""
+    total, has = float(n_positive + n_negative), positive + negative
+
+    def term(k: Column, of: int, margin: Column) -> Column:
+        return F.when(k > 0, k * F.ln(k * total / (float(of) * margin))).otherwise(0.0)
+
+    cells = ((positive, n_positive, has), (negative, n_negative, has), (n_positive - positive, n_positive, total - has), (n_negative - negative, n_negative, total - has))
+    return sum((2 * term(*c) for c in cells), F.lit(0.0))
+
+
 def fit(rows: np.ndarray, columns: np.ndarray, ratios: np.ndarray, labels: np.ndarray, *, penalty: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on presence x ratio: weights of presence (scaled back), bias."""
     n, width = len(labels), len(ratios)
@@ -143,21 +154,21 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, id_column: st
                 n[k] += int((label == k).sum())
         at = np.flatnonzero(sums.any(0))
         cols = [np.append(at, -1), np.append(sums[1][at], n[1]), np.append(sums[0][at], n[0])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["feature", "positive", "negative"])
+        for k in range(0, len(cols[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)].astype(np.int32)) for c in cols], names=["feature", "positive", "negative"])
 
-    counted = map_batches(texts, count, "feature long, positive long, negative long").groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+    counted = map_batches(texts, count, "feature int, positive int, negative int").groupBy("feature").agg(F.sum("positive").alias("p"), F.sum("negative").alias("q"))
+    counted = stored(counted.where("feature < 0 or p + q >= 4"), name="features")  # fewer texts tell little
     total = counted.where("feature < 0").first()
-    if total is None or not total.positive or not total.negative:
-        share = 0.0 if total is None or not total.positive else 1.0
+    if total is None or not total.p or not total.q:
+        share = 0.0 if total is None or not total.p else 1.0
         texts.unpersist()
         return Model(np.empty(0, np.int64), np.empty(0), 20.0 if share else -20.0)
-    # At most 2 ** BITS rows, whatever the input; a feature of fewer than 4 texts tells little.
-    got = counted.where("feature >= 0 and positive + negative >= 4").toPandas()
-    p, q = got.positive.to_numpy(float), got.negative.to_numpy(float)
-    gain = likelihood_ratios(p, q, total.positive, total.negative)
-    best = np.lexsort((got.feature.to_numpy(), -gain))[:features]
-    best = best[np.argsort(got.feature.to_numpy()[best])]
-    chosen, ratios = got.feature.to_numpy()[best], log_count_ratios(p[best], q[best], total.positive, total.negative)
+    gain = likelihood_ratio_column(F.col("p"), F.col("q"), total.p, total.q)
+    best = counted.where("feature >= 0").orderBy(gain.desc(), "feature").limit(features).collect()
+    best = np.array(sorted((r.feature, r.p, r.q) for r in best), float).reshape(-1, 3)
+    chosen, ratios = best[:, 0].astype(np.int64), log_count_ratios(best[:, 1], best[:, 2], total.p, total.q)
+    discard(counted)
     keep = np.zeros(1 << BITS, np.uint8)
     keep[chosen] = 1
 
