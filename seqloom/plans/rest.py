@@ -89,7 +89,7 @@ def html_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SVGS = ["TGACTC40NACY_A_BATCHX_NNTAATTANN_m1_c4.svg", "TGACTC40NACY_BATCHX_x_NTGACGTCAN_m2_c4.svg", "TGACTC40NACY_BATCHX_x_NGGATTAN_m12_c3b0.svg", "TTTTTT40NACY_BATCHX_x_NGGATTAN_m1_c2.svg", "GGGGGG40NACY_BATCHY_x_NGGATTAN_m1_c4.svg"]
-LISTS = [[("ALGERIA", 1, "S1"), ("ALGERIA", 2, "S2"), ("BRAZIL", 1, "fail x"), ("CANADA", 1, "GGAA"), ("EGYPT", 1, "Q1")], [("ALGERIA", 1, "T1"), ("ALGERIA", 2, "T2"), ("ALGERIA", 3, "T3"), ("ALGERIA", 4, "T4"), ("BRAZIL", 1, "U1")], [("ALGERIA", 1, "V1"), ("BRAZIL", 1, "U2"), ("CANADA", 1, "W1")]]
+LISTS = [[("NATION_0", 1, "S1"), ("NATION_0", 2, "S2"), ("NATION_1", 1, "fail x"), ("NATION_2", 1, "GGAA"), ("NATION_3", 1, "Q1")], [("NATION_0", 1, "T1"), ("NATION_0", 2, "T2"), ("NATION_0", 3, "T3"), ("NATION_0", 4, "T4"), ("NATION_1", 1, "U1")], [("NATION_0", 1, "V1"), ("NATION_1", 1, "U2"), ("NATION_2", 1, "W1")]]
 
 
 @add(f"WITH {table('s', 'link', [(x,) for x in SVGS])}, b AS (SELECT unnest(['TGACTC40NACY', 'GGGGGG40NACY', 'CCCCCC40NACY']) AS barcode), f AS (SELECT regexp_extract(link, '(?i)^(.*?_.*?)_.*(c4|c3b0)[^.]*\\.svg', 1) AS k, list_sort(list(regexp_extract(link, '(?i)_([^_]*)_m.{{1,3}}_c.{{1,5}}\\.svg', 1))) AS l FROM s WHERE contains(link, '_BATCHX_') GROUP BY 1) SELECT barcode, coalesce(array_to_string(l, ','), '') AS consensus FROM b LEFT JOIN f ON k = barcode || '_BATCHX'")
@@ -110,7 +110,7 @@ def consensus_priority_fill(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("protein", F.array_join("consensus", ",").alias("consensus"))
 
 
-ENTRIES = [(1, "ALGERIA"), (2, "ALGERIA2"), (3, "Algeria-L3"), (4, "ALGERIANS"), (5, "BRAZIL9"), (6, "x")]
+ENTRIES = [(1, "NATION_0"), (2, "NATION_02"), (3, "Nation_0-L3"), (4, "NATION_0NS"), (5, "NATION_19"), (6, "x")]
 
 
 @add(f"WITH {table('e', 'line, entry', ENTRIES)} SELECT n_name AS TF, entry, line FROM nation JOIN e ON regexp_matches(entry, '(?i)^' || n_name || '[0-9L-]*$')")

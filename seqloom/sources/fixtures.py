@@ -68,11 +68,7 @@ FILE_NAMES = [
     "lib-P24-rest.txt", "lib-Q01-rest.txt", "/a.b/c/lib-H10-x.tar.gz", "k-B09-YB0_c0.txt", "_TGAACC40NCCA_1.seq", "plate1-NKD2-4-D11-GGTTCA40NATYB3_z.txt", "",
 ]
 #: (TF, seed, is dimer) in the order of the sheet.
-SEEDS = [("ALGERIA", "NNTAATTANN", "dimer"), ("Algeria", "NTGACGTCAN", "mono"), ("BRAZIL", "NGGATTAN", "mono"), ("Brazil", "NGGGGATTN", "mono"), ("CHINA", "NTTAATN", "dimer"), ("china", "NCACGTGN", "dimer"), ("egypt", "NNGATAANN", "mono"), ("FRANCE", "NCCGGAAN", "mono")]
-
-
-def rows_of(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+SEEDS = [("NATION_0", "NNTAATTANN", "dimer"), ("Nation_0", "NTGACGTCAN", "mono"), ("NATION_1", "NGGATTAN", "mono"), ("nation_1", "NGGGGATTN", "mono"), ("NATION_2", "NTTAATN", "dimer"), ("nation_2", "NCACGTGN", "dimer"), ("nation_3", "NNGATAANN", "mono"), ("ELSEWHERE", "NCCGGAAN", "mono")]
 
 
 def pwm_rows(spark: SparkSession, names: list[str] | None = None) -> DataFrame:

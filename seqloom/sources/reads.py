@@ -126,7 +126,7 @@ def discover(spark: SparkSession, root: str, *, folder: str | None = None, suffi
 
 def read_single(spark: SparkSession, path: str, *, longest: int = 510) -> DataFrame:
     """(path, name, seq): one FASTA or SEQ sequence a file; only A, C, G and T, at most `longest`."""
-    text = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     name = F.regexp_extract("value", "^>\\s*([^\\r\\n]*)", 1)
     body = F.regexp_replace("value", "^>[^\\r\\n]*", "")
     return text.select("path", name.alias("name"), F.substring(F.regexp_replace(F.upper(body), "[^ACGT]", ""), 1, longest).alias("seq"))
