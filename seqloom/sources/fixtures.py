@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 LETTERS, AS_BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "AACTTGGCACGTAACTGGCTCGTACN"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a single file over all cores: its row groups, often one, bound a scan's tasks.
+
+    Tables of several files are left alone: there a shuffle would only cost.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 def reads(spark: SparkSession, sf_dir: str, length: int = 147) -> DataFrame:
     """(sample, lang, read_no, seq): the first `length` letters of each text, mapped to bases."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, AS_BASES)
     rows = docs.select(F.col("source").alias("sample"), "lang", F.col("doc_id").alias("read_no"), letters.alias("s"))
     return rows.where(F.length("s") >= length).select("sample", "lang", "read_no", F.substring("s", 1, length).alias("seq"))
