@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, utf8
+from .common import free_name, map_batches, stored, utf8
 
 Q = 8
 SLOTS = 20
@@ -24,8 +24,9 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[[9, 10, 11, 12, 13]] = 32
-#: Benchmark passages that travel to every task at once; beyond it they go in blocks.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark passages that travel to every task at once, their index taking some 40 times
+#: as many; beyond it they go in blocks.
+BLOCK_BYTES = 1 << 20
 
 
 def folded(raw: np.ndarray) -> np.ndarray:
@@ -189,7 +190,7 @@ class Passages:
                     yield d, o, edits, start, end, shared
 
 
-def blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's passages in blocks of a bounded size, each small enough to travel to all tasks.
 
     They are read block by block; an id's repeated texts all count; null and empty texts don't.
@@ -198,7 +199,8 @@ def blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes:
     rows = rows.where("item is not null and text is not null and octet_length(text) > 0").distinct()
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     parts = max(1, -(-size // block_bytes))
-    return [[(r.item, r.text) for r in sorted(rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect())] for k in range(parts)]
+    for k in range(parts):
+        yield sorted((r.item, r.text) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect())
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", rate: float = 0.1) -> DataFrame:
@@ -210,7 +212,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id",
     stop are bytes of the text, shared the q-grams that its band shares with it. Overlapping regions of one passage give the best one alone.
     Passages under eight bytes can't be told from chance and are passed over. Null or empty
     texts have no match; repeated rows give repeated matches; rows with a null id match too.
-    Benchmarks beyond a block (8 MB) are matched block after block over the same documents.
+    Benchmarks beyond a block (1 MB) are matched block after block over the same documents.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     out = None
@@ -237,5 +239,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "d
     Rows that can't match (null text) are kept. Ids of the rows that match decide, so rows that
     share an id go together; a row with a null id is kept.
     """
-    found = stored(matches(docs, benchmark, id_column=id_column, text_column=text_column, item_column=item_column, rate=rate).select(F.col("doc_id").alias("_leaks")).distinct(), name="leaks")
-    return docs.join(found, F.col(id_column).cast("long") == found._leaks, "left_anti")
+    leaks = free_name(docs, "_leaks")
+    found = stored(matches(docs, benchmark, id_column=id_column, text_column=text_column, item_column=item_column, rate=rate).select(F.col("doc_id").alias(leaks)).distinct(), name="leaks")
+    return docs.join(found, F.col(id_column).cast("long") == F.col(leaks), "left_anti")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, map_batches, stored
+from .common import components, free_name, map_batches, stored
 
 BLOCKS = 4
 WIDTH = 64 // BLOCKS
@@ -166,7 +166,8 @@ def deduplicated(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     Rows with a null id are kept: nothing tells which row they would repeat.
     """
     found = near_duplicates(docs, id_column=id_column, text_column=text_column, **options)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = free_name(docs, "_kept")
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
     # The join has dealt the rows by id, so repeated rows meet without another shuffle.
-    named = docs.join(keep, F.col(id_column).cast("long") == keep._kept, "left_semi").dropDuplicates([id_column])
+    named = docs.join(keep, F.col(id_column).cast("long") == F.col(kept), "left_semi").dropDuplicates([id_column])
     return named.unionByName(docs.where(F.col(id_column).isNull()))

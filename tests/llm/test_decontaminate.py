@@ -87,3 +87,23 @@ def test_odd_rows(spark, odd, none):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 4, 5, 8, 9]
     assert decontaminate.matches(none, bench).count() == 0
     assert decontaminate.decontaminated(odd, bench.limit(0)).count() == 11
+
+
+def test_blocks_of_the_benchmark_change_nothing(spark, documents):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    want = sorted(map(tuple, decontaminate.matches(documents, bench).collect()))
+    was, decontaminate.blocks.__defaults__ = decontaminate.blocks.__defaults__, (3000,)
+    try:
+        assert len(list(decontaminate.blocks(bench, "item_id", "text"))) > 1
+        assert sorted(map(tuple, decontaminate.matches(documents, bench).collect())) == want
+    finally:
+        decontaminate.blocks.__defaults__ = was
+
+
+def test_names_that_clash(spark, odd):
+    from seqloom.llm import simhash
+
+    named = odd.withColumnRenamed("rank", "_leaks").withColumnRenamed("ids", "_KEPT")
+    bench = spark.createDataFrame([(3, "der hund und die katze sind in")], "item_id long, text string")
+    assert decontaminate.decontaminated(named, bench).columns == named.columns
+    assert simhash.deduplicated(named).count() == 7
