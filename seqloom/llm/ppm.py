@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, segment_sums, utf8, widened
@@ -116,16 +116,14 @@ class Model:
 
 
 def train(docs: DataFrame, training: Column, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", docs_per_lang: int = 300, longest: int = 20_000) -> Model:
-    """A model from a bounded sample: of each language the `docs_per_lang` training texts whose
-    ids hash lowest, those over `longest` bytes passed over. That fits a classifier, so a bound
-    is in order; at most languages x docs_per_lang x longest bytes come to the driver."""
+    """A model from a bounded sample: of each language some `docs_per_lang` training texts, those
+    whose ids hash into the lowest docs_per_lang / n part, the ones over `longest` bytes passed
+    over. That fits a classifier, so a bound is in order; at most twice languages x docs_per_lang
+    x longest bytes come to the driver, however often ids repeat."""
     labelled = docs.where(training & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     keyed = labelled.select(F.col(lang_column).alias("lang"), F.xxhash64(F.col(id_column)).alias("h"), F.col(text_column).alias("text"))
-    bounds = keyed.select("lang", "h").withColumn("salt", F.pmod(F.col("h"), F.lit(64)))
-    for within in (["lang", "salt"], ["lang"]):  # salted first: a language's rows never meet in one task
-        first = Window.partitionBy(*within).orderBy("h")
-        bounds = bounds.withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_lang)
-    bounds = {r.lang: r.h for r in bounds.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    share = {r.lang: min(1.0, docs_per_lang / r.n) for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    bounds = {lang: min(2**63 - 1, int(-(2**63) + s * 2**64)) for lang, s in share.items()}
     if not bounds:
         return Model({})
     bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
