@@ -91,3 +91,19 @@ def path_parts(path: Column | str) -> tuple[Column, Column, Column]:
 def trimmed(text: Column | str) -> Column:
     """Without blanks and tabs at both ends."""
     return F.btrim(col(text), F.lit(" \t"))
+
+
+def chunks(seq: Column | str, size: int) -> Column:
+    """Consecutive pieces of `size`; the last one may be shorter."""
+    s = col(seq)
+    starts = F.sequence(F.lit(0), F.length(s) - 1, F.lit(size))
+    return F.when(F.length(s) > 0, F.transform(starts, lambda i: F.substr(s, i + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def overlapping_chunks(seq: Column | str, size: int, overlap: int) -> Column:
+    """Structs (at, part): pieces of size + 2 overlap that start `size` apart, for as long as more
+    than twice the overlap is left."""
+    s = col(seq)
+    starts = F.sequence(F.lit(0), F.length(s) - 2 * overlap - 1, F.lit(size))
+    made = F.transform(starts, lambda i: F.struct(i.alias("at"), F.substr(s, i + 1, F.lit(size + 2 * overlap)).alias("part")))
+    return F.when(F.length(s) > 2 * overlap, made).otherwise(F.array().cast("array<struct<at:int,part:string>>"))

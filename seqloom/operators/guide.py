@@ -9,7 +9,7 @@ from seqloom.functions import seq as S
 
 #: Fixed patterns of the file names that carry metadata.
 WELL = "-([A-P]\\d{1,2})-"
-PLATE = "([^/_]*?)-([^/]*)-([A-P]\\d{1,2})_([ACGT]+\\d+N[ACGT]*)YB(\\d+)_|(?:^|/)([^-/]+)-([^/]+)-([A-P]\\d{2})-([ACGT]+\\d+N[ACGT]*)YB(\\d)_"
+PLATE = "([^-]*)-([^-]*)-([^-]*)-([^_YB]*)[YB]*(.)_"
 BATCH = "(?:^|/)([A-Za-z0-9]*)_([ACGT]+\\d+N[ACGT]*)_(\\d+)"
 
 
@@ -49,10 +49,57 @@ def deduplicated(guide: DataFrame, *, key: str, order: list[Column]) -> DataFram
 
 
 def metadata(files: DataFrame, *, path: str = "path") -> DataFrame:
-    """`files` with directory, stem, suffix, well, batch, barcode, cycle; what a name lacks is ''."""
+    """`files` with directory, stem, suffix, well, batch, barcode, cycle, and the parts of plate names
+    (plate-TF-well-barcodeYBn_); what a name lacks is ''."""
     p = F.col(path)
     directory, stem, suffix = S.path_parts(p)
-    return files.select("*", directory.alias("dir"), stem.alias("stem"), suffix.alias("suffix"), S.well(F.regexp_extract(p, WELL, 1)).alias("well"), *[F.regexp_extract(p, BATCH, k).alias(n) for k, n in enumerate(("batch", "barcode", "cyc"), 1)])
+    return files.select("*", directory.alias("dir"), stem.alias("stem"), suffix.alias("suffix"), S.well(F.regexp_extract(p, WELL, 1)).alias("well"), *[F.regexp_extract(p, BATCH, k).alias(n) for k, n in enumerate(("batch", "barcode", "cyc"), 1)], *[F.regexp_extract(p, PLATE, k).alias(n) for k, n in enumerate(("plate", "tf", "plate_well", "plate_barcode", "plate_cyc"), 1)])
+
+
+def renamed(matched: DataFrame, batch: str, cycle: str, *, by: str = "name") -> DataFrame:
+    """Demultiplexed reads under the name batch_barcode_cycle."""
+    return matched.withColumn(by, F.when(F.col(by).isNotNull(), F.concat_ws("_", F.lit(batch), F.col(by), F.lit(cycle))))
+
+
+def paired_by_name(samples: DataFrame, backgrounds: DataFrame, pattern: str) -> DataFrame:
+    """`samples` (name) with the first background, by `line`, whose name holds what `pattern`'s first
+    group finds in theirs; samples without one have null.
+
+    Names are searched for, so each pair is looked at; both sides are lists of files, and the
+    distinct parts that are searched for are few.
+    """
+    keyed = samples.withColumn("_part", F.regexp_extract("name", pattern, 1))
+    parts = keyed.where("_part <> ''").select("_part").distinct()
+    hits = parts.join(backgrounds, F.contains(backgrounds["name"], F.col("_part"))).groupBy("_part").agg(F.min_by(backgrounds["name"], "line").alias("background"))
+    return keyed.join(hits, "_part", "left").drop("_part")
+
+
+def zipped(a: DataFrame, b: DataFrame, *, order: str = "line") -> DataFrame:
+    """Two lists side by side by their places; an error if they differ in length. For lists of files
+    or parameters: they are numbered in one task."""
+    size = a.count()
+    if size != b.count():
+        raise ValueError("lists of different lengths")
+    number = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c != order], F.row_number().over(Window.orderBy(order)).alias("line"))
+    return number(a, "a").join(number(b, "b"), "line")
+
+
+def best_pwms(names: DataFrame, tfs: DataFrame, *, mono: bool = True, most: int = 20) -> DataFrame:
+    """(TF, entry, line, step): matrices for a TF in order of preference: exact names among the
+    monomeric ones, then its family's, then the same among all; `most` as in pwm_of().
+
+    names: (line, entry, kind); the family is the TF's name without digits and letters behind it.
+    An entry counts at each step that it satisfies, as the lists are searched one after another.
+    """
+    family = tfs.select("TF", F.regexp_extract("TF", "^([A-Za-z]+)", 1).alias("_family"))
+    wanted = family.select("TF", F.explode(F.array(F.struct(F.col("TF").alias("look"), F.lit(0).alias("step")), F.struct(F.col("_family").alias("look"), F.lit(1).alias("step")))).alias("x")).select("TF", "x.look", "x.step")
+    stem = lambda c: F.regexp_replace(F.upper(c), "[0-9L-]*$", "")
+    hits = names.withColumn("_stem", stem("entry")).join(wanted.withColumn("_stem", stem("look")), "_stem").where(F.startswith(F.upper("entry"), F.upper("look")))
+    every = hits.select("TF", "entry", "line", (F.col("step") + 2).alias("step"))
+    found = hits.where(F.contains("kind", F.lit("mono"))).select("TF", "entry", "line", "step").unionByName(every) if mono else every
+    by = Window.partitionBy("TF")
+    ranked = found.withColumn("_r", F.row_number().over(by.orderBy("step", "line"))).withColumn("_n", F.count("*").over(by))
+    return ranked.where((F.col("_r") < most) | (F.col("_r") == F.col("_n"))).drop("_r", "_n")
 
 
 def links(pages: DataFrame, pattern: str, *, html: str = "html") -> DataFrame:

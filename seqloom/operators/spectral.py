@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators import adm as adm_ops
+
 #: Fixed values of the original spectra: its value of pi, the frequency grid, the bands (in steps
 #: of 1/2000) of the 10.2-base peak and of its background, the step whose phase is told.
 PI = 3.14159265
@@ -88,6 +90,14 @@ def padded_dft(adm: DataFrame, *, by: tuple[str, ...] = ("sample",), sampling: f
     return rows.select(*by, "kmer", "h", (F.col("h") / (F.col("np") / 2) / (2 * sampling)).alias("freq"), (F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / norm).alias("power"))
 
 
+def after_background(signal: DataFrame, background: DataFrame) -> dict[str, DataFrame]:
+    """The whole course from two complete count matrices (kmer, pos, val): the mean-preserving
+    background is removed, then spectrum, peaks and normalised profiles are made."""
+    corrected = adm_ops.background_removed(signal, background, keep_mean=True)
+    spectrum = dft_profile(corrected, by=())
+    return {"corrected": corrected, "spectrum": spectrum, "peaks": peaks(spectrum, by=()), "normalised": adm_ops.normalised(corrected, by=())}
+
+
 def read_power(hits: DataFrame, length: int, *, h: int = PHASE_AT, centred: bool = True) -> DataFrame:
     """`hits` (with positions p of a key in one read) with hit count n and power at h / 2000.
 

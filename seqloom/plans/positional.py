@@ -207,3 +207,21 @@ def merge_sub(spark: SparkSession, sf: str) -> DataFrame:
 def adm_wide(spark: SparkSession, sf: str) -> DataFrame:
     out = adm.wide(adm.position_counts(X.reads(spark, sf), (1, 2)))
     return out.select("sample", "kmer", F.array_join(F.col("vals").cast("array<string>"), " ").alias("vals"))
+
+
+AFTER = f"""{BG}, d AS (SELECT kmer, pos, val - avg(val) OVER (PARTITION BY kmer) AS val FROM b), c AS (SELECT sz.kmer, sz.pos, sz.val - d.val * r.r AS val FROM sz JOIN d ON d.kmer = sz.kmer AND d.pos = sz.pos, r),
+m AS (SELECT kmer, avg(val) AS m, count(*) AS n FROM c WHERE pos < 145 GROUP BY 1), y AS (SELECT c.kmer, pos, m, n, (val - m) * (1 - pow((pos - (n - 1) / 2) / ((n - 1) / 2), 2)) AS y FROM c JOIN m USING (kmer) WHERE pos < 145),
+f AS (SELECT kmer, h, any_value(m) AS m, any_value(n) AS n, sum(y * cos(2 * {PI} * h * pos / 2000)) AS re, -sum(y * sin(2 * {PI} * h * pos / 2000)) AS im FROM y, range(600) t(h) GROUP BY ALL),
+sp AS (SELECT *, CASE WHEN m <> 0 THEN sqrt(re * re + im * im) / (m * 5.1 * n / 10.2) END AS power FROM f)"""
+
+
+@add(f"""{AFTER} SELECT kmer, {sql_near('sum(power) FILTER (h BETWEEN 189 AND 204)')} AS area, {sql_near('sum(power) FILTER (h BETWEEN 189 AND 204) / sum(power) FILTER (h BETWEEN 149 AND 250)')} AS pct,
+{sql_near(f'atan2(max(im) FILTER (h = 196), max(re) FILTER (h = 196)) / {PI} - 2 * (28 / 10.204)')} AS phase FROM sp GROUP BY kmer""")
+def peaks_after_background(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(spectral.after_background(*signal_and_background(spark, sf))["peaks"], "area", "pct", "phase")
+
+
+@add(f"""WITH {X.READS} SELECT read_no, i::INTEGER AS piece, i * 50 AS "at", substr(seq, i * 50 + 1, 54) AS part FROM reads, range(3) t(i) WHERE i * 50 < 147 - 4""")
+def chunks_overlapping(spark: SparkSession, sf: str) -> DataFrame:
+    made = X.reads(spark, sf).select("read_no", F.posexplode(S.overlapping_chunks("seq", 50, 2)).alias("piece", "x"))
+    return made.select("read_no", "piece", F.col("x.at").cast("long").alias("at"), "x.part")

@@ -78,7 +78,7 @@ def guide_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return guide.deduplicated(sheet(spark, sf), key="family", order=[F.desc("TF"), F.col("line")])
 
 
-@add(f"WITH {table('f', 'path', [(x,) for x in X.FILE_NAMES])} SELECT path, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1) AS stem, regexp_extract(path, '(\\.[^./]*)$', 1) AS suffix, regexp_replace(regexp_extract(path, '-([A-P]\\d{{1,2}})-', 1), '([A-P])0(\\d)', '\\1\\2') AS well, {', '.join(f"regexp_extract(path, '{guide.BATCH}', {k}) AS {n}" for k, n in enumerate(('batch', 'barcode', 'cyc'), 1))} FROM f")
+@add(f"WITH {table('f', 'path', [(x,) for x in X.FILE_NAMES])} SELECT path, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1) AS stem, regexp_extract(path, '(\\.[^./]*)$', 1) AS suffix, regexp_replace(regexp_extract(path, '-([A-P]\\d{{1,2}})-', 1), '([A-P])0(\\d)', '\\1\\2') AS well, {', '.join(f"regexp_extract(path, '{guide.BATCH}', {k}) AS {n}" for k, n in enumerate(('batch', 'barcode', 'cyc'), 1))}, {', '.join(f"regexp_extract(path, '{guide.PLATE}', {k}) AS {n}" for k, n in enumerate(('plate', 'tf', 'plate_well', 'plate_barcode', 'plate_cyc'), 1))} FROM f")
 def filename_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return guide.metadata(spark.createDataFrame([(x,) for x in X.FILE_NAMES], "path string"))
 
@@ -253,3 +253,28 @@ def array_table_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     counts = adm.position_counts(X.reads(spark, sf), (1,))
     grid = adm.zero_filled(counts, counts.select("kmer").distinct(), 147)
     return adm.long(adm.wide(grid)).where("kmer = 'A' and val > 0").withColumn("val", F.col("val").cast("double"))
+
+
+SAMPLES = [("x_147A12_1.txt",), ("y_147B_2.txt",), ("z_147A12_9.txt",), ("none.txt",)]
+BACKS = [(1, "bk_147B_c0.txt"), (2, "bk1_147A12_c0.txt"), (3, "bk2_147A12_c0.txt")]
+KINDS = [(1, "NATION0", "mono"), (2, "NATION07", "dimer"), (3, "NATION1", "mono"), (4, "NATION", "x")]
+
+
+@add(f"""WITH {table('s', 'name', SAMPLES)}, {table('b', 'line, background', BACKS)}, k AS (SELECT name, regexp_extract(name, '_(147[0-9A-Z]*)_', 1) AS part FROM s)
+SELECT name, arg_min(background, line) AS background FROM k LEFT JOIN b ON part <> '' AND contains(background, part) GROUP BY name""")
+def background_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    backs = spark.createDataFrame(BACKS, "line int, name string")
+    return guide.paired_by_name(spark.createDataFrame(SAMPLES, "name string"), backs, "_(147[0-9A-Z]*)_").select("name", "background")
+
+
+@add(f"WITH {table('b', 'line, name', BACKS)} SELECT line, name AS a_name, reverse(name) AS b_name FROM b")
+def zip_lists(spark: SparkSession, sf: str) -> DataFrame:
+    a = spark.createDataFrame(BACKS, "line int, name string")
+    return guide.zipped(a, a.select((F.col("line") * 10).alias("line"), F.reverse("name").alias("name")))
+
+
+@add(f"""WITH {table('n', 'line, entry, kind', KINDS)}, t AS (SELECT * FROM (VALUES ('NATION0', 'NATION0', 0), ('NATION0', 'NATION', 1), ('nation1', 'nation1', 0), ('nation1', 'nation', 1)) v(TF, look, step)),
+h AS (SELECT TF, entry, line, step, kind FROM t JOIN n ON regexp_matches(entry, '(?i)^' || look || '[0-9L-]*$'))
+SELECT TF, entry, line, step FROM h WHERE kind LIKE '%mono%' UNION ALL SELECT TF, entry, line, step + 2 FROM h""")
+def pwm_by_preference(spark: SparkSession, sf: str) -> DataFrame:
+    return guide.best_pwms(spark.createDataFrame(KINDS, "line int, entry string, kind string"), spark.createDataFrame([("NATION0",), ("nation1",)], "TF string"))

@@ -111,6 +111,11 @@ def lengths(reads: DataFrame) -> DataFrame:
     return rows.select("sample", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.raise_error(F.concat(F.lit("reads of different lengths in "), "sample"))).alias("length"))
 
 
+def at_least(reads: DataFrame, length: int) -> DataFrame:
+    """Without reads shorter than that."""
+    return reads.where(F.length("seq") >= length)
+
+
 def bad_records(fastq: DataFrame, *, prefix: str = HEADER) -> DataFrame:
     """(sample, bad): records whose header or third line isn't what it should be."""
     fine = F.startswith("header", F.lit(prefix)) & F.startswith("plus", F.lit("+")) & (F.length("seq") == F.length("qual"))
