@@ -19,9 +19,9 @@ def spread(df: DataFrame) -> DataFrame:
 def reads(spark: SparkSession, sf_dir: str, length: int = 147) -> DataFrame:
     """(sample, lang, read_no, seq): the first `length` letters of each text, mapped to bases."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
-    letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, AS_BASES)
-    rows = docs.select(F.col("source").alias("sample"), "lang", F.col("doc_id").alias("read_no"), letters.alias("s"))
-    return rows.where(F.length("s") >= length).select("sample", "lang", "read_no", F.substring("s", 1, length).alias("seq"))
+    letters = F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, length)
+    rows = docs.select(F.col("source").alias("sample"), "lang", F.col("doc_id").alias("read_no"), letters.alias("s")).where(F.length("s") == length)
+    return rows.select("sample", "lang", "read_no", F.translate(F.upper("s"), LETTERS, AS_BASES).alias("seq"))
 
 
 #: The same in DuckDB; queries put it before their own SQL.
