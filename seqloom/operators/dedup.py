@@ -7,12 +7,11 @@ deterministic; it is found as a fix point over the conflicts alone, which are fe
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.sources.shared import stored
+
 
 def exact(reads: DataFrame) -> DataFrame:
     """One row of each sequence: the smallest (sample, read_no)."""
@@ -21,18 +20,6 @@ def exact(reads: DataFrame) -> DataFrame:
     return best.select(*[F.col(f"r.{c}").alias(c) if c != "seq" else F.col("seq") for c in reads.columns])
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Cut lineage in storage that all executors share."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/dedup-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def conflicts(sequences: DataFrame, width: int = 20) -> DataFrame:
     """(a, s): a's anchor occurs in s and a < s. Anchors are three a read, windows are filtered by
     a semi-join on the anchors before they meet, so the product never leaves the equal keys."""
@@ -47,7 +34,7 @@ def three_anchor(reads: DataFrame, *, width: int = 20, strict: bool = False, rou
     """Distinct reads that the rule keeps; strict drops every read that a smaller one's anchor hits,
     kept or not. Empty sequences never conflict."""
     unique = exact(reads)
-    edges = _stored(conflicts(unique.where(F.length("seq") > 0).select("seq"), width))
+    edges = stored(conflicts(unique.where(F.length("seq") > 0).select("seq"), width))
     if strict:
         return unique.join(edges.select(F.col("s").alias("seq")).distinct(), "seq", "left_anti")
     # Undecided reads are those with an incoming edge from an undecided or kept read.
@@ -55,14 +42,14 @@ def three_anchor(reads: DataFrame, *, width: int = 20, strict: bool = False, rou
     for _ in range(rounds):
         # Kept: sources that nothing undecided hits.
         free = left.select("a").distinct().join(left.select(F.col("s").alias("a")).distinct(), "a", "left_anti")
-        gone = _stored(left.join(free, "a").select("s").distinct())
+        gone = stored(left.join(free, "a").select("s").distinct())
         if not gone.head(1):
             break
         dropped = gone if dropped is None else dropped.union(gone)
         away = gone.withColumnRenamed("s", "x")
         left = left.join(away, left.s == away.x, "left_anti").join(away, left.a == away.x, "left_anti")
         # Edges of kept reads have done their work.
-        left = _stored(left.join(free, "a", "left_anti"))
+        left = stored(left.join(free, "a", "left_anti"))
     if dropped is None:
         return unique
     return unique.join(dropped.select(F.col("s").alias("seq")), "seq", "left_anti")
