@@ -1,9 +1,7 @@
-"""What several operators share: shared storage, Arrow text buffers, components."""
+"""What several operators share: Arrow text buffers, samples, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.sources.fixtures import spread
+from seqloom.sources.shared import discard, stored
 
 #: Rows of a batch that a Python worker gets at once; bounds its memory on very long texts.
 BATCH_ROWS = 256
@@ -35,32 +34,6 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where none is set, as in tests, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stored(df: DataFrame, *, name: str = "table") -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what stored() wrote once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "stored_at", None)
-    if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with batches that stay small when texts are long."""
     spark = df.sparkSession

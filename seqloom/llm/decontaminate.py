@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_batches, stored, utf8
+from seqloom.sources.shared import stored
+
+from .common import free_name, map_batches, utf8
 
 Q = 8
 SLOTS = 20

@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest, map_batches, stored
+from seqloom.sources.shared import stored
+
+from .common import lowest, map_batches
 
 #: The end of a text as a token: no word is empty.
 END = ""

@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lowest, map_batches, stored
+from seqloom.sources.shared import stored
+
+from .common import lowest, map_batches
 
 BITS, PARTS = 64, 8
 #: Substrings by their bit counts: the ball of radius s is the first BALL[s] of them.

@@ -17,7 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_name, map_batches, stored
+from seqloom.sources.shared import stored
+
+from .common import components, free_name, map_batches
 
 BLOCKS = 4
 WIDTH = 64 // BLOCKS

@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, discard, lowest, map_batches, stored, widened
+from seqloom.sources.shared import discard, stored
+
+from .common import code_points, lowest, map_batches, widened
 
 BITS = 22
 SIZES = (3, 4, 5, 6)
