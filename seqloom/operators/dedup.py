@@ -2,7 +2,7 @@
 
 Three-anchor rule: a read goes if any of its windows of w bases equals the head, middle or end
 window of a read that was kept before it. The order is that of the sequences, so the outcome is
-deterministic; it is found as a fix point over the conflicts alone, which are few.
+deterministic; it is found as a fix point over the anchors that several reads hold.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.sources.shared import stored
+from seqloom.sources.shared import discard, stored
 
 
 def exact(reads: DataFrame) -> DataFrame:
@@ -20,36 +20,54 @@ def exact(reads: DataFrame) -> DataFrame:
     return best.select(*[F.col(f"r.{c}").alias(c) if c != "seq" else F.col("seq") for c in reads.columns])
 
 
-def conflicts(sequences: DataFrame, width: int = 20) -> DataFrame:
-    """(a, s): a's anchor occurs in s and a < s. Anchors are three a read, windows are filtered by
-    a semi-join on the anchors before they meet, so the product never leaves the equal keys."""
+def incidences(sequences: DataFrame, width: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(w, a): the anchors of each read; (w, s): which reads hold which anchor, where at least two do.
+
+    Reads meet at anchors, never each other: both tables grow with the reads, however many of
+    them share an anchor.
+    """
     w = F.least(F.length("seq"), F.lit(width))
     last = F.length("seq") - w
-    heads = sequences.select(F.col("seq").alias("a"), F.explode(F.array_distinct(F.transform(F.array(F.lit(0), F.floor((last + 1) / 2).cast("int"), last), lambda i: F.substr(F.col("seq"), i + 1, w)))).alias("anchor"))
-    windows = sequences.select(F.col("seq").alias("s"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(F.col("seq"), i + 1, w)))).alias("anchor"))
-    return heads.join(windows, "anchor").where("a < s").select("a", "s").distinct()
+    cut = lambda starts: F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("seq"), i + 1, w)))
+    sources = sequences.select(F.col("seq").alias("a"), F.explode(cut(F.array(F.lit(0), F.floor((last + 1) / 2).cast("int"), last))).alias("w"))
+    windows = sequences.select(F.col("seq").alias("s"), F.explode(cut(F.sequence(F.lit(0), last))).alias("w"))
+    held = windows.join(sources.select("w").distinct(), "w", "left_semi")
+    shared = held.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    return sources.join(shared, "w", "left_semi"), held.join(shared, "w", "left_semi")
+
 
+def hit(holders: DataFrame, sources: DataFrame) -> DataFrame:
+    """(s): reads that hold an anchor of a smaller read among the sources."""
+    least = sources.groupBy("w").agg(F.min("a").alias("a"))
+    return holders.join(least, "w").where("a < s").select("s").distinct()
 
-def three_anchor(reads: DataFrame, *, width: int = 20, strict: bool = False, rounds: int = 1000) -> DataFrame:
+
+def three_anchor(reads: DataFrame, *, width: int = 20, strict: bool = False, rounds: int = 10_000) -> DataFrame:
     """Distinct reads that the rule keeps; strict drops every read that a smaller one's anchor hits,
-    kept or not. Empty sequences never conflict."""
+    kept or not. Empty sequences never conflict.
+
+    Each round keeps the undecided reads that no smaller undecided one hits (the smallest is
+    always among them) and drops what these hit, so the rounds are as many as the longest
+    chain of such decisions.
+    """
     unique = exact(reads)
-    edges = stored(conflicts(unique.where(F.length("seq") > 0).select("seq"), width))
+    sources, holders = (stored(x, name="anchors") for x in incidences(unique.where(F.length("seq") > 0).select("seq"), width))
     if strict:
-        return unique.join(edges.select(F.col("s").alias("seq")).distinct(), "seq", "left_anti")
-    # Undecided reads are those with an incoming edge from an undecided or kept read.
-    left, dropped = edges, None
+        return unique.join(hit(holders, sources).withColumnRenamed("s", "seq"), "seq", "left_anti")
+    dropped = None
     for _ in range(rounds):
-        # Kept: sources that nothing undecided hits.
-        free = left.select("a").distinct().join(left.select(F.col("s").alias("a")).distinct(), "a", "left_anti")
-        gone = stored(left.join(free, "a").select("s").distinct())
-        if not gone.head(1):
+        free = holders.select("s").distinct().join(hit(holders, sources), "s", "left_anti")
+        free = stored(free, name="kept")
+        if not free.head(1):
             break
+        gone = stored(hit(holders, sources.join(free, sources.a == free.s, "left_semi")), name="dropped")
         dropped = gone if dropped is None else dropped.union(gone)
-        away = gone.withColumnRenamed("s", "x")
-        left = left.join(away, left.s == away.x, "left_anti").join(away, left.a == away.x, "left_anti")
-        # Edges of kept reads have done their work.
-        left = stored(left.join(free, "a", "left_anti"))
+        done = free.union(gone).withColumnRenamed("s", "d")
+        new_holders = stored(holders.join(done, holders.s == done.d, "left_anti"), name="anchors")
+        new_sources = stored(sources.join(done, sources.a == done.d, "left_anti"), name="anchors")
+        for old in (holders, sources, free):
+            discard(old)
+        holders, sources = new_holders, new_sources
     if dropped is None:
         return unique
     return unique.join(dropped.select(F.col("s").alias("seq")), "seq", "left_anti")

@@ -172,7 +172,14 @@ def dedup_anchor_strict(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.three_anchor(X.reads(spark, sf), strict=True).select("seq")
 
 
-@add()
+#: The rule read by read, in the order of the sequences, carrying the anchors kept so far.
+GREEDY = f"""WITH RECURSIVE {X.READS}, d AS MATERIALIZED (SELECT seq, row_number() OVER (ORDER BY seq) AS k, list_transform(range(128), lambda i: substr(seq, i + 1, 20)) AS w FROM (SELECT DISTINCT seq FROM reads)),
+g(k, kept, anchors, seq) AS (SELECT 0::BIGINT, false, []::VARCHAR[], '' UNION ALL
+  SELECT d.k, NOT list_has_any(anchors, w), CASE WHEN list_has_any(anchors, w) THEN anchors ELSE list_concat(anchors, [w[1], w[65], w[128]]) END, d.seq FROM g JOIN d ON d.k = g.k + 1)
+SELECT seq FROM g WHERE kept"""
+
+
+@add(GREEDY)
 def dedup_anchor_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.three_anchor(X.reads(spark, sf)).select("seq")
 

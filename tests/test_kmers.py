@@ -129,3 +129,12 @@ def test_three_anchor_deduplication(spark):
     assert dedup.three_anchor(reads_of(spark, [])).count() == 0
     first = dedup.exact(reads_of(spark, ["AC", "AC", "GT"])).collect()
     assert sorted((r.seq, r.read_no) for r in first) == [("AC", 0), ("GT", 2)]
+
+
+def test_an_anchor_that_most_reads_share(spark):
+    """Nothing grows with the square of the reads that share it."""
+    rows = spark.range(4000).select(F.lit("s").alias("sample"), F.col("id").alias("read_no"), F.concat(F.lit("ACGTACGTACGTACGTACGT"), F.translate(F.hex(F.xxhash64("id")), "0123456789ABCDEF", "ACGTACGTACGTACGT"), F.translate(F.hex(F.xxhash64("id", F.lit(1))), "0123456789ABCDEF", "CATGACGTGCATACGT")).alias("seq"))
+    got = dedup.three_anchor(rows).collect()
+    assert [r.seq for r in got] == [rows.agg(F.min("seq")).first()[0]]
+    sources, holders = dedup.incidences(rows.select("seq"))
+    assert sources.count() <= 3 * 4000 and holders.count() < 2 * 4000
