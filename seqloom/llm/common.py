@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from seqloom.sources.fixtures import spread
 from seqloom.sources.shared import discard, stored
 
-#: Rows of a batch that a Python worker gets at once; bounds its memory on very long texts.
+#: Rows of a batch that a Python worker gets at once, and bytes that it works on at once: both bound
+#: its memory where texts are very long. A single text is never cut.
 BATCH_ROWS = 256
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +41,15 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(lambda batches: function(portions(batches)), schema)
+
+
+def portions(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of some `most` bytes."""
+    for batch in batches:
+        rows = max(1, batch.num_rows // max(1, -(-batch.nbytes // most)))
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def widened(df: DataFrame, **columns: str) -> T.StructType:

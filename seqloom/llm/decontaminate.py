@@ -26,6 +26,8 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[[9, 10, 11, 12, 13]] = 32
+#: Bytes of a text that are gone through at once.
+WINDOW = 4 << 20
 #: Bytes of benchmark passages that travel to every task at once, their index taking some 40 times
 #: as many; beyond it they go in blocks.
 BLOCK_BYTES = 1 << 20
@@ -75,6 +77,15 @@ def distance_within(passage: np.ndarray, region: np.ndarray, budget: int) -> tup
     return (int(dist[end]), int(start[end]), end) if dist[end] < far else None
 
 
+def apart(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of overlapping (edits, start, stop, shared) the best: fewest edits, then first."""
+    taken: list[tuple[int, int, int, int]] = []
+    for x in sorted(spans, key=lambda x: (*x[:3], -x[3])):
+        if all(x[2] <= t[1] or x[1] >= t[2] for t in taken):
+            taken.append(x)
+    return taken
+
+
 class Passages:
     """An index of benchmark passages: which q-gram stands where."""
 
@@ -146,6 +157,24 @@ class Passages:
             yield from self._banded(text, ends, at[k:stop], where[k:stop], doc[k:stop])
             k = stop
 
+    def found(self, raw: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+        """regions() of whole texts; a very long one is gone through in overlapping windows."""
+        if not self.size or not len(raw):
+            return []
+        beyond = 4 * int((self.lengths + self.budgets).max()) + Q
+        pieces = []
+        for d in range(len(ends) - 1):
+            for k in range(int(ends[d]), int(ends[d + 1]), WINDOW):
+                if k == ends[d] or ends[d + 1] - k > beyond:
+                    pieces.append((d, k, min(k + WINDOW + beyond, int(ends[d + 1]))))
+        if all(b - a == ends[d + 1] - ends[d] for d, a, b in pieces):
+            return list(self.regions(folded(raw), ends))
+        best: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+        for d, a, b in pieces:
+            for _, o, edits, start, stop, shared in self.regions(folded(raw[a:b]), np.array([0, b - a])):
+                best.setdefault((d, o), []).append((edits, start + a - int(ends[d]), stop + a - int(ends[d]), shared))
+        return [(d, o, *x) for (d, o), spans in sorted(best.items()) for x in apart(spans)]
+
     def _banded(self, text: np.ndarray, ends: np.ndarray, at: np.ndarray, where: np.ndarray, doc: np.ndarray):
         n = self.count[where]
         index = np.repeat(self.first[where] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -185,11 +214,8 @@ class Passages:
             if lo < hi and (got := distance_within(passage, own[lo:hi], budget)):
                 spans.append((got[0], lo + got[1], lo + got[2], -less))
         for (d, o), spans in sorted(best.items()):
-            taken: list[tuple[int, int]] = []
-            for edits, start, end, shared in sorted(spans, key=lambda x: (*x[:3], -x[3])):
-                if all(end <= a or start >= z for a, z in taken):
-                    taken.append((start, end))
-                    yield d, o, edits, start, end, shared
+            for span in apart(spans):
+                yield d, o, *span
 
 
 def blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
@@ -225,7 +251,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id",
             passages = shared.value
             for batch in batches:
                 raw, ends = utf8(batch.column(1))
-                found = list(passages.regions(folded(raw), ends)) if passages.size else []
+                found = passages.found(raw, ends)
                 doc, owner, edits, start, stop, shared = (np.array(x, np.int64) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 6
                 ids = pa.array([passages.ids[o] for o in owner], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), ids, *(pa.array(x.astype(np.int32)) for x in (edits, start, stop, shared))], names=["doc_id", "item_id", "edits", "start", "stop", "shared"])

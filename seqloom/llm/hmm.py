@@ -28,6 +28,8 @@ END = ""
 CLASSES = 1024
 #: Tokens that are worked on at once; bounds the memory of forward and backward tables.
 CHUNK = 400_000
+#: Tokens of a text that forward and backward tables are made of at once in training.
+LONGEST = 1 << 17
 #: Tokens that a task gathers to sort texts by length; longer texts go alone.
 GATHER = 4_000_000
 #: Distinct words that a task counts before it passes the counts on.
@@ -78,29 +80,35 @@ class Model:
         np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
 
-    def forward(self, x: Layout, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled forward probabilities and the scales; the logs of a text's scales sum to its own."""
-        alpha, scale = np.empty_like(emitted), np.empty(len(emitted))
-        a = None
+    def forward(self, x: Layout, alpha: np.ndarray | None = None) -> np.ndarray:
+        """The scales of the forward recursion; a text's logs sum to its own. `alpha`, if given, holds
+        emissions and is overwritten by the scaled forward probabilities."""
+        scale, a = np.empty(len(x.symbols)), None
         for t, n in enumerate(x.live):
             lo = x.at[t]
-            a = (self.start if a is None else a[:n] @ self.move) * emitted[lo : lo + n]
+            e = self.emit[x.symbols[lo : lo + n]] if alpha is None else alpha[lo : lo + n]
+            a = (self.start if a is None else a[:n] @ self.move) * e
             c = a.sum(1)
             a /= c[:, None]
-            alpha[lo : lo + n], scale[lo : lo + n] = a, c
-        return alpha, scale
+            scale[lo : lo + n] = c
+            if alpha is not None:
+                alpha[lo : lo + n] = a
+        return scale
 
     def log_likelihoods(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each text of symbols (an empty one: 0)."""
         out = np.zeros(len(texts))
         for part in pieces(texts):
             x = Layout([texts[i] for i in part])
-            _, scale = self.forward(x, self.emit[x.symbols])
-            out[part] = np.bincount(x.owners(), np.log(scale), minlength=len(part))
+            out[part] = np.bincount(x.owners(), np.log(self.forward(x)), minlength=len(part))
         return out
 
     def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, transitions and emissions: the E step."""
+        """Expected counts of starts, transitions and emissions: the E step.
+
+        Training alone takes a text of over LONGEST tokens as several, which bounds its tables.
+        """
+        texts = [t[k : k + LONGEST] for t in texts for k in range(0, len(t), LONGEST)]
         states = len(self.start)
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(self.emit.shape)
         for part in pieces(texts):
@@ -108,8 +116,8 @@ class Model:
             if not len(x.symbols):
                 continue
             e = self.emit[x.symbols]
-            alpha, scale = self.forward(x, e)
-            e /= scale[:, None]
+            alpha = e.copy()
+            e /= self.forward(x, alpha)[:, None]
             beta = np.ones((x.live[0], states))
             gamma, pairs = alpha, np.zeros((states, states))  # gamma takes alpha's place, from the end
             for t in range(len(x.live) - 1, 0, -1):

@@ -11,8 +11,7 @@ PASSAGE = "Which of the following gases makes up most of the atmosphere of the t
 
 def found(items, texts, rate=0.1):
     index = decontaminate.Passages(items, rate)
-    raw, ends = common.utf8(pa.array(texts))
-    return list(index.regions(decontaminate.folded(raw), ends)) if index.size else []
+    return index.found(*common.utf8(pa.array(texts)))
 
 
 def edited(text, n, rng):
@@ -107,3 +106,12 @@ def test_names_that_clash(spark, odd):
     bench = spark.createDataFrame([(3, "der hund und die katze sind in")], "item_id long, text string")
     assert decontaminate.decontaminated(named, bench).columns == named.columns
     assert simhash.deduplicated(named).count() == 7
+
+
+def test_windows_of_a_long_text_lose_nothing(monkeypatch):
+    filler = "lorem ipsum dolor sit amet consectetur " * 30
+    text = "".join(filler[: 137 * k % 900] + PASSAGE for k in range(12))
+    want = found([(5, PASSAGE)], ["x", text, text[:400]])
+    assert len(want) >= 12
+    monkeypatch.setattr(decontaminate, "WINDOW", 500)
+    assert found([(5, PASSAGE)], ["x", text, text[:400]]) == want

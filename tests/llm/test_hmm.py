@@ -105,3 +105,12 @@ def test_odd_rows(spark, odd, none):
     untrained = hmm.scored(odd, F.lit(False)).collect()
     assert {r.train_tokens for r in untrained} == {0} and {r.n_known for r in untrained} == {0}
     assert all(np.isfinite([r.score, r.base_score]).all() for r in untrained)
+
+
+def test_long_texts_are_cut_in_training_alone(model, monkeypatch):
+    text = [np.array([0, 1, 2, 3] * 10, np.uint16)]
+    whole = model.log_likelihoods(text)
+    monkeypatch.setattr(hmm, "LONGEST", 7)
+    start, move, emit = model.expected(text)
+    assert abs(emit.sum() - 40) < 1e-9 and abs(start.sum() - 6) < 1e-9 and abs(move.sum() - 34) < 1e-9
+    assert np.allclose(model.log_likelihoods(text), whole)
