@@ -165,10 +165,9 @@ def laid_out(xyz: np.ndarray) -> np.ndarray:
         along = np.sqrt(max(0.0, ((axis[far] - start) ** 2).sum() - height**2))
         old = np.array([axis[0], axis[far], axis[-1]])
         new = np.array([[0, 0, 0], [length - along, 0, height], [length, 0, 0]])
+        # The proper rotation nearest to the covariance: a reflection's last axis is turned back.
         u, _, v = np.linalg.svd((new - new.mean(0)).T @ (old - old.mean(0)))
-        rotation = u @ v
-        if np.linalg.det(rotation) < 0:
-            rotation -= np.outer(u[:, 2], 2 * v[2])
+        rotation = u @ np.diag([1.0, 1.0, np.linalg.det(u @ v)]) @ v
         moved = xyz @ rotation.T
         moved[:3] += new.mean(0) - rotation @ old.mean(0)
         xyz = moved

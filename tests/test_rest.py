@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from seqloom.operators import curvature, demux, dimers, genome, guide, motif, stats
 from seqloom.sources import fixtures, reads as R, tables as T
