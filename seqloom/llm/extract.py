@@ -4,8 +4,9 @@ A page's markup is stripped to lines, one for each block element. Lines inside m
 footers, sidebars, notices, adverts, forms and comment sections, and lines that are mostly
 links, keep their place but count no text. The text lengths are summed over a sliding window of
 lines: the distribution surges where the article begins and dives to nothing where it ends, and
-gaps narrower than the window, such as an advert between two paragraphs, don't break it. Of all
-stretches between a surge and a dive the one with the most text is the article.
+gaps narrower than the window don't break it. Of all stretches between a surge and a dive
+the one with the most text is the article; an article element is but a hint: its letters count
+twice, and its border ends a stretch.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"
 SPACE = re.compile(r"\s+")
 #: Lines that a window spans.
 WINDOW = 3
+#: What a letter inside an article element weighs when stretches are compared.
+ARTICLE = 2
 
 
 def named(token: str, inside: int) -> bool:
@@ -144,18 +147,23 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = lines(page)
-    lengths = np.array([n for _, n, _ in found], np.int64)
-    marked = np.array([k for _, _, k in found], np.int64)
-    if (marked * (lengths > 0)).any():  # an article element: its largest one alone can surge
-        sums = np.bincount(marked, lengths)
-        sums[0] = 0
-        lengths = np.where(marked == sums.argmax(), lengths, 0)
-        stretches = [(0, len(found))]
-    else:
-        stretches = surges(lengths)
+    lengths, marked = (np.array([x[k] for x in found], np.int64) for k in (1, 2))
+    stretches: list[tuple[int, int]] = []
+    for a, b in surges(lengths):
+        # The border of an article element is one of stretches too.
+        turns = a + 1 + np.flatnonzero(np.diff(marked[a:b] > 0))
+        for p, q in zip([a, *turns], [*turns, b]):
+            p += np.flatnonzero(lengths[p:q])[0] if lengths[p:q].any() else 0
+            last = stretches[-1][1] - 1 if stretches else 0
+            last -= np.flatnonzero(lengths[: last + 1][::-1])[0] if stretches else 0
+            if stretches and (marked[last] > 0) == (marked[p] > 0) and (p == a) and marked[last] == marked[p] > 0:
+                stretches[-1] = stretches[-1][0], int(q)
+            else:
+                stretches.append((int(p), int(q)))
     if not stretches:
         return ""
-    a, b = max(stretches, key=lambda s: (lengths[s[0] : s[1]].sum(), -s[0]))
+    weights = lengths * np.where(marked > 0, ARTICLE, 1)
+    a, b = max(stretches, key=lambda s: (weights[s[0] : s[1]].sum(), -s[0]))
     return "\n".join(found[k][0] for k in range(a, b) if lengths[k])
 
 

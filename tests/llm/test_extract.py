@@ -66,3 +66,17 @@ def test_odd_rows(spark):
     got = extract.extracted(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "one", 3), (1, "one", 3), (2, "", 0)]
     assert extract.extracted(spark.createDataFrame([], schema)).count() == 0
+
+
+def paragraphs(*which):
+    return ["<p>" + " ".join(f"w{k}x{j}" for j in range(20)) + "</p>" for k in which]
+
+
+def test_surges_choose_also_where_there_is_an_article_element():
+    teaser, body = "<article><p>A short teaser of something else.</p></article>", "".join(paragraphs(*range(5)))
+    gap = "<ul>" + "<li><a href='x'>Some link or other</a></li>" * 5 + "</ul>"
+    assert extract.main_text(f"<body>{teaser}{gap}<div>{body}</div></body>").count("\n") == 4
+    several = "".join(f"<article>{x}</article>" for x in paragraphs(*range(5)))
+    assert extract.main_text(f"<body>{several}</body>").count("\n") == 4
+    beside = "<p>Right beside it.</p>"
+    assert extract.main_text(f"<body>{beside}<article>{body}</article>{beside}</body>").count("\n") == 4
