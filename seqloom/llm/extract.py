@@ -4,7 +4,8 @@ A page's markup is stripped to lines, one for each block element. Lines inside m
 footers, sidebars, notices, adverts, forms and comment sections, and lines that are mostly
 links, keep their place but count no text. The text lengths are summed over a sliding window of
 lines: the distribution surges where the article begins and dives to nothing where it ends, and
-gaps narrower than the window don't break it. Of all stretches between a surge and a dive
+gaps narrower than the window don't break it. Boxes such as adverts and forms don't widen a gap,
+and stretches that go on in the same container are one. Of all stretches between a surge and a dive
 the one with the most text is the article; an article element is but a hint: its letters count
 twice, and its border ends a stretch.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,10 @@ WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert warning newsletter subscribe subscription signup login sidebar side rail aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs toc header masthead topbar footer foot copyright legal colophon comment comments commentlist disqus respond replies reply discussion share sharing social related recommended recommendations pagination pager search form toolbar".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
+#: Elements of APART that part what stands before from what stands after them.
+PARTING = frozenset("nav header footer menu".split())
+#: Elements that hold an article or a part of a page.
+CONTAINERS = frozenset("article div main section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SPACE = re.compile(r"\s+")
@@ -67,10 +73,12 @@ def apart(name: str, attributes: str, inside: int = 0) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, length that counts, number of the article element or 0) of each line."""
+def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
+    """(text, length that counts, number of the article element or 0, number of the container it is
+    in, whether it is in a box such as an advert) of each line."""
     page = HIDDEN.sub(" ", page)
-    out: list[tuple[str, int, int]] = []
+    out: list[tuple[str, int, int, int, bool]] = []
+    nest, opened, count = [("", 0)], Counter(), 0  # the open containers
     text: list[str] = []
     linked = anchor = depth = inside = articles = 0
     shut = ""  # the element that stands apart, and how often its name is open inside it
@@ -82,7 +90,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         text.clear()
         if joined:
             mostly_links = linked * 2 > len(joined)
-            out.append((joined, 0 if shut or mostly_links and not inside else len(joined), inside))
+            out.append((joined, 0 if shut or mostly_links and not inside else len(joined), inside, nest[-1][1], bool(shut) and shut not in PARTING))
         linked = 0
 
     at = 0
@@ -103,6 +111,14 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             text.append(" ")
         elif name == "a":
             anchor = 0 if close else 1
+        if name in CONTAINERS and not close:
+            count += 1
+            opened[name] += 1
+            nest.append((name, count))
+        while name in CONTAINERS and close and opened[name]:
+            opened[nest[-1][0]] -= 1
+            if nest.pop()[0] == name:
+                break
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
         if shut:
@@ -146,8 +162,8 @@ def main_text(page: str | None) -> str:
     """The article's lines, joined by line feeds; empty if there are none."""
     if not page:
         return ""
-    found = lines(page)
-    lengths, marked = (np.array([x[k] for x in found], np.int64) for k in (1, 2))
+    found = [x for x in lines(page) if not x[4]]  # boxes don't widen the gap that they stand in
+    lengths, marked, container = (np.array([x[k] for x in found], np.int64) for k in (1, 2, 3))
     stretches: list[tuple[int, int]] = []
     for a, b in surges(lengths):
         # The border of an article element is one of stretches too.
@@ -156,7 +172,7 @@ def main_text(page: str | None) -> str:
             p += np.flatnonzero(lengths[p:q])[0] if lengths[p:q].any() else 0
             last = stretches[-1][1] - 1 if stretches else 0
             last -= np.flatnonzero(lengths[: last + 1][::-1])[0] if stretches else 0
-            if stretches and (marked[last] > 0) == (marked[p] > 0) and (p == a) and marked[last] == marked[p] > 0:
+            if stretches and (marked[last] > 0) == (marked[p] > 0) and (p == a) and (container[last] == container[p] or marked[last] == marked[p] > 0):
                 stretches[-1] = stretches[-1][0], int(q)
             else:
                 stretches.append((int(p), int(q)))

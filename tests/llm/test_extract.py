@@ -80,3 +80,11 @@ def test_surges_choose_also_where_there_is_an_article_element():
     assert extract.main_text(f"<body>{several}</body>").count("\n") == 4
     beside = "<p>Right beside it.</p>"
     assert extract.main_text(f"<body>{beside}<article>{body}</article>{beside}</body>").count("\n") == 4
+
+
+def test_boxes_of_several_lines_do_not_split_an_article():
+    for n in (3, 10):
+        for box in ('<div class="ad">' + "<p>Buy now, only today.</p>" * n + "</div>", "<form>" + "<p>Mail</p>" * n + "</form>", "<ul>" + "<li><a href='x'>A related link here</a></li>" * n + "</ul>"):
+            for around in ("%s", "<div>%s</div>"):
+                page = around % ("".join(paragraphs(0, 1, 2)) + box + "".join(paragraphs(3, 4)))
+                assert extract.main_text(f"<body>{page}</body>").split("\n") == [x[3:-4] for x in paragraphs(*range(5))]
