@@ -42,6 +42,8 @@ PARTING = frozenset("nav header footer menu".split())
 CONTAINERS = frozenset("article div main section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: The beginning of a tag.
+CUT = re.compile(r"<[a-zA-Z/!?]")
 SPACE = re.compile(r"\s+")
 #: Lines that a window spans.
 WINDOW = 3
@@ -141,7 +143,7 @@ def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
                 article_depth -= 1
                 if article_depth <= 0:
                     inside = article_depth = 0
-    text.append(page[at:].split("<")[0] if "<" in page[at:] else page[at:])
+    text.append(CUT.split(page[at:], maxsplit=1)[0])
     end()
     return out
 

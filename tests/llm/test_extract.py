@@ -88,3 +88,8 @@ def test_boxes_of_several_lines_do_not_split_an_article():
             for around in ("%s", "<div>%s</div>"):
                 page = around % ("".join(paragraphs(0, 1, 2)) + box + "".join(paragraphs(3, 4)))
                 assert extract.main_text(f"<body>{page}</body>").split("\n") == [x[3:-4] for x in paragraphs(*range(5))]
+
+
+def test_a_sign_after_the_last_tag_is_text():
+    assert extract.main_text("<p>if x < y then go on") == "if x < y then go on"
+    assert extract.main_text("1 < 2 and <3 <a href='") == "1 < 2 and <3"
