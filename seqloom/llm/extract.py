@@ -24,16 +24,22 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-#: Comments, and elements whose content is never text of the page.
-HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe|object|svg|math|canvas|textarea|select|button|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""")
+#: Elements whose content is never text of the page.
+HIDDEN = frozenset("script style noscript template iframe object svg math canvas textarea select button title".split())
+#: A tag's name, and what may stand in a tag: quotes shield what ends it.
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+INSIDE = re.compile(r"""(?:"[^"]*"|'[^']*'|[^'">])*+>""")
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that are never the article, and words of a class, id or role that say so.
 APART = frozenset("nav header footer aside form menu dialog".split())
 WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert warning newsletter subscribe subscription signup login sidebar side rail aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs toc header masthead topbar footer foot copyright legal colophon comment comments commentlist disqus respond replies reply discussion share sharing social related recommended recommendations pagination pager search form toolbar".split()
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert warning newsletter subscribe subscription signup login sidebar rail aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs toc header masthead topbar footer foot copyright legal colophon comment comments commentlist disqus respond replies reply discussion share sharing social related recommended recommendations pagination pager search form toolbar".split()
+)
+#: Words beside them that say nothing.
+PLAIN = frozenset(
+    "a b bar block body bottom box center col column columns container content the entry fixed form global group inner item items js layout left line link links list lower main mobile module outer page panel post posts primary right row section secondary site slot sticky top text title unit upper wrap wrapper".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 #: Elements of APART that part what stands before from what stands after them.
@@ -42,8 +48,8 @@ PARTING = frozenset("nav header footer menu".split())
 CONTAINERS = frozenset("article div main section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-#: The beginning of a tag.
-CUT = re.compile(r"<[a-zA-Z/!?]")
+#: A notice of rights, which stands in no article element.
+RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\b).{0,200}\Z", re.I)
 SPACE = re.compile(r"\s+")
 #: Lines that a window spans.
 WINDOW = 3
@@ -52,9 +58,14 @@ ARTICLE = 2
 
 
 def named(token: str, inside: int) -> bool:
-    """Whether a class or id says that its element stands apart; `has-sidebar` says it doesn't."""
-    parts = re.split(r"[^a-z]+", token)
-    return parts[0] not in ("has", "with", "no", "without") and any(p in WORDS and not (inside and p in ("header", "alert", "form", "search")) for p in parts)
+    """Whether a class or id says that its element stands apart: `ad-slot-top` does; `has-sidebar` and
+    `search-engines-explained`, of whose words most are others, don't."""
+    parts = [p for p in re.split(r"[^a-z]+", token) if p]
+    if not parts or parts[0] in ("has", "with", "no", "without"):
+        return False
+    known = [p for p in parts if p in WORDS]
+    others = [p for p in parts if p not in WORDS and p not in PLAIN]
+    return len(known) > len(others) and any(not (inside and p in ("header", "alert", "form", "search")) for p in known)
 
 
 def apart(name: str, attributes: str, inside: int = 0) -> bool:
@@ -75,10 +86,60 @@ def apart(name: str, attributes: str, inside: int = 0) -> bool:
     return False
 
 
+def parsed(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text, name, whether it closes, attributes): each run of text with the tag behind it; no name
+    at the end. Comments, declarations and hidden elements are gone.
+
+    One pass: what is looked for in vain once is not looked for again, so that broken markup takes
+    no longer than other.
+    """
+    at = start = 0  # where to look on, and where the run of text begins
+    shields = True
+    text: list[str] = []
+    while True:
+        at = page.find("<", at)
+        sign = page[at + 1 : at + 2] if at >= 0 else ""
+        if at >= 0 and not (sign in ("!", "?", "/") or sign.isascii() and sign.isalpha()):
+            at += 1
+            continue
+        if at < 0 or (stop := page.find(">", at)) < 0:
+            text.append(page[start : at if at >= 0 else len(page)])
+            break
+        if sign in ("!", "?"):
+            for begin, end in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if page.startswith(begin, at):
+                    found = page.find(end, at + len(begin))
+                    stop = len(page) if found < 0 else found + len(end) - 1
+            text += page[start:at], " "
+            at = start = stop + 1
+            continue
+        tag = NAME.match(page, at)
+        if not tag:  # such as </>, or a sign before blanks
+            at += 1
+            continue
+        name, close = tag[2].lower(), bool(tag[1])
+        inner = INSIDE.match(page, tag.end()) if shields and not close else None
+        if inner:
+            stop = inner.end() - 1
+        elif not close:
+            shields = False  # some quote never closes: none counts from here on
+        text.append(page[start:at])
+        attributes = page[tag.end() : stop]
+        at = start = stop + 1
+        if name in HIDDEN and not close:
+            if not (name in ("svg", "math") and attributes.endswith("/")):
+                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = start = end.end() if end else len(page)
+            text.append(" ")
+            continue
+        yield "".join(text), name, close, attributes
+        text.clear()
+    yield "".join(text), "", False, ""
+
+
 def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
     """(text, length that counts, number of the article element or 0, number of the container it is
     in, whether it is in a box such as an advert) of each line."""
-    page = HIDDEN.sub(" ", page)
     out: list[tuple[str, int, int, int, bool]] = []
     nest, opened, count = [("", 0)], Counter(), 0  # the open containers
     text: list[str] = []
@@ -91,22 +152,14 @@ def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
         joined = SPACE.sub(" ", html.unescape("".join(text))).strip()
         text.clear()
         if joined:
-            mostly_links = linked * 2 > len(joined)
-            out.append((joined, 0 if shut or mostly_links and not inside else len(joined), inside, nest[-1][1], bool(shut) and shut not in PARTING))
+            aside = linked * 2 > len(joined) or bool(RIGHTS.match(joined))
+            out.append((joined, 0 if shut or aside and not inside else len(joined), inside, nest[-1][1], bool(shut) and shut not in PARTING))
         linked = 0
 
-    at = 0
-    for m in TAG.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            text.append(piece)
-            if anchor:
-                linked += len(piece)
-        at = m.end()
-        close, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
-            continue
-        name = name.lower()
+    for piece, name, close, attributes in parsed(page):
+        text.append(piece)
+        if anchor:
+            linked += len(piece)
         if name in BLOCKS:
             end()
         elif name == "br":
@@ -121,7 +174,7 @@ def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
             opened[nest[-1][0]] -= 1
             if nest.pop()[0] == name:
                 break
-        if name in VOID or attributes.endswith("/") and name not in BLOCKS:
+        if not name or name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
         if shut:
             if name == shut:
@@ -143,7 +196,6 @@ def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
                 article_depth -= 1
                 if article_depth <= 0:
                     inside = article_depth = 0
-    text.append(CUT.split(page[at:], maxsplit=1)[0])
     end()
     return out
 
