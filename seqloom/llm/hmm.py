@@ -106,11 +106,14 @@ class Model:
     def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, transitions and emissions: the E step.
 
-        Training alone takes a text of over LONGEST tokens as several, which bounds its tables.
+        A text of over LONGEST tokens goes alone, its tables made part by part.
         """
-        texts = [t[k : k + LONGEST] for t in texts for k in range(0, len(t), LONGEST)]
         states = len(self.start)
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(self.emit.shape)
+        for text in (t for t in texts if len(t) > LONGEST):
+            for total, own in zip((start, move, emit), self.expected_in_parts(text)):
+                total += own
+        texts = [t for t in texts if len(t) <= LONGEST]
         for part in pieces(texts):
             x = Layout([texts[i] for i in part])
             if not len(x.symbols):
@@ -132,6 +135,41 @@ class Model:
                 emit[:, k] += np.bincount(x.symbols, gamma[:, k], minlength=len(emit))
         return start, move, emit
 
+    def expected_in_parts(self, text: np.ndarray, size: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """expected() of one text with tables of `size` tokens: the forward probabilities at the end of
+        each part are kept, and each part's own are made again when the backward recursion gets there."""
+        states = len(self.start)
+        start, pairs, emit = np.zeros(states), np.zeros((states, states)), np.zeros(self.emit.shape)
+
+        def forward(symbols: np.ndarray, a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            alpha, scale = self.emit[symbols], np.empty(len(symbols))
+            for t in range(len(symbols)):
+                a = (self.start if a is None else a @ self.move) * alpha[t]
+                scale[t] = a.sum()
+                alpha[t] = a = a / scale[t]
+            return alpha, scale
+
+        parts = [text[k : k + size] for k in range(0, len(text), size)]
+        before: list[np.ndarray | None] = [None]
+        for part in parts[:-1]:
+            before.append(forward(part, before[-1])[0][-1])
+        beta = np.ones(states)
+        for part, last in zip(reversed(parts), reversed(before)):
+            alpha, scale = forward(part, last)
+            e = self.emit[part] / scale[:, None]
+            for t in range(len(part) - 1, -1, -1):
+                was = alpha[t - 1] if t else last
+                y = e[t] * beta
+                alpha[t] *= beta
+                if was is not None:
+                    pairs += np.outer(was, y)
+                    beta = self.move @ y
+            for k in range(states):
+                emit[:, k] += np.bincount(part, alpha[:, k], minlength=len(emit))
+            if last is None:
+                start += alpha[0]
+        return start, pairs * self.move, emit
+
     def maximised(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, shares: np.ndarray) -> Model:
         """The M step; every state also saw one token dealt by the symbols' overall shares."""
         start, move, emit = start + 0.1, move + 0.1, emit + shares[:, None]
@@ -185,8 +223,8 @@ def count_words(rows: DataFrame) -> DataFrame:
 class Vocabulary:
     """What the tasks know of words: exact counts of the commonest, sums of the classes."""
 
-    def __init__(self, common: list[tuple[str, int]], classes: dict[int, tuple[int, int]], own: int):
-        ranked = [x for x in sorted(common, key=lambda x: (-x[1], x[0])) if x[0] != END]
+    def __init__(self, common: list[tuple[str, int]], ends: int, classes: dict[int, tuple[int, int]], own: int):
+        ranked = sorted(common, key=lambda x: (-x[1], x[0]))
         self.index = {w.encode(): i for i, (w, _) in enumerate(ranked)}
         self.log_count = np.log10(np.array([c for _, c in ranked], float) + 1)
         self.own = min(own, len(ranked))
@@ -195,7 +233,7 @@ class Vocabulary:
         n, v = np.zeros(CLASSES), np.zeros(CLASSES)
         for g, (tokens, distinct) in classes.items():
             n[g], v[g] = tokens, distinct
-        tokens = np.array([c for _, c in ranked[: self.own]] + [dict(common).get(END, 0)], float)
+        tokens = np.array([c for _, c in ranked[: self.own]] + [ends], float)
         for w, c in ranked[: self.own]:
             n[spelling(w)] -= c
             v[spelling(w)] -= 1
@@ -238,16 +276,19 @@ def scored(docs: DataFrame, training: Column, *, id_column: str = "doc_id", text
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     counts = stored(count_words(rows), name="counts")
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    # The end is a token like any other, but never among the words: its count goes its own way.
+    ends = (counts.where(F.col("word") == END).first() or (END, 0))[1]
+    words_alone = counts.where(F.col("word") != END)
     # The least count that at most `common` words reach, from a histogram of a bounded size.
-    steps = counts.groupBy(F.floor(F.log2("c") * 16).alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect()
+    steps = words_alone.groupBy(F.floor(F.log2("c") * 16).alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect()
     least, total = 1 << 62, 0
     for r in steps:
         if (total := total + r.n) > common:
             break
         least = r.c
-    top = [(r.word, r.c) for r in counts.where(F.col("c") >= least).collect()]
-    classes = counts.where(F.col("word") != END).groupBy(spelling_column("word").alias("g")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    vocabulary = Vocabulary(top, {r.g: (r.n, r.v) for r in classes.collect()}, own)
+    top = [(r.word, r.c) for r in words_alone.where(F.col("c") >= least).collect()]
+    classes = words_alone.groupBy(spelling_column("word").alias("g")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
+    vocabulary = Vocabulary(top, ends, {r.g: (r.n, r.v) for r in classes.collect()}, own)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,11 +325,11 @@ def scored(docs: DataFrame, training: Column, *, id_column: str = "doc_id", text
 
     known = map_batches(texts.select("doc_id", "symbols", "number", "logs", "within", "known"), likelihood, "doc_id long, number long, n_tokens long, logs double, within double, known long, forward double")
     rare = texts.select("number", F.explode("rest").alias("r")).select("number", "r.word", "r.n")
-    looked = rare.join(counts.where(F.col("c") < least), "word", "left").groupBy("number").agg(
+    looked = rare.join(words_alone.where(F.col("c") < least), "word", "left").groupBy("number").agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("rare_logs"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known")
     )
     rare_logs = F.coalesce("rare_logs", F.lit(0.0))
-    end = float(np.log10(dict(top).get(END, 0) + 1))
+    end = float(np.log10(ends + 1))
     base = F.col("logs") + rare_logs + F.lit(end) - F.col("n_tokens") * F.log10(F.lit(float(size.n + size.v + 1)))
     seen = F.col("known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(size.n > 0))
     return known.join(looked, "number", "left").select("doc_id", "n_tokens", seen.cast("long").alias("n_known"), F.lit(int(size.n)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("forward") + F.col("within") + rare_logs).alias("score"))

@@ -81,13 +81,13 @@ def test_a_state_and_its_words_are_a_distribution(spark):
     """Over all known words and one unseen word a class, the one-token texts' probabilities sum to 1."""
     docs = spark.createDataFrame([(k, f"w{k % 5} v{k % 3} w{k % 5}") for k in range(40)], "doc_id long, text string")
     counts = Counter(w for k in range(40) for w in hmm.words(f"w{k % 5} v{k % 3} w{k % 5}"))
-    ranked = [(w.decode(), c) for w, c in counts.items()] + [("", 40)]
+    ranked = [(w.decode(), c) for w, c in counts.items()]
     classes = {}
     for w, c in counts.items():
         g = hmm.spelling(w.decode())
         n, v = classes.get(g, (0, 0))
         classes[g] = n + c, v + 1
-    voc = hmm.Vocabulary(ranked, classes, 2)
+    voc = hmm.Vocabulary(ranked, 40, classes, 2)
     for g in classes:
         members = [w for w, i in voc.index.items() if i >= voc.own and hmm.spelling(w.decode()) == g]
         assert abs(sum(counts[w] + 1 for w in members) + 1 - 10 ** voc.below[g]) < 1e-6
@@ -107,10 +107,26 @@ def test_odd_rows(spark, odd, none):
     assert all(np.isfinite([r.score, r.base_score]).all() for r in untrained)
 
 
-def test_long_texts_are_cut_in_training_alone(model, monkeypatch):
-    text = [np.array([0, 1, 2, 3] * 10, np.uint16)]
-    whole = model.log_likelihoods(text)
+def test_long_texts_are_trained_on_whole(model, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 4, n).astype(np.uint16) for n in (1, 7, 8, 40, 41)]
+    model = model.maximised(*model.expected(texts), np.full(4, 0.25))
+    want, whole = model.expected(texts), model.log_likelihoods(texts)
+    for size in (1, 7, 40):
+        parts = [sum(x) for x in zip(*(model.expected_in_parts(t, size) for t in texts))]
+        assert all(np.allclose(a, b) for a, b in zip(parts, want))
     monkeypatch.setattr(hmm, "LONGEST", 7)
-    start, move, emit = model.expected(text)
-    assert abs(emit.sum() - 40) < 1e-9 and abs(start.sum() - 6) < 1e-9 and abs(move.sum() - 34) < 1e-9
-    assert np.allclose(model.log_likelihoods(text), whole)
+    assert all(np.allclose(a, b) for a, b in zip(model.expected(texts), want))
+    assert np.allclose(model.log_likelihoods(texts), whole)
+
+
+@pytest.mark.parametrize("common", [0, 1, 8, 1000])
+def test_the_end_counts_whatever_words_travel(spark, common):
+    """Two texts: their ends are rarer than every word, and still have their count."""
+    texts = {i: " ".join(f"w{k}" for k in range(8) for _ in range(20)) for i in (1, 2)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    counts = Counter(w for t in texts.values() for w in [*t.split(), ""])
+    n, v = sum(counts.values()), len(counts)
+    for r in hmm.scored(docs, F.lit(True), common=common, own=4, rounds=1).collect():
+        want = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*texts[r.doc_id].split(), ""])
+        assert abs(r.base_score - want) < 1e-9 and r.n_known == r.n_tokens == 161
