@@ -26,6 +26,9 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[[9, 10, 11, 12, 13]] = 32
+#: Bytes that words are made of.
+WORD = np.zeros(256, bool)
+WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 #: Bytes of a text that are gone through at once.
 WINDOW = 4 << 20
 #: Bytes of benchmark passages that travel to every task at once, their index taking some 40 times
@@ -53,28 +56,37 @@ def slot(g: np.ndarray) -> np.ndarray:
 def distance_within(passage: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
     """Fewest edits of the passage against any part of `region` (free ends), and that part.
 
-    Banded: only for regions of about the passage's length plus twice the budget. None beyond
-    the budget. Of equally good parts the one that ends first, then the one that starts last.
+    None beyond the budget. Of equally good parts the one that ends first, then the one that
+    starts last. Banded: within the budget a path starts on a diagonal of 0 or more and ends on
+    one of len(region) - len(passage) or less, so it never leaves these by more than the budget.
     """
     m, n = len(passage), len(region)
     far = budget + 1
-    dist, start = np.zeros(n + 1, np.int32), np.arange(n + 1, dtype=np.int32)
-    ramp = np.arange(n + 1, dtype=np.int32)
+    if n + budget < m:
+        return None
+    low, width = -budget, n - m + 2 * budget + 1
+    ramp = np.arange(width, dtype=np.int64)
+    # Cell d of row i stands for the first i bytes of the passage and the first i + low + d of the region.
+    j = ramp + low
+    dist = np.where((j >= 0) & (j <= n), 0, far)
+    start = np.clip(j, 0, n)
+    padded = np.full(m + width + budget + 1, 256, np.int16)
+    padded[budget : budget + n] = region  # padded[k] is region[k + low]
     for i in range(1, m + 1):
-        diagonal, up = dist[:-1] + (region != passage[i - 1]), dist[1:] + 1
+        diagonal = dist + (padded[i - 1 : i - 1 + width] != passage[i - 1])
+        up = np.append(dist[1:], far) + 1
         best = np.minimum(diagonal, up)
-        origin = np.where(diagonal <= up, start[:-1], start[1:])
-        new, fresh = np.empty(n + 1, np.int32), np.empty(n + 1, np.int32)
-        new[0], fresh[0] = dist[0] + 1, start[0]
-        new[1:], fresh[1:] = best, origin
-        # Runs of insertions: the least of new[k] + (j - k) over k <= j.
-        run = np.minimum.accumulate((new - ramp).astype(np.int64) * (n + 2) + (n + 1 - ramp))
-        low, at = run // (n + 2), (n + 1 - run % (n + 2)).astype(np.int32)
-        dist, start = (low + ramp).astype(np.int32), fresh[at]
+        origin = np.where(diagonal <= up, start, np.append(start[1:], 0))
+        best[(ramp < -low - i) | (ramp > n - low - i)] = far + m
+        # Runs of insertions: the least of best[k] + (d - k) over k <= d, of several the last k.
+        run = np.minimum.accumulate((best - ramp) * (width + 1) + (width - ramp))
+        dist = run // (width + 1) + ramp
+        start = origin[width - run % (width + 1)]
+        dist[(ramp < -low - i) | (ramp > n - low - i)] = far
         if dist.min() >= far:
             return None
     end = int(dist.argmin())
-    return (int(dist[end]), int(start[end]), end) if dist[end] < far else None
+    return (int(dist[end]), int(start[end]), m + low + end) if dist[end] < far else None
 
 
 def apart(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -90,12 +102,14 @@ class Passages:
     """An index of benchmark passages: which q-gram stands where."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.ids, self.texts, self.budget, self.bound = [], [], [], []
+        self.ids, self.texts, self.budget, self.bound, self.short = [], [], [], [], []
         keys, owners, places = [], [], []
         for item, text in items:
             t = folded(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
             g = grams(t)
             if not len(g):
+                if len(t):
+                    self.short.append((item, t.tobytes()))
                 continue
             # The budget that leaves at least one shared q-gram by the lemma.
             budget = min(int(rate * len(t)), (len(g) - 1) // Q)
@@ -175,6 +189,23 @@ class Passages:
                 best.setdefault((d, o), []).append((edits, start + a - int(ends[d]), stop + a - int(ends[d]), shared))
         return [(d, o, *x) for (d, o), spans in sorted(best.items()) for x in apart(spans)]
 
+    def whole_words(self, raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text number, item, start, end, 0) of passages without a q-gram: only exact, and only where
+        neither neighbour goes on with a word."""
+        if not self.short:
+            return
+        for d in range(len(ends) - 1):
+            own = folded(raw[ends[d] : ends[d + 1]]).tobytes()
+            for item, passage in self.short:
+                free = 0
+                at = own.find(passage)
+                while at >= 0:
+                    stop = at + len(passage)
+                    if at >= free and not (at and WORD[own[at - 1]] and WORD[own[at]]) and not (stop < len(own) and WORD[own[stop]] and WORD[own[stop - 1]]):
+                        yield d, item, at, stop, 0
+                        free = stop
+                    at = own.find(passage, at + 1)
+
     def _banded(self, text: np.ndarray, ends: np.ndarray, at: np.ndarray, where: np.ndarray, doc: np.ndarray):
         n = self.count[where]
         index = np.repeat(self.first[where] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -184,14 +215,13 @@ class Passages:
         # any run of budget + 1 diagonals lies in one of them.
         wide = self.budgets[owner] + 1
         diagonal = at - ends[doc] - place + (1 << 20)
-        pair = (doc * self.size + owner) << 22
+        pair = doc * self.size + owner
         found: list[tuple[int, int, int, int, int]] = []
         for shift in (0, 1):
-            key = pair | ((diagonal // wide + shift) // 2)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            change = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            size = np.diff(np.append(change, len(key)))
+            band = (diagonal // wide + shift) // 2
+            order = np.lexsort((band, pair))
+            change = np.flatnonzero(np.append(True, (pair[order[1:]] != pair[order[:-1]]) | (band[order[1:]] != band[order[:-1]])))
+            size = np.diff(np.append(change, len(order)))
             first = order[change]
             for k in np.flatnonzero(size >= self.bounds[owner[first]]):
                 own = order[change[k] : change[k] + size[k]]
@@ -238,7 +268,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id",
     or replaced, after A-Z are lower-cased and each white space character counts as a blank;
     for short passages the budget is what the q-gram lemma allows ((m - 8) // 8). start and
     stop are bytes of the text, shared the q-grams that its band shares with it. Overlapping regions of one passage give the best one alone.
-    Passages under eight bytes can't be told from chance and are passed over. Null or empty
+    Passages under eight bytes match exactly alone, as whole words (shared is 0). Null or empty
     texts have no match; repeated rows give repeated matches; rows with a null id match too.
     Benchmarks beyond a block (1 MB) are matched block after block over the same documents.
     """
@@ -254,6 +284,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id",
                 found = passages.found(raw, ends)
                 doc, owner, edits, start, stop, shared = (np.array(x, np.int64) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 6
                 ids = pa.array([passages.ids[o] for o in owner], pa.int64())
+                exact = list(passages.whole_words(raw, ends))
+                if exact:
+                    d, item, *span = (np.array(x, np.int64) for x in zip(*exact))
+                    doc, edits, start, stop, shared = (np.concatenate(x) for x in zip((doc, edits, start, stop, shared), (d, np.zeros(len(d), np.int64), *span)))
+                    ids = pa.concat_arrays([ids, pa.array(item, pa.int64())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), ids, *(pa.array(x.astype(np.int32)) for x in (edits, start, stop, shared))], names=["doc_id", "item_id", "edits", "start", "stop", "shared"])
 
         part = map_batches(rows, run, "doc_id long, item_id long, edits int, start int, stop int, shared int")

@@ -59,6 +59,47 @@ def test_banded_distance_against_brute_force():
             assert got[0] == best and edit_distance(p, t[got[1] : got[2]]) == best
 
 
+def plain_distances(p, t):
+    """(fewest edits, end) of p against any part of t by the whole table."""
+    row = [0] * (len(t) + 1)
+    for i, x in enumerate(p, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(t, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    best = min(row)
+    return best, row.index(best)
+
+
+def test_the_band_loses_nothing_against_the_whole_table():
+    rng = random.Random(8)
+    for _ in range(150):
+        p = "".join(rng.choice("abcd") for _ in range(rng.randrange(20, 90)))
+        t = "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 12))) + edited(p, rng.randrange(0, 14), rng) + "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 12)))
+        budget = rng.randrange(0, 12)
+        best, end = plain_distances(p, t)
+        got = decontaminate.distance_within(*(np.frombuffer(x.encode(), np.uint8) for x in (p, t)), budget)
+        assert (got is None) == (best > budget)
+        if got:
+            assert got[0] == best and got[2] == end and edit_distance(p, t[got[1] : got[2]]) == best
+
+
+def test_passages_without_a_gram_match_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (2, "no no"), (3, PASSAGE)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "yes, and eyes, yesterday YES"), (2, "no\tno no no!"), (3, "say " + PASSAGE), (4, "noon no"), (5, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.edits, r.start, r.stop) for r in decontaminate.matches(docs, bench).collect())
+    assert got == [(1, 1, 0, 0, 3), (1, 1, 0, 25, 28), (2, 2, 0, 0, 5), (2, 2, 0, 6, 11), (3, 3, 0, 4, 4 + len(PASSAGE))]
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()) == [4, 5]
+
+
+def test_a_very_long_passage(spark):
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(1_200_000))
+    index = decontaminate.Passages([(1, long), (2, "a passage with no edit")], 0.0)
+    text = "before " + long + " a passage with no edit after"
+    got = index.found(*common.utf8(pa.array([text])))
+    assert [(o, e, start, stop) for _, o, e, start, stop, _ in got] == [(0, 0, 7, 7 + len(long)), (1, 0, 8 + len(long), 30 + len(long))]
+
+
 def test_case_white_space_repeats_and_short_passages():
     text = PASSAGE.upper().replace(" ", "\n") + " -- " + PASSAGE
     got = found([(5, PASSAGE), (6, "short"), (7, "12345678")], ["", text, "ab 12345678 cd", "nothing of the kind"])
