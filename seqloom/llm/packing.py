@@ -10,6 +10,7 @@ bounded, nothing is shuffled, and a task that is run again packs the same rows a
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,6 +45,26 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: A run of white space of so many characters goes to the merges as the one piece that the pattern makes
+#: of it: the pattern's engine remembers every character of a run and fails at a million of them.
+RUN = 4096
+BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % RUN)
+
+
+def encoded(encoding, text: str, blanks: re.Pattern = BLANKS) -> list[int]:
+    """The ids of a text: those of encode_ordinary(), however long its runs of white space are.
+
+    The pattern makes one piece of such a run, but leaves its last character to what follows.
+    """
+    out, at = [], 0
+    for m in blanks.finditer(text):
+        stop = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoding.encode_ordinary(text[at : m.start()])
+        out += encoding._encode_single_piece(text[m.start() : stop].encode("utf-8", "replace"))
+        at = stop
+    return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 class Capacities:
     """Open rows by the room they have left; finds the least room that suffices in log steps."""
 
@@ -173,7 +194,7 @@ def packed(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "te
                 if not text:
                     continue
                 ids.append(i)
-                tokens.append(np.array(encoding.encode_ordinary(text), np.int32))
+                tokens.append(np.array(encoded(encoding, text), np.int32))
                 held += len(tokens[-1])
                 if held >= window:
                     yield from out()

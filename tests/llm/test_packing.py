@@ -72,3 +72,24 @@ def test_odd_rows(odd, none):
     assert sum(r.doc_ids.count(6) for r in rows) == 2
     assert packing.packed(none).count() == 0
     assert packing.packed(odd.where(F.col("text").isNull())).count() == 0
+
+
+def test_long_runs_of_white_space():
+    import re
+
+    encoding = packing.load(packing.default_vocabulary())
+    short = re.compile(packing.BLANKS.pattern.replace(str(packing.RUN), "3"))
+    for text in ("   ", "a   b", "   x", "x   ", " \n\t  \n 1  \u3000\xa0\u2003\u2003!   \n", "a    b     c\r\n\r\n\r\nd", "  é   é", " \x1c\x1d\x1e\x1f  x"):
+        for t in (text, text * 5, "w" + text + "w"):
+            assert packing.encoded(encoding, t, short) == encoding.encode_ordinary(t)
+    for run in (" ", "\n", " \n", "\u3000"):
+        text = "start" + run * 20_000 + "end " + run * 5_000
+        assert packing.encoded(encoding, text) == encoding.encode_ordinary(text)
+    many = packing.encoded(encoding, "a" + " " * 2_000_000 + "b")
+    assert encoding.decode(many) == "a" + " " * 2_000_000 + "b"
+
+
+def test_a_very_long_run_is_packed_whole(spark):
+    text = " " * 1_500_000 + "x"
+    rows = packing.packed(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("n_tokens").collect()
+    assert sum(r.n_tokens for r in rows) == 1_500_000
