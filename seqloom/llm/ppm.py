@@ -6,7 +6,7 @@ and exclusions, the counts frozen after training: in a context seen n times with
 followers a byte seen k times costs -log2(k / (n + q)), an unseen one first pays
 -log2(q / (n + q)) and is then coded one order lower without the bytes already ruled out;
 below order 0 all remaining bytes are equally likely. With frozen counts the cost of a byte
-depends on the three bytes before it alone, so all costs are tabulated once.
+depends on the three bytes before it alone, so all costs are tabulated once, exactly.
 """
 
 from __future__ import annotations
@@ -24,9 +24,14 @@ UNKNOWN = "und"
 
 
 class Model:
-    """Tabulated code lengths: cost[row(context), symbol, language] in bits."""
+    """Tabulated code lengths in bits: costs[language][row of the context, symbol].
 
-    def __init__(self, samples: dict[str, list[bytes]], *, table_bytes: int = 256 << 20):
+    Each language has a row for every context of three that its own texts have, and for every
+    context of two; a context of three that it never saw costs what its last two do. So the
+    tables grow with the distinct contexts of the training texts, and nothing is left out.
+    """
+
+    def __init__(self, samples: dict[str, list[bytes]]):
         self.langs = sorted(samples)
         used = sorted({b for texts in samples.values() for t in texts for b in set(t)})
         # Symbol 0 is the start of a text (never coded), 1 stands for each byte never seen.
@@ -35,18 +40,19 @@ class Model:
         self.size = a = len(used) + 2
         self.unseen = 256 - len(used)
         seen = {lang: self._grams(texts) for lang, texts in samples.items()}
-        contexts, counts = np.unique(np.concatenate([g[0] // a for g in seen.values()] or [np.empty(0, np.int64)]), return_counts=True)
-        # The bound on the table holds for any number of languages: rarest order-3 contexts go first.
-        most = max(0, table_bytes // (4 * a * max(1, len(self.langs))) - a * a)
-        if len(contexts) > most:
-            contexts = np.sort(contexts[np.argsort(-counts, kind="stable")[:most]])
-        self.row = np.full(a**3, -1, np.int32)
-        self.row[contexts] = np.arange(len(contexts))
-        gone = self.row < 0
-        self.row[gone] = len(contexts) + (np.flatnonzero(gone) % (a * a))
-        self.cost = np.zeros(((len(contexts) + a * a) * a, len(self.langs)), np.float32)
-        for k, lang in enumerate(self.langs):
-            self.cost[:, k] = self._costs(*seen[lang], contexts).ravel()
+        own = {lang: np.unique(g[0] // a) for lang, g in seen.items()}
+        # A context of any language has a number; the others have that of their last two symbols.
+        contexts = np.unique(np.concatenate(list(own.values()) or [np.empty(0, np.int64)]))
+        self.number = np.empty(a**3, np.int32)
+        self.number[:] = len(contexts) + np.tile(np.arange(a * a, dtype=np.int32), a)
+        self.number[contexts] = np.arange(len(contexts))
+        self.rows, self.costs = [], []
+        for lang in self.langs:
+            mine = own[lang]
+            row = np.append(len(mine) + contexts % (a * a), len(mine) + np.arange(a * a))
+            row[np.searchsorted(contexts, mine)] = np.arange(len(mine))
+            self.rows.append((row * a).astype(np.int64))
+            self.costs.append(self._costs(*seen[lang], mine).astype(np.float32).ravel())
 
     def _grams(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (context of three, symbol) codes and their counts."""
@@ -64,10 +70,7 @@ class Model:
 
         c0, c1, c2 = table(0, 1), table(1, a), table(2, a * a)
         c3 = np.zeros((len(contexts), a))
-        at = np.searchsorted(contexts, grams // a)
-        known = at < len(contexts)
-        known[known] = contexts[at[known]] == (grams // a)[known]
-        np.add.at(c3, (at[known], (grams % a)[known]), counts[known])
+        c3[np.searchsorted(contexts, grams // a), grams % a] = counts
         # Below order 0: the bytes that no longer can be excluded, each as likely.
         left = (c0[0, 2:] == 0).sum() + self.unseen
         escaped = np.full((1, a), 1.0 / max(1, left))
@@ -105,32 +108,41 @@ class Model:
         s = np.zeros(len(raw) + 3 * n, np.int32)
         at = np.arange(len(raw)) + np.repeat(3 * np.arange(1, n + 1), np.diff(ends))
         s[at] = self.symbol[raw]
-        rows = self.row[(s[:-3] * a + s[1:-2]) * a + s[2:-1]]
-        index = (rows.astype(np.int64) * a + s[3:])[at - 3]
+        numbers = self.number[(s[:-3] * a + s[1:-2]) * a + s[2:-1]][at - 3]
+        coded = s[at]
         out = np.zeros((n, len(self.langs)))
         step = 1 << 20
-        for k in range(0, len(index), step):  # bounded memory on very long texts
-            cut = np.clip(ends, k, min(k + step, len(index))) - k
-            out += segment_sums(self.cost[index[k : k + step]], cut)
+        for k in range(0, len(raw), step):  # bounded memory on very long texts
+            part = slice(k, k + step)
+            cut = np.clip(ends, k, min(k + step, len(raw))) - k
+            for lang, (rows, costs) in enumerate(zip(self.rows, self.costs)):
+                out[:, lang] += segment_sums(costs[rows[numbers[part]] + coded[part]], cut)
         return out
 
 
 def train(docs: DataFrame, training: Column, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", docs_per_lang: int = 300, longest: int = 20_000) -> Model:
     """A model from a bounded sample: of each language some `docs_per_lang` training texts, those
     whose ids hash into the lowest docs_per_lang / n part, the ones over `longest` bytes passed
-    over. That fits a classifier, so a bound is in order; at most twice languages x docs_per_lang
-    x longest bytes come to the driver, however often ids repeat."""
+    over; a language without any of these is learned from its shortest text. That fits a
+    classifier, so a bound is in order: at most twice languages x docs_per_lang x longest bytes
+    and one text a language come to the driver, however often ids repeat."""
     labelled = docs.where(training & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     keyed = labelled.select(F.col(lang_column).alias("lang"), F.xxhash64(F.col(id_column)).alias("h"), F.col(text_column).alias("text"))
-    share = {r.lang: min(1.0, docs_per_lang / r.n) for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    size = F.octet_length("text")
+    found = keyed.groupBy("lang").agg(F.count(F.when(size <= longest, 1)).alias("n"), F.min(F.struct(size, "h")).alias("least")).collect()
+    share = {r.lang: min(1.0, docs_per_lang / max(1, r.n)) for r in found}
     bounds = {lang: min(2**63 - 1, int(-(2**63) + s * 2**64)) for lang, s in share.items()}
     if not bounds:
         return Model({})
     bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
-    rows = keyed.where((F.col("h") <= bound[F.col("lang")]) & (F.octet_length("text") <= longest)).select("lang", "text")
+    rows = keyed.where((F.col("h") <= bound[F.col("lang")]) & (size <= longest)).select("lang", "text")
     samples: dict[str, list[bytes]] = {}
     for r in rows.limit(2 * docs_per_lang * len(bounds)).collect():
         samples.setdefault(r.lang, []).append(r.text.encode("utf-8", "replace"))
+    for r in found:
+        if r.lang not in samples:
+            text = keyed.where((F.col("lang") == r.lang) & (size == r.least[0]) & F.col("h").eqNullSafe(r.least[1])).agg(F.min("text")).first()[0]
+            samples[r.lang] = [text.encode("utf-8", "replace")]
     return Model({lang: sorted(texts)[: 2 * docs_per_lang] for lang, texts in samples.items()})
 
 
@@ -180,7 +192,6 @@ def identified(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text
     2 ** -bits over all languages, bits that code length per byte. A text that is null or has
     no letter, or any text under a model of no language, is `und` with score 0. Repeated rows
     and null ids stay; other columns are ignored; an empty table gives an empty result.
-    The model's table has a fixed bound (256 MB) whatever it was trained on.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return with_languages(rows, model).drop("text")

@@ -43,10 +43,19 @@ def test_code_lengths_are_exact():
             assert abs(value - plain_bits(samples[lang], text)) < 1e-3
 
 
-def test_a_small_table_still_codes_what_it_keeps():
-    model = ppm.Model({"x": [b"abracadabra"]}, table_bytes=1)
-    got = model.lengths(np.frombuffer(b"abra", np.uint8), np.array([0, 4]))
-    assert np.isfinite(got).all()
+def test_many_languages_of_many_bytes_lose_no_context():
+    rng = np.random.default_rng(3)
+    samples = {f"l{k}": [bytes(rng.integers(0, 256, 300, dtype=np.uint8)) for _ in range(2)] for k in range(12)}
+    model = ppm.Model(samples)
+    text = samples["l3"][0][:60] + samples["l7"][1][:60]
+    got = model.lengths(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+    assert np.allclose(got, [plain_bits(samples[lang], text) for lang in model.langs], atol=1e-2)
+
+
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    rows = [(1, "the cat sat on the mat " * 3, "en"), (2, "der hund und die katze " * 60, "de"), (3, "der hund und die katze " * 50, "de")]
+    model = ppm.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), longest=500)
+    assert model.langs == ["de", "en"]
 
 
 def test_languages_of_held_out_documents(documents):
