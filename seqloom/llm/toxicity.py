@@ -87,20 +87,8 @@ def log_count_ratios(positive: np.ndarray, negative: np.ndarray, n_positive: int
     return np.log((positive + alpha) / (n_positive + 2 * alpha)) - np.log((negative + alpha) / (n_negative + 2 * alpha))
 
 
-def likelihood_ratios(positive: np.ndarray, negative: np.ndarray, n_positive: int, n_negative: int) -> np.ndarray:
-    """G statistic of feature against label."""
-    total = n_positive + n_negative
-
-    def term(k: np.ndarray, of: int, margin: np.ndarray) -> np.ndarray:
-        return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) * total / np.maximum(of * margin, 1e-9)), 0)
-
-    has = positive + negative
-    cells = ((positive, n_positive, has), (negative, n_negative, has), (n_positive - positive, n_positive, total - has), (n_negative - negative, n_negative, total - has))
-    return 2 * sum(term(*c) for c in cells)
-
-
 def likelihood_ratio_column(positive: Column, negative: Column, n_positive: int, n_negative: int) -> Column:
-    """likelihood_ratios() in the JVM, so that only the best features leave it."""
+    """G statistic of feature against label, in the JVM, so that only the best features leave it."""
     total, has = float(n_positive + n_negative), positive + negative
 
     def term(k: Column, of: int, margin: Column) -> Column:
@@ -143,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, id_column: st
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     texts = texts.where((F.xxhash64("id") <= bound) & (F.octet_length("text") <= longest))
     # `known` has at most `sample` rows of two numbers: that side is safe to broadcast.
-    texts = texts.join(F.broadcast(known), "id").select("label", "text").limit(2 * sample).repartition(8).persist()
+    texts = texts.join(F.broadcast(known), "id").select("label", "text").limit(2 * sample)
+    texts = stored(texts.repartition(8), name="sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
@@ -164,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, id_column: st
     total = counted.where("feature < 0").first()
     if total is None or not total.p or not total.q:
         share = 0.0 if total is None or not total.p else 1.0
-        texts.unpersist()
+        discard(texts)
         return Model(np.empty(0, np.int64), np.empty(0), 20.0 if share else -20.0)
     gain = likelihood_ratio_column(F.col("p"), F.col("q"), total.p, total.q)
     best = counted.where("feature >= 0").orderBy(gain.desc(), "feature").limit(features).collect()
@@ -182,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, id_column: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in lists], pa.binary())], names=["label", "columns"])
 
     sampled = sorted((bytes(r.columns), r.label) for r in map_batches(texts, pick, "label int, columns binary").collect())
-    texts.unpersist()
+    discard(texts)
     lists = [np.frombuffer(b, np.int32) for b, _ in sampled]
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     weights, bias = fit(rows, np.concatenate(lists), ratios, np.array([y for _, y in sampled], float))

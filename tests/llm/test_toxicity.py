@@ -14,12 +14,35 @@ def test_features_are_the_distinct_ngrams_of_each_text():
         assert (row == k).sum() == len(want)
 
 
-def test_ratios_and_gain_by_hand():
+def test_ratios_and_gain_by_hand(spark):
     p, q = np.array([9.0, 1.0]), np.array([1.0, 9.0])
     r = toxicity.log_count_ratios(p, q, 10, 10)
     assert np.allclose(r, [np.log((10 / 12) / (2 / 12)), np.log((2 / 12) / (10 / 12))])
-    gain = toxicity.likelihood_ratios(np.array([10.0, 5.0]), np.array([0.0, 5.0]), 10, 10)
-    assert abs(gain[0] - 2 * 20 * np.log(2)) < 1e-6 and abs(gain[1]) < 1e-6
+    rows = spark.createDataFrame([(10, 0), (5, 5), (3, 1)], "p int, q int")
+    gain = [x[0] for x in rows.select(toxicity.likelihood_ratio_column(F.col("p"), F.col("q"), 10, 10)).collect()]
+
+    def by_hand(a, b):
+        cells = [(a, 10, a + b), (b, 10, a + b), (10 - a, 10, 20 - a - b), (10 - b, 10, 20 - a - b)]
+        return 2 * sum(k * np.log(k * 20 / (n * m)) for k, n, m in cells if k)
+
+    assert np.allclose(gain, [by_hand(10, 0), 0, by_hand(3, 1)])
+
+
+def test_fit_reaches_the_least_loss():
+    """Against plain gradient descent on the dense matrix, of as many steps as it takes."""
+    rng = np.random.default_rng(1)
+    x = rng.random((60, 8)) < 0.4
+    ratios = rng.normal(0, 1, 8)
+    y = (x @ rng.normal(0, 1, 8) + rng.normal(0, 0.5, 60) > 0).astype(float)
+    dense = x * ratios
+    loss = lambda w, b: np.logaddexp(0, -(2 * y - 1) * (dense @ w + b)).mean() + 1e-2 / 2 * (w @ w)
+    w, b = np.zeros(8), 0.0
+    for _ in range(20_000):
+        off = (1 / (1 + np.exp(-(dense @ w + b))) - y) / 60
+        w, b = w - 0.5 * (dense.T @ off + 1e-2 * w), b - 0.5 * off.sum()
+    rows, columns = np.nonzero(x)
+    got, bias = toxicity.fit(rows, columns, ratios, y, penalty=1e-2, steps=2000)
+    assert loss(got / ratios, bias) <= loss(w, b) + 1e-4 and np.allclose(got, w * ratios, atol=0.05)
 
 
 def test_held_out_accuracy(spark):
