@@ -14,7 +14,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.sources.shared import stored
@@ -50,18 +50,23 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): one row per input row; fp is the fingerprint as a signed 64-bit integer.
+    """(id, h, fp): one row per input row; fp is the fingerprint as a signed 64-bit integer, h a hash
+    of the text.
 
     A null text counts as empty, its fingerprint is zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+            found = np.array([fingerprint(x, words) for x in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["id", "h", "fp"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return map_batches(rows, run, "id long, fp long")
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_hash(text_column).alias("h"), F.col(text_column).cast("string").alias("text"))
+    return map_batches(rows, run, "id long, h long, fp long")
+
+
+def text_hash(column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
 def tile_links(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +144,15 @@ def links(distinct: DataFrame, *, radius: int = 3, tile: int = 2048) -> DataFram
     return map_batches(work, run, "u long, v long")
 
 
+def classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, radius: int = 3, tile: int = 2048) -> DataFrame:
+    """(id, h, fp, component_id, copies) for each input row: see near_duplicates()."""
+    seen = stored(fingerprints(docs, id_column=id_column, text_column=text_column, words=words), name="fingerprints")
+    distinct = stored(seen.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), name="distinct")
+    reached = components(links(distinct, radius=radius, tile=tile))
+    named = distinct.join(reached, distinct.rep == reached.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "copies")
+    return seen.join(named, "fp", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
+
+
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, radius: int = 3, tile: int = 2048) -> DataFrame:
     """(doc_id, fingerprint, component_id, copies): near-duplicate classes of a corpus.
 
@@ -149,27 +163,19 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     An empty table gives an empty result; other columns of the input are ignored.
     `copies` counts the rows that have exactly this fingerprint.
     """
-    seen = stored(fingerprints(docs, id_column=id_column, text_column=text_column, words=words), name="fingerprints")
-    distinct = stored(seen.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), name="distinct")
-    reached = components(links(distinct, radius=radius, tile=tile))
-    named = distinct.join(reached, distinct.rep == reached.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "copies")
-    out = seen.join(named, "fp", "left")
-    return out.select(
-        F.col("id").alias("doc_id"),
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
-        "copies",
-    )
+    out = classes(docs, id_column=id_column, text_column=text_column, words=words, radius=radius, tile=tile)
+    return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
 
 
 def deduplicated(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its near-duplicate class, one row each.
+    """One row of each near-duplicate class: of the rows with its smallest id that of the least text hash.
 
-    Rows with a null id are kept: nothing tells which row they would repeat.
+    Each row is judged by its own text, also where rows share an id; of rows with the same id
+    and text one stays. Rows with a null id are kept: nothing tells which row they would repeat.
     """
-    found = near_duplicates(docs, id_column=id_column, text_column=text_column, **options)
-    kept = free_name(docs, "_kept")
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
-    # The join has dealt the rows by id, so repeated rows meet without another shuffle.
-    named = docs.join(keep, F.col(id_column).cast("long") == F.col(kept), "left_semi").dropDuplicates([id_column])
-    return named.unionByName(docs.where(F.col(id_column).isNull()))
+    found = classes(docs, id_column=id_column, text_column=text_column, **options).where("id = component_id")
+    kept, own = free_name(docs, "_kept"), free_name(docs, "_own")
+    keep = found.groupBy("component_id").agg(F.min("h").alias(own)).withColumnRenamed("component_id", kept)
+    marked = docs.withColumn("_h" + own, text_hash(text_column))
+    first = marked.join(keep, (F.col(id_column).cast("long") == F.col(kept)) & (F.col("_h" + own) == F.col(own)), "left_semi").dropDuplicates([id_column])
+    return first.select(*docs.columns).unionByName(docs.where(F.col(id_column).isNull()))

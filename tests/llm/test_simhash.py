@@ -61,3 +61,10 @@ def test_components_of_chains_and_stars(spark, n):
     star = spark.range(1000, 1000 + n).select(F.lit(2000).cast("long").alias("u"), F.col("id").alias("v"))
     got = {r.node: r.component for r in common.components(chain.union(star)).collect()}
     assert got == {**{i: 1 for i in range(1, n + 1)}, **{i: 1000 for i in [*range(1000, 1000 + n), 2000]}}
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    a, b, c = ("one two three four five six", "an entirely different text of this table", "and a third one that nothing resembles")
+    rows = spark.createDataFrame([(1, a), (2, b), (2, a), (3, c), (3, c), (4, b)], "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, simhash.deduplicated(rows).collect()))
+    assert got == [(1, a), (2, b), (3, c)]
