@@ -24,3 +24,26 @@ def edit_distance(a, b):
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
     return row[-1]
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_kept(texts):
+    """Ids that stay, by comparing all pairs."""
+    ids, sets, up = sorted(texts), {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            common = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or common * 10 >= 8 * (len(sets[a]) + len(sets[b]) - common):
+                a_, b_ = root(a), root(b)
+                up[max(a_, b_)] = min(a_, b_)
+    return {i for i in ids if root(i) == i}

@@ -1,9 +1,9 @@
 import corpus_pipeline
 import numpy as np
-from conftest_llm import brute_components
+from conftest_llm import brute_kept
 from pyspark.sql import functions as F
 
-from seqloom.llm import decontaminate, ppm, simhash, toxicity, unigram
+from seqloom.llm import decontaminate, ppm, toxicity, unigram
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,8 +27,8 @@ def test_stages_against_brute_force(spark, documents, texts, tmp_path):
         elif name == "language":
             kept = {d: t for d, t in kept.items() if any(c.isalpha() for c in t)}
         elif name == "near_dedup":
-            found = brute_components({d: simhash.fingerprint(t) for d, t in kept.items()}, 3)
-            kept = {d: t for d, t in kept.items() if found[d] == d}
+            left = brute_kept(kept)  # five-word shingles, similarity 0.8 or more, all pairs
+            kept = {d: t for d, t in kept.items() if d in left}
         elif name == "decontamination":
             fold = lambda x: decontaminate.FOLD[np.frombuffer(x.encode(), np.uint8)].tobytes()
             clean = {d: t for d, t in kept.items() if not any(fold(r.text) in fold(t) for r in bench.collect())}
