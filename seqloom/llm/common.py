@@ -41,6 +41,7 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(lambda batches: function(portions(batches)), schema)
 
 
