@@ -16,20 +16,34 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
 
 
-def reads(spark: SparkSession, sf_dir: str, length: int = 147) -> DataFrame:
-    """(sample, lang, read_no, seq): the first `length` letters of each text, mapped to bases."""
+#: Letters of a read, and what a document's number is multiplied by in its reads' numbers: no text has as many reads.
+LENGTH, PIECES = 147, 1 << 24
+
+
+def reads(spark: SparkSession, sf_dir: str, length: int = LENGTH) -> DataFrame:
+    """(sample, lang, read_no, seq): all letters of each text, mapped to bases and cut into reads of
+    `length`; the last is filled up with N. Texts without letters have none."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
-    letters = F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, length)
-    rows = docs.select(F.col("source").alias("sample"), "lang", F.col("doc_id").alias("read_no"), letters.alias("s")).where(F.length("s") == length)
-    return rows.select("sample", "lang", "read_no", F.translate(F.upper("s"), LETTERS, AS_BASES).alias("seq"))
+    bases = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, AS_BASES)
+    parts = F.regexp_extract_all(bases, F.lit(f".{{1,{length}}}"), F.lit(0))
+    rows = docs.select(F.col("source").alias("sample"), "lang", "doc_id", F.posexplode(parts).alias("piece", "part"))
+    return rows.select("sample", "lang", (F.col("doc_id") * PIECES + F.col("piece")).alias("read_no"), F.rpad("part", length, "N").alias("seq"))
 
 
 #: The same in DuckDB; queries put it before their own SQL.
-READS = """reads AS (
-  SELECT source AS sample, lang, doc_id AS read_no, substr(s, 1, 147) AS seq
-  FROM (SELECT doc_id, source, lang, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')),
-          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'AACTTGGCACGTAACTGGCTCGTACN') AS s FROM documents)
-  WHERE length(s) >= 147)"""
+READS = f"""reads AS (
+  SELECT sample, lang, doc_id * {PIECES} + piece AS read_no, rpad(part, {LENGTH}, 'N') AS seq
+  FROM (SELECT source AS sample, lang, doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS piece
+        FROM (SELECT doc_id, source, lang, list_transform(range(0, length(s), {LENGTH}), lambda i: substr(s, i + 1, {LENGTH})) AS parts
+              FROM (SELECT doc_id, source, lang, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{AS_BASES}') AS s FROM documents))))"""
+
+
+#: reads without what they end with in N: a text's last read in its own length.
+BARE = "bare AS (SELECT * REPLACE (rtrim(seq, 'N') AS seq) FROM reads)"
+
+
+def bare(reads: DataFrame) -> DataFrame:
+    return reads.withColumn("seq", F.rtrim("seq", F.lit("N")))
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
