@@ -2,11 +2,16 @@
 
 Three-anchor rule: a read goes if any of its windows of w bases equals the head, middle or end
 window of a read that was kept before it. The order is that of the sequences, so the outcome is
-deterministic; it is found as a fix point over the anchors that several reads hold.
+deterministic; it is found as a fix point over the anchors that several reads hold, and once few
+enough of these are left to decide, in the order itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,54 +25,92 @@ def exact(reads: DataFrame) -> DataFrame:
     return best.select(*[F.col(f"r.{c}").alias(c) if c != "seq" else F.col("seq") for c in reads.columns])
 
 
-def incidences(sequences: DataFrame, width: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(w, a): the anchors of each read; (w, s): which reads hold which anchor, where at least two do.
+#: Holders of an anchor that one task meets; an anchor that more reads hold is dealt to several.
+HELD = 20_000
+#: Undecided holdings that one task decides read by read: some 20 MB.
+FEW = 500_000
+
+
+def incidences(numbered: DataFrame, width: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(w, a, parts): the anchors of each read; (w, s, part): which reads hold which anchor, where at
+    least two do. Reads are (id, seq), the ids in the order of the sequences.
 
     Reads meet at anchors, never each other: both tables grow with the reads, however many of
-    them share an anchor.
+    them share an anchor, and the holders of one anchor are dealt to as many parts as they need.
     """
     w = F.least(F.length("seq"), F.lit(width))
     last = F.length("seq") - w
     cut = lambda starts: F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("seq"), i + 1, w)))
-    sources = sequences.select(F.col("seq").alias("a"), F.explode(cut(F.array(F.lit(0), F.floor((last + 1) / 2).cast("int"), last))).alias("w"))
-    windows = sequences.select(F.col("seq").alias("s"), F.explode(cut(F.sequence(F.lit(0), last))).alias("w"))
-    held = windows.join(sources.select("w").distinct(), "w", "left_semi")
-    shared = held.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    return sources.join(shared, "w", "left_semi"), held.join(shared, "w", "left_semi")
+    sources = numbered.select(F.col("id").alias("a"), F.explode(cut(F.array(F.lit(0), F.floor((last + 1) / 2).cast("int"), last))).alias("w"))
+    windows = numbered.select(F.col("id").alias("s"), F.explode(cut(F.sequence(F.lit(0), last))).alias("w"))
+    held = stored(windows.join(sources.select("w").distinct(), "w", "left_semi"), name="held")
+    shared = held.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w", F.ceil(F.col("n") / HELD).cast("int").alias("parts"))
+    shared = stored(shared, name="shared")
+    holders = held.join(shared, "w").select("w", "s", F.pmod(F.xxhash64("s"), "parts").cast("int").alias("part"))
+    return sources.join(shared, "w").select("w", "a", "parts"), holders
 
 
 def hit(holders: DataFrame, sources: DataFrame) -> DataFrame:
     """(s): reads that hold an anchor of a smaller read among the sources."""
-    least = sources.groupBy("w").agg(F.min("a").alias("a"))
-    return holders.join(least, "w").where("a < s").select("s").distinct()
+    least = sources.groupBy("w").agg(F.min("a").alias("a"), F.first("parts").alias("parts"))
+    least = least.select("w", "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return holders.join(least, ["w", "part"]).where("a < s").select("s").distinct()
+
+
+def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rule itself over rows (id, w, own) in the order of ids: which reads go."""
+    kept: set[str] = set()
+    gone: list[int] = []
+
+    def decide(read: int, windows: list[str], own: list[str]) -> None:
+        if kept.isdisjoint(windows):
+            kept.update(own)
+        else:
+            gone.append(read)
+
+    now, windows, own = None, [], []
+    for batch in batches:
+        for read, w, mine in zip(*(c.to_pylist() for c in batch.columns)):
+            if read != now:
+                if now is not None:
+                    decide(now, windows, own)
+                now, windows, own = read, [], []
+            (own if mine else windows).append(w)
+    if now is not None:
+        decide(now, windows, own)
+    yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["s"])
 
 
-def three_anchor(reads: DataFrame, *, width: int = 20, strict: bool = False, rounds: int = 10_000) -> DataFrame:
+def three_anchor(reads: DataFrame, *, width: int = 20, strict: bool = False, rounds: int = 1000, few: int = FEW) -> DataFrame:
     """Distinct reads that the rule keeps; strict drops every read that a smaller one's anchor hits,
-    kept or not. Empty sequences never conflict.
+    kept or not. Empty sequences never conflict; a read shorter than `width` is its own anchor.
 
     Each round keeps the undecided reads that no smaller undecided one hits (the smallest is
-    always among them) and drops what these hit, so the rounds are as many as the longest
-    chain of such decisions.
+    always among them) and drops what these hit. As soon as at most `few` holdings are undecided
+    one task takes them in order, so that a long chain of decisions costs no long row of rounds.
+    Beyond `rounds` it raises: a part of a result is never returned.
     """
     unique = exact(reads)
-    sources, holders = (stored(x, name="anchors") for x in incidences(unique.where(F.length("seq") > 0).select("seq"), width))
-    if strict:
-        return unique.join(hit(holders, sources).withColumnRenamed("s", "seq"), "seq", "left_anti")
-    dropped = None
-    for _ in range(rounds):
-        free = holders.select("s").distinct().join(hit(holders, sources), "s", "left_anti")
-        free = stored(free, name="kept")
-        if not free.head(1):
+    numbered = stored(unique.orderBy("seq").withColumn("_id", F.monotonically_increasing_id()), name="numbered")
+    sources, holders = (stored(x, name="anchors") for x in incidences(numbered.where(F.length("seq") > 0).select(F.col("_id").alias("id"), "seq"), width))
+    parts = [hit(holders, sources)] if strict else []
+    for _ in range(0 if strict else rounds):
+        undecided = holders.count()
+        if undecided <= few:
+            rows = holders.select(F.col("s").alias("id"), "w", F.lit(False).alias("own")).union(sources.select("a", "w", F.lit(True)))
+            parts.append(rows.repartition(1).sortWithinPartitions("id").mapInArrow(in_order, "s long"))
             break
+        free = stored(holders.select("s").distinct().join(hit(holders, sources), "s", "left_anti"), name="kept")
         gone = stored(hit(holders, sources.join(free, sources.a == free.s, "left_semi")), name="dropped")
-        dropped = gone if dropped is None else dropped.union(gone)
+        parts.append(gone)
         done = free.union(gone).withColumnRenamed("s", "d")
         new_holders = stored(holders.join(done, holders.s == done.d, "left_anti"), name="anchors")
         new_sources = stored(sources.join(done, sources.a == done.d, "left_anti"), name="anchors")
         for old in (holders, sources, free):
             discard(old)
         holders, sources = new_holders, new_sources
-    if dropped is None:
-        return unique
-    return unique.join(dropped.select(F.col("s").alias("seq")), "seq", "left_anti")
+    else:
+        if not strict:
+            raise RuntimeError(f"the three-anchor rule did not settle in {rounds} rounds")
+    dropped = reduce(DataFrame.union, parts)
+    return numbered.join(dropped, numbered._id == dropped.s, "left_anti").drop("_id")

@@ -163,25 +163,30 @@ def dedup_exact(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.exact(X.reads(spark, sf)).select("seq")
 
 
-ANCHORS = """d AS (SELECT DISTINCT seq FROM reads), a AS (SELECT seq AS kept, unnest([substr(seq, 1, 20), substr(seq, 65, 20), substr(seq, 128, 20)]) AS anchor FROM d),
-e AS (SELECT DISTINCT kept AS a, d.seq AS s FROM d, range(0, 128) t(i), a WHERE a.anchor = substr(d.seq, i + 1, 20) AND a.kept < d.seq)"""
+#: Conflicts of the three-anchor rule: e has (a, s) where an anchor of a lies in s and a comes first.
+CONFLICTS = f"""{X.READS}, {X.BARE}, d AS MATERIALIZED (SELECT seq, least(length(seq), 20) AS w, length(seq) - least(length(seq), 20) AS last FROM (SELECT DISTINCT seq FROM bare)),
+a AS (SELECT seq AS kept, unnest([substr(seq, 1, w), substr(seq, (last + 1) // 2 + 1, w), substr(seq, last + 1, w)]) AS anchor FROM d WHERE w > 0),
+x AS (SELECT seq, unnest(list_transform(range(0, last + 1), lambda i: substr(seq, i + 1, w))) AS anchor FROM d WHERE w > 0),
+e AS MATERIALIZED (SELECT DISTINCT kept AS a, x.seq AS s FROM x JOIN a ON a.anchor = x.anchor WHERE a.kept < x.seq)"""
 
 
-@add(f"WITH {X.READS}, {ANCHORS} SELECT seq FROM d WHERE seq NOT IN (SELECT s FROM e)")
+@add(f"WITH {CONFLICTS} SELECT seq FROM d WHERE seq NOT IN (SELECT s FROM e)")
 def dedup_anchor_strict(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.three_anchor(X.reads(spark, sf), strict=True).select("seq")
+    return dedup.three_anchor(X.bare(X.reads(spark, sf)), strict=True).select("seq")
 
 
-#: The rule read by read, in the order of the sequences, carrying the anchors kept so far.
-GREEDY = f"""WITH RECURSIVE {X.READS}, d AS MATERIALIZED (SELECT seq, row_number() OVER (ORDER BY seq) AS k, list_transform(range(128), lambda i: substr(seq, i + 1, 20)) AS w FROM (SELECT DISTINCT seq FROM reads)),
-g(k, kept, anchors, seq) AS (SELECT 0::BIGINT, false, []::VARCHAR[], '' UNION ALL
-  SELECT d.k, NOT list_has_any(anchors, w), CASE WHEN list_has_any(anchors, w) THEN anchors ELSE list_concat(anchors, [w[1], w[65], w[128]]) END, d.seq FROM g JOIN d ON d.k = g.k + 1)
-SELECT seq FROM g WHERE kept"""
+#: The rule over conflicts: a read stays once all that come before it in conflict are gone, and goes
+#: once one of them stays (1 stays, 2 goes, 0 is undecided).
+GREEDY = f"""WITH RECURSIVE {CONFLICTS},
+g(seq, state) USING KEY (seq) AS (SELECT seq, CASE WHEN seq IN (SELECT s FROM e) THEN 0 ELSE 1 END FROM d UNION ALL
+  SELECT u.seq, CASE WHEN bool_or(p.state = 1) THEN 2 ELSE 1 END FROM recurring.g u JOIN e ON e.s = u.seq JOIN recurring.g p ON p.seq = e.a
+  WHERE u.state = 0 GROUP BY u.seq HAVING bool_or(p.state = 1) OR bool_and(p.state = 2))
+SELECT seq FROM g WHERE state = 1"""
 
 
 @add(GREEDY)
 def dedup_anchor_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.three_anchor(X.reads(spark, sf)).select("seq")
+    return dedup.three_anchor(X.bare(X.reads(spark, sf))).select("seq")
 
 
 @add(f"WITH {X.READS} SELECT read_no, sample, reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) AS rc, rpad(seq, 160, 'N') AS padded FROM reads")

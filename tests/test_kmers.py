@@ -136,5 +136,36 @@ def test_an_anchor_that_most_reads_share(spark):
     rows = spark.range(4000).select(F.lit("s").alias("sample"), F.col("id").alias("read_no"), F.concat(F.lit("ACGTACGTACGTACGTACGT"), F.translate(F.hex(F.xxhash64("id")), "0123456789ABCDEF", "ACGTACGTACGTACGT"), F.translate(F.hex(F.xxhash64("id", F.lit(1))), "0123456789ABCDEF", "CATGACGTGCATACGT")).alias("seq"))
     got = dedup.three_anchor(rows).collect()
     assert [r.seq for r in got] == [rows.agg(F.min("seq")).first()[0]]
-    sources, holders = dedup.incidences(rows.select("seq"))
+    sources, holders = dedup.incidences(rows.select(F.col("read_no").alias("id"), "seq"))
     assert sources.count() <= 3 * 4000 and holders.count() < 2 * 4000
+
+
+def plain_three_anchor(seqs, width):
+    kept, anchors = [], set()
+    for s in sorted(set(seqs)):
+        w = min(len(s), width)
+        last = len(s) - w
+        if not s or anchors.isdisjoint(s[i : i + w] for i in range(last + 1)):
+            kept.append(s)
+            if s:
+                anchors |= {s[i : i + w] for i in (0, (last + 1) // 2, last)}
+    return kept
+
+
+@pytest.mark.parametrize("few, held", [(0, 1), (0, 20_000), (60, 3), (10**6, 20_000)])
+def test_three_anchor_rule_by_rounds_and_in_order(spark, monkeypatch, few, held):
+    """Rounds alone, rounds and then the order, the order alone; anchors of many parts; short reads."""
+    import random
+
+    rng = random.Random(7)
+    seqs = ["".join(rng.choice("ACG") for _ in range(rng.choice([0, 2, 4, 9, 9, 12, 20]))) for _ in range(120)] + ["", ""]
+    monkeypatch.setattr(dedup, "HELD", held)
+    got = [r.seq for r in dedup.three_anchor(reads_of(spark, seqs), width=4, few=few).collect()]
+    want = plain_three_anchor(seqs, 4)
+    assert sorted(got) == want and 5 < len(want) < len(set(seqs))
+
+
+def test_three_anchor_never_returns_a_part(spark):
+    chain = ["".join(x) for x in zip("ACGTACGTAC", "CGTACGTACG", "GTACGTACGT", "TACGTACGTA", "ACGTACGTAA")]
+    with pytest.raises(RuntimeError):
+        dedup.three_anchor(reads_of(spark, chain * 2 + ["ACGTA", "CGTAC"]), width=2, few=-1, rounds=1)
