@@ -1,7 +1,7 @@
 """DNA curvature from sequence: helix coordinates under bending models, bends and curvature.
 
-One sequence's coordinates are a running product of transforms, so a sequence is a unit of
-work; sequences are worked on in Arrow batches, none of them meets another.
+One sequence's coordinates are a running product of transforms; the products of all sequences of
+a length in an Arrow batch advance together, and none of them meets another.
 """
 
 from __future__ import annotations
@@ -127,83 +127,111 @@ def oligo_windows(sequence: str, size: int) -> list[str | None]:
     return ([None] * before + found + [None] * (size - 2 - before))[: max(0, len(sequence) - 1)]
 
 
-def coordinates(sequence: str, model: Model) -> np.ndarray:
-    """(5, n, 3): axis, the strands' phosphates, base pair normals, normals smoothed over a turn."""
-    n = len(sequence)
+def helices(sequences: list[str], model: Model) -> np.ndarray:
+    """(sequences, 5, n, 3) for sequences of one length n: axis, the strands' phosphates, base pair
+    normals, normals smoothed over a turn."""
+    count, n = len(sequences), len(sequences[0])
     away, angle, up = PHOSPHATE
     p = np.array([away * np.cos(np.radians(angle)), away * np.sin(np.radians(angle)), up])
     local = np.array([[0, 0, 0, 1], [*p, 1], [-p[0], p[1], -p[2], 1], [0, 0, 1, 0]], float)
-    # Base i is moved by all steps from its own on: products from the end.
-    moves, now = np.empty((n, 4, 4)), np.eye(4)
-    moves[n - 1 :] = now
-    between = oligo_windows(sequence, model.order)
+    oligos = list(model.steps)
+    number = {oligo: k for k, oligo in enumerate(oligos)}
+    steps = np.array([model.steps[oligo] for oligo in oligos])
+    between = np.array([[number[o] for o in oligo_windows(s, model.order)] for s in sequences], np.int64).reshape(count, n - 1)
+    # Base i is moved by all steps from its own on: products from the end, for all sequences at once.
+    moves, now = np.empty((n, count, 4, 4)), np.broadcast_to(np.eye(4), (count, 4, 4))
+    moves[n - 1] = now
     for i in range(n - 2, -1, -1):
-        now = now @ model.steps[between[i]]
+        now = now @ steps[between[:, i]]
         moves[i] = now
-    out = np.zeros((5, n, 3))
-    out[:4] = np.einsum("nij,kj->kni", moves, local)[:, :, :3]
+    out = np.zeros((count, 5, n, 3))
+    out[:, :4] = np.einsum("nsij,kj->skni", moves, local)[..., :3]
     if n > 10:
-        kernel = np.array([0.5, *[1.0] * 9, 0.5]) / 10
-        for c in range(3):
-            out[4, :, c] = np.convolve(out[3, :, c], kernel, "same")[:n]
-        out[4, 5 : n - 5] /= np.linalg.norm(out[4, 5 : n - 5], axis=1, keepdims=True)
+        weights = np.array([0.5, *[1.0] * 9, 0.5]) / 10
+        padded = np.zeros((count, n + 10, 3))
+        padded[:, 5 : n + 5] = out[:, 3]
+        out[:, 4] = sum(w * padded[:, k : k + n] for k, w in enumerate(weights))
+        whole = out[:, 4, 5 : n - 5]
+        whole /= np.linalg.norm(whole, axis=2, keepdims=True)
     return out
 
 
+def coordinates(sequence: str, model: Model) -> np.ndarray:
+    """(5, n, 3) of one sequence."""
+    return helices([sequence], model)[0]
+
+
+def frame(axis: np.ndarray) -> np.ndarray:
+    """Rows x, y, z of the frame in which a curve runs from its first point along x to its last, and
+    bulges towards z: z is the direction of the point farthest from the line between the ends.
+
+    A straight or closed curve has no such direction; any that is perpendicular will do.
+    """
+    ends = axis[-1] - axis[0]
+    length = np.linalg.norm(ends)
+    x = ends / length if length > 0 else np.array([1.0, 0.0, 0.0])
+    aside = (axis - axis[0]) - np.outer((axis - axis[0]) @ x, x)
+    reach = np.linalg.norm(aside, axis=1)
+    z = aside[reach.argmax()]
+    if reach.max() <= 1e-9 * max(length, 1.0):
+        z = np.eye(3)[np.abs(x).argmin()]
+        z = z - (z @ x) * x
+    z = z / np.linalg.norm(z)
+    return np.array([x, np.cross(z, x), z])
+
+
 def laid_out(xyz: np.ndarray) -> np.ndarray:
-    """Turned so that the ends lie on the x axis and the farthest point of the helix axis above it,
-    then centred on the box around axis and phosphates."""
-    axis = xyz[0]
-    start = axis[-1]
-    e = axis[0] - start
-    length = np.linalg.norm(e)
-    if length > 0:
-        e = e / length
-        across = np.linalg.norm(np.cross(e, axis - start), axis=1)
-        far = int(across.argmax())
-        height = across[far]
-        along = np.sqrt(max(0.0, ((axis[far] - start) ** 2).sum() - height**2))
-        old = np.array([axis[0], axis[far], axis[-1]])
-        new = np.array([[0, 0, 0], [length - along, 0, height], [length, 0, 0]])
-        # The proper rotation nearest to the covariance: a reflection's last axis is turned back.
-        u, _, v = np.linalg.svd((new - new.mean(0)).T @ (old - old.mean(0)))
-        rotation = u @ np.diag([1.0, 1.0, np.linalg.det(u @ v)]) @ v
-        moved = xyz @ rotation.T
-        moved[:3] += new.mean(0) - rotation @ old.mean(0)
-        xyz = moved
-    box = xyz[:3].reshape(-1, 3)
-    xyz = xyz.copy()
-    xyz[:3] -= (box.min(0) + box.max(0)) / 2
-    return xyz
+    """Coordinates in the frame of the helix axis, points about the middle of the box around them."""
+    turned = xyz @ frame(xyz[0]).T
+    points = turned[:3].reshape(-1, 3)
+    turned[:3] -= (points.min(0) + points.max(0)) / 2
+    return turned
+
+
+def between(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Angles between paired vectors by their products; nothing where the two are one."""
+    apart = np.abs(u - v).max(-1, initial=0) > 1e-7
+    return np.where(apart, np.arccos(np.clip((u * v).sum(-1), -1, 1)), 0.0)
 
 
 def curvature(xyz: np.ndarray, rise: float, windows: tuple[int, int, int] = (10, 2, 15)) -> np.ndarray:
-    """(3, n): curvature by radius, bend angle, curvature angle, in units of the nucleosome's.
+    """(..., 3, n) of (..., 5, n, 3): curvature by radius, bend angle, curvature angle, in units of the
+    nucleosome's. Within a window of either end they are 0.
 
-    Within a window of either end they are 0.
+    The circle through three points of the axis turns from chord to chord by as much as half their
+    arc's centre angle: its curvature is twice the sine of that turn over the chord of both.
     """
-    n = xyz.shape[1]
-    out = np.zeros((3, n))
-    radius, bend, curve = windows
-    if n >= 2 * radius:
-        a, b, c = xyz[0, : n - 2 * radius], xyz[0, radius : n - radius], xyz[0, 2 * radius :]
-        sides = np.linalg.norm(b - a, axis=1) * np.linalg.norm(c - b, axis=1) * np.linalg.norm(c - a, axis=1)
-        out[0, radius : n - radius] = 2 * np.linalg.norm(np.cross(b - a, c - a), axis=1) / np.where(sides > 0, sides, np.inf)
-    for row, half, which in ((1, bend, 3), (2, curve, 4)):
-        if n >= 2 * half:
-            a, b = xyz[which, : n - 2 * half], xyz[which, 2 * half :]
-            angle = np.arccos(np.clip((a * b).sum(1), -1, 1))
-            out[row, half : n - half] = np.where(np.isclose(a, b, rtol=1e-5, atol=1e-8).all(1), 0, angle)
-    return out / np.array([[NUCLEOSOME], [NUCLEOSOME * 2 * curve * rise], [NUCLEOSOME * 2 * curve * rise]])
+    n = xyz.shape[-2]
+    out = np.zeros((*xyz.shape[:-3], 3, n))
+    units = NUCLEOSOME * np.array([1.0, 2 * windows[2] * rise, 2 * windows[2] * rise])
+    for row, (half, part) in enumerate(zip(windows, (0, 3, 4))):
+        if n < 2 * half:
+            continue
+        line = xyz[..., part, :, :]
+        before, here, after = line[..., : n - 2 * half, :], line[..., half : n - half, :], line[..., 2 * half :, :]
+        if row:
+            value = between(before, after)
+        else:
+            first, second, both = here - before, after - here, np.linalg.norm(after - before, axis=-1)
+            size = np.linalg.norm(first, axis=-1) * np.linalg.norm(second, axis=-1)
+            sine = np.linalg.norm(np.cross(first, second), axis=-1) / np.where(size > 0, size, np.inf)
+            value = 2 * sine / np.where(both > 0, both, np.inf)
+        out[..., row, half : n - half] = value / units[row]
+    return out
 
 
 PARTS = ("axis", "p1", "p2", "normal", "smooth")
 
 
-def curved(sequences: DataFrame, *, model: str | Model = "trifonov", id_column: str = "read_no", seq_column: str = "seq", longest: int = 510) -> DataFrame:
+#: Bases whose transforms are held at once; a longer sequence goes alone.
+AT_ONCE = 1 << 17
+
+
+def curved(sequences: DataFrame, *, model: str | Model = "trifonov", id_column: str = "read_no", seq_column: str = "seq") -> DataFrame:
     """(id, pos, base, curvature, bend_angle, curve_angle, and x, y, z of each part) for each base.
 
-    Letters but A, C, G and T are dropped first, then all beyond `longest` bases.
+    Letters but A, C, G and T are dropped first; null and empty sequences have no rows. Sequences
+    of one length are worked on together, each in full.
     """
     chosen = Model.named(model) if isinstance(model, str) else model
     places = [f"{p}_{c}" for p in PARTS for c in "xyz"]
@@ -211,16 +239,28 @@ def curved(sequences: DataFrame, *, model: str | Model = "trifonov", id_column:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not s:
-                    continue
-                xyz = laid_out(coordinates(s, chosen))
-                bends = curvature(xyz, chosen.rise)
-                n = len(s)
-                cols = [pa.array([i] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(s)), *map(pa.array, bends), *(pa.array(xyz[k, :, c]) for k in range(5) for c in range(3))]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    clean = F.substring(F.regexp_replace(F.upper(seq_column), "[^ACGT]", ""), 1, longest)
+            ids, texts = (batch.column(k).to_pylist() for k in (0, 1))
+            alike: dict[int, list[int]] = {}
+            for k, s in enumerate(texts):
+                alike.setdefault(len(s or ""), []).append(k)
+            for n, rows in alike.items():
+                step = max(1, AT_ONCE // max(1, n))
+                for k in range(0, len(rows) if n else 0, step):
+                    part = rows[k : k + step]
+                    own = [texts[r] for r in part]
+                    xyz = np.array([laid_out(x) for x in helices(own, chosen)])
+                    bends = curvature(xyz, chosen.rise)
+                    # One row a base: the sequences one after the other.
+                    cols = [
+                        pa.array([i for r in part for i in [ids[r]] * n], pa.int64()),
+                        pa.array(np.tile(np.arange(n, dtype=np.int32), len(part))),
+                        pa.array(list("".join(own))),
+                        *(pa.array(bends[:, j].ravel()) for j in range(3)),
+                        *(pa.array(xyz[:, j, :, c].ravel()) for j in range(5) for c in range(3)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    clean = F.regexp_replace(F.upper(seq_column), "[^ACGT]", "")
     rows = sequences.select(F.col(id_column).cast("long").alias("id"), clean.alias("seq"))
     return rows.mapInArrow(run, "id long, pos int, base string, curvature double, bend_angle double, curve_angle double, " + ", ".join(f"{p} double" for p in places))
 

@@ -63,7 +63,9 @@ def log_odds(rows: list[tuple[str, str, int, float]], *, background: float = 0.2
 def threshold(matrix: np.ndarray, p_value: float = 1e-4, *, step: float = 1e-3) -> float:
     """The least score whose share of all sequences of the matrix's length is at most p_value.
 
-    Exact on scores rounded to `step`: the distribution is folded column by column.
+    Exact on scores rounded to `step`: the distribution is folded column by column. What rounding
+    may have added comes off, so that every sequence of that share reaches the score, but at most
+    half the way to the next lower one.
     """
     scores = np.rint(matrix / step).astype(np.int64)
     low = scores.min(0)
@@ -74,8 +76,13 @@ def threshold(matrix: np.ndarray, p_value: float = 1e-4, *, step: float = 1e-3)
             new[s : s + len(dist)] += dist / 4
         dist = new
     tail = np.cumsum(dist[::-1])[::-1]
-    fine = np.flatnonzero(tail <= p_value)
-    return float(((fine[0] if len(fine) else len(tail)) + low.sum()) * step)
+    reached = np.flatnonzero(dist > 0)
+    fine = reached[tail[reached] <= p_value]
+    if not len(fine):
+        return float((len(dist) + low.sum()) * step)
+    below = reached[reached < fine[0]]
+    half = max(fine[0] - matrix.shape[1] / 2, (fine[0] + below[-1]) / 2 if len(below) else -np.inf)
+    return float((half + low.sum()) * step)
 
 
 def scan(reads: DataFrame, pwm: DataFrame, *, p_value: float | None = 1e-4, at_least: float | None = None, orientations: tuple[str, ...] = ORIENTATIONS, digits: int = 6) -> DataFrame:
@@ -95,7 +102,7 @@ def scan(reads: DataFrame, pwm: DataFrame, *, p_value: float | None = 1e-4, at_l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, text in by_length(batch.column(2)):
+            for rows, text in by_length(batch.column(2), 1):
                 codes = CODE[text]
                 unknown = np.concatenate([np.zeros((len(codes), 1), int), np.cumsum(codes == 4, 1)], 1)
                 safe = np.minimum(codes, 3)
@@ -125,7 +132,7 @@ def widths(pwm: DataFrame) -> DataFrame:
 def centre_histogram(hits: DataFrame, pwm: DataFrame, reads: int, *, split: bool = False) -> DataFrame:
     """(name, orient, centre, share): hits by the motif's centre pos + (m - 1) / 2, over the number
     of reads; split puts half of an even motif's hit on each of its two middle positions."""
-    rows = hits.join(F.broadcast(widths(pwm)), "name")
+    rows = hits.join(widths(pwm), "name")
     if split:
         half = F.array(F.struct((F.col("pos") + F.col("m") / 2 - 1).alias("centre"), F.lit(0.5).alias("n")), F.struct((F.col("pos") + F.col("m") / 2).alias("centre"), F.lit(0.5).alias("n")))
         one = F.array(F.struct((F.col("pos") + (F.col("m") - 1) / 2).alias("centre"), F.lit(1.0).alias("n")))
@@ -144,7 +151,7 @@ def read_hits(hits: DataFrame, pwm: DataFrame) -> DataFrame:
 
     At most four a base of a read meet in a row.
     """
-    rows = hits.join(F.broadcast(widths(pwm)), "name").withColumn("centre", F.col("pos") + (F.col("m") - 1) / 2 + 1)
+    rows = hits.join(widths(pwm), "name").withColumn("centre", F.col("pos") + (F.col("m") - 1) / 2 + 1)
     lists = [F.array_sort(F.collect_list(F.when(F.col("orient") == o, F.col("centre")))).alias(o) for o in ORIENTATIONS]
     return rows.groupBy("sample", "read_no", "name", "m").agg(*lists)
 

@@ -138,6 +138,20 @@ def pwm_scan_hits(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(hits(spark, sf)[0], "score", digits=6)
 
 
+#: The same with each matrix's own threshold: the least score that at most a hundredth of all
+#: sequences of its length reach (scores of a matrix lie well over 0.01 apart).
+WORDS = ", ".join(f"(SELECT unnest(['A', 'C', 'G', 'T']) AS x) w{k}" for k in range(6))
+BY_SHARE = HITS.replace("AND score >= 4.0)", "AND score >= least - 0.005)").replace("hits AS (", f"""allof AS (SELECT name, m, sum(w) AS score FROM (SELECT name, m, word, unnest(range(m)) AS i FROM (SELECT DISTINCT name, m, substr(concat({', '.join(f'w{k}.x' for k in range(6))}), 1, m) AS word FROM width, {WORDS})) a
+  JOIN odds USING (name) WHERE odds.pos = i AND odds.base = substr(word, i + 1, 1) GROUP BY name, m, word),
+tails AS (SELECT name, round(score, 3) AS score, (SELECT count(*) FROM allof b WHERE b.name = a.name AND b.score >= a.score - 0.0005) / pow(4, any_value(m)) AS share FROM allof a GROUP BY name, a.score),
+limits AS (SELECT name, min(score) AS least FROM tails WHERE share <= 0.01 GROUP BY name), hits AS (""").replace("FROM s JOIN width USING (name) WHERE n = m", "FROM s JOIN width USING (name) JOIN limits USING (name) WHERE n = m")
+
+
+@add(f"{BY_SHARE} SELECT sample, read_no, name, orient, pos, score FROM hits")
+def pwm_scan_p_value(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(motif.scan(X.reads(spark, sf), X.pwm_rows(spark), p_value=0.01), "score", digits=6)
+
+
 @add(f"{HITS} SELECT name, orient, pos + (m - 1) / 2 AS centre, {sql_near('count(*) / (SELECT count(*) FROM reads)')} AS share FROM hits GROUP BY ALL")
 def motif_centre_hist(spark: SparkSession, sf: str) -> DataFrame:
     found, pwm = hits(spark, sf)
@@ -243,9 +257,65 @@ def significance_interval(spark: SparkSession, sf: str) -> DataFrame:
     return stats.interval(spark.range(21).select(F.col("id").cast("int").alias("x")).crossJoin(sizes))
 
 
-@add()
+def bending_steps(model: str) -> str:
+    """(oligo, rise, r11 ... r33): rotations of a dinucleotide model, from its fixed values."""
+    oligos, *angles, rise = curve.MODELS[model]
+    known = dict(zip(oligos.split(), zip(*angles)))
+    other = lambda o: o.translate(curve.COMPLEMENT)[::-1]
+    rows = [(o, *(known[o] if o in known else (known[other(o)][0], known[other(o)][1], -known[other(o)][2]))) for o in (a + b for a in "ACGT" for b in "ACGT")]
+    return f"""angles(oligo, twist, roll, tilt) AS (SELECT * FROM {X.values(rows)}),
+    cs AS (SELECT oligo, cos(radians(twist)) AS cw, sin(radians(twist)) AS sw, cos(radians(-roll)) AS cr, sin(radians(-roll)) AS sr, cos(radians(-tilt)) AS ct, sin(radians(-tilt)) AS st FROM angles),
+    step AS (SELECT oligo, {rise} AS rise, cw * ct AS r11, cw * st * sr - sw * cr AS r12, cw * st * cr + sw * sr AS r13, sw * ct AS r21, sw * st * sr + cw * cr AS r22, sw * st * cr - cw * sr AS r23,
+      -st AS r31, ct * sr AS r32, ct * cr AS r33 FROM cs)"""
+
+
+def bent(model: str) -> str:
+    """Curvature in SQL: frames by recursion from the first base on, with inverse steps; what is
+    measured does not depend on where the helix lies. The radius is the three points' circle's."""
+    cells = [f"m{i}{j}" for i in "123" for j in "123"]
+    turned = ", ".join(" + ".join(f"m{i}{k} * r{j}{k}" for k in "123") for i in "123" for j in "123")
+    moved = ", ".join(f"p{i} - rise * (" + " + ".join(f"m{i}{k} * r3{k}" for k in "123") + ")" for i in "123")
+    eye = ", ".join(f"{float(i == j)}::DOUBLE" for i in "123" for j in "123")
+    near = lambda f, k, c, o: f"{f}({c}, {k}) OVER o AS {o}"
+    lagged = [near("lag", 10, f"p{c}", f"a{c}") + ", " + near("lead", 10, f"p{c}", f"c{c}") + ", " + near("lag", 2, f"m{c}3", f"u{c}") + ", " + near("lead", 2, f"m{c}3", f"v{c}") for c in "123"]
+    smooth = [f"(sum(m{c}3) OVER w - 0.5 * coalesce(lag(m{c}3, 5) OVER o, 0) - 0.5 * coalesce(lead(m{c}3, 5) OVER o, 0)) / 10 AS s{c}" for c in "123"]
+    length = "CASE WHEN i >= 5 AND i < n - 5 THEN sqrt(s1 * s1 + s2 * s2 + s3 * s3) ELSE 1 END"
+    wide = [f"lag(t{c}, 15) OVER o AS d{c}, lead(t{c}, 15) OVER o AS e{c}" for c in "123"]
+    dist = lambda x, y: "sqrt(" + " + ".join(f"pow({x}{c} - {y}{c}, 2)" for c in "123") + ")"
+    angle = lambda x, y: f"CASE WHEN greatest({', '.join(f'abs({x}{c} - {y}{c})' for c in '123')}) <= 1e-7 THEN 0 ELSE acos(least(1, greatest(-1, {' + '.join(f'{x}{c} * {y}{c}' for c in '123')}))) END"
+    cross = " + ".join(f"pow((p{a} - a{a}) * (c{b} - a{b}) - (p{b} - a{b}) * (c{a} - a{a}), 2)" for a, b in ("23", "31", "12"))
+    unit = f"({curve.NUCLEOSOME} * 30 * {curve.MODELS[model][-1]})"
+    return f"""WITH RECURSIVE {X.READS}, q AS (SELECT read_no AS id, regexp_replace(seq, '[^ACGT]', '', 'g') AS seq FROM reads), {bending_steps(model)},
+    g(id, i, {', '.join(cells)}, p1, p2, p3) AS (SELECT id, 0, {eye}, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM q WHERE seq <> '' UNION ALL
+      SELECT g.id, i + 1, {turned}, {moved} FROM g JOIN q ON q.id = g.id JOIN step ON oligo = substr(seq, i + 1, 2) WHERE i < length(seq) - 1),
+    b AS (SELECT g.*, length(seq) AS n, substr(seq, i + 1, 1) AS base FROM g JOIN q ON q.id = g.id),
+    l AS (SELECT *, {', '.join(lagged)}, {', '.join(smooth)} FROM b WINDOW o AS (PARTITION BY id ORDER BY i), w AS (PARTITION BY id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+    t AS (SELECT *, {', '.join(f'CASE WHEN n > 10 THEN s{c} / {length} ELSE 0 END AS t{c}' for c in '123')} FROM l), z AS (SELECT *, {', '.join(wide)} FROM t WINDOW o AS (PARTITION BY id ORDER BY i))
+    SELECT id, i::INTEGER AS pos, base, {sql_near(f"CASE WHEN i >= 10 AND i < n - 10 THEN 2 * sqrt({cross}) / ({dist('p', 'a')} * {dist('c', 'p')} * {dist('c', 'a')}) / {curve.NUCLEOSOME} ELSE 0 END")} AS curvature,
+      {sql_near(f"CASE WHEN i >= 2 AND i < n - 2 THEN {angle('u', 'v')} / {unit} ELSE 0 END")} AS bend_angle, {sql_near(f"CASE WHEN i >= 15 AND i < n - 15 THEN {angle('d', 'e')} / {unit} ELSE 0 END")} AS curve_angle FROM z"""
+
+
+def bends(spark: SparkSession, sf: str, model: str) -> DataFrame:
+    out = curve.curved(X.reads(spark, sf), model=model).select("id", "pos", "base", "curvature", "bend_angle", "curve_angle")
+    return rounded(out, "curvature", "bend_angle", "curve_angle")
+
+
+@add(bent("trifonov"))
 def curvature(spark: SparkSession, sf: str) -> DataFrame:
-    return curve.curved(X.reads(spark, sf))
+    return bends(spark, sf, "trifonov")
+
+
+@add(f"SELECT id, count(*) AS bases, max(curvature) AS most, max(curve_angle) AS angle FROM ({bent('desantis')}) GROUP BY id")
+def curvature_desantis(spark: SparkSession, sf: str) -> DataFrame:
+    return bends(spark, sf, "desantis").groupBy("id").agg(F.count("*").alias("bases"), F.max("curvature").alias("most"), F.max("curve_angle").alias("angle"))
+
+
+@add()
+def curvature_coordinates(spark: SparkSession, sf: str) -> DataFrame:
+    """Each read's extent along the axes of its layout."""
+    out = curve.curved(X.reads(spark, sf))
+    extent = [(F.max(f"axis_{c}") - F.min(f"axis_{c}")).alias(c) for c in "xyz"]
+    return rounded(out.groupBy("id").agg(F.count("*").alias("bases"), *extent), "x", "y", "z")
 
 
 @add(f"WITH {X.READS}, w AS (SELECT sample, i::INTEGER AS pos, substr(seq, i + 1, 1) AS kmer FROM reads, range(147) t(i)) SELECT sample, kmer, pos, count(*)::DOUBLE AS val FROM w WHERE kmer <> 'N' GROUP BY ALL HAVING count(*) > 0 AND kmer = 'A'")
