@@ -18,9 +18,10 @@ def position_counts(reads: DataFrame, ks: tuple[int, ...], *, by: tuple[str, ...
 
 def zero_filled(adm: DataFrame, universe: DataFrame, positions: int, *, by: tuple[str, ...] = ("sample",)) -> DataFrame:
     """All k-mers of the universe at all positions; what was not seen is 0."""
-    grid = universe.select("kmer", F.explode(F.sequence(F.lit(0), F.lit(positions - 1))).alias("pos"))
-    if by:
-        grid = adm.select(*by).distinct().crossJoin(F.broadcast(grid))
+    keys = universe.select("kmer")
+    if by:  # samples x k-mers x positions is what is asked for; Spark picks the side to send by its size
+        keys = adm.select(*by).distinct().crossJoin(keys)
+    grid = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(positions - 1))).alias("pos"))
     return grid.join(adm, [*by, "kmer", "pos"], "left").select(*by, "kmer", "pos", F.coalesce("val", F.lit(0)).alias("val"))
 
 
@@ -29,6 +30,11 @@ def trimmed(adm: DataFrame, length: int) -> DataFrame:
     return adm.where(F.col("pos") < F.lit(length) - (F.length("kmer") - 1))
 
 
+def without_mono(adm: DataFrame) -> DataFrame:
+    """Without the rows of single bases."""
+    return adm.where(F.length("kmer") > 1)
+
+
 def line_count(adm: DataFrame, *, at: int = 4, k: int | None = 1, by: tuple[str, ...] = ("sample",)) -> DataFrame:
     """(by..., lines): the counts at one position over k-mers of one length (all if k is None)."""
     rows = adm.where(F.col("pos") == at)

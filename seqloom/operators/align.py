@@ -53,8 +53,11 @@ class Model:
 
 
 def collected(model: DataFrame, length: int) -> Model:
-    """At most 20 rows a position: a few kilobytes, whatever the reads."""
-    rows = model.where(F.length("kmer") <= 2).select("kmer", F.col("pos").cast("int"), F.col("val").cast("double")).limit(20 * length + 20).collect()
+    """At most 20 rows a position: a few kilobytes, whatever the reads; more of them are an error."""
+    most = 20 * length + 20
+    rows = model.where(F.length("kmer") <= 2).select("kmer", F.col("pos").cast("int"), F.col("val").cast("double")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a model of {length} positions has at most {most} rows")
     return Model([tuple(r) for r in rows], length)
 
 
@@ -66,15 +69,24 @@ def best(score: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return at, top, top > LOW
 
 
-def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and bytes of the reads of each length."""
+#: Terms of reads, by offset and position, that are held at once: some 20 MB.
+TERMS = 1 << 21
+
+
+def by_length(column: pa.Array, model: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and bytes of the reads of each length that a model fits in, so many at once that
+    their terms stay within TERMS."""
     texts = column.to_pylist()
     groups: dict[int, list[int]] = {}
     for k, t in enumerate(texts):
         groups.setdefault(len(t or ""), []).append(k)
     for length, rows in groups.items():
-        if length:
-            yield np.array(rows), np.frombuffer("".join(texts[k] for k in rows).encode("ascii", "replace"), np.uint8).reshape(len(rows), length)
+        if length < model:
+            continue
+        step = max(1, TERMS // ((length - model + 1) * model))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            yield np.array(part), np.frombuffer("".join(texts[r] for r in part).encode("ascii", "replace"), np.uint8).reshape(len(part), length)
 
 
 def best_offset(reads: DataFrame, model: DataFrame, *, length: int = 94) -> DataFrame:
@@ -86,9 +98,7 @@ def best_offset(reads: DataFrame, model: DataFrame, *, length: int = 94) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, text in by_length(batch.column(2)):
-                if text.shape[1] < length:
-                    continue
+            for rows, text in by_length(batch.column(2), length):
                 total, _, bad = fitted.terms(text)
                 at, top, ok = best(total, bad)
                 kept = batch.take(pa.array(rows[ok]))
@@ -116,11 +126,9 @@ def leave_window_out(reads: DataFrame, model: DataFrame, *, length: int = 94, wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sample = np.array(batch.column(0).to_pylist(), object)
-            counts: dict[tuple[str, int, int], int] = {}
-            for rows, text in by_length(batch.column(1)):
-                if text.shape[1] < length:
-                    continue
+            names, sample = np.unique(np.array(["" if x is None else x for x in batch.column(0).to_pylist()], str), return_inverse=True)
+            counts = np.zeros((len(names), 16, length), np.int64)
+            for rows, text in by_length(batch.column(1), length):
                 total, by, bad = fitted.terms(text)
                 run_sum = np.concatenate([np.zeros((*by.shape[:2], 1)), np.cumsum(by, 2)], 2)
                 codes = CODE[text]
@@ -143,17 +151,14 @@ def leave_window_out(reads: DataFrame, model: DataFrame, *, length: int = 94, wi
                     for p in places:
                         a, b = codes[np.arange(len(rows)), at + p], codes[np.arange(len(rows)), at + p + 1]
                         fine = ok & (a < 4) & (b < 4)
-                        for s in np.unique(sample[rows[fine]].astype(str)):
-                            here = fine & (sample[rows] == s)
-                            for pair, n in zip(*np.unique(4 * a[here] + b[here], return_counts=True)):
-                                counts[s, int(pair), p] = counts.get((s, int(pair), p), 0) + int(n)
-            keys = list(counts)
+                        counts[:, :, p] += np.bincount(sample[rows[fine]] * 16 + 4 * a[fine] + b[fine], minlength=16 * len(names)).reshape(-1, 16)
+            s, pair, p = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([k[0] for k in keys], pa.string()),
-                    pa.array(["ACGT"[k[1] // 4] + "ACGT"[k[1] % 4] for k in keys], pa.string()),
-                    pa.array([k[2] for k in keys], pa.int32()),
-                    pa.array(list(counts.values()), pa.int64()),
+                    pa.array(names[s].astype(object), pa.string()),
+                    pa.array(["ACGT"[x // 4] + "ACGT"[x % 4] for x in pair], pa.string()),
+                    pa.array(p.astype(np.int32)),
+                    pa.array(counts[s, pair, p]),
                 ],
                 names=["sample", "kmer", "pos", "val"],
             )

@@ -49,16 +49,18 @@ def information(sig: DataFrame, background: DataFrame, universe: DataFrame, *, k
 
     The background has `pseudo` more of each k-mer. With prefill the signal starts with the
     background times background_reads * (read_length - k + 1) / its total; else with `pseudo` too.
-    All samples at once: the background, 4^k rows, is broadcast.
+    What a sample has not seen adds the same for all samples, so its sum is taken once and only
+    the k-mers that a sample has are joined to the background.
     """
     bk = universe.join(background.groupBy("kmer").agg(F.sum("cnt").alias("cnt")), "kmer", "left").select("kmer", (F.coalesce("cnt", F.lit(0)) + pseudo).alias("b"))
     total = bk.agg(F.sum("b").alias("b_all"))
-    bk = bk.crossJoin(F.broadcast(total))
-    start = F.col("b") * (background_reads * (read_length - k + 1)) / F.col("b_all") if prefill else F.lit(pseudo)
-    grid = sig.select("sample").distinct().crossJoin(F.broadcast(bk))
-    rows = grid.join(sig, ["sample", "kmer"], "left").withColumn("s", F.coalesce("cnt", F.lit(0)) + start)
-    # sum of f log2(f / g), f = s / S: from sums over s alone, one grouping.
-    sums = rows.groupBy("sample").agg(F.sum("s").alias("S"), F.sum(F.col("s") * F.log2(F.col("s") * F.col("b_all") / F.col("b"))).alias("x"))
+    bk = bk.crossJoin(F.broadcast(total))  # one row
+    start = F.col("b") * (background_reads * (read_length - k + 1)) / F.col("b_all") if prefill else F.lit(float(pseudo))
+    # sum of f log2(f / g), f = s / S: from sums over s alone.
+    term = lambda s: F.when(s > 0, s * F.log2(s * F.col("b_all") / F.col("b"))).otherwise(0.0)
+    unseen = bk.agg(F.sum(start).alias("S0"), F.sum(term(start)).alias("x0"))
+    seen = sig.join(bk, "kmer").groupBy("sample").agg(F.sum("cnt").alias("n"), F.sum(term(F.col("cnt") + start) - term(start)).alias("d"))
+    sums = seen.crossJoin(F.broadcast(unseen)).select("sample", (F.col("S0") + F.col("n")).alias("S"), (F.col("x0") + F.col("d")).alias("x"))
     return sums.select("sample", (F.col("x") / F.col("S") - F.log2("S")).alias("info"))
 
 

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
 
-#: Fixed patterns of the file names that carry metadata.
+#: Patterns of the file names that carry metadata, of links that carry a consensus, and of
+#: entries that stand for a failure.
 WELL = "-([A-P]\\d{1,2})-"
 PLATE = "([^-]*)-([^-]*)-([^-]*)-([^_YB]*)[YB]*(.)_"
+LINK_KEY = "(?i)^(.*?_.*?)_.*(c4|c3b0)[^.]*\\.svg"
+LINK_SEQUENCE = "(?i)_([^_]*)_m.{1,3}_c.{1,5}\\.svg"
+FAILURE = "(?i)^(fail)|(AA)$"
 BATCH = "(?:^|/)([A-Za-z0-9]*)_([ACGT]+\\d+N[ACGT]*)_(\\d+)"
 
 
@@ -107,12 +111,18 @@ def links(pages: DataFrame, pattern: str, *, html: str = "html") -> DataFrame:
     return pages.select(F.explode(F.regexp_extract_all(F.col(html), F.lit(f"(?i){pattern}"), F.lit(1))).alias("link")).distinct()
 
 
+def unique_in_order(rows: DataFrame, value: str, *, by: str, order: str = "line") -> DataFrame:
+    """(by, vals): each key's distinct values in the order of their first lines."""
+    firsts = rows.groupBy(by, value).agg(F.min(order).alias("_o"))
+    return firsts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(value).alias("v")))), lambda x: x.v).alias("vals"))
+
+
 def consensus_by_key(barcodes: DataFrame, links_: DataFrame, *, batch: str) -> DataFrame:
     """`barcodes` with the consensuses that link names carry: names of the batch, of cycle c4 or
     c3b0, keyed by their first two parts."""
     named = links_.where(F.contains("link", F.lit(f"_{batch}_")))
-    key = F.regexp_extract("link", "(?i)^(.*?_.*?)_.*(c4|c3b0)[^.]*\\.svg", 1)
-    sequence = F.regexp_extract("link", "(?i)_([^_]*)_m.{1,3}_c.{1,5}\\.svg", 1)
+    key = F.regexp_extract("link", LINK_KEY, 1)
+    sequence = F.regexp_extract("link", LINK_SEQUENCE, 1)
     found = named.select(key.alias("_key"), sequence.alias("s")).where("_key <> ''").groupBy("_key").agg(F.array_sort(F.collect_list("s")).alias("consensus"))
     keyed = barcodes.withColumn("_k", F.concat_ws("_", "barcode", F.lit(batch)))
     return keyed.join(found, keyed._k == found._key, "left").drop("_k", "_key").withColumn("consensus", F.coalesce("consensus", F.array().cast("array<string>")))
@@ -128,7 +138,7 @@ def filled(rows: DataFrame, sources: list[DataFrame], *, key: str = "protein", m
     for k, source in enumerate(sources):
         lists = source.groupBy(F.col(key).alias(f"_k{k}")).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "consensus"))), lambda x: x.consensus).alias(f"_s{k}"))
         more = F.col(f"_s{k}")
-        fine = more.isNotNull() & (F.size("consensus") <= most) & ~F.element_at(more, 1).rlike("(?i)^(fail)|(AA)$")
+        fine = more.isNotNull() & (F.size("consensus") <= most) & ~F.element_at(more, 1).rlike(FAILURE)
         out = out.join(lists, out[key] == F.col(f"_k{k}"), "left").withColumn("consensus", F.when(fine, F.concat("consensus", more)).otherwise(F.col("consensus"))).drop(f"_k{k}", f"_s{k}")
     return out
 

@@ -12,13 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 _written: dict[str, SparkSession] = {}
 
 
+#: Folders made for local sessions that have none, by application.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where none is set, as in tests, a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, or the context's.
+
+    A local session without one, as in tests, gets a temporary folder; a cluster's executors would
+    not see each other's, so there it must be set.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="seqloom-"))
 
 
 def stored(df: DataFrame, *, name: str = "table") -> DataFrame:
@@ -34,6 +44,13 @@ def stored(df: DataFrame, *, name: str = "table") -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder for files that go when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Delete what stored() wrote once nothing reads it any more."""
     path = getattr(df, "stored_at", None)
