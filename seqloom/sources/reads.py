@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
-from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: The suffixes that count as reads, the start of the sequencer's record headers.
 SUFFIXES = ("txt", "gz", "fastq", "seq")
@@ -15,60 +13,35 @@ HEADER = "@HISE"
 EVERYTHING = 666666666666666666
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class FastqReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-    def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths] or [_File("")]
-
-    def read(self, part: InputPartition) -> Iterator[tuple]:
-        if not part.path:
-            return
-        path = part.path.removeprefix("file:")
-        with (gzip.open if path.endswith(".gz") else open)(path, "rt", encoding="ascii", errors="replace") as f:
-            number = 0
-            while header := f.readline():
-                seq, plus, qual = (f.readline().rstrip("\r\n") for _ in range(3))
-                yield path, number, header.rstrip("\r\n"), seq, plus, qual
-                number += 1
+def sample_of(path: Column) -> Column:
+    """A file's name without directories and suffixes."""
+    return F.regexp_extract(path, "([^/]*?)(\\.(txt|gz|fastq|seq))*$", 1)
 
 
-class FastqSource(DataSource):
-    """`fastq`: whole records, in the files' order; option `paths` is separated by line feeds.
+def numbered_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(path, line, value): the lines of each file, numbered from 0, whatever store it lies in.
 
-    For headers of any kind. A file is one partition; where records' headers share a prefix,
-    read_fastq() reads them natively and in splits.
+    A large plain file is read in splits: each split's lines are counted, and the sums of those
+    before it (one row a split) are where its own numbers begin.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "fastq"
-
-    def schema(self) -> str:
-        return "path string, number long, header string, seq string, plus string, qual string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return FastqReader([p for p in self.options.get("paths", "").split("\n") if p])
-
-
-def sample_of(path: Column) -> Column:
-    """A file's name without directories and suffixes."""
-    return F.regexp_extract(path, "([^/]*?)(\\.(txt|gz|fastq|seq))*$", 1)
+    block = F.col("_metadata.file_block_start")
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("path", "block", (before - F.col("first")).alias("shift"))
+    return lines.join(starts, ["path", "block"]).select("path", (F.col("id") + F.col("shift")).alias("line"), "value")
 
 
 def read_fastq(spark: SparkSession, paths: list[str] | str, *, prefix: str | None = HEADER) -> DataFrame:
     """(path, sample, read_no, header, seq, plus, qual). With a prefix of all headers the text reader
-    splits at it, so large plain files are read in parallel; without one, a task reads a file."""
+    splits at it, and nothing is shuffled; without one, lines are numbered and every four of them
+    make a record, read_no then counts a file's records from 0. What a file cut short lacks is empty."""
     if prefix is None:
-        spark.dataSource.register(FastqSource)
-        rows = spark.read.format("fastq").option("paths", "\n".join([paths] if isinstance(paths, str) else paths)).load()
-        return rows.select("path", sample_of(F.col("path")).alias("sample"), F.col("number").alias("read_no"), "header", "seq", "plus", "qual")
+        lines = numbered_lines(spark, paths)
+        place = F.col("line") % 4
+        part = lambda k: F.coalesce(F.max(F.when(place == k, F.rtrim("value", F.lit("\r")))), F.lit(""))
+        rows = lines.groupBy("path", F.floor(F.col("line") / 4).alias("read_no")).agg(*[part(k).alias(n) for k, n in enumerate(("header", "seq", "plus", "qual"))])
+        return rows.where(F.col("header") != "").select("path", sample_of(F.col("path")).alias("sample"), "read_no", "header", "seq", "plus", "qual")
     text = spark.read.option("lineSep", "\n" + prefix).text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("read_no"))
     lines = F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n", 4)
     rows = text.where(F.length("value") > 0).withColumn("l", lines)
@@ -83,20 +56,28 @@ def read_text(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return text.where(F.col("seq").rlike("\\w")).select("path", sample_of(F.col("path")).alias("sample"), "read_no", "seq")
 
 
-def is_fastq(spark: SparkSession, path: str) -> bool:
-    first = spark.read.text(path).head(1)
-    return bool(first) and first[0].value.startswith("@")
+def formats(spark: SparkSession, paths: list[str] | str) -> dict[str, bool]:
+    """Path -> whether it is FASTQ, by each file's own first line: one row a file."""
+    text = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    firsts = text.where("block = 0").groupBy("path").agg(F.min_by("value", "id").alias("value"))
+    return {r.path: r.value.startswith("@") for r in firsts.collect()}
 
 
 def read(spark: SparkSession, paths: list[str] | str, *, lines: int | str | None = None, prefix: str | None = HEADER) -> DataFrame:
-    """Reads of text or FASTQ files (by the first line of the first file), at most `lines` a file."""
-    first = paths if isinstance(paths, str) else paths[0]
-    rows = read_fastq(spark, paths, prefix=prefix) if is_fastq(spark, first) else read_text(spark, paths)
+    """Reads of text or FASTQ files, each by its own first line, at most `lines` a file: (path, sample,
+    read_no, seq), and header, plus and qual where all files are FASTQ."""
+    kinds = formats(spark, paths)
+    fastq, text = ([p for p, f in kinds.items() if f is kind] for kind in (True, False))
+    if fastq and text:
+        parts = [read_fastq(spark, fastq, prefix=prefix).select("path", "sample", "read_no", "seq"), read_text(spark, text)]
+        rows = reduce(DataFrame.unionByName, parts)
+    else:
+        rows = read_fastq(spark, fastq, prefix=prefix) if fastq else read_text(spark, paths)
     return rows if lines in (None, "all", EVERYTHING) else first_of_each(rows, int(lines))
 
 
 def first_of_each(rows: DataFrame, n: int, *, by: str = "path", order: str = "read_no") -> DataFrame:
-    """The first n reads of each file; windows of row numbers are cut on the map side."""
+    """The first n reads of each file; Spark cuts the window to n rows a task before it shuffles."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_r") <= n).drop("_r")
 
 
@@ -129,12 +110,12 @@ def discover(spark: SparkSession, root: str, *, folder: str | None = None, suffi
     return found if folder is None else found.where(F.col("path").rlike(f"/[^/]*{folder}[^/]*/"))
 
 
-def read_single(spark: SparkSession, path: str, *, longest: int = 510) -> DataFrame:
-    """(path, name, seq): one FASTA or SEQ sequence a file; only A, C, G and T, at most `longest`."""
+def read_single(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, seq): one FASTA or SEQ sequence a file, whole; only A, C, G and T."""
     text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     name = F.regexp_extract("value", "^>\\s*([^\\r\\n]*)", 1)
     body = F.regexp_replace("value", "^>[^\\r\\n]*", "")
-    return text.select("path", name.alias("name"), F.substring(F.regexp_replace(F.upper(body), "[^ACGT]", ""), 1, longest).alias("seq"))
+    return text.select("path", name.alias("name"), F.regexp_replace(F.upper(body), "[^ACGT]", "").alias("seq"))
 
 
 def random_dna(spark: SparkSession, n: int = 10_000, length: int = 10_000, *, seed: int = 1) -> DataFrame:

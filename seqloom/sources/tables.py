@@ -83,18 +83,38 @@ def write_kmers(counts: DataFrame, path: str) -> None:
     write_table(counts, path, order=[F.desc("freq"), "kmer"])
 
 
-def write_matrix(wide: DataFrame, path: str, *, caption: str | None = None, length: int | None = None) -> None:
+def write_matrix(wide: DataFrame, path: str, *, caption: str | None = None, length: int | None = None, orient: str | None = None) -> None:
     """A key and its values a line, sorted by key; the row `caption` comes first; filled up with 0
-    to `length` values."""
+    to `length` values. `orient` picks the rows of one orientation (ori, rc, r or c)."""
+    if orient is not None:
+        wide = wide.where(F.col("orient") == orient)
     values = F.col("vals") if length is None else F.concat("vals", F.array_repeat(F.lit(0), F.greatest(F.lit(length) - F.size("vals"), F.lit(0))))
     line = F.concat_ws("\t", F.col("kmer"), F.concat_ws("\t", values.cast("array<string>")))
     first = F.when(F.col("kmer") == F.lit(caption or ""), 0).otherwise(1)
     wide.select(first.alias("f"), "kmer", line.alias("value")).orderBy("f", "kmer").coalesce(1).select("value").write.text(path)
 
 
-def write_samples(matched: DataFrame, path: str, *, by: str = "name") -> None:
-    """Demultiplexed reads, a folder a sample; those without one under `unmatched`."""
-    matched.withColumn(by, F.coalesce(F.col(by), F.lit("unmatched"))).write.partitionBy(by).csv(path, sep="\t")
+def write_samples(matched: DataFrame, path: str, *, by: str = "name", least_bytes: int = 0) -> None:
+    """Demultiplexed reads (name, region; header, plus and region_qual if known), a folder a barcode:
+    FASTQ records below `fastq`, the sequences alone below `reads`.
+
+    Reads without a barcode go to `unmatched`, those of samples whose sequences have fewer than
+    `least_bytes` bytes to `small`.
+    """
+    rows = matched.withColumn("_by", F.coalesce(F.col(by), F.lit("unmatched")))
+    if least_bytes:
+        sizes = rows.groupBy("_by").agg(F.sum(F.length("region") + 1).alias("_bytes"))
+        few = sizes.where(F.col("_bytes") < least_bytes).select("_by", F.concat(F.lit("small/"), F.col("_by")).alias("_to"))
+        rows = rows.join(few, "_by", "left").withColumn("_by", F.coalesce("_to", "_by")).drop("_to")
+    have = lambda c, other: F.coalesce(F.col(c), other) if c in matched.columns else other
+    number = F.col("read_no") if "read_no" in matched.columns else F.monotonically_increasing_id()
+    header = have("header", F.concat(F.lit("@"), number.cast("string")))
+    record = F.concat_ws("\n", header, "region", have("plus", F.lit("+")), have("region_qual", F.repeat(F.lit("I"), F.length("region"))))
+    # `/` in a partition's name would be escaped: small samples have a level of their own.
+    small, name = F.startswith("_by", F.lit("small/")), F.regexp_replace("_by", "^small/", "")
+    out = rows.select(F.when(small, "small").otherwise("whole").alias("size"), name.alias(by), record.alias("record"), "region")
+    for folder, column in (("fastq", "record"), ("reads", "region")):
+        out.select("size", by, column).write.partitionBy("size", by).text(f"{path}/{folder}")
 
 
 def write_pwm(pwm: DataFrame, path: str) -> None:
@@ -116,3 +136,17 @@ def plot_rows(adm: DataFrame, *, scale: float = 3.0, offset: float = 0.0) -> Dat
     rank = F.dense_rank().over(Window.partitionBy("sample").orderBy("kmer")) - 1
     keys = adm.select("sample", "kmer").distinct().withColumn("r", rank)
     return adm.join(keys, ["sample", "kmer"]).select("sample", "kmer", "pos", (F.col("val") * scale + F.col("r") * offset).alias("y"))
+
+
+def write_spacings(gaps: DataFrame, path: str, *, by: str = "kind") -> None:
+    """Gap counts (kind, gap, n), a folder a kind (HT, HH, TT or FF, FR, RF, RR), by gap."""
+    gaps.repartition(by).sortWithinPartitions("gap").write.partitionBy(by).csv(path, sep="\t", header=True)
+
+
+def write_spectra(rows: DataFrame, path: str, *, axis: str = "freq", value: str = "power", by: tuple[str, ...] = ("sample", "kmer")) -> None:
+    """A line a spectrum, its keys and then its values along the axis, which is the first line."""
+    ordered = F.array_sort(F.collect_list(F.struct(axis, value)))
+    lines = rows.groupBy(*by).agg(ordered.alias("x")).select(F.lit(1).alias("f"), F.concat_ws("\t", *by, F.transform("x", lambda p: p[value].cast("string"))).alias("value"))
+    head = rows.select(axis).distinct().agg(F.array_sort(F.collect_list(axis)).alias("x"))
+    first = head.select(F.lit(0).alias("f"), F.concat_ws("\t", *[F.lit(c) for c in by], F.transform("x", lambda v: v.cast("string"))).alias("value"))
+    first.unionByName(lines).orderBy("f", "value").coalesce(1).select("value").write.text(path)

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.operators import curvature, demux, dimers, genome, guide, motif, stats
 from seqloom.sources import fixtures, reads as R, tables as T
@@ -197,7 +198,7 @@ def test_tables(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "w")).collect()] == ["freq\t0\t1\t0", "A\t3\t0\t0", "C\t1\t2\t0"]
     rows = spark.createDataFrame([("b1", "ACG"), (None, "TTT")], "name string, region string")
     T.write_samples(rows, str(tmp_path / "demux"))
-    assert {r.name for r in spark.read.csv(str(tmp_path / "demux"), sep="\t").select("name").collect()} == {"b1", "unmatched"}
+    assert {r.name for r in spark.read.text(str(tmp_path / "demux/reads")).select("name").collect()} == {"b1", "unmatched"}
     counts = spark.createDataFrame([("AA", 2, 0.4), ("AC", 3, 0.6)], "kmer string, cnt long, freq double")
     T.write_kmers(counts, str(tmp_path / "kmers"))
     assert [r.kmer for r in spark.read.csv(str(tmp_path / "kmers"), sep="\t", header=True).collect()] == ["AC", "AA"]
@@ -205,3 +206,77 @@ def test_tables(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "r")).first().value == "ACGT"
     T.write_provenance(spark, str(tmp_path / "prov"))
     assert "command" in spark.read.text(str(tmp_path / "prov")).first().value
+
+
+def test_lines_of_files_in_splits(spark, tmp_path):
+    """Numbers go on over the splits of a file; records that a split cuts are whole."""
+    body = "".join(f"@x{i} of any kind\n{'ACGT' * (i % 7 + 1)}\n+\n{'IIII' * (i % 7 + 1)}\n" for i in range(400))
+    for name in ("a.fastq", "b.fastq"):
+        (tmp_path / name).write_text(body)
+    (tmp_path / "cut.fastq").write_text("@x\r\nAC\r\n+\r\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = R.read_fastq(spark, str(tmp_path / "[ab].fastq"), prefix=None)
+        assert R.numbered_lines(spark, str(tmp_path / "a.fastq")).rdd.getNumPartitions() > 1
+        got = {(r.sample, r.read_no): (r.header, r.seq, r.plus, r.qual) for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    assert got == {(s, i): (f"@x{i} of any kind", "ACGT" * (i % 7 + 1), "+", "IIII" * (i % 7 + 1)) for s in "ab" for i in range(400)}
+    assert [tuple(r)[2:] for r in R.read_fastq(spark, str(tmp_path / "cut.fastq"), prefix=None).collect()] == [(0, "@x", "AC", "+", "")]
+
+
+def test_each_file_has_its_own_format(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("ACGT\nGGGG\n")
+    (tmp_path / "b.fastq").write_text("@HISEQ 1\nTTTT\n+\nIIII\n")
+    rows = R.read(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.fastq")])
+    assert sorted((r.sample, r.seq) for r in rows.collect()) == [("a", "ACGT"), ("a", "GGGG"), ("b", "TTTT")]
+    assert sorted((r.sample, r.seq) for r in R.read(spark, str(tmp_path), lines=1).collect()) == [("a", "ACGT"), ("b", "TTTT")]
+
+
+def test_demultiplexed_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "ACGT", "IIII", "@h1"), (2, "a", "GG", "JJ", "@h2"), (3, "b", "T", "K", "@h3"), (4, None, "CC", "LL", "@h4")], "read_no long, name string, region string, region_qual string, header string")
+    T.write_samples(rows, str(tmp_path / "out"), least_bytes=4)
+    got = {(r.path.split("/")[-3], r.path.split("/")[-2], r.header, r.seq, r.qual) for r in R.read_fastq(spark, str(tmp_path / "out/fastq"), prefix=None).collect()}
+    assert got == {("size=whole", "name=a", "@h1", "ACGT", "IIII"), ("size=whole", "name=a", "@h2", "GG", "JJ"), ("size=small", "name=b", "@h3", "T", "K"), ("size=small", "name=unmatched", "@h4", "CC", "LL")}
+    assert {r.seq for r in R.read_text(spark, str(tmp_path / "out/reads")).collect()} == {"ACGT", "GG", "T", "CC"}
+
+
+def test_functions_of_users(spark):
+    from seqloom.operators import extend
+
+    rows = spark.createDataFrame([(f"s{i % 3}" if i % 5 else None, i, "ACGT"[: i % 4 + 1]) for i in range(200)], "sample string, read_no long, seq string").repartition(7)
+    longest = lambda state, frame: max([state, *frame["seq"]], key=lambda s: (len(s), s))
+    got = extend.aggregate_reads(rows, lambda: "", longest, max, lambda s: [(s,), (s.lower(),)], "longest string").collect()
+    assert {(r.sample, r.longest) for r in got} == {(s, x) for s in ("s0", "s1", "s2", None) for x in ("ACGT", "acgt")} and len(got) == 8
+    assert extend.aggregate_reads(rows.limit(0), lambda: "", longest, max, lambda s: [(s,)], "longest string").count() == 0
+    counted = extend.map_files(rows.withColumn("path", F.lit("p")), lambda f: f[["path"]].iloc[:1].assign(n=len(f)), "path string, n long", slices=3)
+    assert sorted(r.n for r in counted.collect()) == [66, 67, 67]
+
+
+def test_layout_of_a_helix(spark):
+    """Ends on the x axis, the farthest point above it, lengths and angles as they were."""
+    rng = np.random.default_rng(5)
+    for name in curvature.MODELS:
+        s = "".join(rng.choice(list("ACGT"), 60))
+        xyz = curvature.coordinates(s, curvature.Model.named(name))
+        out = curvature.laid_out(xyz)
+        axis = out[0] - out[0][0]
+        assert np.allclose(axis[-1, 1:], 0, atol=1e-9) and axis[-1, 0] > 0
+        far = np.linalg.norm(axis[:, 1:], axis=1).argmax()
+        assert np.allclose(axis[far, 1], 0, atol=1e-9) and axis[far, 2] >= 0
+        for k in range(3):
+            assert np.allclose(np.linalg.norm(np.diff(out[k], axis=0), axis=1), np.linalg.norm(np.diff(xyz[k], axis=0), axis=1))
+        assert np.allclose(curvature.curvature(out, 3.38), curvature.curvature(xyz, 3.38))
+    long = spark.createDataFrame([(1, "ACGGT" * 600)], "read_no long, seq string")
+    assert curvature.curved(long).count() == 3000
+
+
+def test_a_model_of_too_many_rows_is_an_error(spark):
+    from seqloom.operators import align
+
+    rows = spark.range(1000).select(F.lit("A").alias("kmer"), (F.col("id") % 5).cast("int").alias("pos"), F.lit(0.1).alias("val"))
+    with pytest.raises(ValueError, match="at most"):
+        align.collected(rows, 5)
