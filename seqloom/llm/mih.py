@@ -11,6 +11,7 @@ retrieves every code within the radius; these are ranked by their exact inner pr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -97,39 +98,49 @@ class Index:
         return found[np.bitwise_count(self.codes[found] ^ code) <= radius]
 
 
-def search(queries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of a block for each query, among the codes within the radius; where these are
-    fewer than k (or than the block has), the radius grows until they are not."""
-    ids, vectors, codes = rows
+Side = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # ids, row numbers, vectors, codes
+
+
+def search(queries: Side, rows: Side, radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, query's id, id, score): the k best of a block for each query, among the codes
+    within the radius; where these are fewer than k (or than the block has), the radius grows until
+    they are not."""
+    ids, numbers, vectors, codes = rows
     index = Index(codes)
-    who, what, score = [], [], []
-    for q, x, code in zip(*queries):
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for q, number, x, code in zip(*queries):
         least, reach = min(k + 1, len(ids)), radius
         while len(found := index.within(code, reach)) < least and reach < BITS:
             reach += 2
-        found = found[ids[found] != q]
-        s = vectors[found].astype(np.float64) @ x
-        best = found_order(s, ids[found], k)
-        who.append(np.full(len(best), q))
-        what.append(ids[found[best]])
-        score.append(s[best])
-    return np.concatenate(who), np.concatenate(what), np.concatenate(score)
+        found = found[numbers[found] != number]
+        best, score = ranked(vectors[found], x, ids[found], k)
+        for column, values in zip(out, (np.full(len(best), number), np.full(len(best), q), ids[found[best]], score)):
+            column.append(values)
+    return tuple(np.concatenate(c) for c in out)
+
 
+def ranked(vectors: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best and their inner products, ties to smaller ids.
 
-def found_order(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    if len(score) > 4 * k:  # ties with the k-th stay in
-        keep = np.flatnonzero(score >= np.partition(score, -k)[-k])
-        return keep[np.lexsort((ids[keep], -score[keep]))][:k]
-    return np.lexsort((ids, -score))[:k]
+    A product that is quick but depends on a row's place picks what may be among the best; their
+    own sums, in an order that is the same for every row, rank them: equal vectors tie.
+    """
+    keep = np.arange(len(vectors))
+    if len(vectors) > 4 * k:
+        rough = vectors @ x
+        slack = 1e-9 * (np.abs(rough).max() + 1e-300) + 1e-12 * np.sqrt((x * x).sum() * (vectors * vectors).sum(1).max())
+        keep = np.flatnonzero(rough >= np.partition(rough, -k)[-k] - slack)
+    score = np.ascontiguousarray(vectors[keep] * x).sum(1)
+    best = np.lexsort((ids[keep], -score))[:k]
+    return keep[best], score[best]
 
 
 def usable(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(id, v): one row an id, vectors of the commonest length that are finite and not zero."""
+    """(id, row, v): the rows whose vectors are finite and not zero, numbered."""
     v = F.col(vector_column).cast("array<double>")
     fine = (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = rows.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull()).where(fine)
-    rows = rows.select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select(F.col(id_column).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), v.alias("v"))
 
 
 def nearest(rows: DataFrame, asked: Column, *, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 20, reach: float = 0.98) -> DataFrame:
@@ -137,67 +148,72 @@ def nearest(rows: DataFrame, asked: Column, *, id_column: str = "vec_id", vector
     nearest other rows by inner product, nearest first, ties to smaller ids.
 
     The share `reach` of true neighbours in the sample sets the radius; recall against brute
-    force is tested. All rows are indexed. Vectors that are null, empty, zero, of an uncommon
-    length or hold null or non-finite components take no part, nor do null ids; of rows
-    repeating an id the smallest vector counts. Fewer candidates than k give fewer rows, an
-    empty table none. Blocks of queries meet blocks of rows, so a task holds one of each,
-    and a pair of blocks hands on k rows a query at most, whatever copies there are.
+    force is tested. All rows are indexed. Vectors that are null, empty, zero or hold null or
+    non-finite components take no part, nor do null ids. Rows that repeat an id are rows like any
+    other: each is a candidate, and each that is asked for has neighbours of its own. Inner products
+    are of vectors of one length, so rows of different lengths never meet. Fewer candidates than k
+    give fewer rows, an empty table none. Blocks of queries meet blocks of rows, so a task holds one
+    of each, and a pair of blocks hands on k rows a query at most, whatever copies there are.
     """
-    spark = rows.sparkSession
     vectors = stored(usable(rows, id_column, vector_column), name="vectors")
-    sizes = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    vectors = vectors.where(F.size("v") == sizes.d)
-    sample = lowest(vectors, F.col("id"), SAMPLE, "id").collect()
-    coder = Coder(np.array([r.v for r in sample]), float(np.sqrt(sizes.most)), k, reach)
-    shared = spark.sparkContext.broadcast(coder)
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    sizes = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(squares).alias("most")).orderBy("d").collect()  # one row a length
+    parts = [_nearest(vectors.where(F.size("v") == s.d), asked, s.n, float(np.sqrt(s.most)), k, reach) for s in sizes]
+    if not parts:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, parts)
+
+
+def _nearest(vectors: DataFrame, asked: Column, n: int, longest: float, k: int, reach: float) -> DataFrame:
+    spark = vectors.sparkSession
+    sample = lowest(vectors, F.col("id"), SAMPLE, "id", "row").collect()
+    shared = spark.sparkContext.broadcast(Coder(np.array([r.v for r in sample]), longest, k, reach))
+    names = ["ids", "numbers", "vectors", "codes"]
 
     def blocks(part: DataFrame, size: int, count: int, queries: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[np.ndarray, np.ndarray]] = []
+            held: list[tuple[np.ndarray, ...]] = []
 
             def out() -> pa.RecordBatch:
-                ids, x = (np.concatenate(c) for c in zip(*held))
+                ids, numbers, x = (np.concatenate(c) for c in zip(*held))
                 held.clear()
-                order = np.argsort(ids)
-                ids, x = ids[order], x[order]
-                raw = [pa.array([c.tobytes()], pa.binary()) for c in (ids, x, shared.value.codes(x, queries))]
-                return pa.RecordBatch.from_arrays([slot, *raw], names=["slot", "ids", "vectors", "codes"])
+                order = np.lexsort((numbers, ids))
+                ids, numbers, x = ids[order], numbers[order], x[order]
+                raw = [pa.array([c.tobytes()], pa.binary()) for c in (ids, numbers, x, shared.value.codes(x, queries))]
+                return pa.RecordBatch.from_arrays([slot, *raw], names=["slot", *names])
 
             for batch in batches:
-                slot = batch.column(2)[:1]
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                slot = batch.column(3)[:1]
+                ids, numbers = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
                 for k in range(0, len(ids), 1024):
-                    held.append((ids[k : k + 1024], x[k : k + 1024]))
+                    held.append((ids[k : k + 1024], numbers[k : k + 1024], x[k : k + 1024]))
                     if sum(len(h[0]) for h in held) + 1024 > size:
                         yield out()
             if held:
                 yield out()
 
-        dealt = part.repartition(count).select("id", "v", F.spark_partition_id().alias("slot"))
-        return map_batches(dealt, run, "slot int, ids binary, vectors binary, codes binary")
+        dealt = part.repartition(count).select("id", "row", "v", F.spark_partition_id().alias("slot"))
+        return map_batches(dealt, run, "slot int, " + ", ".join(f"{c} binary" for c in names))
 
-    n, picked = sizes.n, vectors.where(asked)
     slots = max(1, -(-n // INDEX_ROWS), min(6, -(-n // 4096)))
     index = blocks(vectors, INDEX_ROWS, slots, False)
-    wanted = blocks(picked, QUERY_ROWS, max(1, -(-n // (20 * QUERY_ROWS))), True).drop("slot")
-    names = [F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "codes")]
-    wanted = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), *names)
-    work = wanted.join(index, "slot").select(*[f"q_{c}" for c in ("ids", "vectors", "codes")], "ids", "vectors", "codes")
+    wanted = blocks(vectors.where(asked), QUERY_ROWS, max(1, -(-n // (20 * QUERY_ROWS))), True).drop("slot")
+    wanted = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), *[F.col(c).alias(f"q_{c}") for c in names])
+    work = wanted.join(index, "slot").select(*[f"q_{c}" for c in names], *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         radius = shared.value.radius
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 sides = []
-                for ids, x, codes in (row[:3], row[3:]):
-                    ids = np.frombuffer(ids, np.int64)
-                    sides.append((ids, np.frombuffer(x, np.float64).reshape(len(ids), -1), np.frombuffer(codes, np.uint64)))
+                for ids, numbers, x, codes in (row[:4], row[4:]):
+                    ids, numbers = np.frombuffer(ids, np.int64), np.frombuffer(numbers, np.int64)
+                    sides.append((ids, numbers, np.frombuffer(x, np.float64).reshape(len(ids), -1), np.frombuffer(codes, np.uint64)))
                 got = search(*sides, radius, k)
-                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], names=["query_id", "vec_id", "score"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(got, kinds)], names=["row", "query_id", "vec_id", "score"])
 
-    found = map_batches(work, run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = map_batches(work, run, "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -60,10 +60,29 @@ def test_odd_rows(spark):
     vectors = [[1.0, 0.0], [1.0, 0.0], [0.5, 0.5], None, [0.0, 0.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [1.0, 2.0, 3.0], []]
     rows = [(20 * k, v, 1, 1.0, 1, 1, 1) for k, v in enumerate(vectors)] + [(None, [1.0, 1.0], 1, 1.0, 1, 1, 1), (0, [1.0, 0.0], 1, 1.0, 1, 1, 1)]
     got = mih.nearest(spark.createDataFrame(rows, schema), F.col("id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 20, 1.0), (0, 2, 40, 0.5), (20, 1, 0, 1.0), (20, 2, 40, 0.5), (40, 1, 0, 0.5), (40, 2, 20, 0.5)]
+    # Both rows of id 0 are candidates, of each other too, and both are asked for.
+    zero = [(0, 1, 0, 1.0), (0, 2, 20, 1.0), (0, 3, 40, 0.5)]
+    want = sorted(zero + zero) + [(20, 1, 0, 1.0), (20, 2, 0, 1.0), (20, 3, 40, 0.5), (40, 1, 0, 0.5), (40, 2, 0, 0.5), (40, 3, 20, 0.5)]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == want
     assert mih.nearest(spark.createDataFrame([], schema), F.lit(True)).count() == 0
     one = spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<double>")
     assert mih.nearest(one, F.lit(True)).count() == 0
     same = spark.createDataFrame([(i, [0.6, 0.8]) for i in range(50)], "vec_id long, embedding array<double>")
     got = mih.nearest(same, F.col("id") == 40, k=4).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [0, 1, 2, 3]
+
+
+def test_equal_vectors_tie_wherever_they_stand(spark):
+    rng = np.random.default_rng(6)
+    x, v = rng.standard_normal((3000, 48)), rng.standard_normal(48)
+    twins = rng.choice(3000, 40, replace=False)
+    x[twins] = 3 * v
+    keep, score = mih.ranked(x, v, np.arange(3000)[::-1].copy(), 40)
+    assert sorted(keep) == sorted(twins) and len(set(score)) == 1
+    assert list(keep) == sorted(twins, reverse=True)
+
+
+def test_lengths_never_meet(spark):
+    rows = [(i, [1.0] * (2 + i % 2)) for i in range(40)]
+    got = mih.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") < 2, k=30).collect()
+    assert len(got) == 38 and all((r.query_id - r.vec_id) % 2 == 0 and r.score == 2 + r.query_id % 2 for r in got)
