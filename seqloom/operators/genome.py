@@ -2,52 +2,68 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BIN = 1 << 14
+#: Bins that an interval is cut into at most, but for one at its start; a level's are as many times as
+#: wide as the last one's.
+CUTS = 64
+#: Tasks that the alignments of a bin are dealt to where bins are wide, such as whole chromosomes.
+SALTS = 32
 
 
 def mapped(aln: DataFrame, least: int = 20) -> DataFrame:
     return aln.where(F.col("mapq") >= least)
 
 
-def overlap(aln: DataFrame, bed: DataFrame, *, keep: bool = True, width: int = BIN, long_bins: int = 64) -> DataFrame:
-    """Alignments that overlap some interval (keep) or none. Intervals are half open.
+def levels(aln: DataFrame, bed: DataFrame, width: int) -> list[tuple[int, DataFrame]]:
+    """(width of a bin, intervals with their bins) for each level that intervals need, narrow ones first.
 
-    Intervals are cut into bins, so the join has an equi-key: (chrom, bin) with the overlap as
-    a residual. Intervals of over `long_bins` bins, such as whole chromosomes, would fill too
-    many; they are first merged into a few disjoint ones for each chromosome and joined by it.
+    An alignment has the one bin that it starts in: no bin is narrower than the longest alignment,
+    and an interval also has the bin before its first.
     """
-    wide = F.col("end") - F.col("start") > width * long_bins
-    # An array of its own for what is filtered elsewhere: filters may run after it is built.
-    bins = lambda fits: F.when(fits, F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).otherwise(F.array().cast("array<long>"))
-    some = bed.where("start < end")
-    b = some.where(~wide).select(F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(bins(~wide & (F.col("start") < F.col("end")))).alias("_b"))
-    merged = merge(some.where(wide)).select(F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = (F.col("chrom") == F.col("_c")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end"))
-    rest = aln.join(merged, hit, "left_anti")
-    binned = rest.where("start < end").withColumn("_bin", F.explode(bins(F.col("start") < F.col("end"))))
-    touched = binned.join(b, hit & (F.col("_bin") == F.col("_b")), "left_semi").select(*aln.columns).distinct()
-    short = rest.alias("r").join(touched.alias("t"), _same(aln.columns), "left_semi" if keep else "left_anti")
-    return aln.join(merged, hit, "left_semi").unionByName(short) if keep else short
-
-
-def _same(columns: list[str]):
-    out = F.lit(True)
-    for c in columns:
-        out = out & F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
+    longest = aln.agg(F.max(F.col("end") - F.col("start")).alias("n")).first().n or 0
+    while width < longest:
+        width *= 2
+    size = F.col("end") - F.col("start")
+    level = F.lit(0)
+    for k in (k for k in range(1, 11) if width * CUTS**k < 1 << 62):
+        level = F.when(size > width * CUTS**k, k).otherwise(level)
+    some = bed.where("start < end").select("chrom", "start", "end", level.alias("level"))
+    out = []
+    for (k,) in sorted(some.select("level").distinct().collect()):  # at most ten rows
+        wide = width * CUTS**k
+        cut = F.explode(F.sequence(F.floor(F.col("start") / wide) - 1, F.floor((F.col("end") - 1) / wide)))
+        rows = some.where(F.col("level") == k).select(F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"), cut.alias("_b"))
+        if k:
+            rows = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out.append((wide, rows))
     return out
 
 
-def merge(bed: DataFrame) -> DataFrame:
-    """Disjoint intervals with the same cover."""
-    from pyspark.sql import Window
+def overlap(aln: DataFrame, bed: DataFrame, *, keep: bool = True, width: int = BIN) -> DataFrame:
+    """Alignments that overlap some interval (keep) or none. Intervals are half open; empty ones, and
+    empty alignments, overlap nothing.
 
-    by = Window.partitionBy("chrom").orderBy("start", "end")
-    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = bed.withColumn("_new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)).withColumn("_g", F.sum("_new").over(by))
-    return marked.groupBy("chrom", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("chrom", "start", "end")
+    Intervals are cut into bins whose width goes with their own, and an alignment looks into the
+    one bin of each width that it starts in: (chrom, bin) is the key of a semi- or anti-join, so
+    alignments are neither multiplied nor joined to themselves. Where bins are wide, and hold much
+    of a chromosome, the alignments of a bin are dealt to several tasks.
+    """
+    hits, rest = [], aln
+    for wide, bins in levels(aln, bed, width):
+        on = (F.col("chrom") == F.col("_c")) & (F.floor(F.col("start") / wide) == F.col("_b")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")) & (F.col("start") < F.col("end"))
+        if "_salt" in bins.columns:
+            on &= F.pmod(F.xxhash64("start", "end"), F.lit(SALTS)).cast("int") == F.col("_salt")
+        if keep:
+            hits.append(rest.join(bins, on, "left_semi"))
+        rest = rest.join(bins, on, "left_anti")
+    if not keep:
+        return rest
+    return reduce(DataFrame.union, hits) if hits else aln.limit(0)
 
 
 def without_duplicates(aln: DataFrame, *, by: tuple[str, ...] = ("chrom", "start")) -> DataFrame:

@@ -111,6 +111,12 @@ def test_intervals_against_brute_force(spark):
     want = sorted(x for x in aln + aln[:3] if hits(x))
     assert sorted(map(tuple, genome.overlap(a, b, width=1024).collect())) == want
     assert sorted(map(tuple, genome.overlap(a, b, keep=False, width=1024).collect())) == sorted(x for x in aln + aln[:3] if not hits(x))
+    wide = bed + [(1, 5_000, 5_000 + 1024 * 64 * 3), (0, 190_000, 190_000 + 1024 * 64**3)]
+    many = spark.createDataFrame(wide, "chrom int, start long, end long")
+    assert len(genome.levels(a, many, 1024)) == 4
+    touched = lambda x: any(c == x[1] and s < x[3] and x[2] < e and s < e for c, s, e in wide)
+    assert sorted(map(tuple, genome.overlap(a, many, width=1024).collect())) == sorted(x for x in aln + aln[:3] if touched(x))
+    assert genome.overlap(a, b.limit(0)).count() == 0 and genome.overlap(a, b.limit(0), keep=False).count() == 303
     best = {}
     for x in aln:
         best[x[1], x[2]] = min(best.get((x[1], x[2]), (1, 0)), (-x[4], x[0]))
