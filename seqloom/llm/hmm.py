@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from seqloom.sources.shared import stored
 
-from .common import lowest, map_batches
+from .common import map_batches
 
 #: The end of a text as a token: no word is empty.
 END = ""
@@ -259,16 +259,15 @@ class Vocabulary:
         return symbols, float(self.log_count[known].sum()), float(within), len(known), rest
 
 
-def scored(docs: DataFrame, training: Column, *, id_column: str = "doc_id", text_column: str = "text", states: int = 8, rounds: int = 3, own: int = 4096, common: int = 150_000, first_texts: int = 400, first_rounds: int = 30) -> DataFrame:
+def scored(docs: DataFrame, training: Column, *, id_column: str = "doc_id", text_column: str = "text", states: int = 8, rounds: int = 5, own: int = 4096, common: int = 150_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each input row.
 
     Tokens are words and one end; a null text is empty and has the end alone. base_score is the
     add-one unigram log10 probability under the training tokens, score the model's. Every word
-    of every training text is counted, and all of them train the model: `rounds` Baum-Welch
-    passes whose expected counts are added up across partitions, begun from a model fitted to
-    the `first_texts` texts whose ids hash lowest (a start value only, hence bounded). Exact
-    counts of the `common` commonest words travel to the tasks, the counts of the others, none
-    of them frequent, are joined. Without training texts every symbol is as likely as another.
+    of every training text is counted, and all of them train the model in each of the `rounds`
+    Baum-Welch passes, whose expected counts are added up across partitions. Exact counts of the
+    `common` commonest words travel to the tasks, the counts of the others, none of them frequent,
+    are joined. Without training texts every symbol is as likely as another.
     Repeated rows and null ids stay; other columns are ignored; an empty table gives an
     empty result.
     """
@@ -304,11 +303,7 @@ def scored(docs: DataFrame, training: Column, *, id_column: str = "doc_id", text
     texts = stored(map_batches(numbered, read, "doc_id long, training boolean, number long, symbols binary, logs double, within double, known long, rest array<struct<word string, n int>>"), name="symbols")
 
     model = Model.begin(states, vocabulary.shares)
-    first = lowest(texts.where("training").select("doc_id", "symbols", "number"), F.col("doc_id"), first_texts, "number").collect()
-    sample = [np.frombuffer(bytes(r.symbols), np.uint16) for r in first]
-    for _ in range(first_rounds if sample else 0):
-        model = model.maximised(*model.expected(sample), vocabulary.shares)
-    for _ in range(rounds if sample else 0):
+    for _ in range(rounds if size.n else 0):
         model = across(texts.where("training").select("symbols"), model, vocabulary.shares)
 
     trained = spark.sparkContext.broadcast(model)

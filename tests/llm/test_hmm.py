@@ -64,7 +64,7 @@ def test_rounds_raise_the_likelihood():
 
 def test_base_and_counts_against_brute_force(documents, texts):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    rows = hmm.scored(documents, ~held, own=50, common=200, rounds=2, first_texts=40, first_rounds=5).collect()
+    rows = hmm.scored(documents, ~held, own=50, common=200, rounds=2).collect()
     learned = {r.doc_id for r in documents.where(~held).collect()}
     counts = Counter(w for i in learned for w in [*hmm.words(texts[i]), b""])
     n, v = sum(counts.values()), len(counts)
@@ -92,11 +92,11 @@ def test_a_state_and_its_words_are_a_distribution(spark):
         members = [w for w, i in voc.index.items() if i >= voc.own and hmm.spelling(w.decode()) == g]
         assert abs(sum(counts[w] + 1 for w in members) + 1 - 10 ** voc.below[g]) < 1e-6
     assert abs(voc.shares.sum() - 1) < 1e-9
-    assert hmm.scored(docs, F.lit(True), own=2, rounds=1, first_texts=10, first_rounds=2).count() == 40
+    assert hmm.scored(docs, F.lit(True), own=2, rounds=1).count() == 40
 
 
 def test_odd_rows(spark, odd, none):
-    rows = hmm.scored(odd, F.col("doc_id") != 10, own=4, common=6, rounds=1, first_texts=5, first_rounds=2).collect()
+    rows = hmm.scored(odd, F.col("doc_id") != 10, own=4, common=6, rounds=1).collect()
     assert len(rows) == 11 and all(np.isfinite([r.score, r.base_score]).all() for r in rows)
     by = {r.doc_id: r for r in rows}
     assert by[2].n_tokens == by[3].n_tokens == by[4].n_tokens == 1 and abs(by[2].score - by[4].score) < 1e-12
