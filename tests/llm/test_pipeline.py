@@ -51,8 +51,12 @@ def test_toxic_and_wordless_documents_go_and_clean_ones_stay(spark):
     left = corpus_pipeline.toxic_out(spark, docs, sf).select("doc_id").join(labels, "doc_id").collect()
     total = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     assert sum(r.toxic for r in left) < 0.1 * total[1] and sum(not r.toxic for r in left) > 0.995 * total[0]
-    few = spark.createDataFrame([(1, "123 456", "en", "s", 7), (2, "words here", None, "s", 10), (3, None, "en", "s", 0)], docs.schema)
-    assert [r.doc_id for r in corpus_pipeline.language_out(spark, few, sf).collect()] == [2]
+    few = spark.createDataFrame([(1, "123 456", "en", "s", 7), (2, "words here", None, "s", 10), (3, None, "en", "s", 0), (4, "他の言語の文章がここにある", "en", "s", 13)], docs.schema)
+    # Learned from the few alone, the one language would be that of the fourth text: others are added.
+    few = few.unionByName(docs.where("doc_id < 40"))
+    few = few.withColumn("lang", F.when(F.col("doc_id") < 5, F.lit(None)).otherwise(F.col("lang")))
+    kept = corpus_pipeline.language_out(spark, few, sf).where("source = 's'")
+    assert [r.doc_id for r in kept.collect()] == [2]
     assert ppm.UNKNOWN == "und"
 
 
