@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators import adm as adm_ops
+from seqloom.operators.align import by_length
 
 #: Fixed values of the original spectra: its value of pi, the frequency grid, the bands (in steps
 #: of 1/2000) of the 10.2-base peak and of its background, the step whose phase is told.
@@ -120,29 +121,57 @@ def read_power_summary(powers: DataFrame, *, by: tuple[str, ...] = ("sample", "k
     return powers.groupBy(*by).agg((F.sum("power") / F.sum("n")).alias("ratio"), F.avg(square).alias("mean_square"))
 
 
+def own_hits(text: np.ndarray, key: bytes) -> np.ndarray:
+    """Where the key's non-overlapping hits, found from the left, begin in each row of letters."""
+    k, places = len(key), text.shape[1] - len(key) + 1
+    hit = np.zeros(text.shape, bool)
+    if places < 1:
+        return hit
+    hit[:, :places] = True
+    for j, letter in enumerate(key):
+        hit[:, :places] &= text[:, j : j + places] == letter
+    if any(key[:j] == key[-j:] for j in range(1, k)):  # only such a key can overlap itself
+        free = np.zeros(len(text), np.int64)
+        for i in range(places):
+            hit[:, i] &= free <= i
+            free[hit[:, i]] = i + k
+    return hit
+
+
+#: Points of reads that are transformed at once.
+POINTS = 1 << 20
+
+
 def read_fft_sums(reads: DataFrame, keys: list[str]) -> DataFrame:
     """(sample, kmer, h, freq, power): FFT magnitudes of each read's non-overlapping hits over
     L - 1 points, summed over the reads of a sample.
 
-    Partial sums leave each batch, so what is shuffled doesn't grow with reads. L is a read's own.
+    Reads of one length are transformed together. Partial sums leave each batch, so what is
+    shuffled doesn't grow with reads. L is a read's own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str, int], np.ndarray] = {}
-            for sample, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = len(seq or "") - 1
-                if n < 1:
-                    continue
-                for key in keys:
-                    x, at = np.zeros(n + 1), seq.find(key)
-                    while at >= 0:
-                        x[at] = 1
-                        at = seq.find(key, at + len(key))
-                    sums[sample, key, n] = sums.get((sample, key, n), 0) + np.abs(np.fft.fft(x[:n]))
-            rows = [(s, k, n, h, p) for (s, k, n), y in sums.items() for h, p in enumerate(y.tolist())]
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["sample", "kmer", "n", "h", "power"])
+            names, owner = np.unique(np.array(["" if x is None else x for x in batch.column(0).to_pylist()], str), return_inverse=True)
+            sums: dict[tuple[str, int], np.ndarray] = {}
+            for rows, text in by_length(batch.column(1), 2):
+                n = text.shape[1] - 1
+                for lo in range(0, len(rows), max(1, POINTS // (n + 1))):
+                    part = slice(lo, lo + max(1, POINTS // (n + 1)))
+                    for key in keys:
+                        power = np.abs(np.fft.fft(own_hits(text[part], key.encode())[:, :n], axis=1))
+                        np.add.at(sums.setdefault((key, n), np.zeros((len(names), n))), owner[rows[part]], power)
+            found = [(names[s], k, n, y[s]) for (k, n), y in sums.items() for s in np.flatnonzero(y.any(1))]
+            size = [x[2] for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array(np.repeat(np.array([x[c] for x in found], object), size), pa.string()) for c in (0, 1)),
+                    pa.array(np.repeat(np.array(size, np.int32), size)),
+                    pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in size] or [np.empty(0, np.int32)])),
+                    pa.array(np.concatenate([x[3] for x in found] or [np.empty(0)])),
+                ],
+                names=["sample", "kmer", "n", "h", "power"],
+            )
 
     parts = reads.select("sample", "seq").mapInArrow(run, "sample string, kmer string, n int, h int, power double")
     freq = F.when(F.col("h") * 2 <= F.col("n"), F.col("h") / F.col("n")).otherwise((F.col("h") - F.col("n")) / F.col("n"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators import adm, demux, extend, guide, kmers, spectral
+from seqloom.functions import seq as S
+from seqloom.operators import adm, curvature as curve, demux, extend, guide, kmers, spectral
 from seqloom.plans import positional, rest
 from seqloom.plans.register import Registry, rounded, sql_near
 from seqloom.sources import fixtures as X, reads as R, tables as T
@@ -133,6 +134,79 @@ def adm_without_mono(spark: SparkSession, sf: str) -> DataFrame:
     return adm.without_mono(adm.position_counts(X.reads(spark, sf), (1, 2), by=()))
 
 
+@add(f"WITH {X.READS} SELECT DISTINCT sample, 'part.txt' AS file FROM reads WHERE regexp_matches(sample, '^src[12]')")
+def source_discovered(spark: SparkSession, sf: str) -> DataFrame:
+    """Files below a folder by suffix and by their folder's name."""
+    path = sample_files(spark, sf, F.col("seq"), "found")
+    found = R.discover(spark, path, folder="sample=src[12]")
+    return found.select(folder("sample"), F.regexp_replace("path", "^.*/part-.*\\.txt$", "part.txt").alias("file"))
+
+
+@add(f"WITH {X.READS}, r AS (SELECT sample, seq, row_number() OVER (PARTITION BY sample ORDER BY read_no) AS r FROM reads) SELECT sample, seq FROM r WHERE r <= 50 AND r % 3 <> 0")
+def source_blank_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third line is blank, and no read; of the others the first so many a file, as a test takes them."""
+    rows = X.reads(spark, sf).withColumn("r", F.row_number().over(Window.partitionBy("sample").orderBy("read_no"))).where("r <= 50")
+    path = scratch(spark, "blank")
+    line = F.when(F.col("r") % 3 == 0, " ").otherwise(F.col("seq"))
+    rows.repartition("sample").sortWithinPartitions("sample", "r").select("sample", line.alias("value")).write.partitionBy("sample").text(path)
+    return R.read(spark, path, lines=50).select(folder("sample"), "seq")
+
+
+@add("SELECT n_name || ' of ' || n_nationkey AS name, regexp_replace(upper(repeat(n_name || ' cat ', 300)), '[^ACGT]', '', 'g') AS seq FROM nation")
+def source_fasta(spark: SparkSession, sf: str) -> DataFrame:
+    """One sequence a file, of any length, only A, C, G and T."""
+    path = scratch(spark, "fasta")
+    rows = spark.read.parquet(f"{sf}/nation.parquet")
+    text = F.concat(F.lit(">"), "n_name", F.lit(" of "), F.col("n_nationkey").cast("string"), F.lit("\n"), F.repeat(F.concat("n_name", F.lit("\ncat\n")), F.lit(300)))
+    rows.select("n_nationkey", text.alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    return R.read_single(spark, path).select("name", "seq")
+
+
+@add("SELECT range AS read_no, 200 AS length, 0 AS others FROM range(500)")
+def source_random(spark: SparkSession, sf: str) -> DataFrame:
+    made = R.random_dna(spark, 500, 200)
+    return made.select("read_no", F.length("seq").alias("length"), F.length(F.regexp_replace("seq", "[ACGT]", "")).alias("others"))
+
+
+@add(f"WITH {X.READS} SELECT read_no, translate(seq, 'ACGT', 'TGCA') AS other, trim(substr(seq, 1, 5)) AS bare FROM reads")
+def complement_and_trim(spark: SparkSession, sf: str) -> DataFrame:
+    padded = F.concat(F.lit("\t  "), F.substring("seq", 1, 5), F.lit(" \t "))
+    return X.reads(spark, sf).select("read_no", S.complement("seq").alias("other"), S.trimmed(padded).alias("bare"))
+
+
+@add("SELECT n_nationkey AS pos, n_regionkey AS family FROM nation WHERE n_regionkey NOT IN (0, 1)")
+def guide_not_methylated(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions 0 and 1 stand for methylated samples and for header rows."""
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("pos"), F.col("n_regionkey").alias("number"))
+    named = rows.withColumn("family", F.when(F.col("number") == 0, "bZIP Methylated").when(F.col("number") == 1, "GROUP").when(F.col("number") == 2, F.lit(None).cast("string")).otherwise("ETS"))
+    return guide.not_methylated(named).select("pos", F.col("number").alias("family"))
+
+
+@add(f"""WITH {rest.GUIDE}, r AS (SELECT pos, row_number() OVER (ORDER BY pos) AS by_well, row_number() OVER (ORDER BY line DESC) AS by_number FROM guide) SELECT pos, by_well::VARCHAR AS by_well, by_number::VARCHAR AS by_number FROM r""")
+def sheet_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Sheets written in the order of wells (as strings) and of numbers, and read line by line."""
+    g, found = rest.sheet(spark, sf), []
+    for name, order in (("by_well", ["pos"]), ("by_number", [F.desc("line")])):
+        path = scratch(spark, name)
+        T.write_table(g, path, columns=["pos", "line"], order=order)
+        lines = T.numbered_lines(spark, path).where("value not like 'pos%'")
+        found.append(lines.select(F.split("value", "\t")[0].alias("pos"), F.row_number().over(Window.orderBy("line")).cast("string").alias(name)))  # one sheet
+    return found[0].join(found[1], "pos")
+
+
+@add(f"WITH {X.READS}, {positional.windows(2)}, c AS (SELECT sample, kmer, pos, count(*) AS val FROM w WHERE kmer IN ('AA', 'TA', 'TT') GROUP BY ALL), r AS (SELECT *, dense_rank() OVER (PARTITION BY sample ORDER BY kmer) - 1 AS r FROM c) SELECT sample, kmer, pos, {sql_near('val * 3.0 + r * 10.0')} AS y FROM r")
+def plot_rows(spark: SparkSession, sf: str) -> DataFrame:
+    counts = adm.position_counts(X.reads(spark, sf), (2,)).where("kmer in ('AA', 'TA', 'TT')")
+    return rounded(T.plot_rows(counts, scale=3.0, offset=10.0), "y")
+
+
+@add(f"WITH {X.READS} SELECT read_no AS id, 2 * length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS atoms FROM reads WHERE sample = 'src3' AND regexp_matches(seq, '[ACGT]')")
+def sink_pdb(spark: SparkSession, sf: str) -> DataFrame:
+    """Two phosphates a base pair, each an ATOM record of 66 columns or more."""
+    lines = curve.pdb_lines(curve.curved(X.reads(spark, sf).where("sample = 'src3'")))
+    return lines.where(F.startswith("line", F.lit("ATOM")) & (F.length("line") >= 66)).groupBy("id").agg(F.count("*").alias("atoms"))
+
+
 MANY = [(k, f"NATION_{k % 2}{k if k % 3 else ''}") for k in range(60)]
 
 

@@ -107,6 +107,39 @@ def dft_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "area", "pct", "phase")
 
 
+#: No window: the points themselves; the splice variants leave out points at the start and one at the end.
+def spliced(front: int, drop: int, window: str) -> str:
+    return f"""{PROFILE.format(front=front, drop=drop)}, y AS (SELECT p.lang, p.kmer, x, m, n, (val - m) * {window} AS y FROM p JOIN m ON m.lang = p.lang AND m.kmer = p.kmer),
+f AS (SELECT lang, kmer, h::INTEGER AS h, any_value(m) AS m, any_value(n) AS n, sum(y * cos(2 * {PI} * h * x / 2000)) AS re, -sum(y * sin(2 * {PI} * h * x / 2000)) AS im FROM y, range(600) t(h) GROUP BY ALL),
+s AS (SELECT *, CASE WHEN m <> 0 THEN sqrt(re * re + im * im) / (m * 5.1 * n / 10.2) END AS power FROM f)
+SELECT lang, kmer, {sql_near('sum(power) FILTER (h BETWEEN 189 AND 204)')} AS area, {sql_near('sum(power) FILTER (h BETWEEN 189 AND 204) / sum(power) FILTER (h BETWEEN 149 AND 250)')} AS pct,
+{sql_near(f'atan2(max(im) FILTER (h = 196), max(re) FILTER (h = 196)) / {PI} - 2 * ({{phase}} / 10.204)')} AS phase FROM s GROUP BY ALL"""
+
+
+WELCH = "(1 - pow((x - (n - 1) / 2) / ((n - 1) / 2), 2))"
+
+
+@add(spliced(5, 4, "1").format(phase=5))
+def dft_unwindowed(spark: SparkSession, sf: str) -> DataFrame:
+    """No window, five points off at the start, phase by these five."""
+    rows = spectral.dft_profile(zero_filled(spark, sf, 2), by=("lang",), kind=None, front=5, drop=F.lit(4))
+    return rounded(spectral.peaks(rows, by=("lang",), phase_offset=5.0), "area", "pct", "phase")
+
+
+@add(spliced(0, 1, WELCH).format(phase=28))
+def dft_splice_test(spark: SparkSession, sf: str) -> DataFrame:
+    """The last point always off, whatever k."""
+    rows = spectral.dft_profile(zero_filled(spark, sf, 2), by=("lang",), drop=F.lit(1))
+    return rounded(spectral.peaks(rows, by=("lang",)), "area", "pct", "phase")
+
+
+@add(spliced(7, 1, WELCH).format(phase=7))
+def dft_phase_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Points off at the start, and the phase by as many."""
+    rows = spectral.dft_profile(zero_filled(spark, sf, 2), by=("lang",), front=7, drop=F.lit(1))
+    return rounded(spectral.peaks(rows, by=("lang",), phase_offset=7.0), "area", "pct", "phase")
+
+
 @add(f"""{PROFILE.format(front=5, drop=4)}, f AS (SELECT p.lang, p.kmer, h::INTEGER AS h, any_value(m) AS m, any_value(n) AS n, sum((val - m) * cos(2 * 3.14159 * h * x / 256)) AS re, sum((val - m) * sin(2 * 3.14159 * h * x / 256)) AS im
   FROM p JOIN m ON m.lang = p.lang AND m.kmer = p.kmer, range(129) t(h) GROUP BY ALL)
 SELECT lang, kmer, h, {sql_near('h / 128 / 2', 8)} AS freq, {sql_near('CASE WHEN m <> 0 THEN sqrt(re * re + im * im) / (m * 5.1 * n / 10.2) END')} AS power FROM f""")
@@ -135,6 +168,14 @@ def single_read_power_h196(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spectral.read_power_summary(spectral.read_power(hits, 146), by=("sample",)), "ratio", "mean_square")
 
 
+@add(f"""WITH {X.READS}, h AS (SELECT sample, read_no, i FROM reads, range(146) t(i) WHERE substr(seq, i + 1, 2) = 'TA'),
+p AS (SELECT r.sample, r.read_no, count(i) AS n, coalesce(sum(cos({W} * i)), 0) AS re, coalesce(sum(sin({W} * i)), 0) AS im FROM reads r LEFT JOIN h ON h.sample = r.sample AND h.read_no = r.read_no GROUP BY ALL)
+SELECT sample, {sql_near('sum(sqrt(re * re + im * im)) / sum(n)')} AS ratio, {sql_near('avg(CASE WHEN n > 0 THEN (re * re + im * im) / n END)')} AS mean_square FROM p GROUP BY sample""")
+def single_read_power_uncentred(spark: SparkSession, sf: str) -> DataFrame:
+    hits = X.reads(spark, sf).select("sample", S.overlapping("seq", F.lit("TA")).alias("p"))
+    return rounded(spectral.read_power_summary(spectral.read_power(hits, 146, centred=False), by=("sample",)), "ratio", "mean_square")
+
+
 @add(f"""WITH {X.READS}, k AS (SELECT unnest(['A', 'TA', 'GC', 'CAT']) AS kmer), h AS (SELECT sample, read_no, kmer, i FROM reads, k, range(146) t(i) WHERE substr(seq, i + 1, length(kmer)) = kmer),
 f AS (SELECT sample, read_no, kmer, h::INTEGER AS h, sqrt(pow(sum(cos(2 * pi() * h * i / 146)), 2) + pow(sum(sin(2 * pi() * h * i / 146)), 2)) AS p FROM h, range(146) t(h) GROUP BY ALL)
 SELECT sample, kmer, h, {sql_near('CASE WHEN h <= 73 THEN h / 146 ELSE (h - 146) / 146 END', 8)} AS freq, {sql_near('sum(p)', 4)} AS power FROM f GROUP BY ALL""")

@@ -94,3 +94,16 @@ def test_alignment_against_plain_python(spark):
     assert all(len(r.seq) == 2 * length - m and r.seq[length - m + 0 :][: m + r.offset] for r in shifted)
     counts = align.leave_window_out(reads, model, length=m).collect()
     assert {r.pos for r in counts} == set(range(2, m - 2)) and sum(r.val for r in counts if r.pos == 2) == len(got)
+
+
+def test_non_overlapping_hits_of_many_reads_at_once():
+    rng = np.random.default_rng(0)
+    text = np.frombuffer(b"ACAT", np.uint8)[rng.integers(0, 4, (60, 40))]
+    for key in (b"A", b"AA", b"ACA", b"CAT", b"AAAA", b"ACACAC", b"A" * 41):
+        hit = spectral.own_hits(text, key)
+        for row, marks in zip(text, hit):
+            line, want, at = row.tobytes(), [], 0
+            while (at := line.find(key, at)) >= 0:
+                want.append(at)
+                at += len(key)
+            assert np.flatnonzero(marks).tolist() == want
