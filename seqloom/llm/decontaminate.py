@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 #: Bytes of a text that are gone through at once.
 WINDOW = 4 << 20
+#: Bits of a hashed q-gram in the sieve before several blocks.
+SIEVE_SLOTS = 24
 #: Bytes of benchmark passages that travel to every task at once, their index taking some 40 times
 #: as many; beyond it they go in blocks.
 BLOCK_BYTES = 1 << 20
@@ -49,8 +52,23 @@ def grams(text: np.ndarray) -> np.ndarray:
     return four[:-4] | four[4:] << np.uint64(32)
 
 
-def slot(g: np.ndarray) -> np.ndarray:
-    return (g * MULTIPLIER >> np.uint64(64 - SLOTS)).astype(np.int32)
+def slot(g: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    return (g * MULTIPLIER >> np.uint64(64 - slots)).astype(np.int32)
+
+
+def crowded(at: np.ndarray, classes: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the places `at`, ascending, lie in a run of `least` that fits in `width`, for some class
+    (least, width)."""
+    near = np.zeros(len(at), bool)
+    for least, width in classes:
+        runs = len(at) - least + 1
+        if runs > 0:
+            full = (at[least - 1 :] - at[:runs] < width).astype(np.int32)
+            spread = np.zeros(len(at) + 1, np.int32)
+            spread[:runs] += full
+            spread[least : least + runs] -= full
+            near |= np.cumsum(spread[:-1]) > 0
+    return near
 
 
 def distance_within(passage: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
@@ -98,6 +116,50 @@ def apart(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, i
     return taken
 
 
+def whole_words(raw: np.ndarray, ends: np.ndarray, short: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text number, item, start, end, 0) of passages without a q-gram: only exact, and only where
+    neither neighbour goes on with a word."""
+    if short:
+        for d in range(len(ends) - 1):
+            own = folded(raw[ends[d] : ends[d + 1]]).tobytes()
+            for item, passage in short:
+                free = 0
+                at = own.find(passage)
+                while at >= 0:
+                    stop = at + len(passage)
+                    if at >= free and not (at and WORD[own[at - 1]] and WORD[own[at]]) and not (stop < len(own) and WORD[own[stop]] and WORD[own[stop - 1]]):
+                        yield d, item, at, stop, 0
+                        free = stop
+                    at = own.find(passage, at + 1)
+
+
+class Sieve:
+    """Tells texts that can't hold a passage of any block, by the places of its q-grams' hashes alone."""
+
+    def __init__(self):
+        self.hit = np.zeros(1 << SIEVE_SLOTS, bool)
+        self.classes: list[tuple[int, int]] = []
+        self.short: list[tuple[int, bytes]] = []
+
+    def add(self, block: Passages) -> None:
+        self.short += block.short
+        if block.size:
+            self.hit[slot(block.distinct, SIEVE_SLOTS)] = True
+            self.classes = sorted({*self.classes, *block.classes}, key=lambda c: (c[1], c[0]))
+            while len(self.classes) > 16:  # a class of the least of both and the widest of both loses nothing
+                (a, _), (b, wide), *rest = self.classes
+                self.classes = [(min(a, b), wide), *rest]
+
+    def may(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each text may match."""
+        at = [k + np.flatnonzero(self.hit[slot(grams(folded(raw[k : k + WINDOW + Q - 1])), SIEVE_SLOTS)]) for k in range(0, len(raw), WINDOW)]
+        at = np.concatenate(at or [np.empty(0, np.int64)])
+        out = np.zeros(len(ends) - 1, bool)
+        out[np.searchsorted(ends, at[crowded(at, self.classes)], side="right") - 1] = True
+        out[[d for d, *_ in whole_words(raw, ends, self.short)]] = True
+        return out
+
+
 class Passages:
     """An index of benchmark passages: which q-gram stands where."""
 
@@ -144,15 +206,7 @@ class Passages:
             return
         # A first pass over hashed q-grams (too many at most): keep what lies in a window with
         # enough of them for some class of lengths, as runs of `least` hits that fit in.
-        near = np.zeros(len(at), bool)
-        for least, width in self.classes:
-            runs = len(at) - least + 1
-            if runs > 0:
-                full = (at[least - 1 :] - at[:runs] < width).astype(np.int32)
-                spread = np.zeros(len(at) + 1, np.int32)
-                spread[:runs] += full
-                spread[least : least + runs] -= full
-                near |= np.cumsum(spread[:-1]) > 0
+        near = crowded(at, self.classes)
         at = at[near]
         where = np.searchsorted(self.distinct, g[at])
         where[where == len(self.distinct)] = 0
@@ -189,23 +243,6 @@ class Passages:
                 best.setdefault((d, o), []).append((edits, start + a - int(ends[d]), stop + a - int(ends[d]), shared))
         return [(d, o, *x) for (d, o), spans in sorted(best.items()) for x in apart(spans)]
 
-    def whole_words(self, raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text number, item, start, end, 0) of passages without a q-gram: only exact, and only where
-        neither neighbour goes on with a word."""
-        if not self.short:
-            return
-        for d in range(len(ends) - 1):
-            own = folded(raw[ends[d] : ends[d + 1]]).tobytes()
-            for item, passage in self.short:
-                free = 0
-                at = own.find(passage)
-                while at >= 0:
-                    stop = at + len(passage)
-                    if at >= free and not (at and WORD[own[at - 1]] and WORD[own[at]]) and not (stop < len(own) and WORD[own[stop]] and WORD[own[stop - 1]]):
-                        yield d, item, at, stop, 0
-                        free = stop
-                    at = own.find(passage, at + 1)
-
     def _banded(self, text: np.ndarray, ends: np.ndarray, at: np.ndarray, where: np.ndarray, doc: np.ndarray):
         n = self.count[where]
         index = np.repeat(self.first[where] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -270,32 +307,52 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id",
     stop are bytes of the text, shared the q-grams that its band shares with it. Overlapping regions of one passage give the best one alone.
     Passages under eight bytes match exactly alone, as whole words (shared is 0). Null or empty
     texts have no match; repeated rows give repeated matches; rows with a null id match too.
-    Benchmarks beyond a block (1 MB) are matched block after block over the same documents.
+    A benchmark beyond one block (1 MB) goes block after block over the documents that a sieve over
+    all of its q-grams lets through, which loses none.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    out = None
+    context, sieve, number = docs.sparkSession.sparkContext, Sieve(), 0
+    for items in blocks(benchmark, item_column, "text"):
+        block, number = Passages(items, rate), number + 1
+        sieve.add(block)
+    if number == 1:
+        return _matched(rows, context.broadcast(block))
+    # All documents are gone through once; each block then meets those that may match alone.
+    sent = context.broadcast(sieve)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.may(*utf8(batch.column(1)))))
+
+    left, out = stored(map_batches(rows, sift, "doc_id long, text string"), name="sifted"), None
     for items in blocks(benchmark, item_column, "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(Passages(items, rate))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            passages = shared.value
-            for batch in batches:
-                raw, ends = utf8(batch.column(1))
-                found = passages.found(raw, ends)
-                doc, owner, edits, start, stop, shared = (np.array(x, np.int64) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 6
-                ids = pa.array([passages.ids[o] for o in owner], pa.int64())
-                exact = list(passages.whole_words(raw, ends))
-                if exact:
-                    d, item, *span = (np.array(x, np.int64) for x in zip(*exact))
-                    doc, edits, start, stop, shared = (np.concatenate(x) for x in zip((doc, edits, start, stop, shared), (d, np.zeros(len(d), np.int64), *span)))
-                    ids = pa.concat_arrays([ids, pa.array(item, pa.int64())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), ids, *(pa.array(x.astype(np.int32)) for x in (edits, start, stop, shared))], names=["doc_id", "item_id", "edits", "start", "stop", "shared"])
-
-        part = map_batches(rows, run, "doc_id long, item_id long, edits int, start int, stop int, shared int")
+        shared = context.broadcast(Passages(items, rate))
+        part = stored(_matched(left, shared), name="matches")
+        shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _matched(rows: DataFrame, shared: Broadcast[Passages]) -> DataFrame:
+    """(doc_id, item_id, ...) of rows (doc_id, text) and one block of passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages = shared.value
+        for batch in batches:
+            raw, ends = utf8(batch.column(1))
+            found = passages.found(raw, ends)
+            doc, owner, edits, start, stop, times = (np.array(x, np.int64) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 6
+            ids = pa.array([passages.ids[o] for o in owner], pa.int64())
+            exact = list(whole_words(raw, ends, passages.short))
+            if exact:
+                d, item, *span = (np.array(x, np.int64) for x in zip(*exact))
+                doc, edits, start, stop, times = (np.concatenate(x) for x in zip((doc, edits, start, stop, times), (d, np.zeros(len(d), np.int64), *span)))
+                ids = pa.concat_arrays([ids, pa.array(item, pa.int64())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), ids, *(pa.array(x.astype(np.int32)) for x in (edits, start, stop, times))], names=["doc_id", "item_id", "edits", "start", "stop", "shared"])
+
+    return map_batches(rows, run, "doc_id long, item_id long, edits int, start int, stop int, shared int")
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", rate: float = 0.1) -> DataFrame:
     """The rows of `docs` that hold no benchmark passage; the columns stay as they are.
 

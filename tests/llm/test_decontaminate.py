@@ -156,3 +156,21 @@ def test_windows_of_a_long_text_lose_nothing(monkeypatch):
     assert len(want) >= 12
     monkeypatch.setattr(decontaminate, "WINDOW", 500)
     assert found([(5, PASSAGE)], ["x", text, text[:400]]) == want
+
+
+def test_the_sieve_loses_no_match(spark, documents, texts, monkeypatch):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    matched = {r.doc_id for r in decontaminate.matches(documents, bench).collect()}
+    items = sorted((r.item_id, r.text) for r in bench.collect())
+    sieve = decontaminate.Sieve()
+    for k in range(0, len(items), 3):
+        sieve.add(decontaminate.Passages(items[k : k + 3], 0.1))
+    assert len(sieve.classes) <= 16
+    ids = sorted(texts)
+    for window in (decontaminate.WINDOW, 777):
+        monkeypatch.setattr(decontaminate, "WINDOW", window)
+        may = sieve.may(*common.utf8(pa.array([texts[i] for i in ids])))
+        passed = {i for i, ok in zip(ids, may) if ok}
+        assert matched <= passed < set(ids)  # passages and texts are of the same invented words here
+    sieve.add(decontaminate.Passages([(99, "zq")], 0.1))
+    assert sieve.may(*common.utf8(pa.array(["a zq b", "azq", None, ""]))).tolist() == [True, False, False, False]
