@@ -40,12 +40,21 @@ def count(reads: DataFrame, k: int, *, per_read: bool = False, both_strands: boo
     return reads.select(*by, F.explode(found).alias("kmer")).groupBy(*by, "kmer").agg(F.count("*").alias("cnt"))
 
 
-def origins(reads: DataFrame, k: int, *, by: tuple[str, ...] = ("sample",)) -> DataFrame:
+def occurrences(reads: DataFrame, k: int, *, by: tuple[str, ...] = ("sample",)) -> DataFrame:
+    """(by..., kmer, read_no): a row for each occurrence, as origins() without lists."""
+    return windows(reads, k).select(*by, "kmer", "read_no")
+
+
+def origins(reads: DataFrame, k: int, *, by: tuple[str, ...] = ("sample",), most: int = 10_000_000) -> DataFrame:
     """(by..., kmer, ori): the numbers of the reads with each k-mer, one an occurrence, ascending.
 
-    The list is the result asked for; its length is the k-mer's count.
+    A list is one row, made in one task: where a k-mer has over `most` occurrences, counted
+    first, it raises; occurrences() has the same rows without lists, however many there are.
     """
-    return windows(reads, k).groupBy(*by, "kmer").agg(F.array_sort(F.collect_list("read_no")).alias("ori"))
+    longest = count(reads, k, by=by).agg(F.max("cnt")).first()[0] or 0
+    if longest > most:
+        raise ValueError(f"a {k}-mer has {longest} occurrences, more than {most} for one list")
+    return occurrences(reads, k, by=by).groupBy(*by, "kmer").agg(F.array_sort(F.collect_list("read_no")).alias("ori"))
 
 
 def with_frequency(counts: DataFrame, *, by: tuple[str, ...] = ("sample",), legacy_palindromes: bool = False) -> DataFrame:

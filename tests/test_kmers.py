@@ -37,6 +37,9 @@ def test_hand_computed(spark):
     only = spark.createDataFrame([("s", "GT", 2)], "sample string, kmer string, cnt long")
     assert table(kmers.bin_strands(only)) == {"GT": 2}
     assert [r.ori for r in kmers.origins(reads, 2).where("kmer = 'AA'").collect()] == [[0, 0, 0]]
+    assert kmers.occurrences(reads, 2).where("kmer = 'AA'").count() == 3
+    with pytest.raises(ValueError, match="3 occurrences"):
+        kmers.origins(reads, 2, most=2)
 
 
 def test_sequence_functions(spark):
