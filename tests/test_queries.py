@@ -47,3 +47,13 @@ def test_the_library_stands_without_the_optional_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'kmer_count_all' in q and not any(x.startswith('op') for x in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q); print('ok')"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert out.stdout.strip() == "ok", out.stderr
+
+
+def test_the_library_stands_where_the_optional_subpackage_cannot_be_imported(tmp_path):
+    """A missing dependency of it takes none of the library's own queries with it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for module in ("xxhash", "sentencepiece", "tiktoken"):
+        (tmp_path / f"{module}.py").write_text(f"raise ImportError('no {module}')\n")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'kmer_count_all' in q and 'op10_simhash' not in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q); print('ok')"
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, env={**os.environ, "PYTHONPATH": f"{tmp_path}:{root}"}, capture_output=True, text=True)
+    assert out.stdout.strip() == "ok", out.stderr
