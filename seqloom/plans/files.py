@@ -200,6 +200,19 @@ def plot_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.plot_rows(counts, scale=3.0, offset=10.0), "y")
 
 
+@add(f"{positional.DFT}, a AS (SELECT lang, kmer, h, power, avg(power) OVER (PARTITION BY lang, kmer) AS mean FROM s) SELECT lang, kmer, h, {sql_near('(power - mean) / mean * 6 + 3')} AS y FROM a WHERE mean <> 0")
+def plot_spectra(spark: SparkSession, sf: str) -> DataFrame:
+    out = spectral.dft_profile(positional.zero_filled(spark, sf, 2), by=("lang",))
+    return rounded(T.spectrum_rows(out, by=("lang", "kmer")), "y")
+
+
+@add(f"""{positional.DFT}, k AS (SELECT lang, kmer, sum(power) FILTER (h BETWEEN 189 AND 204) AS area, atan2(max(im) FILTER (h = 196), max(re) FILTER (h = 196)) / {positional.PI} - 2 * (28 / 10.204) AS phase FROM s GROUP BY ALL)
+SELECT lang, kmer, {sql_near('area * cos(phase * pi())')} AS x, {sql_near('area * sin(phase * pi())')} AS y FROM k""")
+def plot_polar(spark: SparkSession, sf: str) -> DataFrame:
+    found = spectral.peaks(spectral.dft_profile(positional.zero_filled(spark, sf, 2), by=("lang",)), by=("lang",))
+    return rounded(T.polar_rows(found, by=("lang", "kmer")), "x", "y")
+
+
 @add(f"WITH {X.READS} SELECT read_no AS id, 2 * length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS atoms FROM reads WHERE sample = 'src3' AND regexp_matches(seq, '[ACGT]')")
 def sink_pdb(spark: SparkSession, sf: str) -> DataFrame:
     """Two phosphates a base pair, each an ATOM record of 66 columns or more."""

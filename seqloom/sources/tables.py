@@ -150,3 +150,16 @@ def write_spectra(rows: DataFrame, path: str, *, axis: str = "freq", value: str
     head = rows.select(axis).distinct().agg(F.array_sort(F.collect_list(axis)).alias("x"))
     first = head.select(F.lit(0).alias("f"), F.concat_ws("\t", *[F.lit(c) for c in by], F.transform("x", lambda v: v.cast("string"))).alias("value"))
     first.unionByName(lines).orderBy("f", "value").coalesce(1).select("value").write.text(path)
+
+
+def spectrum_rows(spectra: DataFrame, *, by: tuple[str, ...] = ("sample", "kmer"), scale: float = 6.0, offset: float = 3.0) -> DataFrame:
+    """(by..., h, y): each spectrum's powers as deviations from their mean, times `scale`, about `offset`;
+    spectra of nothing stay out."""
+    means = spectra.groupBy(*by).agg(F.avg("power").alias("_m")).where("_m <> 0")
+    return spectra.join(means, list(by)).select(*by, "h", ((F.col("power") - F.col("_m")) / F.col("_m") * scale + offset).alias("y"))
+
+
+def polar_rows(peaks: DataFrame, *, by: tuple[str, ...] = ("sample", "kmer")) -> DataFrame:
+    """(by..., x, y): a peak's area in the direction of its phase, which is in units of pi."""
+    angle = F.col("phase") * F.pi()
+    return peaks.select(*by, (F.col("area") * F.cos(angle)).alias("x"), (F.col("area") * F.sin(angle)).alias("y"))
