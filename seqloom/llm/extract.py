@@ -94,6 +94,7 @@ def parsed(page: str) -> Iterator[tuple[str, str, bool, str]]:
     no longer than other.
     """
     at = start = 0  # where to look on, and where the run of text begins
+    sure = -1  # the last > that was found
     shields = True
     text: list[str] = []
     while True:
@@ -102,9 +103,12 @@ def parsed(page: str) -> Iterator[tuple[str, str, bool, str]]:
         if at >= 0 and not (sign in ("!", "?", "/") or sign.isascii() and sign.isalpha()):
             at += 1
             continue
-        if at < 0 or (stop := page.find(">", at)) < 0:
+        if at >= 0 and sure < at:
+            sure = page.find(">", at)
+        if at < 0 or sure < 0:
             text.append(page[start : at if at >= 0 else len(page)])
             break
+        stop = sure
         if sign in ("!", "?"):
             for begin, end in (("<!--", "-->"), ("<![CDATA[", "]]>")):
                 if page.startswith(begin, at):
