@@ -356,9 +356,11 @@ def _matched(rows: DataFrame, shared: Broadcast[Passages]) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", rate: float = 0.1) -> DataFrame:
     """The rows of `docs` that hold no benchmark passage; the columns stay as they are.
 
-    Rows that can't match (null text) are kept. Ids of the rows that match decide, so rows that
-    share an id go together; a row with a null id is kept.
+    Each row is judged by its own text, also where rows share an id or have none; rows that can't
+    match (null text) are kept.
     """
-    leaks = free_name(docs, "_leaks")
-    found = stored(matches(docs, benchmark, id_column=id_column, text_column=text_column, item_column=item_column, rate=rate).select(F.col("doc_id").alias(leaks)).distinct(), name="leaks")
-    return docs.join(found, F.col(id_column).cast("long") == F.col(leaks), "left_anti")
+    leaks, text = free_name(docs, "_leaks"), F.col(text_column).cast("string")
+    own = F.xxhash64(F.col(id_column).cast("long"), text)  # copies of a text are different rows by their ids
+    found = matches(docs.select(own.alias("row"), text.alias("text")), benchmark, id_column="row", item_column=item_column, rate=rate)
+    found = stored(found.select(F.col("doc_id").alias(leaks)).distinct(), name="leaks")
+    return docs.join(found, own == F.col(leaks), "left_anti")

@@ -124,7 +124,9 @@ def test_odd_rows(spark, odd, none):
     assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 3), (1, 1), (6, 1), (6, 1), (10, 3)]
     kept = decontaminate.decontaminated(odd, bench)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 4, 5, 8, 9]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [2, 3, 4, 5, 8, 9]
+    shared = spark.createDataFrame([(1, "x " + PASSAGE), (1, "nothing of the kind"), (None, "nothing of the kind"), (None, PASSAGE)], "doc_id long, text string")
+    assert [r.text for r in decontaminate.decontaminated(shared, spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")).collect()] == ["nothing of the kind"] * 2
     assert decontaminate.matches(none, bench).count() == 0
     assert decontaminate.decontaminated(odd, bench.limit(0)).count() == 11
 
