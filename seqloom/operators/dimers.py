@@ -65,6 +65,7 @@ def nearest_left(rows: DataFrame) -> DataFrame:
 def counts_around(rows: DataFrame, k: int) -> DataFrame:
     """(name, min_dir, kmer, at, n): k-mers without N by their centre's distance to the nearest hit,
     rounded up, plus the read's length less 1. Rows: nearest_left()."""
-    pairs = F.transform(S.kmers("seq", k), lambda x, i: F.struct(x.alias("kmer"), (F.ceil(i + (k + 1) / 2 - F.col("min_dist")) + F.length("seq") - 1).alias("at")))
-    found = rows.select("name", "min_dir", F.explode(pairs).alias("x")).select("name", "min_dir", "x.kmer", "x.at").where(~F.contains("kmer", F.lit("N")))
-    return found.groupBy("name", "min_dir", "kmer", "at").agg(F.count("*").alias("n"))
+    # Exploded before anything is counted from the place, so that a row's own values are made once.
+    found = rows.select("name", "min_dir", "min_dist", F.length("seq").alias("length"), F.posexplode(S.kmers("seq", k)).alias("i", "kmer")).where(~F.contains("kmer", F.lit("N")))
+    at = F.ceil(F.col("i") + (k + 1) / 2 - F.col("min_dist")) + F.col("length") - 1
+    return found.groupBy("name", "min_dir", "kmer", at.alias("at")).agg(F.count("*").alias("n"))

@@ -125,8 +125,14 @@ def scan(reads: DataFrame, pwm: DataFrame, *, p_value: float | None = 1e-4, at_l
     return rows.mapInArrow(run, "sample string, read_no long, name string, orient string, pos int, score double")
 
 
+#: Matrices whose widths travel to all tasks.
+MOST_MATRICES = 100_000
+
+
 def widths(pwm: DataFrame) -> DataFrame:
-    return pwm.groupBy("name").agg((F.max("pos") + 1).cast("int").alias("m"))
+    """(name, m): a row a matrix, marked to travel to the hits if there are few enough."""
+    found = pwm.groupBy("name").agg((F.max("pos") + 1).cast("int").alias("m"))
+    return F.broadcast(found) if found.limit(MOST_MATRICES + 1).count() <= MOST_MATRICES else found
 
 
 def centre_histogram(hits: DataFrame, pwm: DataFrame, reads: int, *, split: bool = False) -> DataFrame:
