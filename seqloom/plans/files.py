@@ -194,7 +194,7 @@ def sheet_order(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].join(found[1], "pos")
 
 
-@add(f"WITH {X.READS}, {positional.windows(2)}, c AS (SELECT sample, kmer, pos, count(*) AS val FROM w WHERE kmer IN ('AA', 'TA', 'TT') GROUP BY ALL), r AS (SELECT *, dense_rank() OVER (PARTITION BY sample ORDER BY kmer) - 1 AS r FROM c) SELECT sample, kmer, pos, {sql_near('val * 3.0 + r * 10.0')} AS y FROM r")
+@add(f"WITH {X.READS}, {positional.windows(2)}, c AS (SELECT sample, kmer, pos, count(*) AS val FROM w WHERE kmer IN ('AA', 'TA', 'TT') GROUP BY ALL), r AS (SELECT *, dense_rank() OVER (PARTITION BY sample ORDER BY kmer) - 1 AS r FROM c) SELECT sample, kmer, pos, {sql_near('val * 3.0::DOUBLE + r * 10.0::DOUBLE')} AS y FROM r")
 def plot_rows(spark: SparkSession, sf: str) -> DataFrame:
     counts = adm.position_counts(X.reads(spark, sf), (2,)).where("kmer in ('AA', 'TA', 'TT')")
     return rounded(T.plot_rows(counts, scale=3.0, offset=10.0), "y")
