@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, hmm, mih, packing, ppm, sharding, simhash, toxicity, unigram
+from . import balltree, decontaminate, extract, hmm, lexical, licenses, mih, packing, ppm, sharding, simhash, toxicity, unigram
 from .common import crc_mod, table
 
 
@@ -57,5 +57,17 @@ def op9_qgram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_best_fit": op1_best_fit, "op2_ppm": op2_ppm, "op3_hmm": op3_hmm, "op4_mih": op4_mih, "op5_line_blocks": op5_line_blocks, "op6_nb_ngrams": op6_nb_ngrams, "op7_bytes": op7_bytes, "op8_unigram": op8_unigram, "op9_qgram": op9_qgram, "op10_simhash": op10_simhash}
-ORACLE = {"op7_bytes": sharding.ORACLE_SQL}
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op13_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_best_fit": op1_best_fit, "op2_ppm": op2_ppm, "op3_hmm": op3_hmm, "op4_mih": op4_mih, "op5_line_blocks": op5_line_blocks, "op6_nb_ngrams": op6_nb_ngrams, "op7_bytes": op7_bytes, "op8_unigram": op8_unigram, "op9_qgram": op9_qgram, "op10_simhash": op10_simhash, "op11_ball_tree": op11_ball_tree, "op12_diagonal_voting": op12_diagonal_voting, "op13_bit_sliced": op13_bit_sliced}
+ORACLE = {"op7_bytes": sharding.ORACLE_SQL, "op11_ball_tree": balltree.ORACLE_SQL, "op12_diagonal_voting": licenses.ORACLE_SQL, "op13_bit_sliced": lexical.ORACLE_SQL}
