@@ -1,7 +1,8 @@
 """DNA curvature from sequence: helix coordinates under bending models, bends and curvature.
 
 One sequence's coordinates are a running product of transforms; the products of all sequences of
-a length in an Arrow batch advance together, and none of them meets another.
+a length in an Arrow batch advance together, and none of them meets another. Sequences of any
+length come in pieces: their transforms are scanned, a product a piece.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.sources.shared import stored
+
 #: The published bending models (twist, roll and tilt in degrees, rise in Angstrom)
 #: as Nucleic Acids Res 22(24) 5498 (1994), table 1, and Trends Biochem Sci 23(9) 341 (1998),
 #: table 1, give them; the phosphate's place; the nucleosome's curvature.
@@ -131,21 +135,27 @@ def helices(sequences: list[str], model: Model) -> np.ndarray:
     """(sequences, 5, n, 3) for sequences of one length n: axis, the strands' phosphates, base pair
     normals, normals smoothed over a turn."""
     count, n = len(sequences), len(sequences[0])
-    away, angle, up = PHOSPHATE
-    p = np.array([away * np.cos(np.radians(angle)), away * np.sin(np.radians(angle)), up])
-    local = np.array([[0, 0, 0, 1], [*p, 1], [-p[0], p[1], -p[2], 1], [0, 0, 1, 0]], float)
     oligos = list(model.steps)
     number = {oligo: k for k, oligo in enumerate(oligos)}
     steps = np.array([model.steps[oligo] for oligo in oligos])
     between = np.array([[number[o] for o in oligo_windows(s, model.order)] for s in sequences], np.int64).reshape(count, n - 1)
     # Base i is moved by all steps from its own on: products from the end, for all sequences at once.
-    moves, now = np.empty((n, count, 4, 4)), np.broadcast_to(np.eye(4), (count, 4, 4))
-    moves[n - 1] = now
+    moves, now = np.empty((count, n, 4, 4)), np.broadcast_to(np.eye(4), (count, 4, 4))
+    moves[:, n - 1] = now
     for i in range(n - 2, -1, -1):
         now = now @ steps[between[:, i]]
-        moves[i] = now
+        moves[:, i] = now
+    return parts_of(moves)
+
+
+def parts_of(moves: np.ndarray) -> np.ndarray:
+    """(sequences, 5, n, 3) of the bases' transforms (sequences, n, 4, 4)."""
+    count, n = moves.shape[:2]
+    away, angle, up = PHOSPHATE
+    p = np.array([away * np.cos(np.radians(angle)), away * np.sin(np.radians(angle)), up])
+    local = np.array([[0, 0, 0, 1], [*p, 1], [-p[0], p[1], -p[2], 1], [0, 0, 1, 0]], float)
     out = np.zeros((count, 5, n, 3))
-    out[:, :4] = np.einsum("nsij,kj->skni", moves, local)[..., :3]
+    out[:, :4] = np.einsum("snij,kj->skni", moves, local)[..., :3]
     if n > 10:
         weights = np.array([0.5, *[1.0] * 9, 0.5]) / 10
         padded = np.zeros((count, n + 10, 3))
@@ -167,13 +177,24 @@ def frame(axis: np.ndarray) -> np.ndarray:
 
     A straight or closed curve has no such direction; any that is perpendicular will do.
     """
-    ends = axis[-1] - axis[0]
-    length = np.linalg.norm(ends)
-    x = ends / length if length > 0 else np.array([1.0, 0.0, 0.0])
-    aside = (axis - axis[0]) - np.outer((axis - axis[0]) @ x, x)
-    reach = np.linalg.norm(aside, axis=1)
-    z = aside[reach.argmax()]
-    if reach.max() <= 1e-9 * max(length, 1.0):
+    x, length = along(axis[0], axis[-1])
+    aside = off_line(axis, axis[0], x)
+    return framed(x, length, aside[np.linalg.norm(aside, axis=1).argmax()])
+
+
+def along(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, float]:
+    """The direction from end to end and the distance."""
+    length = float(np.linalg.norm(last - first))
+    return (last - first) / length if length > 0 else np.array([1.0, 0.0, 0.0]), length
+
+
+def off_line(axis: np.ndarray, first: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """From the line through the ends to each point."""
+    return (axis - first) - np.outer((axis - first) @ x, x)
+
+
+def framed(x: np.ndarray, length: float, z: np.ndarray) -> np.ndarray:
+    if np.linalg.norm(z) <= 1e-9 * max(length, 1.0):
         z = np.eye(3)[np.abs(x).argmin()]
         z = z - (z @ x) * x
     z = z / np.linalg.norm(z)
@@ -265,6 +286,142 @@ def curved(sequences: DataFrame, *, model: str | Model = "trifonov", id_column:
     return rows.mapInArrow(run, "id long, pos int, base string, curvature double, bend_angle double, curve_angle double, " + ", ".join(f"{p} double" for p in places))
 
 
+#: Bases on either side of a piece's own that its bends reach over: 15 to a window's end, 5 to smooth
+#: there, and those of an oligo about a step.
+HALO = 24
+
+
+def cut(sequences: DataFrame, piece: int = 1 << 16, *, id_column: str = "read_no", seq_column: str = "seq") -> DataFrame:
+    """(id, offset, seq): pieces of `piece` bases and the 2 * HALO behind them, of sequences that fit a row,
+    without letters but A, C, G and T. A chromosome comes in pieces from its file: read_fasta."""
+    clean = F.regexp_replace(F.upper(seq_column), "[^ACGT]", "")
+    rows = sequences.select(F.col(id_column).cast("long").alias("id"), clean.alias("seq")).where("seq <> ''")
+    starts = F.sequence(F.lit(0), F.length("seq") - 1, F.lit(piece))
+    parts = F.transform(starts, lambda o: F.struct(o.cast("long").alias("offset"), F.substr("seq", o + 1, F.lit(piece + 2 * HALO)).alias("seq")))
+    return rows.select("id", F.explode(parts).alias("p")).select("id", "p.offset", "p.seq")
+
+
+def suffix_products(steps: np.ndarray) -> np.ndarray:
+    """The products from each step to the last, the later on the left: in blocks side by side, then across."""
+    n = len(steps)
+    side = max(1, int(np.ceil(np.sqrt(n))))
+    blocks = np.broadcast_to(np.eye(4), (side * side, 4, 4)).copy()
+    blocks[:n] = steps
+    blocks = blocks.reshape(side, side, 4, 4)
+    now = np.broadcast_to(np.eye(4), (side, 4, 4))
+    for j in range(side - 1, -1, -1):
+        now = now @ blocks[:, j]
+        blocks[:, j] = now
+    behind, now = np.empty((side, 1, 4, 4)), np.eye(4)
+    for k in range(side - 1, -1, -1):
+        behind[k, 0] = now
+        now = now @ blocks[k, 0]
+    return (behind @ blocks).reshape(-1, 4, 4)[:n]
+
+
+def inverse(move: np.ndarray) -> np.ndarray:
+    """Of a rotation and a shift."""
+    out = np.eye(4)
+    out[:3, :3] = move[:3, :3].T
+    out[:3, 3] = -move[:3, :3].T @ move[:3, 3]
+    return out
+
+
+class Piece:
+    """A piece's own bases from `a` to `b`, and the transforms of all its bases up to its last."""
+
+    def __init__(self, offset: int, seq: str, piece: int, model: Model):
+        self.a, self.b = (HALO if offset else 0), min(len(seq), piece + HALO)
+        number = {oligo: k for k, oligo in enumerate(model.steps)}
+        steps = np.array(list(model.steps.values()))[[number[o] for o in oligo_windows(seq, model.order)]]
+        self.moves = np.concatenate([suffix_products(steps.reshape(-1, 4, 4)), np.eye(4)[None]])
+        self.end = min(self.b, len(seq) - 1)  # the base that the next piece's own begin with, or the last
+
+    def own(self) -> np.ndarray:
+        """The product of its own bases' steps."""
+        return inverse(self.moves[self.end]) @ self.moves[self.a]
+
+    def parts(self, behind: np.ndarray) -> np.ndarray:
+        """(5, n, 3) in the coordinates of the whole, `behind` being the product of all later steps."""
+        return parts_of((behind @ inverse(self.moves[self.end]) @ self.moves)[None])[0]
+
+
+def curved_pieces(pieces: DataFrame, piece: int, *, model: str | Model = "trifonov") -> DataFrame:
+    """What curved() gives, for sequences of any length that come in pieces (id, offset, seq): `piece` bases
+    and 2 * HALO behind them, as cut() and a FASTA file's reader make them; the last ones are shorter.
+
+    Transforms are scanned: each piece's product, the products of all later pieces for each (some
+    numbers a piece of a sequence), then each piece by itself. A piece's own bases are those with HALO on
+    either side, so that bends across borders are whole. The layout needs a sequence's ends, its
+    farthest point and its box, each a sum over pieces; no task holds more than a piece. (id, offset) is
+    unique; a table without rows gives none.
+    """
+    chosen = Model.named(model) if isinstance(model, str) else model
+
+    def each(rows: DataFrame, columns: list[str], schema: str, function) -> DataFrame:
+        """`function` of a piece and its row gives columns."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    one = Piece(row["offset"], row["seq"], piece, chosen)
+                    if one.a < one.b:
+                        yield function(one, row)
+
+        return rows.select("id", "offset", "seq", *columns).mapInArrow(run, schema)
+
+    def one_row(names: list[str], *values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({n: [v.ravel().tolist() if isinstance(v, np.ndarray) else v] for n, v in zip(names, values)})
+
+    products = each(pieces, [], "id long, offset long, move array<double>", lambda p, r: one_row(["id", "offset", "move"], r["id"], r["offset"], p.own()))
+
+    def scan(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("offset", ascending=False)
+        behind, now = [], np.eye(4)
+        for move in frame["move"]:
+            behind.append(now.ravel().tolist())
+            now = now @ np.reshape(move, (4, 4))
+        # The last base lies at the origin, the first where all steps together move it.
+        return frame.assign(behind=behind, first=[now[:3, 3].tolist()] * len(frame))[["id", "offset", "behind", "first"]]
+
+    scanned = products.groupBy("id").applyInPandas(scan, "id long, offset long, behind array<double>, first array<double>")
+    placed = stored(pieces.join(scanned, ["id", "offset"]), name="pieces")
+
+    def farthest(p: Piece, row: dict) -> pa.RecordBatch:
+        x, _ = along(np.array(row["first"]), np.zeros(3))
+        aside = off_line(p.parts(np.reshape(row["behind"], (4, 4)))[0, p.a : p.b], np.array(row["first"]), x)
+        reach = np.linalg.norm(aside, axis=1)
+        k = int(reach.argmax())
+        return one_row(["id", "reach", "before", "z", "first"], row["id"], float(reach[k]), -(row["offset"] + p.a + k), aside[k], row["first"])
+
+    reaches = each(placed, ["behind", "first"], "id long, reach double, before long, z array<double>, first array<double>", farthest)
+    bulges = reaches.groupBy("id").agg(F.max(F.struct("reach", "before", "z", "first")).alias("m")).select("id", "m.z")
+    turned = placed.join(stored(bulges, name="bulges"), "id")
+
+    def laid(p: Piece, row: dict) -> np.ndarray:
+        x, length = along(np.array(row["first"]), np.zeros(3))
+        return p.parts(np.reshape(row["behind"], (4, 4))) @ framed(x, length, np.array(row["z"])).T
+
+    def box(p: Piece, row: dict) -> pa.RecordBatch:
+        points = laid(p, row)[:3, p.a : p.b].reshape(-1, 3)
+        return one_row(["id", "low", "high"], row["id"], points.min(0), points.max(0))
+
+    boxes = each(turned, ["behind", "first", "z"], "id long, low array<double>, high array<double>", box)
+    middle = [((F.min(F.col("low")[c]) + F.max(F.col("high")[c])) / 2).alias(f"m{c}") for c in range(3)]
+    middles = stored(boxes.groupBy("id").agg(*middle).select("id", F.array("m0", "m1", "m2").alias("middle")), name="middles")
+    places = [f"{p}_{c}" for p in PARTS for c in "xyz"]
+
+    def bases(p: Piece, row: dict) -> pa.RecordBatch:
+        xyz = laid(p, row)
+        xyz[:3] -= np.array(row["middle"])
+        bends, xyz = curvature(xyz, chosen.rise)[:, p.a : p.b], xyz[:, p.a : p.b]
+        n = p.b - p.a
+        columns = [pa.array([row["id"]] * n, pa.int64()), pa.array(row["offset"] + np.arange(p.a, p.b)), pa.array(list(row["seq"][p.a : p.b])), *map(pa.array, bends), *(pa.array(np.ascontiguousarray(xyz[j, :, c])) for j in range(5) for c in range(3))]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "pos", "base", "curvature", "bend_angle", "curve_angle", *places])
+
+    return each(turned.join(middles, "id"), ["behind", "first", "z", "middle"], "id long, pos long, base string, curvature double, bend_angle double, curve_angle double, " + ", ".join(f"{c} double" for c in places), bases)
+
+
 def pdb_lines(curved_rows: DataFrame) -> DataFrame:
     """(id, serial, line): a PDB ATOM record of each phosphate, first strand's then the other's."""
     line = lambda serial, chain, name, at: F.format_string(f"ATOM  %5d  P    D%s {chain}%4d    %8.3f%8.3f%8.3f  1.00  0.00           P", serial, name, F.col("pos") + 1, *[F.col(f"{at}_{c}") for c in "xyz"])

@@ -2,8 +2,10 @@
 
 Three-anchor rule: a read goes if any of its windows of w bases equals the head, middle or end
 window of a read that was kept before it. The order is that of the sequences, so the outcome is
-deterministic; it is found as a fix point over the anchors that several reads hold, and once few
-enough of these are left to decide, in the order itself.
+deterministic. Decisions are made in rounds: a read that no smaller undecided one hits stays, and
+what it hits goes. After a few rounds what is left falls apart into groups of reads that share no
+anchor with others: each is settled in order by itself, many at once, and of a group beyond
+a bound its first block in the order, before the next round.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.components import components
 from seqloom.sources.shared import discard, stored
 
 
@@ -27,90 +30,145 @@ def exact(reads: DataFrame) -> DataFrame:
 
 #: Holders of an anchor that one task meets; an anchor that more reads hold is dealt to several.
 HELD = 20_000
-#: Undecided holdings that one task decides read by read: some 20 MB.
-FEW = 500_000
+#: Holdings of a group that are settled in order at once: some 10 MB.
+BOUND = 200_000
+#: Rounds before groups are looked for: they halve the reads, while looking costs more than a round.
+EARLY = 3
+#: Shares of a group's order at which its first block may end.
+SHARES = [0.5**k for k in range(1, 31)]
 
 
-def incidences(numbered: DataFrame, width: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(w, a, parts): the anchors of each read; (w, s, part): which reads hold which anchor, where at
-    least two do. Reads are (id, seq), the ids in the order of the sequences.
+def holdings(numbered: DataFrame, width: int = 20) -> DataFrame:
+    """(w, s, own, part, parts): which reads hold which anchor, their own or another's, where at least two
+    do. Reads are (id, seq), the ids in the order of the sequences.
 
-    Reads meet at anchors, never each other: both tables grow with the reads, however many of
+    Reads meet at anchors, never each other: the table grows with the reads, however many of
     them share an anchor, and the holders of one anchor are dealt to as many parts as they need.
     """
     w = F.least(F.length("seq"), F.lit(width))
     last = F.length("seq") - w
     cut = lambda starts: F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("seq"), i + 1, w)))
-    sources = numbered.select(F.col("id").alias("a"), F.explode(cut(F.array(F.lit(0), F.floor((last + 1) / 2).cast("int"), last))).alias("w"))
-    windows = numbered.select(F.col("id").alias("s"), F.explode(cut(F.sequence(F.lit(0), last))).alias("w"))
-    held = stored(windows.join(sources.select("w").distinct(), "w", "left_semi"), name="held")
+    anchors = cut(F.array(F.lit(0), F.floor((last + 1) / 2).cast("int"), last))
+    sources = numbered.select(F.explode(anchors).alias("w"))
+    windows = numbered.select(F.col("id").alias("s"), anchors.alias("a"), F.explode(cut(F.sequence(F.lit(0), last))).alias("w"))
+    held = stored(windows.select("w", "s", F.array_contains("a", F.col("w")).alias("own")).join(sources.distinct(), "w", "left_semi"), name="held")
     shared = held.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w", F.ceil(F.col("n") / HELD).cast("int").alias("parts"))
-    shared = stored(shared, name="shared")
-    holders = held.join(shared, "w").select("w", "s", F.pmod(F.xxhash64("s"), "parts").cast("int").alias("part"))
-    return sources.join(shared, "w").select("w", "a", "parts"), holders
+    return held.join(shared, "w").select("w", "s", "own", F.pmod(F.xxhash64("s"), "parts").cast("int").alias("part"), "parts")
 
 
-def hit(holders: DataFrame, sources: DataFrame) -> DataFrame:
-    """(s): reads that hold an anchor of a smaller read among the sources."""
-    least = sources.groupBy("w").agg(F.min("a").alias("a"), F.first("parts").alias("parts"))
-    least = least.select("w", "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return holders.join(least, ["w", "part"]).where("a < s").select("s").distinct()
+def to_parts(of_anchor: DataFrame) -> DataFrame:
+    """A row a part of each anchor: what many holders are joined with, part by part."""
+    return of_anchor.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def hit(held: DataFrame, sources: DataFrame) -> DataFrame:
+    """(s): reads that hold an anchor of a smaller read among the sources, which are holdings of their own."""
+    least = sources.groupBy("w").agg(F.min("s").alias("a"), F.first("parts").alias("parts"))
+    return held.join(to_parts(least), ["w", "part"]).where("a < s").select("s").distinct()
 
 
 def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rule itself over rows (id, w, own) in the order of ids: which reads go."""
-    kept: set[str] = set()
-    gone: list[int] = []
+    """The rule itself over rows (component, s, w, own), by component and in the order of reads: (s, goes).
 
-    def decide(read: int, windows: list[str], own: list[str]) -> None:
-        if kept.isdisjoint(windows):
+    It holds the anchors kept in one component at a time.
+    """
+    kept: set[str] = set()
+    decided: list[tuple[int, bool]] = []
+    component = read = None
+    windows: list[str] = []
+    own: list[str] = []
+
+    def decide() -> None:
+        goes = not kept.isdisjoint(windows)
+        if not goes:
             kept.update(own)
-        else:
-            gone.append(read)
+        decided.append((read, goes))
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*decided)) or [(), ()]
+        decided.clear()
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_())], names=["s", "goes"])
 
-    now, windows, own = None, [], []
     for batch in batches:
-        for read, w, mine in zip(*(c.to_pylist() for c in batch.columns)):
-            if read != now:
-                if now is not None:
-                    decide(now, windows, own)
-                now, windows, own = read, [], []
-            (own if mine else windows).append(w)
-    if now is not None:
-        decide(now, windows, own)
-    yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["s"])
-
-
-def three_anchor(reads: DataFrame, *, width: int = 20, strict: bool = False, rounds: int = 1000, few: int = FEW) -> DataFrame:
+        for c, s, w, mine in zip(*(x.to_pylist() for x in batch.columns)):
+            if (c, s) != (component, read):
+                if read is not None:
+                    decide()
+                if c != component:
+                    kept.clear()
+                component, read = c, s
+                windows, own = [], []
+            windows.append(w)
+            if mine:
+                own.append(w)
+        yield out()
+    if read is not None:
+        decide()
+    yield out()
+
+
+def by_components(held: DataFrame, bound: int) -> DataFrame:
+    """(s, goes): decisions on all reads of groups of at most `bound` holdings, and on the first such block
+    of larger ones. Reads of a group share no anchor with those of another, and no read
+    behind a block has a say in it, so both are those of the whole order."""
+    least = held.groupBy("w").agg(F.min("s").alias("m"), F.first("parts").alias("parts"))
+    stars = held.join(to_parts(least), ["w", "part"]).where("s <> m").select(F.col("s").alias("u"), F.col("m").alias("v"))
+    group = components(stars)
+    placed = held.join(group, held.s == group.node, "left").select(F.coalesce("component", "s").alias("component"), "s", "w", "own")
+    placed = stored(placed, name="placed")
+    large = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > bound)
+    # The first share of a large group's order that stays within the bound; sketches merge on the map side.
+    ends = placed.join(large, "component").groupBy("component").agg(F.first("n").alias("n"), F.percentile_approx("s", SHARES, 10_000).alias("ends"))
+    which = F.least(F.greatest(F.ceil(F.log2(F.col("n") / bound)), F.lit(1)), F.lit(len(SHARES))).cast("int")
+    ends = stored(ends.select("component", F.element_at("ends", which).alias("end")), name="blocks")
+    first = placed.join(ends, "component", "left").where("end is null or s <= end").select("component", "s", "w", "own")
+    dealt = first.repartition("component").sortWithinPartitions("component", "s")
+    return stored(dealt.mapInArrow(in_order, "s long, goes boolean"), name="decided")
+
+
+def three_anchor(reads: DataFrame, *, width: int = 20, strict: bool = False, rounds: int = 1000, bound: int = BOUND, early: int = EARLY) -> DataFrame:
     """Distinct reads that the rule keeps; strict drops every read that a smaller one's anchor hits,
     kept or not. Empty sequences never conflict; a read shorter than `width` is its own anchor.
 
     Each round keeps the undecided reads that no smaller undecided one hits (the smallest is
-    always among them) and drops what these hit. As soon as at most `few` holdings are undecided
-    one task takes them in order, so that a long chain of decisions costs no long row of rounds.
-    Beyond `rounds` it raises: a part of a result is never returned.
+    always among them) and drops what these hit. After `early` rounds groups of at most `bound`
+    holdings are settled in order first, and a block of that size of each larger one, so that a long
+    chain of decisions costs no long row of rounds. Beyond `rounds` it raises: a part of a result
+    is never returned.
     """
     unique = exact(reads)
     numbered = stored(unique.orderBy("seq").withColumn("_id", F.monotonically_increasing_id()), name="numbered")
-    sources, holders = (stored(x, name="anchors") for x in incidences(numbered.where(F.length("seq") > 0).select(F.col("_id").alias("id"), "seq"), width))
-    parts = [hit(holders, sources)] if strict else []
-    for _ in range(0 if strict else rounds):
-        undecided = holders.count()
-        if undecided <= few:
-            rows = holders.select(F.col("s").alias("id"), "w", F.lit(False).alias("own")).union(sources.select("a", "w", F.lit(True)))
-            parts.append(rows.repartition(1).sortWithinPartitions("id").mapInArrow(in_order, "s long"))
-            break
-        free = stored(holders.select("s").distinct().join(hit(holders, sources), "s", "left_anti"), name="kept")
-        gone = stored(hit(holders, sources.join(free, sources.a == free.s, "left_semi")), name="dropped")
+    held = stored(holdings(numbered.where(F.length("seq") > 0).select(F.col("_id").alias("id"), "seq"), width), name="anchors")
+    parts = [hit(held, held.where("own"))] if strict else []
+
+    def without(rows: DataFrame, *decided: DataFrame) -> DataFrame:
+        left = rows
+        for d in decided:
+            left = left.join(d.select(F.col("s").alias("d")), F.col("s") == F.col("d"), "left_anti")
+        left = stored(left, name="anchors")
+        discard(rows)
+        return left
+
+    def drops(rows: DataFrame, kept: DataFrame) -> DataFrame:
+        """What the kept reads among `rows` hit."""
+        gone = stored(hit(rows, rows.where("own").join(kept.select(F.col("s").alias("k")), F.col("s") == F.col("k"), "left_semi")), name="dropped")
         parts.append(gone)
-        done = free.union(gone).withColumnRenamed("s", "d")
-        new_holders = stored(holders.join(done, holders.s == done.d, "left_anti"), name="anchors")
-        new_sources = stored(sources.join(done, sources.a == done.d, "left_anti"), name="anchors")
-        for old in (holders, sources, free):
-            discard(old)
-        holders, sources = new_holders, new_sources
+        return gone
+
+    for number in range(0 if strict else rounds):
+        if held.isEmpty():
+            break
+        if number >= early:
+            decided = by_components(held, bound)
+            parts.append(decided.where("goes").select("s"))
+            held = without(held, decided, drops(held, decided.where("not goes")))
+            if held.isEmpty():
+                break
+        free = stored(held.select("s").distinct().join(hit(held, held.where("own")), "s", "left_anti"), name="kept")
+        held = without(held, free, drops(held, free))
+        discard(free)
     else:
         if not strict:
             raise RuntimeError(f"the three-anchor rule did not settle in {rounds} rounds")
-    dropped = reduce(DataFrame.union, parts)
+    dropped = reduce(DataFrame.union, parts) if parts else numbered.select(F.col("_id").alias("s")).limit(0)
     return numbered.join(dropped, numbered._id == dropped.s, "left_anti").drop("_id")

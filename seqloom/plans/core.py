@@ -189,6 +189,12 @@ def dedup_anchor_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.three_anchor(X.bare(X.reads(spark, sf))).select("seq")
 
 
+@add(GREEDY)
+def dedup_anchor_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by groups from the start, with blocks of 1,000 holdings."""
+    return dedup.three_anchor(X.bare(X.reads(spark, sf)), early=0, bound=1000).select("seq")
+
+
 @add(f"WITH {X.READS} SELECT read_no, sample, reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) AS rc, rpad(seq, 160, 'N') AS padded FROM reads")
 def revcomp_and_padding(spark: SparkSession, sf: str) -> DataFrame:
     return X.reads(spark, sf).select("read_no", "sample", S.revcomp("seq").alias("rc"), S.pad_end("seq", 160).alias("padded"))

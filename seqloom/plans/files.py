@@ -162,6 +162,34 @@ def source_fasta(spark: SparkSession, sf: str) -> DataFrame:
     return R.read_single(spark, path).select("name", "seq")
 
 
+TEXTS = f"texts AS (SELECT doc_id, source AS sample, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{X.LETTERS}', '{X.AS_BASES}') AS seq FROM documents)"
+
+
+def fasta_file(spark: SparkSession, sf: str, width: int = 60) -> str:
+    """All texts as records of FASTA files: their bases in lines of `width`."""
+    path = scratch(spark, "fasta")
+    docs = X.spread(spark.read.parquet(f"{sf}/documents.parquet"))
+    bases = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), X.LETTERS, X.AS_BASES)
+    lines = F.array_join(F.regexp_extract_all(bases, F.lit(f".{{1,{width}}}"), F.lit(0)), "\n")
+    docs.select(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" "), F.col("source"), F.lit("\n"), lines).alias("value")).write.text(path)
+    return path
+
+
+@add(f"WITH {TEXTS} SELECT doc_id, length(seq) AS n, md5(seq) AS digest FROM texts WHERE seq <> ''")
+def source_fasta_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of many lines in pieces of 700 letters, and put together again."""
+    pieces = R.read_fasta(spark, fasta_file(spark, sf), piece=700)
+    whole = pieces.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "seq"))), lambda x: x.seq), "").alias("seq"))
+    return whole.select(F.split("name", " ")[0].cast("long").alias("doc_id"), F.length("seq").cast("long").alias("n"), F.md5("seq").alias("digest"))
+
+
+@add(f"WITH {TEXTS}, w AS (SELECT sample, unnest(list_transform(range(0, length(seq) - 5), lambda i: substr(seq, i + 1, 6))) AS kmer FROM texts) SELECT sample, kmer, count(*) AS cnt FROM w WHERE NOT contains(kmer, 'N') GROUP BY ALL")
+def source_fasta_kmers(spark: SparkSession, sf: str) -> DataFrame:
+    """6-mers of whole records, also across the borders of their pieces."""
+    pieces = R.read_fasta(spark, fasta_file(spark, sf), piece=1000, overlap=5)
+    return kmers.count(pieces.select(F.split("name", " ")[1].alias("sample"), "seq"), 6)
+
+
 @add("SELECT range AS read_no, 200 AS length, 0 AS others FROM range(500)")
 def source_random(spark: SparkSession, sf: str) -> DataFrame:
     made = R.random_dna(spark, 500, 200)

@@ -118,6 +118,43 @@ def read_single(spark: SparkSession, path: str) -> DataFrame:
     return text.select("path", name.alias("name"), F.regexp_replace(F.upper(body), "[^ACGT]", "").alias("seq"))
 
 
+def read_fasta(spark: SparkSession, paths: list[str] | str, *, piece: int = 1 << 16, overlap: int = 0, drop: str = "[^A-Z]") -> DataFrame:
+    """(path, record, name, offset, seq): pieces of every record of FASTA files, of `piece` letters and
+    `overlap` of what comes behind them, in capitals without what `drop` matches.
+
+    Each window of overlap + 1 letters begins in one piece alone, so pieces can be counted like reads.
+    A record may be as long as a chromosome: of each split of a file the header in force at its end and
+    the letters since then are carried on to the next (a row a split), lines find their places in
+    their records by them, and go to the pieces that they reach into. What comes before a first header
+    is a record without a name; records without letters have no rows.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    head = F.startswith("value", F.lit(">"))
+    lines = lines.select("path", "block", "id", F.when(head, F.trim(F.regexp_replace(F.substr("value", F.lit(2)), "\r$", ""))).alias("header"), F.when(head, "").otherwise(F.regexp_replace(F.upper("value"), drop, "")).alias("part"))
+    size = F.length("part").cast("long")
+    upto = Window.partitionBy("path", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = lines.withColumn("last", F.last(F.when(F.col("header").isNotNull(), F.struct(F.col("id").alias("record"), "header")), ignorenulls=True).over(upto))
+    # Letters before a line since the last header of its split, or since the split's begin.
+    run = Window.partitionBy("path", "block", "last.record").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    within = within.withColumn("at", F.coalesce(F.sum(size).over(run), F.lit(0)))
+    ends = within.groupBy("path", "block").agg(F.max_by("last", "id").alias("last"), F.max_by(F.col("at") + size, "id").alias("since"))
+    splits = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("since").over(splits), F.lit(0))
+    ends = ends.withColumn("before", before).withColumn("open", F.last(F.when(F.col("last").isNotNull(), F.struct("last", "before")), ignorenulls=True).over(splits))
+    carried = ends.select("path", "block", F.col("open.last").alias("open"), (F.col("before") - F.coalesce(F.col("open.before"), F.lit(0))).alias("carry"))
+    placed = within.where(size > 0).join(carried, ["path", "block"])
+    place = F.col("at") + F.when(F.col("last").isNull(), F.col("carry")).otherwise(0)
+    own = F.coalesce("last", "open")
+    placed = placed.select("path", F.coalesce(own.record, F.lit(-1)).alias("record"), own.header.alias("name"), place.alias("at"), "part")
+    first = F.floor(F.greatest(F.col("at") - overlap, F.lit(0)) / piece)
+    reached = placed.withColumn("p", F.explode(F.sequence(first, F.floor((F.col("at") + F.length("part") - 1) / piece))))
+    low = F.greatest(F.col("p") * piece - F.col("at"), F.lit(0))
+    high = F.least(F.col("p") * piece + piece + overlap - F.col("at"), F.length("part").cast("long"))
+    cells = reached.select("path", "record", "name", "p", "at", F.substr("part", (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")).alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x.part), "")
+    return cells.groupBy("path", "record", "name", "p").agg(joined.alias("seq")).select("path", "record", "name", (F.col("p") * piece).alias("offset"), "seq")
+
+
 def random_dna(spark: SparkSession, n: int = 10_000, length: int = 10_000, *, seed: int = 1) -> DataFrame:
     """(read_no, seq): uniform random bases, made on the executors."""
     letters = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.substr(F.lit("ACGT"), F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(4)).cast("int") + 1, F.lit(1)))

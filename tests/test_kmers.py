@@ -139,8 +139,9 @@ def test_an_anchor_that_most_reads_share(spark):
     rows = spark.range(4000).select(F.lit("s").alias("sample"), F.col("id").alias("read_no"), F.concat(F.lit("ACGTACGTACGTACGTACGT"), F.translate(F.hex(F.xxhash64("id")), "0123456789ABCDEF", "ACGTACGTACGTACGT"), F.translate(F.hex(F.xxhash64("id", F.lit(1))), "0123456789ABCDEF", "CATGACGTGCATACGT")).alias("seq"))
     got = dedup.three_anchor(rows).collect()
     assert [r.seq for r in got] == [rows.agg(F.min("seq")).first()[0]]
-    sources, holders = dedup.incidences(rows.select(F.col("read_no").alias("id"), "seq"))
-    assert sources.count() <= 3 * 4000 and holders.count() < 2 * 4000
+    assert dedup.holdings(rows.select(F.col("read_no").alias("id"), "seq")).count() < 2 * 4000
+    got = dedup.three_anchor(rows, bound=1000, early=0).collect()
+    assert [r.seq for r in got] == [rows.agg(F.min("seq")).first()[0]]
 
 
 def plain_three_anchor(seqs, width):
@@ -155,20 +156,32 @@ def plain_three_anchor(seqs, width):
     return kept
 
 
-@pytest.mark.parametrize("few, held", [(0, 1), (0, 20_000), (60, 3), (10**6, 20_000)])
-def test_three_anchor_rule_by_rounds_and_in_order(spark, monkeypatch, few, held):
-    """Rounds alone, rounds and then the order, the order alone; anchors of many parts; short reads."""
+@pytest.mark.parametrize("early, bound, held", [(1000, 1, 1), (1000, 1, 20_000), (0, 10**6, 20_000), (0, 60, 3), (1, 25, 20_000), (0, 1, 2)])
+def test_three_anchor_rule_by_rounds_and_by_groups(spark, monkeypatch, early, bound, held):
+    """Rounds alone, whole groups, blocks of groups of a size; anchors of many parts; short reads."""
     import random
 
     rng = random.Random(7)
     seqs = ["".join(rng.choice("ACG") for _ in range(rng.choice([0, 2, 4, 9, 9, 12, 20]))) for _ in range(120)] + ["", ""]
     monkeypatch.setattr(dedup, "HELD", held)
-    got = [r.seq for r in dedup.three_anchor(reads_of(spark, seqs), width=4, few=few).collect()]
+    got = [r.seq for r in dedup.three_anchor(reads_of(spark, seqs), width=4, early=early, bound=bound).collect()]
     want = plain_three_anchor(seqs, 4)
     assert sorted(got) == want and 5 < len(want) < len(set(seqs))
 
 
+def test_a_long_chain_takes_few_rounds(spark):
+    """Each read is hit by the one before it: rounds alone would decide two reads each."""
+    chain = [f"{'ACGT'[k // 64]}{'ACGT'[k // 16 % 4]}{'ACGT'[k // 4 % 4]}{'ACGT'[k % 4]}" for k in range(200)]
+    seqs = [a + b for a, b in zip(chain, chain[1:])]
+    want = plain_three_anchor(seqs, 4)
+    assert 20 < len(want) < len(seqs)
+    got = dedup.three_anchor(reads_of(spark, seqs), width=4, early=0, bound=10**6, rounds=2)
+    assert sorted(r.seq for r in got.collect()) == want
+    blocks = dedup.three_anchor(reads_of(spark, seqs), width=4, early=0, bound=250, rounds=12)
+    assert sorted(r.seq for r in blocks.collect()) == want
+
+
 def test_three_anchor_never_returns_a_part(spark):
     chain = ["".join(x) for x in zip("ACGTACGTAC", "CGTACGTACG", "GTACGTACGT", "TACGTACGTA", "ACGTACGTAA")]
     with pytest.raises(RuntimeError):
-        dedup.three_anchor(reads_of(spark, chain * 2 + ["ACGTA", "CGTAC"]), width=2, few=-1, rounds=1)
+        dedup.three_anchor(reads_of(spark, chain * 2 + ["ACGTA", "CGTAC"]), width=2, early=9, rounds=1)

@@ -286,3 +286,57 @@ def test_a_model_of_too_many_rows_is_an_error(spark):
     rows = spark.range(1000).select(F.lit("A").alias("kmer"), (F.col("id") % 5).cast("int").alias("pos"), F.lit(0.1).alias("val"))
     with pytest.raises(ValueError, match="at most"):
         align.collected(rows, 5)
+
+
+def test_curvature_in_pieces_is_that_of_the_whole(spark):
+    """Borders anywhere, short last pieces, one base, and what is no base."""
+    rng = random.Random(11)
+    seqs = {k: "".join(rng.choice("ACGT") for _ in range(n)) for k, n in enumerate((10_000, 1, 2, 11, 40, 99, 100, 101, 123, 124, 125, 147, 148, 149, 259, 300))}
+    seqs |= {50: "ACGNTTGA-CA" * 30, 51: "", 52: None, 53: "A" * 500}
+    rows = spark.createDataFrame(list(seqs.items()), "read_no long, seq string")
+    for piece, model in ((100, "trifonov"), (1000, "nucleosome")):
+        want = {(r.id, r.pos): r for r in curvature.curved(rows, model=model).collect()}
+        got = {(r.id, r.pos): r for r in curvature.curved_pieces(curvature.cut(rows, piece), piece, model=model).collect()}
+        assert got.keys() == want.keys()
+        for key, w in want.items():
+            g = got[key]
+            assert g.base == w.base and np.allclose(g[3:6], w[3:6], atol=1e-6), key
+            if key[0] != 53 and len(seqs[key[0]]) > 11:  # a layout about a straight axis is free to turn
+                assert np.allclose(g[6:], w[6:], atol=1e-4), key
+    none = spark.createDataFrame([], "read_no long, seq string")
+    assert curvature.curved_pieces(curvature.cut(none), 1 << 16).count() == 0
+
+
+def test_products_of_blocks():
+    rng = np.random.default_rng(3)
+    steps = np.array([curvature.turn(3.4, *rng.normal(size=3) * 30) for _ in range(37)])
+    for n in (0, 1, 2, 9, 10, 37):
+        got, now = curvature.suffix_products(steps[:n]), np.eye(4)
+        for k in range(n - 1, -1, -1):
+            now = now @ steps[k]
+            assert np.allclose(got[k], now)
+        assert len(got) == n
+    assert np.allclose(curvature.inverse(steps[0]) @ steps[0], np.eye(4))
+
+
+@pytest.mark.parametrize("split", ["64", "1m"])
+def test_fasta_records_of_any_length(spark, tmp_path, split):
+    """Records across splits, lines across pieces, headers alone, text before a first header."""
+    rng = random.Random(2)
+    seqs = {f"chr{k} x": "".join(rng.choice("ACGTN") for _ in range(n)) for k, n in enumerate((900, 0, 1, 61, 130, 333))}
+    text = "acgt\r\nAC GT\r\n" + "".join(f">{name}\r\n" + "".join(s[i : i + 60].lower() + "\r\n" for i in range(0, len(s), 60)) for name, s in seqs.items())
+    (tmp_path / "a.fa").write_text(text)
+    (tmp_path / "b.fa").write_text(">only\n" + "ACGT" * 100)
+    want = {("a.fa", n): s for n, s in seqs.items() if s} | {("a.fa", None): "ACGTACGT", ("b.fa", "only"): "ACGT" * 100}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        for piece, overlap in ((50, 0), (50, 7), (64, 100), (10_000, 3)):
+            got = {}
+            for r in R.read_fasta(spark, str(tmp_path / "*.fa"), piece=piece, overlap=overlap).collect():
+                got.setdefault((r.path.rsplit("/", 1)[1], r.name), {})[r.offset] = r.seq
+            assert got.keys() == want.keys()
+            for key, s in want.items():
+                assert got[key] == {o: s[o : o + piece + overlap] for o in range(0, len(s), piece)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
