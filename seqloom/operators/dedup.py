@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions import seq as S
 from seqloom.operators.components import components
 from seqloom.sources.shared import discard, stored
 
@@ -32,8 +33,8 @@ def exact(reads: DataFrame) -> DataFrame:
 HELD = 20_000
 #: Holdings of a group that are settled in order at once: some 10 MB.
 BOUND = 200_000
-#: Rounds before groups are looked for: they halve the reads, while looking costs more than a round.
-EARLY = 3
+#: Rounds before groups are looked for: each leaves a small part of the reads, while looking costs as much as some rounds.
+EARLY = 6
 #: Shares of a group's order at which its first block may end.
 SHARES = [0.5**k for k in range(1, 31)]
 
@@ -47,11 +48,13 @@ def holdings(numbered: DataFrame, width: int = 20) -> DataFrame:
     """
     w = F.least(F.length("seq"), F.lit(width))
     last = F.length("seq") - w
-    cut = lambda starts: F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("seq"), i + 1, w)))
-    anchors = cut(F.array(F.lit(0), F.floor((last + 1) / 2).cast("int"), last))
-    sources = numbered.select(F.explode(anchors).alias("w"))
-    windows = numbered.select(F.col("id").alias("s"), anchors.alias("a"), F.explode(cut(F.sequence(F.lit(0), last))).alias("w"))
-    held = stored(windows.select("w", "s", F.array_contains("a", F.col("w")).alias("own")).join(sources.distinct(), "w", "left_semi"), name="held")
+    three = [F.substr("seq", i + 1, w) for i in (F.lit(0), F.floor((last + 1) / 2).cast("int"), last)]
+    all_windows = F.when(F.length("seq") >= width, F.array_distinct(S.kmers("seq", width))).otherwise(F.array("seq"))
+    sources = numbered.select(F.explode(F.array_distinct(F.array(*three))).alias("w"))
+    windows = numbered.select(F.col("id").alias("s"), *[x.alias(f"a{k}") for k, x in enumerate(three)], F.explode(all_windows).alias("w"))
+    windows = windows.select("w", "s", ((F.col("w") == F.col("a0")) | (F.col("w") == F.col("a1")) | (F.col("w") == F.col("a2"))).alias("own"))
+    # Of the hashed side each anchor is one row, so it is even whatever the reads; windows, many times as many, stay unsorted.
+    held = stored(windows.join(sources.distinct().hint("shuffle_hash"), "w", "left_semi"), name="held")
     shared = held.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w", F.ceil(F.col("n") / HELD).cast("int").alias("parts"))
     return held.join(shared, "w").select("w", "s", "own", F.pmod(F.xxhash64("s"), "parts").cast("int").alias("part"), "parts")
 

@@ -11,6 +11,7 @@ from seqloom.operators import adm, curvature as curve, demux, extend, guide, kme
 from seqloom.plans import positional, rest
 from seqloom.plans.register import Registry, rounded, sql_near
 from seqloom.sources import fixtures as X, reads as R, tables as T
+from seqloom.sources.onefile import write_lines
 from seqloom.sources.shared import scratch
 
 add = Registry()
@@ -55,6 +56,24 @@ def source_fastq_any_header(spark: SparkSession, sf: str) -> DataFrame:
     return R.read_fastq(spark, path, prefix=None).select(folder("sample"), "read_no", "header", "seq")
 
 
+def gzip_file(spark: SparkSession, sf: str) -> str:
+    """All reads as FASTQ in one gzip file of several members."""
+    path = scratch(spark, "gz")
+    write_lines(X.reads(spark, sf), path, line=record("@own "), order=["sample", "read_no"], compress=True)
+    return path
+
+
+@add(f"WITH {X.READS} SELECT row_number() OVER (ORDER BY sample, read_no) - 1 AS read_no, '@own ' || read_no AS header, seq, repeat('I', 147) AS qual FROM reads")
+def source_fastq_gz(spark: SparkSession, sf: str) -> DataFrame:
+    """One compressed file by ranges of 50,000 bytes."""
+    return R.read_fastq_gz(spark, gzip_file(spark, sf), bytes_of_range=50_000).select("read_no", "header", "seq", "qual")
+
+
+@add(f"WITH {X.READS} SELECT row_number() OVER (ORDER BY sample, read_no) - 1 AS read_no, seq FROM reads ORDER BY sample, read_no LIMIT 1000")
+def source_fastq_gz_first(spark: SparkSession, sf: str) -> DataFrame:
+    return R.read_fastq_gz(spark, gzip_file(spark, sf), reads=1000, bytes_of_range=50_000).select("read_no", "seq")
+
+
 @add(f"WITH {X.READS} SELECT sample, 0::BIGINT AS bad, 147 AS length, count(*) AS n FROM reads GROUP BY sample")
 def source_format_and_length(spark: SparkSession, sf: str) -> DataFrame:
     rows = R.read(spark, sample_files(spark, sf, record("@HISE:"), "fastq")).withColumn("sample", folder("sample"))

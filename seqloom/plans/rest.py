@@ -269,13 +269,27 @@ def bending_steps(model: str) -> str:
       -st AS r31, ct * sr AS r32, ct * cr AS r33 FROM cs)"""
 
 
-def bent(model: str) -> str:
-    """Curvature in SQL: frames by recursion from the first base on, with inverse steps; what is
-    measured does not depend on where the helix lies. The radius is the three points' circle's."""
+#: Sequences (id, seq) whose curvature is asked for.
+OF_READS = f"{X.READS}, q AS (SELECT read_no AS id, regexp_replace(seq, '[^ACGT]', '', 'g') AS seq FROM reads)"
+#: Whole texts; letters that stand for N are no bases.
+OF_TEXTS = f"q AS (SELECT doc_id AS id, replace(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{X.LETTERS}', '{X.AS_BASES}'), 'N', '') AS seq FROM documents)"
+
+
+def helix(model: str, source: str = OF_READS) -> str:
+    """Frames of all bases in SQL, by recursion from the first base on, with inverse steps."""
     cells = [f"m{i}{j}" for i in "123" for j in "123"]
     turned = ", ".join(" + ".join(f"m{i}{k} * r{j}{k}" for k in "123") for i in "123" for j in "123")
     moved = ", ".join(f"p{i} - rise * (" + " + ".join(f"m{i}{k} * r3{k}" for k in "123") + ")" for i in "123")
     eye = ", ".join(f"{float(i == j)}::DOUBLE" for i in "123" for j in "123")
+    return f"""WITH RECURSIVE {source}, {bending_steps(model)},
+    g(id, i, {', '.join(cells)}, p1, p2, p3) AS (SELECT id, 0, {eye}, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM q WHERE seq <> '' UNION ALL
+      SELECT g.id, i + 1, {turned}, {moved} FROM g JOIN q ON q.id = g.id JOIN step ON oligo = substr(seq, i + 1, 2) WHERE i < length(seq) - 1),
+    b AS (SELECT g.*, length(seq) AS n, substr(seq, i + 1, 1) AS base FROM g JOIN q ON q.id = g.id)"""
+
+
+def bent(model: str, source: str = OF_READS) -> str:
+    """Curvature in SQL; what is measured does not depend on where the helix lies. The radius is the
+    three points' circle's."""
     near = lambda f, k, c, o: f"{f}({c}, {k}) OVER o AS {o}"
     lagged = [near("lag", 10, f"p{c}", f"a{c}") + ", " + near("lead", 10, f"p{c}", f"c{c}") + ", " + near("lag", 2, f"m{c}3", f"u{c}") + ", " + near("lead", 2, f"m{c}3", f"v{c}") for c in "123"]
     smooth = [f"(sum(m{c}3) OVER w - 0.5 * coalesce(lag(m{c}3, 5) OVER o, 0) - 0.5 * coalesce(lead(m{c}3, 5) OVER o, 0)) / 10 AS s{c}" for c in "123"]
@@ -285,10 +299,7 @@ def bent(model: str) -> str:
     angle = lambda x, y: f"CASE WHEN greatest({', '.join(f'abs({x}{c} - {y}{c})' for c in '123')}) <= 1e-7 THEN 0 ELSE acos(least(1, greatest(-1, {' + '.join(f'{x}{c} * {y}{c}' for c in '123')}))) END"
     cross = " + ".join(f"pow((p{a} - a{a}) * (c{b} - a{b}) - (p{b} - a{b}) * (c{a} - a{a}), 2)" for a, b in ("23", "31", "12"))
     unit = f"({curve.NUCLEOSOME} * 30 * {curve.MODELS[model][-1]})"
-    return f"""WITH RECURSIVE {X.READS}, q AS (SELECT read_no AS id, regexp_replace(seq, '[^ACGT]', '', 'g') AS seq FROM reads), {bending_steps(model)},
-    g(id, i, {', '.join(cells)}, p1, p2, p3) AS (SELECT id, 0, {eye}, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM q WHERE seq <> '' UNION ALL
-      SELECT g.id, i + 1, {turned}, {moved} FROM g JOIN q ON q.id = g.id JOIN step ON oligo = substr(seq, i + 1, 2) WHERE i < length(seq) - 1),
-    b AS (SELECT g.*, length(seq) AS n, substr(seq, i + 1, 1) AS base FROM g JOIN q ON q.id = g.id),
+    return f"""{helix(model, source)},
     l AS (SELECT *, {', '.join(lagged)}, {', '.join(smooth)} FROM b WINDOW o AS (PARTITION BY id ORDER BY i), w AS (PARTITION BY id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
     t AS (SELECT *, {', '.join(f'CASE WHEN n > 10 THEN s{c} / {length} ELSE 0 END AS t{c}' for c in '123')} FROM l), z AS (SELECT *, {', '.join(wide)} FROM t WINDOW o AS (PARTITION BY id ORDER BY i))
     SELECT id, i::INTEGER AS pos, base, {sql_near(f"CASE WHEN i >= 10 AND i < n - 10 THEN 2 * sqrt({cross}) / ({dist('p', 'a')} * {dist('c', 'p')} * {dist('c', 'a')}) / {curve.NUCLEOSOME} ELSE 0 END")} AS curvature,
@@ -310,12 +321,58 @@ def curvature_desantis(spark: SparkSession, sf: str) -> DataFrame:
     return bends(spark, sf, "desantis").groupBy("id").agg(F.count("*").alias("bases"), F.max("curvature").alias("most"), F.max("curve_angle").alias("angle"))
 
 
-@add()
+def extents(source: str = OF_READS, model: str = "trifonov") -> str:
+    """Extents along the axes of a layout in SQL: from end to end, to the farthest point, across both."""
+    dot = lambda a, b: "(" + " + ".join(f"{a}{c} * {b}{c}" for c in "123") + ")"
+    each = lambda f: ", ".join(f(c) for c in "123")
+    cross = ", ".join(f"z{a} * x{b} - z{b} * x{a} AS y{c}" for a, b, c in ("231", "312", "123"))
+    spread = lambda k: f"max({dot('p', k)}) - min({dot('p', k)})"
+    return f"""{helix(model, source)},
+    ends AS (SELECT id, {each(lambda c: f"arg_max(p{c}, i) AS e{c}")} FROM b GROUP BY id),
+    x AS (SELECT id, {each(lambda c: f"coalesce(e{c} / nullif(sqrt({dot('e', 'e')}), 0), 0) AS x{c}")} FROM ends),
+    o AS (SELECT id, i, {each(lambda c: f"p{c} - {dot('p', 'x')} * x{c} AS o{c}")} FROM b JOIN x USING (id)),
+    f AS (SELECT id, {each(lambda c: f"arg_max(o{c}, {dot('o', 'o')}) AS f{c}")} FROM o GROUP BY id),
+    z AS (SELECT id, {each(lambda c: f"coalesce(f{c} / nullif(sqrt({dot('f', 'f')}), 0), 0) AS z{c}")} FROM f), y AS (SELECT *, {cross} FROM x JOIN z USING (id))
+    SELECT id, count(*) AS bases, {", ".join(f"{sql_near(spread(k))} AS {k}" for k in "xyz")} FROM b JOIN y USING (id) GROUP BY id"""
+
+
+def extent_of(curved_rows: DataFrame) -> DataFrame:
+    extent = [(F.max(f"axis_{c}") - F.min(f"axis_{c}")).alias(c) for c in "xyz"]
+    return rounded(curved_rows.groupBy("id").agg(F.count("*").alias("bases"), *extent), "x", "y", "z")
+
+
+def text_bases(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, seq): the bases that each whole text stands for."""
+    docs = X.spread(spark.read.parquet(f"{sf}/documents.parquet"))
+    return docs.select(F.col("doc_id").alias("id"), F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), X.LETTERS, X.AS_BASES).alias("seq"))
+
+
+#: Bases of a piece of a text: most texts have several.
+PIECE = 2000
+
+
+def in_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return curve.curved_pieces(curve.cut(text_bases(spark, sf), PIECE, id_column="id"), PIECE)
+
+
+@add(f"SELECT id, count(*) AS bases, max(curvature) AS most, {sql_near('sum(bend_angle)', 2)} AS bend, max(curve_angle) AS angle FROM ({bent('trifonov', OF_TEXTS)}) GROUP BY id")
+def curvature_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts in pieces, bends across their borders."""
+    out = rounded(in_pieces(spark, sf), "curvature", "bend_angle", "curve_angle")
+    return rounded(out.groupBy("id").agg(F.count("*").alias("bases"), F.max("curvature").alias("most"), F.sum("bend_angle").alias("bend"), F.max("curve_angle").alias("angle")), "bend", digits=2)
+
+
+@add(extents(OF_TEXTS).replace(", 5)", ", 3)"))
+def curvature_pieces_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts' extents along the axes of their layouts, found over pieces."""
+    extent = [(F.max(f"axis_{c}") - F.min(f"axis_{c}")).alias(c) for c in "xyz"]
+    return rounded(in_pieces(spark, sf).groupBy("id").agg(F.count("*").alias("bases"), *extent), "x", "y", "z", digits=3)
+
+
+@add(extents())
 def curvature_coordinates(spark: SparkSession, sf: str) -> DataFrame:
     """Each read's extent along the axes of its layout."""
-    out = curve.curved(X.reads(spark, sf))
-    extent = [(F.max(f"axis_{c}") - F.min(f"axis_{c}")).alias(c) for c in "xyz"]
-    return rounded(out.groupBy("id").agg(F.count("*").alias("bases"), *extent), "x", "y", "z")
+    return extent_of(curve.curved(X.reads(spark, sf)))
 
 
 @add(f"WITH {X.READS}, w AS (SELECT sample, i::INTEGER AS pos, substr(seq, i + 1, 1) AS kmer FROM reads, range(147) t(i)) SELECT sample, kmer, pos, count(*)::DOUBLE AS val FROM w WHERE kmer <> 'N' GROUP BY ALL HAVING count(*) > 0 AND kmer = 'A'")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.sources.gzipped import RANGE, gzip_lines
+
 #: The suffixes that count as reads, the start of the sequencer's record headers.
 SUFFIXES = ("txt", "gz", "fastq", "seq")
 HEADER = "@HISE"
@@ -18,30 +20,50 @@ def sample_of(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]*?)(\\.(txt|gz|fastq|seq))*$", 1)
 
 
-def numbered_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+def split_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(path, block, id, value): the lines of each file's splits, ids rising in each."""
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+
+
+def numbered(lines: DataFrame) -> DataFrame:
     """(path, line, value): the lines of each file, numbered from 0, whatever store it lies in.
 
-    A large plain file is read in splits: each split's lines are counted, and the sums of those
+    A large file is read in splits: each split's lines are counted, and the sums of those
     before it (one row a split) are where its own numbers begin.
     """
-    block = F.col("_metadata.file_block_start")
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("id"))
     splits = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = splits.select("path", "block", (before - F.col("first")).alias("shift"))
     return lines.join(starts, ["path", "block"]).select("path", (F.col("id") + F.col("shift")).alias("line"), "value")
 
 
+def numbered_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(path, line, value) of text files."""
+    return numbered(split_lines(spark, paths))
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """(path, sample, read_no, header, seq, plus, qual): every four numbered lines; what a file cut short
+    lacks is empty."""
+    place = F.col("line") % 4
+    part = lambda k: F.coalesce(F.max(F.when(place == k, F.rtrim("value", F.lit("\r")))), F.lit(""))
+    rows = lines.groupBy("path", F.floor(F.col("line") / 4).alias("read_no")).agg(*[part(k).alias(n) for k, n in enumerate(("header", "seq", "plus", "qual"))])
+    return rows.where(F.col("header") != "").select("path", sample_of(F.col("path")).alias("sample"), "read_no", "header", "seq", "plus", "qual")
+
+
+def read_fastq_gz(spark: SparkSession, paths: list[str] | str, *, reads: int | None = None, bytes_of_range: int = RANGE) -> DataFrame:
+    """What read_fastq gives, of gzip files: those of many members are read with many tasks. With `reads`
+    only the first so many of each file, and no task decompresses more than these take."""
+    lines = numbered(gzip_lines(spark, paths, bytes_of_range=bytes_of_range, lines=None if reads is None else 4 * reads))
+    return records(lines if reads is None else lines.where(F.col("line") < 4 * reads))
+
+
 def read_fastq(spark: SparkSession, paths: list[str] | str, *, prefix: str | None = HEADER) -> DataFrame:
     """(path, sample, read_no, header, seq, plus, qual). With a prefix of all headers the text reader
     splits at it, and nothing is shuffled; without one, lines are numbered and every four of them
     make a record, read_no then counts a file's records from 0. What a file cut short lacks is empty."""
     if prefix is None:
-        lines = numbered_lines(spark, paths)
-        place = F.col("line") % 4
-        part = lambda k: F.coalesce(F.max(F.when(place == k, F.rtrim("value", F.lit("\r")))), F.lit(""))
-        rows = lines.groupBy("path", F.floor(F.col("line") / 4).alias("read_no")).agg(*[part(k).alias(n) for k, n in enumerate(("header", "seq", "plus", "qual"))])
-        return rows.where(F.col("header") != "").select("path", sample_of(F.col("path")).alias("sample"), "read_no", "header", "seq", "plus", "qual")
+        return records(numbered_lines(spark, paths))
     text = spark.read.option("lineSep", "\n" + prefix).text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("read_no"))
     lines = F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n", 4)
     rows = text.where(F.length("value") > 0).withColumn("l", lines)
@@ -128,7 +150,7 @@ def read_fasta(spark: SparkSession, paths: list[str] | str, *, piece: int = 1 <<
     their records by them, and go to the pieces that they reach into. What comes before a first header
     is a record without a name; records without letters have no rows.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = split_lines(spark, paths)
     head = F.startswith("value", F.lit(">"))
     lines = lines.select("path", "block", "id", F.when(head, F.trim(F.regexp_replace(F.substr("value", F.lit(2)), "\r$", ""))).alias("header"), F.when(head, "").otherwise(F.regexp_replace(F.upper("value"), drop, "")).alias("part"))
     size = F.length("part").cast("long")

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
+from seqloom.sources import reads as R
+from seqloom.sources.onefile import write_lines
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): small tables; lines in the order of the file."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+    """(line, value): lines in the order of the file, or of a folder's one file."""
+    return R.numbered_lines(spark, path).select("line", "value")
 
 
 def read_table(spark: SparkSession, path: str, *, header: bool = True) -> DataFrame:
@@ -71,11 +73,13 @@ def write_reads(reads: DataFrame, path: str, *, compress: bool = False) -> None:
 
 
 def write_table(rows: DataFrame, path: str, *, columns: list[str] | None = None, order: list | None = None) -> None:
-    """Tab-separated with a header, in one file sorted by `order` if given: for small results."""
+    """Tab-separated with a header; sorted by `order`, if given, in one file."""
     out = rows.select(*columns) if columns else rows
     if order:
-        out = out.orderBy(*order).coalesce(1)
-    out.write.csv(path, sep="\t", header=True)
+        line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in out.columns]), {"sep": "\t", "emptyValue": '""'})
+        write_lines(rows, path, line=line, order=order, head=["\t".join(out.columns)])
+    else:
+        out.write.csv(path, sep="\t", header=True)
 
 
 def write_kmers(counts: DataFrame, path: str) -> None:
@@ -91,7 +95,7 @@ def write_matrix(wide: DataFrame, path: str, *, caption: str | None = None, leng
     values = F.col("vals") if length is None else F.concat("vals", F.array_repeat(F.lit(0), F.greatest(F.lit(length) - F.size("vals"), F.lit(0))))
     line = F.concat_ws("\t", F.col("kmer"), F.concat_ws("\t", values.cast("array<string>")))
     first = F.when(F.col("kmer") == F.lit(caption or ""), 0).otherwise(1)
-    wide.select(first.alias("f"), "kmer", line.alias("value")).orderBy("f", "kmer").coalesce(1).select("value").write.text(path)
+    write_lines(wide, path, line=line, order=[first, "kmer"])
 
 
 def write_samples(matched: DataFrame, path: str, *, by: str = "name", least_bytes: int = 0) -> None:
@@ -120,13 +124,13 @@ def write_samples(matched: DataFrame, path: str, *, by: str = "name", least_byte
 def write_pwm(pwm: DataFrame, path: str) -> None:
     cells = F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x.w.cast("string"))
     rows = pwm.groupBy("name", "base").agg(F.concat_ws("\t", F.col("base"), cells).alias("value"))
-    rows.orderBy("name", "base").coalesce(1).select("value").write.text(path)
+    write_lines(rows, path, order=["name", "base"])
 
 
 def write_provenance(spark: SparkSession, path: str) -> None:
     """Where and how this was run, beside the output."""
     said = json.dumps({"directory": os.getcwd(), "command": sys.argv})
-    spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    spark.createDataFrame([(said,)], "value string").write.mode("overwrite").text(path)
 
 
 def plot_rows(adm: DataFrame, *, scale: float = 3.0, offset: float = 0.0) -> DataFrame:
@@ -149,7 +153,7 @@ def write_spectra(rows: DataFrame, path: str, *, axis: str = "freq", value: str
     lines = rows.groupBy(*by).agg(ordered.alias("x")).select(F.lit(1).alias("f"), F.concat_ws("\t", *by, F.transform("x", lambda p: p[value].cast("string"))).alias("value"))
     head = rows.select(axis).distinct().agg(F.array_sort(F.collect_list(axis)).alias("x"))
     first = head.select(F.lit(0).alias("f"), F.concat_ws("\t", *[F.lit(c) for c in by], F.transform("x", lambda v: v.cast("string"))).alias("value"))
-    first.unionByName(lines).orderBy("f", "value").coalesce(1).select("value").write.text(path)
+    write_lines(first.unionByName(lines), path, order=["f", "value"])
 
 
 def spectrum_rows(spectra: DataFrame, *, by: tuple[str, ...] = ("sample", "kmer"), scale: float = 6.0, offset: float = 3.0) -> DataFrame:
