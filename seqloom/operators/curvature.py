@@ -14,7 +14,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.sources.shared import stored
@@ -422,9 +422,23 @@ def curved_pieces(pieces: DataFrame, piece: int, *, model: str | Model = "trifon
     return each(turned.join(middles, "id"), ["behind", "first", "z", "middle"], "id long, pos long, base string, curvature double, bend_angle double, curve_angle double, " + ", ".join(f"{c} double" for c in places), bases)
 
 
+def hybrid36(number: Column, width: int) -> Column:
+    """A number in `width` columns: decimal as long as it fits, then base 36 from A0... on, as molecular
+    viewers read it; an error beyond that."""
+    most, base = 10**width, 10 * 36 ** (width - 1)
+    digits = F.lpad(F.conv((number - most + base).cast("string"), 10, 36), width, "0")
+    error = F.raise_error(F.concat(F.lit("too many atoms for a PDB file: "), number.cast("string")))
+    return F.when(number < most, F.lpad(number.cast("string"), width, " ")).when(number < most + 26 * 36 ** (width - 1), digits).otherwise(error)
+
+
 def pdb_lines(curved_rows: DataFrame) -> DataFrame:
     """(id, serial, line): a PDB ATOM record of each phosphate, first strand's then the other's."""
-    line = lambda serial, chain, name, at: F.format_string(f"ATOM  %5d  P    D%s {chain}%4d    %8.3f%8.3f%8.3f  1.00  0.00           P", serial, name, F.col("pos") + 1, *[F.col(f"{at}_{c}") for c in "xyz"])
-    first = curved_rows.select("id", (F.col("pos") * 2 + 1).alias("serial"), line(F.col("pos") * 2 + 1, "A", F.col("base"), "p1").alias("line"))
-    second = curved_rows.select("id", (F.col("pos") * 2 + 2).alias("serial"), line(F.col("pos") * 2 + 2, "B", F.translate("base", "ACGT", "TGCA"), "p2").alias("line"))
+    serial = F.col("pos").cast("long") * 2
+
+    def line(number: Column, chain: str, name: Column, at: str) -> Column:
+        place = F.format_string("%8.3f%8.3f%8.3f", *[F.col(f"{at}_{c}") for c in "xyz"])
+        return F.concat(F.lit("ATOM  "), hybrid36(number, 5), F.lit("  P    D"), name, F.lit(f" {chain}"), hybrid36(F.col("pos") + 1, 4), F.lit("    "), place, F.lit("  1.00  0.00           P"))
+
+    first = curved_rows.select("id", (serial + 1).alias("serial"), line(serial + 1, "A", F.col("base"), "p1").alias("line"))
+    second = curved_rows.select("id", (serial + 2).alias("serial"), line(serial + 2, "B", F.translate("base", "ACGT", "TGCA"), "p2").alias("line"))
     return first.unionByName(second)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.plans import core, files, positional, rest
+from seqloom.plans import core, derived, files, positional, rest
 
-QUERIES = core.QUERIES | positional.QUERIES | rest.QUERIES | files.QUERIES
-ORACLE = core.ORACLE | positional.ORACLE | rest.ORACLE | files.ORACLE
+QUERIES = core.QUERIES | positional.QUERIES | rest.QUERIES | files.QUERIES | derived.QUERIES
+ORACLE = core.ORACLE | positional.ORACLE | rest.ORACLE | files.ORACLE | derived.ORACLE

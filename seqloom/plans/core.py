@@ -82,17 +82,6 @@ def kmer_bias_corrected(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(kmers.bias_corrected(kmers.count(reads, 4), kmers.base_frequencies(reads), 4), "cnt")
 
 
-@add("WITH b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x) SELECT concat(b1.x, b2.x, b3.x, b4.x) AS kmer FROM b b1, b b2, b b3, b b4")
-def kmer_universe(spark: SparkSession, sf: str) -> DataFrame:
-    return kmers.universe(spark, 4)
-
-
-@add(f"""WITH b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x), u AS (SELECT concat(b1.x, b2.x, b3.x) AS kmer FROM b b1, b b2, b b3)
-SELECT kmer FROM u WHERE translate(kmer, 'AGCT', '0123') <= translate({RC}, 'AGCT', '0123')""")
-def unique_oligos(spark: SparkSession, sf: str) -> DataFrame:
-    return kmers.unique_oligos(spark, 3)
-
-
 SOURCES = """{w}, s AS (SELECT kmer, count(*) AS cnt FROM w WHERE lang = 'en' GROUP BY 1), r AS (SELECT kmer, count(*) AS cnt FROM w WHERE lang = 'de' GROUP BY 1),
 s0 AS (SELECT kmer, count(*) AS cnt FROM w WHERE sample = 'src0' GROUP BY 1), r0 AS (SELECT kmer, count(*) AS cnt FROM w WHERE sample = 'src1' GROUP BY 1)"""
 FC = """, j AS (SELECT kmer, coalesce(s.cnt, 0) AS sc, coalesce(r.cnt, 0) AS rc, coalesce(s.cnt, 0) / (SELECT sum(cnt) FROM s) AS s, coalesce(r.cnt, 0) / (SELECT sum(cnt) FROM r) AS r,
@@ -214,18 +203,6 @@ def match_positions_nonoverlapping(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("read_no", F.array_join(F.col("p").cast("array<string>"), ",").alias("positions"))
 
 
-OLIGOS = ["AR", "NNW", "ACGT", "BDHVKM", "SWRYN"]
-
-
-@add(f"""WITH RECURSIVE code(c, bases) AS {X.values([(c, b) for c, b in S.IUPAC.items()])}, o(oligo) AS {X.values([(x,) for x in OLIGOS])},
-g(oligo, k, expanded) AS (SELECT oligo, 0, '' FROM o UNION ALL
-  SELECT g.oligo, k + 1, expanded || b FROM g JOIN (SELECT c, unnest(string_split(bases, '')) AS b FROM code) x ON x.c = substr(g.oligo, k + 1, 1) WHERE k < length(g.oligo))
-SELECT oligo, expanded FROM g WHERE k = length(oligo)""".replace("code(c, bases) AS (VALUES", "code(c, bases) AS (SELECT * FROM (VALUES", 1).replace("), o(oligo) AS (VALUES", ")), o(oligo) AS (SELECT * FROM (VALUES", 1).replace("),\ng(oligo", ")),\ng(oligo", 1))
-def iupac_expand(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in OLIGOS], "oligo string")
-    return rows.select("oligo", F.explode(S.iupac_expand("oligo")).alias("expanded"))
-
-
 @add(f"WITH {X.READS} SELECT sample, read_no, 0 AS piece, right(seq, 40) AS part FROM reads")
 def cut40_last(spark: SparkSession, sf: str) -> DataFrame:
     return kmers.cut(X.reads(spark, sf), 40, pieces="last")

@@ -81,19 +81,19 @@ def source_format_and_length(spark: SparkSession, sf: str) -> DataFrame:
     return R.bad_records(rows).join(R.lengths(rows), "sample").join(counts, "sample").select("sample", "bad", "length", "n")
 
 
-@add(f"WITH {X.READS}, {positional.windows(2)}, {positional.letters(2)}, c AS (SELECT kmer, pos, count(*) AS n FROM w WHERE sample = 'src1' GROUP BY ALL) SELECT u.kmer, i::INTEGER AS pos, {sql_near('log10(CASE WHEN n > 0 THEN n ELSE 1e-20 END)')} AS val FROM u CROSS JOIN range(146) t(i) LEFT JOIN c ON c.kmer = u.kmer AND c.pos = i")
+@add(f"WITH {X.READS}, {positional.windows(2)}, {positional.letters(2)}, c AS (SELECT kmer, pos, count(*) AS n FROM w GROUP BY ALL) SELECT u.kmer, i::INTEGER AS pos, {sql_near('log10(CASE WHEN n > 0 THEN n ELSE 1e-20 END)')} AS val FROM u CROSS JOIN range(146) t(i) LEFT JOIN c ON c.kmer = u.kmer AND c.pos = i")
 def sink_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Sample src1's matrix, written, and read with logarithms."""
-    counts = adm.position_counts(X.reads(spark, sf).where("sample = 'src1'"), (2,), by=())
+    """The matrix of all reads, written, and read with logarithms."""
+    counts = adm.position_counts(X.reads(spark, sf), (2,), by=())
     path = scratch(spark, "matrix")
     T.write_matrix(adm.wide(adm.zero_filled(counts, kmers.universe(spark, 2), 146, by=()), by=()), path)
     return rounded(T.read_matrix(spark, path, log10=True), "val")
 
 
-@add(f"WITH {X.READS}, w AS (SELECT substr(seq, i + 1, 3) AS kmer FROM reads, range(145) t(i) WHERE sample = 'src2'), c AS (SELECT kmer, count(*) AS cnt FROM w WHERE kmer NOT LIKE '%N%' GROUP BY 1) SELECT kmer, cnt::DOUBLE AS cnt, {sql_near('cnt / sum(cnt) OVER ()')} AS freq FROM c")
+@add(f"WITH {X.READS}, w AS (SELECT substr(seq, i + 1, 3) AS kmer FROM reads, range(145) t(i)), c AS (SELECT kmer, count(*) AS cnt FROM w WHERE kmer NOT LIKE '%N%' GROUP BY 1) SELECT kmer, cnt::DOUBLE AS cnt, {sql_near('cnt / sum(cnt) OVER ()')} AS freq FROM c")
 def sink_kmer_table(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "kmers")
-    counts = kmers.with_frequency(kmers.count(X.reads(spark, sf).where("sample = 'src2'"), 3))
+    counts = kmers.with_frequency(kmers.count(X.reads(spark, sf), 3, by=()).withColumn("sample", F.lit("all")))
     T.write_kmers(counts.select("kmer", "cnt", "freq"), path)
     back = T.read_table(spark, path)
     return rounded(back.select("kmer", F.col("cnt").cast("double"), F.col("freq").cast("double")), "freq")
@@ -116,13 +116,6 @@ def sink_demultiplexed_reads(spark: SparkSession, sf: str) -> DataFrame:
     return R.read_text(spark, f"{path}/reads").select(folder("name"), F.col("seq").alias("region"))
 
 
-@add(f"WITH {rest.PWM} SELECT name, base, pos, w::DOUBLE AS w FROM pwm WHERE name = 'm5'")
-def sink_pwm(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch(spark, "pwm")
-    T.write_pwm(X.pwm_rows(spark, ["m5"]), path)
-    return T.read_pwm(spark, path, name="m5")
-
-
 @add("SELECT n_nationkey::VARCHAR AS key, n_name AS value FROM nation")
 def source_lookup(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "table")
@@ -209,12 +202,6 @@ def source_fasta_kmers(spark: SparkSession, sf: str) -> DataFrame:
     return kmers.count(pieces.select(F.split("name", " ")[1].alias("sample"), "seq"), 6)
 
 
-@add("SELECT range AS read_no, 200 AS length, 0 AS others FROM range(500)")
-def source_random(spark: SparkSession, sf: str) -> DataFrame:
-    made = R.random_dna(spark, 500, 200)
-    return made.select("read_no", F.length("seq").alias("length"), F.length(F.regexp_replace("seq", "[ACGT]", "")).alias("others"))
-
-
 @add(f"WITH {X.READS} SELECT read_no, translate(seq, 'ACGT', 'TGCA') AS other, trim(substr(seq, 1, 5)) AS bare FROM reads")
 def complement_and_trim(spark: SparkSession, sf: str) -> DataFrame:
     padded = F.concat(F.lit("\t  "), F.substring("seq", 1, 5), F.lit(" \t "))
@@ -260,11 +247,11 @@ def plot_polar(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.polar_rows(found, by=("lang", "kmer")), "x", "y")
 
 
-@add(f"WITH {X.READS} SELECT read_no AS id, 2 * length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS atoms FROM reads WHERE sample = 'src3' AND regexp_matches(seq, '[ACGT]')")
+@add(f"WITH {X.READS} SELECT read_no AS id, 2 * length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS atoms FROM reads WHERE regexp_matches(seq, '[ACGT]')")
 def sink_pdb(spark: SparkSession, sf: str) -> DataFrame:
-    """Two phosphates a base pair, each an ATOM record of 66 columns or more."""
-    lines = curve.pdb_lines(curve.curved(X.reads(spark, sf).where("sample = 'src3'")))
-    return lines.where(F.startswith("line", F.lit("ATOM")) & (F.length("line") >= 66)).groupBy("id").agg(F.count("*").alias("atoms"))
+    """Two phosphates a base pair, each an ATOM record of 78 columns."""
+    lines = curve.pdb_lines(curve.curved(X.reads(spark, sf)))
+    return lines.where(F.startswith("line", F.lit("ATOM")) & (F.length("line") == 78)).groupBy("id").agg(F.count("*").alias("atoms"))
 
 
 MANY = [(k, f"NATION_{k % 2}{k if k % 3 else ''}") for k in range(60)]
@@ -276,12 +263,6 @@ def pwm_of_tf_at_most_20(spark: SparkSession, sf: str) -> DataFrame:
     return guide.pwm_of(g, spark.createDataFrame(MANY, "line int, entry string")).select("TF", "entry", "line")
 
 
-@add(f"WITH {rest.table('s', 'line, key, value', [(k, f'k{k % 3}', f'v{k * k % 5}') for k in range(24)])}, f AS (SELECT key, value, min(line) AS line FROM s GROUP BY ALL) SELECT key, string_agg(value, ',' ORDER BY line) AS vals FROM f GROUP BY key")
-def unique_in_order(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, f"k{k % 3}", f"v{k * k % 5}") for k in range(24)], "line int, key string, value string")
-    return guide.unique_in_order(rows, "value", by="key").select("key", F.array_join("vals", ",").alias("vals"))
-
-
 @add(f"WITH {X.READS} SELECT sample, count(*) AS reads, sum(length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')))::BIGINT AS gc, max(read_no) AS last FROM reads GROUP BY sample")
 def extend_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     """A user's aggregate with a state of its own: reads, G and C, the last number."""

@@ -147,14 +147,6 @@ def padded_dft(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rounded(spectral.padded_dft(zero_filled(spark, sf, 2), by=("lang",)), "power"), "freq", digits=8)
 
 
-@add(f"""SELECT i::INTEGER AS i, {sql_near('1 - pow((i - 72) / 72, 2)')} AS welch, {sql_near(' + '.join(f'({c}) * cos({2 * k} * {PI} * i / 144)' for k, c in enumerate(spectral.FLAT_TOP)))} AS flat_top,
-{sql_near(' + '.join(f'({c}) * cos({2 * k} * {PI} * i / 144)' for k, c in enumerate(spectral.BLACKMAN_HARRIS)))} AS blackman_harris FROM range(145) t(i)""")
-def window_functions(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("id")
-    cols = [spectral.window(kind, F.lit(145), i).alias(kind) for kind in ("welch", "flat_top", "blackman_harris")]
-    return rounded(spark.range(145).select(i.cast("int").alias("i"), *cols), "welch", "flat_top", "blackman_harris")
-
-
 W = f"(2 * {PI} * 196 / 2000)"
 
 

@@ -78,27 +78,14 @@ def guide_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return guide.deduplicated(sheet(spark, sf), key="family", order=[F.desc("TF"), F.col("line")])
 
 
-@add(f"WITH {table('f', 'path', [(x,) for x in X.FILE_NAMES])} SELECT path, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1) AS stem, regexp_extract(path, '(\\.[^./]*)$', 1) AS suffix, regexp_replace(regexp_extract(path, '-([A-P]\\d{{1,2}})-', 1), '([A-P])0(\\d)', '\\1\\2') AS well, {', '.join(f"regexp_extract(path, '{guide.BATCH}', {k}) AS {n}" for k, n in enumerate(('batch', 'barcode', 'cyc'), 1))}, {', '.join(f"regexp_extract(path, '{guide.PLATE}', {k}) AS {n}" for k, n in enumerate(('plate', 'tf', 'plate_well', 'plate_barcode', 'plate_cyc'), 1))} FROM f")
-def filename_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    return guide.metadata(spark.createDataFrame([(x,) for x in X.FILE_NAMES], "path string"))
-
-
 @add("SELECT DISTINCT unnest(regexp_extract_all(html, '(?i)href=\"(/[^\"]*)\"', 1)) AS link FROM pages")
 def html_links(spark: SparkSession, sf: str) -> DataFrame:
     return guide.links(spark.read.parquet(f"{sf}/pages.parquet"), 'href="(/[^"]*)"')
 
 
-SVGS = ["TGACTC40NACY_A_BATCHX_NNTAATTANN_m1_c4.svg", "TGACTC40NACY_BATCHX_x_NTGACGTCAN_m2_c4.svg", "TGACTC40NACY_BATCHX_x_NGGATTAN_m12_c3b0.svg", "TTTTTT40NACY_BATCHX_x_NGGATTAN_m1_c2.svg", "GGGGGG40NACY_BATCHY_x_NGGATTAN_m1_c4.svg"]
 LISTS = [[("NATION_0", 1, "S1"), ("NATION_0", 2, "S2"), ("NATION_1", 1, "fail x"), ("NATION_2", 1, "GGAA"), ("NATION_3", 1, "Q1")], [("NATION_0", 1, "T1"), ("NATION_0", 2, "T2"), ("NATION_0", 3, "T3"), ("NATION_0", 4, "T4"), ("NATION_1", 1, "U1")], [("NATION_0", 1, "V1"), ("NATION_1", 1, "U2"), ("NATION_2", 1, "W1")]]
 
 
-@add(f"WITH {table('s', 'link', [(x,) for x in SVGS])}, b AS (SELECT unnest(['TGACTC40NACY', 'GGGGGG40NACY', 'CCCCCC40NACY']) AS barcode), f AS (SELECT regexp_extract(link, '(?i)^(.*?_.*?)_.*(c4|c3b0)[^.]*\\.svg', 1) AS k, list_sort(list(regexp_extract(link, '(?i)_([^_]*)_m.{{1,3}}_c.{{1,5}}\\.svg', 1))) AS l FROM s WHERE contains(link, '_BATCHX_') GROUP BY 1) SELECT barcode, coalesce(array_to_string(l, ','), '') AS consensus FROM b LEFT JOIN f ON k = barcode || '_BATCHX'")
-def consensus_by_link(spark: SparkSession, sf: str) -> DataFrame:
-    bars = spark.createDataFrame([("TGACTC40NACY",), ("GGGGGG40NACY",), ("CCCCCC40NACY",)], "barcode string")
-    out = guide.consensus_by_key(bars, spark.createDataFrame([(x,) for x in SVGS], "link string"), batch="BATCHX")
-    return out.select("barcode", F.array_join("consensus", ",").alias("consensus"))
-
-
 @add(f"""WITH {', '.join(table(f's{k}', 'protein, line, consensus', rows) for k, rows in enumerate(LISTS))}, {', '.join(f"l{k} AS (SELECT protein, list(consensus ORDER BY line) AS l FROM s{k} GROUP BY 1)" for k in range(3))},
 r0 AS (SELECT n_name AS protein, CASE WHEN l IS NOT NULL AND NOT regexp_matches(l[1], '(?i)^(fail)|(AA)$') THEN l ELSE [] END AS c FROM nation LEFT JOIN l0 ON n_name = protein),
 r1 AS (SELECT r0.protein, CASE WHEN l IS NOT NULL AND len(c) <= 5 AND NOT regexp_matches(l[1], '(?i)^(fail)|(AA)$') THEN list_concat(c, l) ELSE c END AS c FROM r0 LEFT JOIN l1 ON r0.protein = l1.protein),
@@ -208,16 +195,6 @@ def kmers_around_nearest_hit(spark: SparkSession, sf: str) -> DataFrame:
     return dimers.counts_around(dimers.nearest_left(rows), 3)
 
 
-@add(f"WITH {PWM} SELECT name, base, pos, {sql_near('log10(CASE WHEN w = 0 THEN 1e-6 ELSE w / sum(w) OVER (PARTITION BY name, pos) END)')} AS w FROM pwm")
-def pwm_to_freq_log(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(motif.to_log10(X.pwm_rows(spark)), "w")
-
-
-@add(f"WITH {PWM} SELECT name, translate(base, 'ACGT', 'TGCA') AS base, (max(pos) OVER (PARTITION BY name) - pos)::INTEGER AS pos, w::DOUBLE AS w FROM pwm")
-def pwm_revcomp(spark: SparkSession, sf: str) -> DataFrame:
-    return motif.oriented(X.pwm_rows(spark), "rc")
-
-
 BED = f"WITH {X.ALIGNMENTS}, {X.BLACKLIST}, {X.AUTOSOMES}"
 
 
@@ -241,22 +218,6 @@ def aln_rmdup(spark: SparkSession, sf: str) -> DataFrame:
 BINOM = "exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln(p) + (n - j) * ln(1 - p))"
 
 
-@add(f"""WITH g AS (SELECT x::INTEGER AS x, y::INTEGER AS y, n1, n2, x + y + 1 AS n, n1 / (n1 + n2) AS p FROM range(21) a(x), range(0, 41, 4) b(y), (VALUES (1000.0::DOUBLE, 1100.0::DOUBLE), (1700.0, 500.0), (300.0, 910.0)) c(n1, n2))
-SELECT x, y, n1, n2, {sql_near(f'sum(CASE WHEN j > x THEN {BINOM} ELSE 0 END)')} AS p_le, {sql_near(f'sum(CASE WHEN j <= x THEN {BINOM} ELSE 0 END)')} AS p_gt FROM (SELECT *, unnest(range(0, n + 1)) AS j FROM g) GROUP BY x, y, n1, n2""")
-def audic_claverie(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = spark.createDataFrame([(1000.0, 1100.0), (1700.0, 500.0), (300.0, 910.0)], "n1 double, n2 double")
-    grid = spark.range(21).select(F.col("id").cast("int").alias("x")).crossJoin(spark.range(0, 41, 4).select(F.col("id").cast("int").alias("y"))).crossJoin(sizes)
-    return rounded(stats.audic_claverie(grid), "p_le", "p_gt")
-
-
-@add(f"""WITH g AS (SELECT x::INTEGER AS x, y::INTEGER AS y, n1, n2, x + y + 1 AS n, n1 / (n1 + n2) AS p FROM range(21) a(x), range(400) b(y), (VALUES (1000.0::DOUBLE, 1000.0::DOUBLE), (300.0, 900.0)) c(n1, n2)),
-t AS (SELECT x, y, n1, n2, sum(CASE WHEN j > x THEN {BINOM} ELSE 0 END) AS lo, sum(CASE WHEN j <= x THEN {BINOM} ELSE 0 END) AS hi FROM (SELECT *, unnest(range(0, n + 1)) AS j FROM g) GROUP BY x, y, n1, n2)
-SELECT x, n1, n2, coalesce(max(y) FILTER (lo < 0.025), -1) AS y_min, min(y) FILTER (hi < 0.025) AS y_max FROM t GROUP BY x, n1, n2""")
-def significance_interval(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = spark.createDataFrame([(1000.0, 1000.0), (300.0, 900.0)], "n1 double, n2 double")
-    return stats.interval(spark.range(21).select(F.col("id").cast("int").alias("x")).crossJoin(sizes))
-
-
 def bending_steps(model: str) -> str:
     """(oligo, rise, r11 ... r33): rotations of a dinucleotide model, from its fixed values."""
     oligos, *angles, rise = curve.MODELS[model]
@@ -380,28 +341,3 @@ def array_table_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     counts = adm.position_counts(X.reads(spark, sf), (1,))
     grid = adm.zero_filled(counts, counts.select("kmer").distinct(), 147)
     return adm.long(adm.wide(grid)).where("kmer = 'A' and val > 0").withColumn("val", F.col("val").cast("double"))
-
-
-SAMPLES = [("x_147A12_1.txt",), ("y_147B_2.txt",), ("z_147A12_9.txt",), ("none.txt",)]
-BACKS = [(1, "bk_147B_c0.txt"), (2, "bk1_147A12_c0.txt"), (3, "bk2_147A12_c0.txt")]
-KINDS = [(1, "NATION0", "mono"), (2, "NATION07", "dimer"), (3, "NATION1", "mono"), (4, "NATION", "x")]
-
-
-@add(f"""WITH {table('s', 'name', SAMPLES)}, {table('b', 'line, background', BACKS)}, k AS (SELECT name, regexp_extract(name, '_(147[0-9A-Z]*)_', 1) AS part FROM s)
-SELECT name, arg_min(background, line) AS background FROM k LEFT JOIN b ON part <> '' AND contains(background, part) GROUP BY name""")
-def background_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    backs = spark.createDataFrame(BACKS, "line int, name string")
-    return guide.paired_by_name(spark.createDataFrame(SAMPLES, "name string"), backs, "_(147[0-9A-Z]*)_").select("name", "background")
-
-
-@add(f"WITH {table('b', 'line, name', BACKS)} SELECT line, name AS a_name, reverse(name) AS b_name FROM b")
-def zip_lists(spark: SparkSession, sf: str) -> DataFrame:
-    a = spark.createDataFrame(BACKS, "line int, name string")
-    return guide.zipped(a, a.select((F.col("line") * 10).alias("line"), F.reverse("name").alias("name")))
-
-
-@add(f"""WITH {table('n', 'line, entry, kind', KINDS)}, t AS (SELECT * FROM (VALUES ('NATION0', 'NATION0', 0), ('NATION0', 'NATION', 1), ('nation1', 'nation1', 0), ('nation1', 'nation', 1)) v(TF, look, step)),
-h AS (SELECT TF, entry, line, step, kind FROM t JOIN n ON regexp_matches(entry, '(?i)^' || look || '[0-9L-]*$'))
-SELECT TF, entry, line, step FROM h WHERE kind LIKE '%mono%' UNION ALL SELECT TF, entry, line, step + 2 FROM h""")
-def pwm_by_preference(spark: SparkSession, sf: str) -> DataFrame:
-    return guide.best_pwms(spark.createDataFrame(KINDS, "line int, entry string, kind string"), spark.createDataFrame([("NATION0",), ("nation1",)], "TF string"))

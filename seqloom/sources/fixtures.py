@@ -85,10 +85,6 @@ PWMS = {
     "m5": [[2, 14, 1, 1, 9], [3, 2, 16, 2, 4], [1, 2, 2, 1, 3], [14, 2, 1, 16, 4]],
     "m6": [[1, 12, 2, 10, 3, 5], [2, 3, 14, 2, 6, 4], [3, 1, 2, 4, 5, 6], [14, 4, 2, 4, 6, 5]],
 }
-FILE_NAMES = [
-    "run7-A01-YB20_TF3_cyc4.fastq.gz", "/data/x/plate2-HOXB13-C07-TGACTC40NACYB2_sel.txt", "batch9_TAGTTA40NGTG_3.seq", "XEPAQ_TGGAGA40NCCA_2.fastq", "no_metadata_here",
-    "lib-P24-rest.txt", "lib-Q01-rest.txt", "/a.b/c/lib-H10-x.tar.gz", "k-B09-YB0_c0.txt", "_TGAACC40NCCA_1.seq", "plate1-NKD2-4-D11-GGTTCA40NATYB3_z.txt", "",
-]
 #: (TF, seed, is dimer) in the order of the sheet.
 SEEDS = [("NATION_0", "NNTAATTANN", "dimer"), ("Nation_0", "NTGACGTCAN", "mono"), ("NATION_1", "NGGATTAN", "mono"), ("nation_1", "NGGGGATTN", "mono"), ("NATION_2", "NTTAATN", "dimer"), ("nation_2", "NCACGTGN", "dimer"), ("nation_3", "NNGATAANN", "mono"), ("ELSEWHERE", "NCCGGAAN", "mono")]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,7 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="seqloom-"))
+    here = spark.sparkContext.applicationId
+    if here not in _local:
+        _local[here] = tempfile.mkdtemp(prefix="seqloom-")
+        atexit.register(shutil.rmtree, _local[here], ignore_errors=True)
+    return _local[here]
 
 
 def stored(df: DataFrame, *, name: str = "table") -> DataFrame:

@@ -307,6 +307,18 @@ def test_curvature_in_pieces_is_that_of_the_whole(spark):
     assert curvature.curved_pieces(curvature.cut(none), 1 << 16).count() == 0
 
 
+def test_pdb_columns_of_long_sequences(spark):
+    """Serials and residues keep their columns beyond 99,999 and 9,999."""
+    cases = [0, 9_998, 9_999, 49_999, 60_000, 1_000_000]
+    rows = spark.createDataFrame([(1, p, "A", *[1.0] * 6) for p in cases], "id long, pos long, base string, " + ", ".join(f"{p}_{c} double" for p in ("p1", "p2") for c in "xyz"))
+    lines = {(r.serial - 1) // 2: r.line for r in curvature.pdb_lines(rows).where("serial % 2 = 1").collect()}
+    assert {len(x) for x in lines.values()} == {len(lines[0])} and all(x[30:38] == "   1.000" for x in lines.values())
+    assert [lines[p][22:26] for p in cases[:3]] == ["   1", "9999", "A000"] and [lines[p][6:11] for p in cases[2:4]] == ["19999", "99999"]
+    assert lines[60_000][6:11] == "A0FFL" and lines[60_000][22:26] == "B2KX"
+    with pytest.raises(Exception, match="too many atoms"):
+        curvature.pdb_lines(rows.withColumn("pos", F.lit(3_000_000))).collect()
+
+
 def test_products_of_blocks():
     rng = np.random.default_rng(3)
     steps = np.array([curvature.turn(3.4, *rng.normal(size=3) * 30) for _ in range(37)])
