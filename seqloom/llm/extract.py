@@ -1,13 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-A page's markup is stripped to lines, one for each block element. Lines inside menus, headers,
-footers, sidebars, notices, adverts, forms and comment sections, and lines that are mostly
-links, keep their place but count no text. The text lengths are summed over a sliding window of
-lines: the distribution surges where the article begins and dives to nothing where it ends, and
-gaps narrower than the window don't break it. Boxes such as adverts and forms don't widen a gap,
-and stretches that go on in the same container are one. Of all stretches between a surge and a dive
-the one with the most text is the article; an article element is but a hint: its letters count
-twice, and its border ends a stretch.
+A page's markup is stripped to lines, one for each block element, and the lines' letters are summed
+over a sliding window: the distribution surges where the article begins and dives where it ends. How
+low a dive is follows from the page: a share of its average lines' sum. What elements,
+classes and links say of a line is evidence: it makes its letters weigh next to nothing, so that
+menus and footers are dives, and it is void where it would speak of most of the page. Boxes such as
+adverts and forms in the midst of an article neither widen a gap nor are text.
+Stretches that go on behind a gap in the same container, or behind a menu with about as much text, are one.
+Of all stretches between a surge and a dive the one with the most text is the article; an article
+element is but a hint: its letters count twice, and its border ends a stretch.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +44,16 @@ PLAIN = frozenset(
     "a b bar block body bottom box center col column columns container content the entry fixed form global group inner item items js layout left line link links list lower main mobile module outer page panel post posts primary right row section secondary site slot sticky top text title unit upper wrap wrapper".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
-#: Elements of APART that part what stands before from what stands after them.
-PARTING = frozenset("nav header footer menu".split())
+#: Elements and words of what ends an article: only the dive keeps it out.
+ENDING = frozenset("footer foot copyright legal colophon".split())
+#: Elements of APART, and words, that part what stands before from what stands after them; others are boxes.
+PARTING = frozenset("nav header footer menu navbar navigation menus masthead topbar foot copyright legal colophon".split())
+#: Elements whose class or id is no evidence: prose stands in them.
+PROSE = frozenset("html body main article p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th tr tbody".split())
 #: Elements that hold an article or a part of a page.
 CONTAINERS = frozenset("article div main section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: A notice of rights, which stands in no article element.
 RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\b).{0,200}\Z", re.I)
 SPACE = re.compile(r"\s+")
@@ -55,6 +61,14 @@ SPACE = re.compile(r"\s+")
 WINDOW = 3
 #: What a letter inside an article element weighs when stretches are compared.
 ARTICLE = 2
+#: What all letters of a line weigh at most that evidence speaks against: less than one letter.
+SLIGHT = 0.3
+#: A dive: a window's sum under this share of that of the page's average lines, but at least what slight lines sum to.
+DIVE = 0.05
+#: Evidence is void of a region with more than this share of the page's letters.
+MOST = 0.5
+#: What the smaller of two stretches about a menu must have of the larger's text to be its second part.
+PART = 0.25
 
 
 def named(token: str, inside: int) -> bool:
@@ -68,22 +82,25 @@ def named(token: str, inside: int) -> bool:
     return len(known) > len(others) and any(not (inside and p in ("header", "alert", "form", "search")) for p in known)
 
 
-def apart(name: str, attributes: str, inside: int = 0) -> bool:
-    """Whether an element stands apart from the article by its name or its attributes.
+def apart(name: str, attributes: str, inside: int = 0) -> str:
+    """What says that an element stands apart from the article: its name, or a word of its attributes;
+    empty if nothing does.
 
     `inside`: the number of the article it is in, if any; an article's own header is part of it.
     """
     if name in APART:
-        return True
+        return "" if inside and name == "header" else name
     if not attributes or name in ("html", "body", "main", "article"):
-        return False
+        return ""
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id") and any(named(token, inside) for token in value.split()):
-            return True
-    return False
+            return "hidden"
+        if key in ("class", "id") and name not in PROSE:
+            for token in value.split():
+                if named(token, inside):
+                    return next((w for w in re.split(r"[^a-z]+", token) if w in PARTING), token)
+    return ""
 
 
 def parsed(page: str) -> Iterator[tuple[str, str, bool, str]]:
@@ -141,23 +158,30 @@ def parsed(page: str) -> Iterator[tuple[str, str, bool, str]]:
     yield "".join(text), "", False, ""
 
 
-def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
-    """(text, length that counts, number of the article element or 0, number of the container it is
-    in, whether it is in a box such as an advert) of each line."""
-    out: list[tuple[str, int, int, int, bool]] = []
+class Line(NamedTuple):
+    text: str
+    linked: bool  # most of it is links
+    rights: bool  # a notice of rights
+    regions: tuple[int, ...]  # open elements that stand apart, outermost first
+    inside: int  # number of the article element, or 0
+    container: int
+
+
+def lines(page: str) -> tuple[list[Line], list[str]]:
+    """A page's lines, and what made each region stand apart."""
+    out: list[Line] = []
     nest, opened, count = [("", 0)], Counter(), 0  # the open containers
     text: list[str] = []
-    linked = anchor = depth = inside = articles = 0
-    shut = ""  # the element that stands apart, and how often its name is open inside it
-    article_depth = 0
+    linked = anchor = inside = articles = article_depth = 0
+    why: list[str] = []
+    shut: list[list] = []  # open regions: name, how often it is open inside, number
 
     def end() -> None:
         nonlocal linked
         joined = SPACE.sub(" ", html.unescape("".join(text))).strip()
         text.clear()
         if joined:
-            aside = linked * 2 > len(joined) or bool(RIGHTS.match(joined))
-            out.append((joined, 0 if shut or aside and not inside else len(joined), inside, nest[-1][1], bool(shut) and shut not in PARTING))
+            out.append(Line(joined, linked * 2 > len(joined), bool(RIGHTS.match(joined)), tuple(r[2] for r in shut), inside, nest[-1][1]))
         linked = 0
 
     for piece, name, close, attributes in parsed(page):
@@ -180,17 +204,18 @@ def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
                 break
         if not name or name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
-        if shut:
-            if name == shut:
-                depth += -1 if close else 1
-                if not depth:
-                    shut = ""
-            elif name in ("article", "main") and not close and shut not in ("aside", "form", "article", "main"):
-                shut = ""  # it was never closed: the article doesn't belong to it
-        elif not close and apart(name, attributes, inside) and not (inside and name == "header"):
+        if name in ("article", "main") and not close:
+            while shut and shut[-1][0] not in ("aside", "form", "article", "main"):
+                shut.pop()  # it was never closed: the article doesn't belong to it
+        if not close and len(shut) < NESTED and (reason := apart(name, attributes, inside)):
             end()
-            shut, depth = name, 1
-        if not shut and name == "article":
+            shut.append([name, 1, len(why)])
+            why.append(reason)
+        elif (at := next((k for k in range(len(shut) - 1, -1, -1) if shut[k][0] == name), -1)) >= 0:
+            shut[at][1] += -1 if close else 1
+            if not shut[at][1]:
+                del shut[at:]
+        if name == "article":
             if not close:
                 if not inside:
                     articles += 1
@@ -201,44 +226,91 @@ def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
                 if article_depth <= 0:
                     inside = article_depth = 0
     end()
+    return out, why
+
+
+#: Regions inside one another that are told apart.
+NESTED = 8
+
+
+def surges(weights: np.ndarray, window: int = WINDOW, least: float = 0) -> list[tuple[int, int]]:
+    """Stretches of lines between a surge of the sums over sliding windows above `least` and a dive to it;
+    a stretch ends with its last line of any weight."""
+    sums = np.convolve(weights, np.ones(window))[: len(weights)]
+    live = np.concatenate([[False], sums > least, [False]])
+    turns = np.flatnonzero(live[1:] != live[:-1])
+    out = []
+    for a, b in turns.reshape(-1, 2):
+        # The window that surges may begin with lines below the threshold that are part of it.
+        a = max(a - window + 1, out[-1][1] if out else 0)
+        full = a + np.flatnonzero(weights[a:b])
+        out.append((int(full[0]), int(full[-1]) + 1))
     return out
 
 
-def surges(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Stretches of lines between a surge and a dive of the sums over sliding windows."""
-    filled = np.flatnonzero(lengths)
-    if not len(filled):
-        return []
-    # The sum over a window of lines is nothing exactly where `window` lines in a row are empty.
-    cut = np.flatnonzero(np.diff(filled) > window)
-    first = filled[np.append(0, cut + 1)]
-    last = filled[np.append(cut, len(filled) - 1)]
-    return [(int(a), int(b) + 1) for a, b in zip(first, last)]
+def evidence(found: list[Line], why: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a line is in a box, in a menu or the like, links alone, whether it says what ends an article)."""
+    letters = np.array([len(x.text) for x in found])
+    held = np.bincount([r for x in found for r in x.regions], [len(x.text) for x in found for _ in x.regions], minlength=len(why))
+    reason = [next((why[r] for r in x.regions if held[r] <= MOST * letters.sum()), "") for x in found]
+    ends = np.array([r in ENDING for r in reason], bool)
+    parts = np.array([r in PARTING for r in reason], bool)
+    boxes = np.array([bool(r) for r in reason], bool) & ~parts
+    links = np.array([x.linked and not x.inside for x in found], bool)
+    rights = np.array([x.rights and not x.inside for x in found], bool)
+    return boxes & ~ends, parts & ~ends, links, rights | ends
 
 
-def main_text(page: str | None) -> str:
-    """The article's lines, joined by line feeds; empty if there are none."""
-    if not page:
-        return ""
-    found = [x for x in lines(page) if not x[4]]  # boxes don't widen the gap that they stand in
-    lengths, marked, container = (np.array([x[k] for x in found], np.int64) for k in (1, 2, 3))
+def chosen(found: list[Line], menus: np.ndarray, slight: np.ndarray) -> tuple[int, int]:
+    """The stretch of lines that is the article; (0, 0) if there is none."""
+    letters = np.array([len(x.text) for x in found], float)
+    weights = np.where(slight, SLIGHT * np.minimum(letters, 100) / 100, letters)
+    if not (weights >= 1).any():
+        return 0, 0
+    least = max(SLIGHT * WINDOW, DIVE * WINDOW * float(weights[weights >= 1].mean()))
+    marked, container = (np.array([x[k] for x in found], np.int64) for k in (4, 5))
     stretches: list[tuple[int, int]] = []
-    for a, b in surges(lengths):
+    for a, b in surges(weights, least=least):
         # The border of an article element is one of stretches too.
         turns = a + 1 + np.flatnonzero(np.diff(marked[a:b] > 0))
         for p, q in zip([a, *turns], [*turns, b]):
-            p += np.flatnonzero(lengths[p:q])[0] if lengths[p:q].any() else 0
-            last = stretches[-1][1] - 1 if stretches else 0
-            last -= np.flatnonzero(lengths[: last + 1][::-1])[0] if stretches else 0
-            if stretches and (marked[last] > 0) == (marked[p] > 0) and (p == a) and (container[last] == container[p] or marked[last] == marked[p] > 0):
-                stretches[-1] = stretches[-1][0], int(q)
-            else:
-                stretches.append((int(p), int(q)))
-    if not stretches:
+            full = p + np.flatnonzero(weights[p:q] >= 1)  # a stretch begins and ends with text
+            if not len(full):
+                continue
+            whole, p, q = p == a, int(full[0]), int(full[-1]) + 1
+            if stretches and whole:
+                first, last = stretches[-1][0], stretches[-1][1] - 1
+                together = container[last] == container[p] or marked[last] == marked[p] > 0
+                sizes = sorted((weights[first : last + 1].sum(), weights[p:q].sum()))
+                beside = slight[last + 1 : p].all() and menus[last + 1 : p].any() and sizes[0] >= PART * sizes[1]
+                if (marked[last] > 0) == (marked[p] > 0) and (together or beside):
+                    stretches[-1] = first, q
+                    continue
+            stretches.append((p, q))
+    worth = weights * np.where(marked > 0, ARTICLE, 1)
+    a, b = max(stretches, key=lambda s: (worth[s[0] : s[1]].sum(), -s[0]))
+    # Short lines at its ends that go on in the same container are below no dive.
+    alike = lambda k, of: 0 <= k < len(found) and weights[k] >= 1 and container[k] == container[of] and marked[k] == marked[of]
+    while alike(a - 1, a):
+        a -= 1
+    while alike(b, b - 1):
+        b += 1
+    return a, b
+
+
+def main_text(page: str | None) -> str:
+    """The article's lines, joined by line feeds; empty if there are none."""
+    if not page:
+        return ""
+    found, why = lines(page)
+    if not found:
         return ""
-    weights = lengths * np.where(marked > 0, ARTICLE, 1)
-    a, b = max(stretches, key=lambda s: (weights[s[0] : s[1]].sum(), -s[0]))
-    return "\n".join(found[k][0] for k in range(a, b) if lengths[k])
+    boxes, menus, links, ends = evidence(found, why)
+    # Links part stretches like menus, boxes don't widen the gap that they stand in.
+    keep = np.flatnonzero(~boxes)
+    found, menus, links, ends = [found[k] for k in keep], menus[keep], links[keep], ends[keep]
+    a, b = chosen(found, menus, menus | links | ends)
+    return "\n".join(found[k].text for k in range(a, b) if not (menus[k] or links[k]))
 
 
 def extracted(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

@@ -146,3 +146,60 @@ def test_pages_without_marks_against_window_sums():
         # Each line in a list of its own: no container joins stretches.
         page = "".join(f"<section>{b}</section>" for b in blocks)
         assert extract.main_text(page) == "\n".join(kept[k] for k in windows_brute_force(kept))
+
+
+def ablated(monkeypatch, **names):
+    for name, value in names.items():
+        monkeypatch.setattr(extract, name, value)
+
+
+def test_the_distribution_decides_on_the_table(spark, monkeypatch):
+    """Without its stretches results change on every page; without lists of names, or without names and
+    article elements, nine of ten articles stay."""
+    rows = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [extract.main_text(h) for h in rows]
+    with monkeypatch.context() as m:
+        m.setattr(extract, "chosen", lambda found, menus, slight: (0, len(found)))
+        assert all(extract.main_text(h) != w for h, w in zip(rows, want))
+    nothing = frozenset()
+    with monkeypatch.context() as m:
+        ablated(m, WORDS=nothing, APART=nothing, ROLES=nothing, PARTING=nothing, ENDING=nothing)
+        assert sum(w in extract.main_text(h) for h, w in zip(rows, want)) >= 0.9 * len(rows)
+        bare = [re.sub("</?article>", "", h) for h in rows]
+        assert sum(w in extract.main_text(h) for h, w in zip(bare, want)) >= 0.9 * len(rows)
+    bare = [re.sub("</?article>", "", h) for h in rows]
+    assert sum(extract.main_text(h) == w for h, w in zip(bare, want)) >= 0.9 * len(rows)
+
+
+def test_unmarked_menus_and_footers_are_dives():
+    """Where no name says anything, few letters a line do."""
+    short = lambda n: "".join(f"<div>m{k}</div>" for k in range(n))
+    body = "".join(f"<p>{'word ' * 60}{k}</p>" for k in range(12))
+    for before, after in ((8, 8), (30, 3), (0, 12)):
+        got = extract.main_text(f"<body><div>{short(before)}</div><div>{body}</div><section>{short(after)}</section></body>").split("\n")
+        own = [x for x in got if x.startswith("word")]
+        assert len(own) == 12 and len(got) - 12 <= 2 * (extract.WINDOW - 1), (before, after)
+
+
+def test_what_is_around_most_of_the_page_is_no_form_and_no_sidebar():
+    inner = "".join(paragraphs(*range(5)))
+    want = [x[3:-4] for x in paragraphs(*range(5))]
+    aside = "<nav><ul><li><a href='x'>One</a></li><li>Two</li></ul></nav>", "<div class='ad'>Buy this now.</div><footer>Imprint and all that.</footer>"
+    for around in ('<form id="aspnetForm">%s</form>', '<div class="sidebar-layout">%s</div>', '<form><div class="sidebar-layout">%s</div></form>', '<div id="comments-page">%s</div>'):
+        for own in ("<article>%s</article>", "<main>%s</main>", "<div>%s</div>"):
+            page = around % (aside[0] + own % inner + aside[1])
+            assert extract.main_text(f"<body>{page}</body>").split("\n") == want, (around, own)
+
+
+def test_names_of_attributes_are_whole_and_prose_has_no_role():
+    for mark in ('hidden-text="x"', 'data-role="search"', 'data-hidden', 'id="share"', 'class="notice"', 'aria-hidden="false"'):
+        page = "<article>" + "".join(paragraphs(0, 1)) + f"<p {mark}>{'prose in a paragraph ' * 5}</p>" + "".join(paragraphs(2)) + "</article>"
+        assert extract.main_text(page).count("\n") == 3, mark
+    for mark in ("hidden", 'aria-hidden="true"', 'role="search"'):
+        assert extract.main_text("<article>" + "".join(paragraphs(0, 1)) + f"<p {mark}>{'prose in a paragraph ' * 3}</p></article>").count("\n") == 1, mark
+
+
+def test_a_menu_between_two_parts_of_an_article():
+    parts = ["<div>" + "".join(paragraphs(*k)) + "</div>" for k in ((0, 1, 2), (3, 4))]
+    for menu in ("<nav><p>Page one</p><p>Page two</p><p>Page three</p></nav>", "<nav>" + "<p>Next</p>" * 9 + "</nav>"):
+        assert extract.main_text(f"<body>{parts[0]}{menu}{parts[1]}</body>").split("\n") == [x[3:-4] for x in paragraphs(*range(5))]
