@@ -9,6 +9,26 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def coded(model, text):
+    """Bits of a text under the best language."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return model.lengths(raw, np.array([0, len(raw)])).min()
+
+
+def test_the_code_length_rejects_junk_with_letters_and_no_text_of_the_tables(spark):
+    import random
+
+    rng = random.Random(3)
+    letters, signs = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-.,;:!?()[]{}<>@#$%&*"
+    junk = ["".join(rng.choice(abc) for _ in range(n)) for abc in (letters, signs) for n in (300, 1000, 9000)]
+    junk += [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (150, 900)] + ["это русский текст и он длинный " * 9, "日本語の文章がここにある" * 20]
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    planted = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(junk)], docs.schema)
+    kept = corpus_pipeline.language_out(spark, docs.unionByName(planted), sf)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_stages_against_brute_force(spark, documents, texts, tmp_path):
     """Each stage on what its predecessor kept, decisions remade without Spark or shortcuts."""
     docs, kept = documents, dict(texts)
@@ -25,7 +45,8 @@ def test_stages_against_brute_force(spark, documents, texts, tmp_path):
             score = model.scores(pa.array(list(kept.values())))
             kept = {d: t for (d, t), s in zip(kept.items(), score) if s < 0.3}
         elif name == "language":
-            kept = {d: t for d, t in kept.items() if any(c.isalpha() for c in t)}
+            model = ppm.train(before, F.lit(True))
+            kept = {d: t for d, t in kept.items() if any(c.isalpha() for c in t) and coded(model, t) <= corpus_pipeline.NOISE * len(t.encode()) + corpus_pipeline.SPARE}
         elif name == "near_dedup":
             left = brute_kept(kept)  # five-word shingles, similarity 0.8 or more, all pairs
             kept = {d: t for d, t in kept.items() if d in left}
