@@ -72,3 +72,22 @@ def without_duplicates(aln: DataFrame, *, by: tuple[str, ...] = ("chrom", "start
     rest = [c for c in aln.columns if c not in by]
     best = aln.groupBy(*by).agg(F.min(F.struct((-F.col("mapq")).alias("_q"), *[F.col(c) for c in sorted(rest, key=lambda c: (c != "name", c))])).alias("x"))
     return best.select(*[F.col(c) if c in by else F.col(f"x.{c}").alias(c) for c in aln.columns])
+
+
+def without_duplicate_pairs(mates: DataFrame) -> DataFrame:
+    """Alignments (name, mate, chrom, start, end, strand, mapq, quality) without duplicate fragments: of the
+    pairs whose 5' ends lie at the same two places on the same strands that of the best quality, ties
+    by name; likewise of reads without a mate, which are held against reads without a mate alone.
+
+    A read's 5' end is where it starts on the strand +, and where it ends on the strand -. Mates are
+    brought together by name, a pair's two ends in order are its signature, and the best of
+    each signature is a grouped minimum with map-side combining: a place with very many fragments is
+    no single task's. Which of a pair's mates is the first doesn't matter. A name with more than two
+    rows counts by its two outermost ends.
+    """
+    place = F.struct("chrom", F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("end")).alias("five"), "strand")
+    whole = mates.groupBy("name").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n"), F.sum("quality").alias("quality"))
+    signature = ["low", "high", "single"]
+    found = whole.withColumn("single", F.col("n") == 1)
+    best = found.groupBy(*signature).agg(F.min(F.struct((-F.col("quality")).alias("q"), "name")).alias("b"))
+    return mates.join(best.select(F.col("b.name").alias("name")), "name", "left_semi")

@@ -7,8 +7,13 @@ most 4^k rows a sample and task, however many reads there are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.functions import seq as S
 
@@ -57,6 +62,45 @@ def origins(reads: DataFrame, k: int, *, by: tuple[str, ...] = ("sample",), most
     return occurrences(reads, k, by=by).groupBy(*by, "kmer").agg(F.array_sort(F.collect_list("read_no")).alias("ori"))
 
 
+#: Read numbers of a bitmap: what Spark's bitmaps hold.
+BITMAP = 32_768
+
+
+def origin_bitmaps(reads: DataFrame, k: int, *, by: tuple[str, ...] = ("sample",)) -> DataFrame:
+    """(by..., kmer, bucket, bits): which reads have each k-mer, each read once, as bitmaps of BITMAP read
+    numbers: number n is bit n % BITMAP of bucket n // BITMAP. Numbers are not negative, and are
+    dense (reads.densely_numbered), as a bitmap takes its 4 kB whatever it holds.
+
+    Bitmaps are built on the map side and merge like sums: a k-mer that every read has costs a bit
+    a read and no list, and no row grows beyond a bucket.
+    """
+    at = F.col("read_no")
+    seen = reads.where(at.isNotNull()).select(*by, at, F.explode(F.array_distinct(F.filter(S.kmers("seq", k), lambda x: ~F.contains(x, F.lit("N"))))).alias("kmer"))
+    return seen.groupBy(*by, "kmer", F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at % BITMAP).alias("bits"))
+
+
+def bitmap_counts(bitmaps: DataFrame, *, by: tuple[str, ...] = ("sample",)) -> DataFrame:
+    """(by..., kmer, reads): how many reads have each k-mer."""
+    return bitmaps.groupBy(*by, "kmer").agg(F.sum(F.bitmap_count("bits")).alias("reads"))
+
+
+def bitmap_numbers(bitmaps: DataFrame, *, by: tuple[str, ...] = ("sample",)) -> DataFrame:
+    """(by..., kmer, read_no): the way back, a row a bit; a batch's bitmaps are unpacked at once."""
+    keys = [*by, "kmer"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                ones = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")) for b in part.column("bits").to_pylist()]
+                owner = np.repeat(np.arange(part.num_rows), [len(x) for x in ones])
+                numbers = np.concatenate(ones) + part.column("bucket").to_numpy()[owner] * BITMAP
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(owner)) for k in keys), pa.array(numbers, pa.int64())], names=[*keys, "read_no"])
+
+    kinds = [bitmaps.schema[k] for k in keys]
+    return bitmaps.select(*keys, "bucket", "bits").mapInArrow(run, T.StructType([*kinds, T.StructField("read_no", T.LongType())]))
+
+
 def with_frequency(counts: DataFrame, *, by: tuple[str, ...] = ("sample",), legacy_palindromes: bool = False) -> DataFrame:
     """`counts` with total and freq = cnt / total; totals are one row a group, joined back.
 

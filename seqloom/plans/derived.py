@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
-from seqloom.operators import adm, compare, curvature as curve, genome, guide, kmers, motif, spectral, stats
+from seqloom.operators import adm, compare, curvature as curve, genome, guide, kmers, motif, spectral, stats, superkmers
 from seqloom.plans import core, positional, rest
 from seqloom.plans.register import Registry, rounded, sql_near
 from seqloom.sources import fixtures as X, reads as R, tables as T
@@ -295,3 +295,34 @@ def curvature_own_model(spark: SparkSession, sf: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).where("value <> ''").first().value  # a model's few lines
     out = rounded(curve.curved(X.reads(spark, sf), model=curve.read_model(text)), "curvature", "curve_angle")
     return out.groupBy("id").agg(F.count("*").alias("bases"), F.max("curvature").alias("most"), F.max("curve_angle").alias("angle"))
+
+
+@add(f"""WITH {X.MATES}, e AS (SELECT *, CASE WHEN strand = '+' THEN start ELSE "end" END AS five FROM mates),
+f AS (SELECT name, min((chrom, five, strand)) AS low, max((chrom, five, strand)) AS high, count(*) = 1 AS single, sum(quality) AS quality FROM e GROUP BY name),
+b AS (SELECT name FROM (SELECT name, row_number() OVER (PARTITION BY low, high, single ORDER BY quality DESC, name) AS r FROM f) WHERE r = 1)
+SELECT mates.* FROM mates JOIN b USING (name)""")
+def aln_rmdup_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Fragments by both 5' ends and strands."""
+    return genome.without_duplicate_pairs(X.mates(spark, sf))
+
+
+@add(f"""WITH {X.READS}, n AS (SELECT read_no, row_number() OVER (ORDER BY read_no) - 1 AS number FROM reads), {core.windows(5)}, d AS (SELECT DISTINCT kmer, number FROM w JOIN n USING (read_no))
+SELECT kmer, count(*) AS reads, min(number) AS first, max(number) AS last, sum(number)::BIGINT AS total FROM d GROUP BY kmer""")
+def kmer_origin_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Which reads have each 5-mer: built as bitmaps, counted, and read back number by number."""
+    bits = kmers.origin_bitmaps(R.densely_numbered(X.reads(spark, sf)), 5, by=())
+    numbers = kmers.bitmap_numbers(bits, by=()).groupBy("kmer").agg(F.min("read_no").alias("first"), F.max("read_no").alias("last"), F.sum("read_no").alias("total"))
+    return kmers.bitmap_counts(bits, by=()).join(numbers, "kmer").select("kmer", "reads", "first", "last", "total")
+
+
+@add(f"WITH {X.READS}, {core.windows(21)} SELECT sample, kmer, count(*) AS cnt FROM w GROUP BY ALL")
+def kmer_count_long(spark: SparkSession, sf: str) -> DataFrame:
+    """21-mers, of which most occur once, as runs with one minimiser."""
+    return superkmers.count(X.reads(spark, sf), 21)
+
+
+@add(f"WITH {X.READS}, {core.windows(21)}, c AS (SELECT kmer, count(*) AS cnt FROM w GROUP BY kmer) SELECT cnt, count(*) AS kmers FROM c GROUP BY cnt")
+def kmer_spectrum_long(spark: SparkSession, sf: str) -> DataFrame:
+    """How many 21-mers occur how often, buckets of over 50 runs taken apart."""
+    counts = superkmers.count(X.reads(spark, sf).withColumn("all", F.lit("all")), 21, by="all", held=50)
+    return counts.groupBy("cnt").agg(F.count("*").alias("kmers"))

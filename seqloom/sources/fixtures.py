@@ -59,6 +59,25 @@ ALIGNMENTS = """aln AS (
          l_quantity::INTEGER AS mapq FROM lineitem)"""
 
 
+def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, mate, chrom, start, end, strand, mapq, quality) from lineitem: an order's first two lines are a
+    fragment's mates, its later ones reads without a mate; places are few, so that fragments repeat."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line, order = F.col("l_linenumber"), F.col("l_orderkey").cast("long")
+    name = F.when(line <= 2, F.concat(F.lit("p"), order.cast("string"))).otherwise(F.concat_ws("_", F.lit("s"), order.cast("string"), line.cast("string")))
+    start = (F.col("l_suppkey") % 7 * 100 + line).cast("long")
+    return rows.select(
+        name.alias("name"), F.when(line <= 2, line).otherwise(0).cast("int").alias("mate"), (F.col("l_suppkey") % 3).cast("int").alias("chrom"), start.alias("start"), (start + 50 + order % 3).alias("end"),
+        F.when((order + line) % 2 == 0, "+").otherwise("-").alias("strand"), (order % 60).cast("int").alias("mapq"), F.col("l_quantity").cast("long").alias("quality"),
+    )
+
+
+MATES = """mates AS (
+  SELECT CASE WHEN l_linenumber <= 2 THEN 'p' || l_orderkey ELSE 's_' || l_orderkey || '_' || l_linenumber END AS name, (CASE WHEN l_linenumber <= 2 THEN l_linenumber ELSE 0 END)::INTEGER AS mate,
+         (l_suppkey % 3)::INTEGER AS chrom, (l_suppkey % 7 * 100 + l_linenumber)::BIGINT AS start, (l_suppkey % 7 * 100 + l_linenumber + 50 + l_orderkey % 3)::BIGINT AS "end",
+         CASE WHEN (l_orderkey + l_linenumber) % 2 = 0 THEN '+' ELSE '-' END AS strand, (l_orderkey % 60)::INTEGER AS mapq, l_quantity::BIGINT AS quality FROM lineitem)"""
+
+
 def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chrom, start, end) from part."""
     rows = spark.read.parquet(f"{sf_dir}/part.parquet")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.sources.gzipped import RANGE, gzip_lines
+from seqloom.sources.shared import stored
 
 #: The suffixes that count as reads, the start of the sequencer's record headers.
 SUFFIXES = ("txt", "gz", "fastq", "seq")
@@ -114,6 +115,16 @@ def lengths(reads: DataFrame) -> DataFrame:
     return rows.select("sample", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.raise_error(F.concat(F.lit("reads of different lengths in "), "sample"))).alias("length"))
 
 
+def densely_numbered(reads: DataFrame, *, order: str = "read_no") -> DataFrame:
+    """`reads` with their places in that order, from 0 without gaps, as read_no: ranges are sorted and
+    counted, and the sums of those before them are where their own numbers begin."""
+    rows = stored(reads.orderBy(order).withColumn("_id", F.monotonically_increasing_id()), name="ordered")
+    part = F.shiftright("_id", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))  # a row a range
+    before = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("read_no", F.col("_before") + F.col("_id") - F.shiftleft("_part", 33)).drop("_id", "_part", "_before")
+
+
 def at_least(reads: DataFrame, length: int) -> DataFrame:
     """Without reads shorter than that."""
     return reads.where(F.length("seq") >= length)
