@@ -121,6 +121,13 @@ def read_power_summary(powers: DataFrame, *, by: tuple[str, ...] = ("sample", "k
     return powers.groupBy(*by).agg((F.sum("power") / F.sum("n")).alias("ratio"), F.avg(square).alias("mean_square"))
 
 
+def less_background(summary: DataFrame, background: DataFrame, *, by: tuple[str, ...] = ("kmer",)) -> DataFrame:
+    """`summary` with excess, its mean_square less that of the background's row of the same `by`; null
+    where the background has none."""
+    below = background.select(*by, F.col("mean_square").alias("_below"))
+    return summary.join(below, list(by), "left").withColumn("excess", F.col("mean_square") - F.col("_below")).drop("_below")
+
+
 def own_hits(text: np.ndarray, key: bytes) -> np.ndarray:
     """Where the key's non-overlapping hits, found from the left, begin in each row of letters."""
     k, places = len(key), text.shape[1] - len(key) + 1

@@ -326,3 +326,21 @@ def kmer_spectrum_long(spark: SparkSession, sf: str) -> DataFrame:
     """How many 21-mers occur how often, buckets of over 50 runs taken apart."""
     counts = superkmers.count(X.reads(spark, sf).withColumn("all", F.lit("all")), 21, by="all", held=50)
     return counts.groupBy("cnt").agg(F.count("*").alias("kmers"))
+
+
+W196 = f"(2 * {positional.PI} * 196 / 2000)"
+
+
+@add(f"""WITH {X.READS}, k AS (SELECT unnest(['TA', 'GC']) AS kmer), t AS (SELECT sum(cos({W196} * x)) AS c, sum(sin({W196} * x)) AS s FROM range(146) t(x)),
+h AS (SELECT sample, read_no, kmer, i FROM reads, k, range(146) t(i) WHERE substr(seq, i + 1, 2) = kmer),
+p AS (SELECT sample, kmer, read_no, count(*) AS n, sum(cos({W196} * i)) - count(*) / 146 * any_value(t.c) AS re, sum(sin({W196} * i)) - count(*) / 146 * any_value(t.s) AS im FROM h, t GROUP BY ALL),
+m AS (SELECT sample, kmer, avg((re * re + im * im) / n) AS mean_square FROM p GROUP BY ALL)
+SELECT m.sample, kmer, {sql_near('m.mean_square', 4)} AS mean_square, {sql_near('m.mean_square - b.mean_square', 4)} AS excess FROM m JOIN (SELECT * FROM m WHERE sample = 'src0') b USING (kmer)""")
+def single_read_power_less_background(spark: SparkSession, sf: str) -> DataFrame:
+    """Each sample's mean of power squared over hits less that of sample src0, which stands for the background."""
+    reads = X.reads(spark, sf)
+    keyed = reads.select("sample", F.explode(F.array(F.lit("TA"), F.lit("GC"))).alias("kmer"), "seq")
+    powers = spectral.read_power(keyed.select("sample", "kmer", S.overlapping("seq", F.col("kmer")).alias("p")), 146)
+    summary = spectral.read_power_summary(powers)
+    found = spectral.less_background(summary, summary.where("sample = 'src0'"))
+    return rounded(found.select("sample", "kmer", "mean_square", "excess"), "mean_square", "excess", digits=4)
