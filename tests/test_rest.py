@@ -352,3 +352,55 @@ def test_fasta_records_of_any_length(spark, tmp_path, split):
                 assert got[key] == {o: s[o : o + piece + overlap] for o in range(0, len(s), piece)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_helices_side_by_side_are_those_of_each_alone(spark):
+    """Values of a batch of any lengths, whole and in pieces, against each sequence by itself; digits; PDB lines
+    against the column expressions."""
+    rng = random.Random(4)
+    seqs = {k: "".join(rng.choice("ACGT") for _ in range(n)) for k, n in enumerate((*range(1, 40), 147, 147, 150, 1000, 1300))}
+    seqs |= {90: "AACGTT", 91: "", 92: None, 93: "CCNNGAxTTAC" * 20}
+    rows = spark.createDataFrame(list(seqs.items()), "read_no long, seq string")
+    for name in ("trifonov", "nucleosome"):
+        model = curvature.Model.named(name)
+        got = {}
+        for r in curvature.curved(rows, model=name, columns=curvature.BENDS, digits=5).collect():
+            got.setdefault(r.id, []).append(r)
+        sums = {r.id: r for r in curvature.bend_sums(curvature.cut(rows, 100), 100, model=name, digits=5).collect()}
+        whole = {r.id: r for r in curvature.extents(rows, model=name).collect()}
+        parts = {r.id: r for r in curvature.extents_of_pieces(curvature.cut(rows, 100), 100, model=name).collect()}
+        assert got.keys() == sums.keys() == whole.keys() == parts.keys() == seqs.keys() - {91, 92}
+        for k, found in got.items():
+            s = "".join(c for c in seqs[k].upper() if c in "ACGT")
+            xyz = curvature.coordinates(s, model)
+            want = curvature.curvature(xyz, model.rise)
+            found.sort(key=lambda r: r.pos)
+            assert "".join(r.base for r in found) == s and np.allclose(np.array([r[3:] for r in found]).T, want, atol=6e-6)
+            assert np.allclose(sums[k][1:], [len(s), want[0].max(), want[1].sum(), want[2].max()], atol=6e-6 * len(s))
+            out = curvature.laid_out(xyz)[0]
+            for extent in (whole[k], parts[k]):
+                assert extent.bases == len(s) and np.allclose(extent[2:], out.max(0) - out.min(0), atol=1e-6), (k, extent)
+    lines = lambda df: {(r.id, r.serial): r.line for r in df.collect()}
+    got, want = lines(curvature.pdb_records(rows)), lines(curvature.pdb_lines(curvature.curved(rows)))
+    assert got == want and {len(x) for (k, _), x in got.items() if len(seqs[k]) < 300} == {78} and max(map(len, got.values())) > 78
+    numbers = np.array([0, 7, 9999, 10000, 60001, 9999 + 26 * 36**3])
+    held = spark.createDataFrame([(int(k),) for k in numbers], "n long").select(curvature.hybrid36(F.col("n"), 4).alias("t")).collect()
+    assert [bytes(x).decode() for x in curvature.numbers36(numbers, 4)] == [r.t for r in held]
+    texts, fit = curvature.decimals(np.array([-0.0004, 0.0, 12.3456, -999.999, 9999.999, -1000.0, 1e4, np.inf]))
+    assert [bytes(x).decode() for x in texts[:5]] == ["  -0.000", "   0.000", "  12.346", "-999.999", "9999.999"] and fit.tolist() == [True] * 5 + [False] * 3
+
+
+def test_extents_are_the_sql_s_bit_by_bit(spark):
+    """Also of straight axes, two bases, whose direction across is what rounding leaves: the SQL's formulas make
+    3.379 of some. Otherwise these have no extent across."""
+    import duckdb
+
+    from seqloom.plans import rest
+
+    rows = [(k, s) for k, s in enumerate([*(a + b for a in "ACGT" for b in "ACGT"), "A", "ACG", "AATT", "ACGGT" * 30])]
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE held AS SELECT * FROM {rest.X.values(rows)} t(id, seq)")
+    want = con.execute(rest.extents("q AS (SELECT * FROM held)")).fetchall()
+    df = spark.createDataFrame(rows, "read_no long, seq string")
+    assert sorted(want) == sorted(map(tuple, curvature.extents(df, digits=5, as_found=True).collect()))
+    assert any(r[4] > 1 for r in want if r[1] == 2) and all(r.y == r.z == 0 for r in curvature.extents(df, digits=5).collect() if r.bases == 2)
