@@ -250,7 +250,7 @@ def plot_polar(spark: SparkSession, sf: str) -> DataFrame:
 @add(f"WITH {X.READS} SELECT read_no AS id, 2 * length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS atoms FROM reads WHERE regexp_matches(seq, '[ACGT]')")
 def sink_pdb(spark: SparkSession, sf: str) -> DataFrame:
     """Two phosphates a base pair, each an ATOM record of 78 columns."""
-    lines = curve.pdb_lines(curve.curved(X.reads(spark, sf)))
+    lines = curve.pdb_records(X.reads(spark, sf))
     return lines.where(F.startswith("line", F.lit("ATOM")) & (F.length("line") == 78)).groupBy("id").agg(F.count("*").alias("atoms"))
 
 
