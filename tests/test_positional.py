@@ -107,3 +107,21 @@ def test_non_overlapping_hits_of_many_reads_at_once():
                 want.append(at)
                 at += len(key)
             assert np.flatnonzero(marks).tolist() == want
+
+
+def test_position_counts_of_tables_are_those_of_rows(spark, monkeypatch):
+    """Any lengths, letters and groups, null ones too, tables that fill up, against windows as rows."""
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 30))) for _ in range(300)] + [None, "", "acgtN", "ACÜGT", "AC*GT", "ACGTN" * 1000]
+    rows = spark.createDataFrame([(rng.choice(["a", "b", None]), rng.choice([True, False, None]), t) for t in texts], "sample string, en boolean, seq string").repartition(3)
+    for cells, by, ks in ((adm.CELLS, ("sample",), (1, 2)), (1, ("en", "sample"), (3,)), (adm.CELLS, (), (2, 4))):
+        monkeypatch.setattr(adm, "CELLS", cells)
+        got = adm.position_counts(rows, ks, by=by)
+        plan = got._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "Generate" not in plan
+        monkeypatch.setattr(adm, "TABLED", 0)
+        want = adm.position_counts(rows, ks, by=by)
+        monkeypatch.setattr(adm, "TABLED", 4)
+        assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
