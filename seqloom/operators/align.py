@@ -38,18 +38,21 @@ class Model:
                 elif len(kmer) == 2:
                     self.di[pos, 4 * code[0] + code[1]] = val
 
-    def terms(self, reads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For reads of one length: (total, terms by offset and position, whether N is inside)."""
+    def terms(self, reads: np.ndarray, *, sums: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """For reads of one length: (total by read and offset, sums of the terms before each position if asked
+        for, whether N is inside). One position's terms at a time: its 16 values stay at hand."""
         n, length = reads.shape
         offsets = length - self.length + 1
         codes = CODE[reads]
         pairs = np.where((codes[:, :-1] < 4) & (codes[:, 1:] < 4), 4 * codes[:, :-1] + codes[:, 1:], 0)
-        at = np.arange(offsets)[:, None] + np.arange(self.length - 1)[None, :]
-        by = self.di[np.arange(self.length - 1), pairs[:, at]]
+        before = np.zeros((self.length if sums else 1, n, offsets))
+        total = before[0]
+        for p in range(self.length - 1):
+            total = np.add(total, self.di[p].take(pairs[:, p : p + offsets]), out=before[p + 1] if sums else total)
         unknown = np.concatenate([np.zeros((n, 1), int), np.cumsum(codes == 4, 1)], 1)
         bad = unknown[:, self.length :] > unknown[:, :offsets]
         first = self.mono[0, np.where(codes[:, :offsets] < 4, codes[:, :offsets], 0)]
-        return first + by.sum(2), by, bad
+        return first + total, before if sums else None, bad
 
 
 def collected(model: DataFrame, length: int) -> Model:
@@ -63,7 +66,8 @@ def collected(model: DataFrame, length: int) -> Model:
 
 def best(score: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First offset of the highest score, the score, and whether any offset counts."""
-    score = np.where(bad, -np.inf, np.round(score, DIGITS))
+    score = np.round(score, DIGITS)
+    score[bad] = -np.inf
     at = score.argmax(1)
     top = np.take_along_axis(score, at[:, None], 1)[:, 0]
     return at, top, top > LOW
@@ -129,8 +133,7 @@ def leave_window_out(reads: DataFrame, model: DataFrame, *, length: int = 94, wi
             names, sample = np.unique(np.array(["" if x is None else x for x in batch.column(0).to_pylist()], str), return_inverse=True)
             counts = np.zeros((len(names), 16, length), np.int64)
             for rows, text in by_length(batch.column(1), length):
-                total, by, bad = fitted.terms(text)
-                run_sum = np.concatenate([np.zeros((*by.shape[:2], 1)), np.cumsum(by, 2)], 2)
+                total, run_sum, bad = fitted.terms(text, sums=True)
                 codes = CODE[text]
                 offsets = np.arange(total.shape[1])
 
@@ -139,12 +142,12 @@ def leave_window_out(reads: DataFrame, model: DataFrame, *, length: int = 94, wi
                     return np.where(c < 4, fitted.mono[pos, np.minimum(c, 3)], 0)
 
                 if window == 2:
-                    plans = [(total - (run_sum[:, :, w + 2] - run_sum[:, :, w - 2]), [w]) for w in range(2, length - 2)]
+                    plans = ((total - (run_sum[w + 2] - run_sum[w - 2]), [w]) for w in range(2, length - 2))
                 else:
                     plans = []
                     for w in range(-(-length // window) - 1):
                         lo, hi = w * window, (w + 1) * window
-                        score = total - (run_sum[:, :, hi] - run_sum[:, :, max(0, lo - 1)]) + mono(hi)
+                        score = total - (run_sum[hi] - run_sum[max(0, lo - 1)]) + mono(hi)
                         plans.append((score - mono(0) if w == 0 else score, list(range(lo, hi))))
                 for score, places in plans:
                     at, _, ok = best(score, bad)

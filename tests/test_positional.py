@@ -125,3 +125,21 @@ def test_position_counts_of_tables_are_those_of_rows(spark, monkeypatch):
         want = adm.position_counts(rows, ks, by=by)
         monkeypatch.setattr(adm, "TABLED", 4)
         assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_terms_position_by_position():
+    """Totals and sums before each position against single look-ups; no array of reads x offsets x positions
+    unless sums are asked for."""
+    rng = np.random.default_rng(8)
+    model = align.Model([(a + b, p, float(rng.normal())) for p in range(9) for a in "ACGT" for b in "ACGT"] + [(a, 0, float(rng.normal())) for a in "ACGT"], 10)
+    reads = rng.choice(np.frombuffer(b"ACGTN", np.uint8), (20, 25), p=[0.24] * 4 + [0.04])
+    total, none, bad = model.terms(reads)
+    same, before, _ = model.terms(reads, sums=True)
+    assert none is None and before.shape == (10, 20, 16) and (total == same).all()
+    for r, read in enumerate(reads):
+        for o in range(16):
+            window = align.CODE[read[o : o + 10]]
+            assert bad[r, o] == (window == 4).any()
+            if not bad[r, o]:
+                terms = [model.di[p, 4 * window[p] + window[p + 1]] for p in range(9)]
+                assert np.allclose(before[:, r, o], np.cumsum([0, *terms])) and np.isclose(total[r, o], model.mono[0, window[0]] + sum(terms))
