@@ -7,13 +7,18 @@ the parity of how many shingles fall on it. Each shingle that only one set has f
 two sets differ in no fewer shingles than their fingerprints in bits, and what these rule out is
 ruled out for sure. A text has a short fingerprint for tiles and a long one, as long as it needs.
 
+First op10's own fingerprints (simhash.py: 64 majority bits, compared tile against tile) link texts at 3
+or fewer differing bits, and what they link is checked exactly. What majority bits can't reach is
+found besides, as follows.
+
 Texts meet where they share a shingle of their prefixes: in any order of all shingles, of two sets
 whose Jaccard similarity is at least t the first n - ceil(t * n) + 1 of either hold a common one.
 The order is by hash, but frequent shingles come last, so that lines and passages which many texts
 share bring few texts together. Of a few texts that meet all pairs are tried, of more some; what
-these link needs no further comparison, so that large groups of copies don't make all their
+these connect needs no further comparison, so that large groups of copies don't make all their
 pairs, and the others are compared tile against tile, but for tiles whose sizes are too different.
-Pairs that their fingerprints don't rule out are compared exactly.
+Pairs that their fingerprints, as long as the texts need, don't rule out are passed on, each by
+one of the tokens that they share, and compared exactly.
 """
 
 from __future__ import annotations
@@ -28,10 +33,15 @@ from pyspark.sql import functions as F
 
 from seqloom.sources.shared import discard, stored
 
+from . import simhash
 from .common import components, free_name, map_batches
 
 #: Words of 64 bits that a parity sketch has.
 SKETCH = 8
+#: Words of a sketch that a tile holds at most: 8 kB.
+TILED = 1024
+#: Words of sketches that are compared at once.
+COMPARED = 1 << 21
 #: Nodes whose texts are asked for without a shuffle of all texts.
 FEW = 200_000
 #: Frequent shingles that are put last, 2 MB of hashes; texts of a window that make one frequent there,
@@ -125,7 +135,7 @@ def prefixes(sets: list[np.ndarray], sorted_frequent: np.ndarray, ranks: np.ndar
 
 #: Bytes of sets that a task gathers before it passes them on.
 GATHERED = 32 << 20
-WIDE = "node long, none boolean, id long, h long, n long, fine binary, prefix binary"
+WIDE = "node long, none boolean, id long, h long, n long, fine binary, prefix binary, fp long"
 
 
 def gathered(rows: Iterator[list]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +176,8 @@ def heads(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     s = shingles(text, words)
                     node = xxhash.xxh64_intdigest(s.tobytes(), 7)
                     node -= (node >> 63) << 64
-                    yield [node, i is None, i or 0, h, len(s), fine(s).tobytes(), prefixes([s], in_order, ranks, percent)[0].tobytes()]
+                    fp = simhash.fingerprint(text)
+                    yield [node, i is None, i or 0, h, len(s), fine(s).tobytes(), prefixes([s], in_order, ranks, percent)[0].tobytes(), fp - (fp >> 63 << 64)]
 
         return gathered(rows())
 
@@ -252,12 +263,12 @@ def meetings(seen: DataFrame, percent: int, small: int = SMALL) -> DataFrame:
     return dealt.mapInArrow(meet, "u long, v long, token long, rank long, n long")
 
 
-def labels(edges: DataFrame) -> DataFrame:
-    """(k, label): the smallest node within two edges of each: nodes of one label are connected."""
-    both = edges.select("u", "v").union(edges.select("v", "u"))
-    one = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
-    two = both.join(one, "v").groupBy("u").agg(F.min("m").alias("m"))
-    return two.select(F.col("u").alias("k"), F.least("u", "m").alias("label"))
+def fingerprint_links(nodes: DataFrame, *, radius: int = 3) -> DataFrame:
+    """(u, v): what op10's comparison links, a star for equal fingerprints and its edges between different ones."""
+    distinct = stored(nodes.groupBy("fp").agg(F.min("node").alias("rep")), name="distinct")
+    same = nodes.join(distinct, "fp").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    both = same.union(simhash.links(distinct, radius=radius))
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def of_nodes(wanted: DataFrame, nodes: DataFrame, seen: DataFrame) -> DataFrame:
@@ -270,45 +281,74 @@ def of_nodes(wanted: DataFrame, nodes: DataFrame, seen: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(chosen) if chosen.count() <= FEW else chosen, ["node", "none", "id", "h"], "left_semi").select("node", "n", "fine")
 
 
+def not_ruled_out(x: list, y: list, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two tiles (node, n, label, sketch) of the pairs that labels, sizes and sketches leave; of one
+    tile with itself each pair once. Sketches are compared at 8 words, then at twice as many and so on."""
+    low, high = np.minimum(x[1][:, None], y[1]), np.maximum(x[1][:, None], y[1])
+    ok = (x[2][:, None] != y[2]) & (x[0][:, None] != y[0]) & (low * 100 >= percent * high)
+    i, j = np.nonzero(np.triu(ok) if same else ok)
+    sizes = [np.array([len(b) for b in t[3]], np.int64) for t in (x, y)]
+    words = SKETCH
+    while len(i):
+        deep = (sizes[0][i] >= words) & (sizes[1][j] >= words)
+        if not deep.any():
+            break
+        bits, at = [], []
+        for t, own in zip((x, y), (i[deep], j[deep])):
+            rows, back = np.unique(own, return_inverse=True)
+            bits.append(np.stack([folded(t[3][r], words) for r in rows]))
+            at.append(back)
+        apart = np.empty(len(at[0]), np.int64)
+        step = max(1, COMPARED // words)
+        for k in range(0, len(apart), step):
+            apart[k : k + step] = np.bitwise_count(bits[0][at[0][k : k + step]] ^ bits[1][at[1][k : k + step]]).sum(1, dtype=np.int64)
+        left = np.ones(len(i), bool)
+        left[deep] = apart * (100 + percent) <= (x[1][i[deep]] + y[1][j[deep]]) * (100 - percent)
+        i, j, words = i[left], j[left], 2 * words
+    return i, j
+
+
 def crossing(rows: DataFrame, nodes: DataFrame, seen: DataFrame, percent: int, tile: int) -> DataFrame:
     """(u, v): pairs of a token's rows (token, rank, node, n, label) whose labels differ and that sizes
-    and short fingerprints don't rule out; tiles of too different sizes don't meet."""
+    and fingerprints don't rule out; tiles of too different sizes don't meet. A pair comes from the
+    least of the tokens that both have here, so that it is made once, however many these are."""
     mixed = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("token")
     dealt = rows.join(mixed, "token", "left_semi")
     dealt = stored(dealt.hint("rebalance"), name="mixed")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [folded(np.frombuffer(x, "<u8"), SKETCH).tobytes() for x in batch.column("fine").to_pylist()]
+            bits = [folded(b, min(len(b), TILED)).tobytes() for b in (np.frombuffer(x, "<u8") for x in batch.column("fine").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.binary())], names=["node", "sketch"])
 
     sketches = map_batches(of_nodes(dealt, nodes, seen).select("node", "fine"), short, "node long, sketch binary").dropDuplicates(["node"])
-    marked = dealt.join(sketches, "node").withColumn("part", F.floor(F.col("rank") / tile))
-    together = F.collect_list(F.struct("node", "n", "label", "sketch")).alias("rows")
+    held = dealt.groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("tokens"))  # of a text's prefix
+    marked = dealt.join(sketches.join(held, "node"), "node").withColumn("part", F.floor(F.col("rank") / tile))
+    together = F.collect_list(F.struct("node", "n", "label", "sketch", "tokens")).alias("rows")
     tiles = stored(marked.groupBy("token", "part").agg(together, F.min("n").alias("low"), F.max("n").alias("high")), name="tiles")
     left, right = (tiles.select("token", *(F.col(c).alias(c + k) for c in ("part", "low", "high"))) for k in "12")
     pairs = left.join(right, "token").where(f"part1 < part2 and high1 * 100 >= {percent} * low2 or part1 = part2").select("token", "part1", "part2")
     for k in "12":
         pairs = pairs.join(tiles.select("token", F.col("part").alias(f"part{k}"), F.col("rows").alias(f"rows{k}")), ["token", f"part{k}"])
 
-    def unpack(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    def unpack(column: pa.Array) -> tuple[list, np.ndarray, list[np.ndarray]]:
         flat, at = column.flatten(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
         node, n, label = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-        return [node, n, label, np.frombuffer(b"".join(flat.field(3).to_pylist()), "<u8").reshape(-1, SKETCH)], at
+        tokens = flat.field(4)
+        cuts = np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        return [node, n, label, [np.frombuffer(b, "<u8") for b in flat.field(3).to_pylist()]], at, np.split(tokens.flatten().to_numpy(zero_copy_only=False), cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (a, p), (b, q) = unpack(batch.column(0)), unpack(batch.column(1))
-            for k in range(len(p) - 1):
+            (a, p, own), (b, q, other) = unpack(batch.column(2)), unpack(batch.column(3))
+            for k, (token, same) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 x, y = [c[p[k] : p[k + 1]] for c in a], [c[q[k] : q[k + 1]] for c in b]
-                low, high = np.minimum(x[1][:, None], y[1]), np.maximum(x[1][:, None], y[1])
-                i, j = np.nonzero((x[2][:, None] != y[2]) & (x[0][:, None] != y[0]) & (low * 100 >= percent * high))
-                apart = np.bitwise_count(x[3][i] ^ y[3][j]).sum(1, dtype=np.int64)
-                ok = apart * (100 + percent) <= (x[1][i] + y[1][j]) * (100 - percent)
-                u, v = x[0][i[ok]], y[0][j[ok]]
+                i, j = not_ruled_out(x, y, same, percent)
+                first = [np.intersect1d(own[r], other[c], assume_unique=True)[0] == token for r, c in zip(p[k] + i, q[k] + j)]
+                u, v = x[0][i[first]], y[0][j[first]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-    return map_batches(pairs.select("rows1", "rows2"), run, "u long, v long").distinct()
+    return map_batches(pairs.select("token", F.expr("part1 = part2").alias("same"), "rows1", "rows2"), run, "u long, v long").distinct()
 
 
 def finely_ruled_out(pairs: DataFrame, nodes: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
@@ -384,18 +424,24 @@ def deduplicated(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     seen = stored(heads(texts, words, percent), name="heads")
-    nodes = seen.groupBy("node").agg(F.min(F.struct("none", "id", "h")).alias("least")).select("node", "least.*")
+    nodes = seen.groupBy("node").agg(F.min(F.struct("none", "id", "h", "fp")).alias("least")).select("node", "least.*")
     nodes = stored(nodes.hint("rebalance"), name="nodes")
     repeats = texts.groupBy("id", "h").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("id").alias("_rid"), F.col("h").alias("_rh"))
     repeats = stored(repeats, name="repeats")
     met = stored(meetings(seen, percent, small).hint("rebalance"), name="meetings")
-    edges = verified(met.where("v is not null").select("u", "v").distinct(), nodes, seen, texts, words, percent, piece)
+    first = fingerprint_links(nodes).union(met.where("v is not null").select("u", "v"))
+    edges = verified(first.distinct(), nodes, seen, texts, words, percent, piece)
+    reached = stored(components(edges).withColumnRenamed("node", "k"), name="reached")
     rows = met.where("v is null").select("token", "rank", F.col("u").alias("node"), "n")
     if not rows.isEmpty():
-        known = labels(edges)
-        rows = rows.join(known, rows.node == known.k, "left").select("token", "rank", "node", "n", F.coalesce("label", "node").alias("label"))
-        edges = edges.union(verified(crossing(rows, nodes, seen, percent, tile), nodes, seen, texts, words, percent, piece))
-    reached = components(edges).withColumnRenamed("node", "k")
+        rows = rows.join(reached, rows.node == reached.k, "left").select("token", "rank", "node", "n", F.coalesce("component", "node").alias("label"))
+        more = verified(crossing(rows, nodes, seen, percent, tile), nodes, seen, texts, words, percent, piece)
+        # Of what is connected already only the classes' own numbers are joined once more.
+        for side in "uv":
+            more = more.join(reached.select(F.col("k").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+        ends = components(more.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))).select(F.col("node").alias("class"), F.col("component").alias("end"))
+        known = reached.join(ends, reached.component == F.col("class"), "left").select("k", F.coalesce("end", "component").alias("component"))
+        reached = known.union(ends.join(reached, F.col("class") == F.col("k"), "left_anti").select("class", "end"))
     least = F.min(F.struct("none", "id", "h")).alias("least")
     named = nodes.select("node", "none", "id", "h").join(reached, nodes.node == reached.k, "left").withColumn("component", F.coalesce("component", "node"))
     keep = named.groupBy("component").agg(least).select(F.when(~F.col("least.none"), F.col("least.id")).alias("_kid"), F.col("least.h").alias("_kh"))

@@ -90,3 +90,38 @@ def test_long_texts_in_pieces_and_frequent_lines(spark):
     assert [resemble.level(n, 64) for n in (0, 64, 65, 128, 129, 256, 257)] == [0, 0, 1, 1, 2, 2, 3]
     sizes = spark.range(600)
     assert [r[0] for r in sizes.select(resemble.level(F.col("id"), 64)).collect()] == [resemble.level(n, 64) for n in range(600)]
+
+
+def test_op10s_fingerprints_link_and_are_checked(spark, monkeypatch):
+    """Without any meeting at prefixes the fingerprints' links alone, those of similarity 0.8 or more."""
+    words = [f"w{k}" for k in range(900)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(f"x{k}" for k in range(900))), (4, "a b c d"), (5, "a b c d")]
+    # Of equal three-word shingles, but not of similar five-word ones: equal fingerprints, no near copies.
+    rows += [(6, "p q r p q r s p q r"), (7, "p q r s p q r p q r")]
+    meetings = resemble.meetings
+    monkeypatch.setattr(resemble, "meetings", lambda *a: meetings(*a).limit(0))
+    got = resemble.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4, 6, 7]
+
+
+def test_a_pair_is_made_once_and_long_unlike_texts_not_at_all(spark, monkeypatch):
+    rng = random.Random(4)
+    line, texts = " ".join(f"line{k}" for k in range(60)), {}
+    for k in range(24):  # long texts, of which 512 bits rule nothing out
+        texts[k] = " ".join(f"v{rng.randrange(10**6)}" for _ in range(1500)) + f" {line}"
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    for k in range(24, 60):
+        texts[k] = edited(base, rng.choice([3, 4, 5]), rng) + f" {line}"
+    rows = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    made, batches = [], resemble.map_batches
+
+    def watched(df, function, schema):
+        out = batches(df, function, schema)
+        if schema == "u long, v long":
+            made.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(resemble, "map_batches", watched)
+    got = {r.doc_id for r in resemble.deduplicated(rows, tile=5, small=2).collect()}
+    assert got == brute_kept(texts)
+    assert len(made) == len(set(made)) < 24 * 23 // 2
