@@ -4,8 +4,8 @@ Neighbouring k-mers share most of their bases, so shuffling each by itself moves
 times. Here a read is cut into runs of k-mers with one minimiser, the m-mer of the least hash in
 them; a run goes out as one number, two bits a base, to the bucket of its minimiser, where equal
 k-mers meet, as equal k-mers have equal minimisers. Each bucket is counted by itself. Buckets with very
-many runs are taken apart before the shuffle instead, and their k-mers counted with map-side
-combining.
+many runs are taken apart before the shuffle instead: each task counts some of their k-mers at once and passes
+on arrays of numbers, dealt by the k-mers themselves, so that a k-mer is no row of its own.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from seqloom.sources.shared import stored
 RUN = 31
 #: Runs of a bucket that one task counts at once: some 100 MB.
 HELD = 1_000_000
+#: k-mers of hot buckets that a task merges at once, of one array, and runs that it takes apart at once.
+MERGED, ARRAY, APART = 1 << 22, 4096, 1 << 18
 #: Spreads m-mers, so that runs of one base aren't the least.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,9 +104,89 @@ def cut(reads: DataFrame, k: int, m: int, *, by: str = "sample") -> DataFrame:
     return reads.select(F.col(by).cast("string").alias("by"), "seq").mapInArrow(run, "by string, bucket long, packed long, n byte")
 
 
+def merged(rows: DataFrame, k: int, kmers: int, *, most: int = MERGED) -> DataFrame:
+    """(by, kmer, cnt) of runs (by, packed, n), some `kmers` in all: counted in the tasks, some runs at once, and summed in
+    parts of some `most` k-mers, each part and sample by itself."""
+    parts = max(1, -(-kmers // most))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            keys = table.column("by").combine_chunks().dictionary_encode()
+            names = pa.concat_arrays([keys.dictionary, pa.nulls(1, pa.string())])
+            own = keys.indices.fill_null(len(keys.dictionary)).to_numpy()
+            kmer, owner = taken_apart(*(table.column(c).to_numpy().astype(np.int64) for c in ("packed", "n")), k)
+            own = own[owner].astype(np.int64)
+            order = np.lexsort((kmer, own))
+            own, kmer = own[order], kmer[order]
+            new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (kmer[1:] != kmer[:-1]))) if len(kmer) else np.empty(0, np.int64)
+            n = np.diff(np.append(new, len(kmer)))
+            own, kmer = own[new], kmer[new]
+            part = (((kmer.view(np.uint64) + np.uint64(1)) * SPREAD >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(own * parts + part, kind="stable")
+            own, kmer, n, part = own[order], kmer[order], n[order], part[order]
+            cuts = np.flatnonzero((own[1:] != own[:-1]) | (part[1:] != part[:-1])) + 1
+            starts = np.append(0, cuts) if len(kmer) else cuts
+            ends = np.append(cuts, len(kmer))
+            spans = [(x, min(x + ARRAY, e)) for b, e in zip(starts.tolist(), ends.tolist()) for x in range(b, e, ARRAY)]
+            for lo in range(0, len(spans), 256):
+                some = spans[lo : lo + 256]
+                at = [b for b, _ in some]
+                yield pa.RecordBatch.from_arrays([pa.array(part[at]), names.take(pa.array(own[at])), *(pa.array([x[b:e].tobytes() for b, e in some], pa.binary()) for x in (kmer, n))], names=["part", "by", "kmers", "counts"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= APART:
+                yield from out(held)
+                held, size = [], 0
+        if held:
+            yield from out(held)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            kmer, n = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held))
+            order = np.argsort(kmer)
+            kmer, n = kmer[order], n[order]
+            new = np.flatnonzero(np.append(True, kmer[1:] != kmer[:-1]))
+            kmer, n = kmer[new], np.add.reduceat(n, new)
+            for lo in range(0, len(kmer), 1 << 16):
+                some = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array([key[1]] * len(kmer[some]), pa.string()), pa.array(kmer[some]), pa.array(n[some])], names=["by", "kmer", "cnt"])
+
+        for batch in batches:
+            for part, by, *arrays in zip(*(x.to_pylist() for x in batch.columns)):
+                if key != (part, by):
+                    if held:
+                        yield from out()
+                    key, held = (part, by), []
+                held.append(arrays)
+        if held:
+            yield from out()
+
+    dealt = rows.select("by", "packed", "n").mapInArrow(counted, "part long, by string, kmers binary, counts binary").repartition("part").sortWithinPartitions("part", "by")
+    return dealt.mapInArrow(summed, "by string, kmer long, cnt long")
+
+
 def count(reads: DataFrame, k: int, *, m: int | None = None, by: str = "sample", held: int = HELD) -> DataFrame:
     """(by, kmer, cnt): occurrences of each k-mer of A, C, G and T alone, k up to 31; what kmers.count gives.
 
+    See numbers(), of which these are the k-mers as letters.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), spelled(batch.column(1).to_numpy(), k), batch.column(2)], names=[by, "kmer", "cnt"])
+
+    return numbers(reads, k, m=m, by=by, held=held).mapInArrow(spell, f"`{by}` string, kmer string, cnt long")
+
+
+def numbers(reads: DataFrame, k: int, *, m: int | None = None, by: str = "sample", held: int = HELD) -> DataFrame:
+    """(by, kmer, cnt): occurrences of each k-mer of A, C, G and T alone, as a number of two bits a base; k up to 31.
+
     m-mers of `m` bases are the minimisers, by default so many that the longest run fits a number.
     Null and short reads have none. Buckets of over `held` runs are counted k-mer by k-mer.
     """
@@ -112,13 +194,9 @@ def count(reads: DataFrame, k: int, *, m: int | None = None, by: str = "sample",
         raise ValueError(f"k-mers of 1 to {RUN} bases")
     m = min(k, max(1, 2 * k - RUN, min(k, 9))) if m is None else m
     pieces = stored(cut(reads, k, m, by=by), name="runs")
-    large = pieces.groupBy("by", "bucket").agg(F.count("*").alias("runs")).where(F.col("runs") > held).select("by", "bucket")
-    large = stored(large, name="large")  # at most a 1 / held part of all runs
-
-    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kmer, owner = taken_apart(*(batch.column(c).to_numpy().astype(np.int64) for c in (2, 3)), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(kmer)], names=["by", "kmer"])
+    sizes = pieces.groupBy("by", "bucket").agg(F.count("*").alias("runs"), F.sum(F.col("n") - (k - 1)).alias("kmers"))
+    large = stored(sizes.where(F.col("runs") > held).select("by", "bucket", "kmers"), name="large")  # at most a 1 / held part of all runs
+    hot = large.agg(F.sum("kmers")).first()[0] or 0
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
@@ -154,14 +232,9 @@ def count(reads: DataFrame, k: int, *, m: int | None = None, by: str = "sample",
     # The runs of one bucket number are one task's, those of all samples behind each other.
     dealt = pieces.join(large, ["by", "bucket"], "left_anti").select("by", "bucket", "packed", "n").repartition("bucket").sortWithinPartitions("bucket")
     counted = dealt.mapInArrow(buckets, "by string, kmer long, cnt long")
-    hot = pieces.join(large, ["by", "bucket"], "left_semi").select("by", "bucket", "packed", "n").mapInArrow(numbers, "by string, kmer long")
-    both = counted.unionByName(hot.groupBy("by", "kmer").agg(F.count("*").alias("cnt")))
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), spelled(batch.column(1).to_numpy(), k), batch.column(2)], names=[by, "kmer", "cnt"])
-
-    return both.mapInArrow(spell, f"`{by}` string, kmer string, cnt long")
+    if not hot:
+        return counted
+    return counted.unionByName(merged(pieces.join(large, ["by", "bucket"], "left_semi"), k, hot))
 
 
 #: Runs that a task counts together, whole buckets of them.

@@ -76,3 +76,17 @@ def test_duplicate_pairs(spark):
     got = genome.without_duplicate_pairs(spark.createDataFrame(rows, schema)).collect()
     assert sorted({r.name for r in got}) == ["b", "c", "d", "e"] and len(got) == 6
     assert genome.without_duplicate_pairs(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_hot_buckets_pass_arrays_on_and_are_summed_in_parts(spark, monkeypatch):
+    rows = some(7, "ACGT" * 9 + "N", 200)
+    df = spark.createDataFrame(rows, "sample string, seq string").repartition(3)
+    for apart, array in ((5, 3), (1 << 18, 4096)):
+        monkeypatch.setattr(superkmers, "APART", apart)
+        monkeypatch.setattr(superkmers, "ARRAY", array)
+        runs = superkmers.cut(df, 9, 5).cache()
+        for most in (10**6, 50):
+            got = {(r.by, superkmers.spelled(np.array([r.kmer]), 9)[0].as_py()): r.cnt for r in superkmers.merged(runs, 9, 4000, most=most).collect()}
+            assert got == plain(rows, 9)
+    plan = superkmers.count(df, 9, m=5, held=2)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(part" in plan and "hashpartitioning(by" not in plan  # no k-mer is a row of a shuffle
