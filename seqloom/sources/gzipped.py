@@ -17,12 +17,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: How a member begins, and the flags that are always 0.
 SIGNATURE, RESERVED = b"\x1f\x8b\x08", 0xE0
 #: Bytes that are read at once, and of text that is handed on at once.
 READ, TEXT = 1 << 18, 4 << 20
+#: Ranges of a file that are read first where only its first lines are asked for.
+FIRST = 4
 #: Bytes of a range.
 RANGE = 32 << 20
 
@@ -141,9 +144,10 @@ class GzipReader(DataSourceReader):
         self.files = json.loads(options["files"])
         self.size = int(options.get("range", RANGE))
         self.most = int(options["lines"]) if "lines" in options else None
+        self.ranges = int(options["ranges"]) if "ranges" in options else None
 
     def partitions(self) -> list[Range]:
-        return [Range(p, k, min(k + self.size, n)) for p, n in self.files for k in range(0, n, self.size)] or [Range("", 0, 0)]
+        return [Range(p, k, min(k + self.size, n)) for p, n in self.files for k in range(0, n, self.size)[: self.ranges]] or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if not part.path:
@@ -176,11 +180,24 @@ class GzipLines(DataSource):
 
 
 def gzip_lines(spark: SparkSession, paths: list[str] | str, *, bytes_of_range: int = RANGE, lines: int | None = None) -> DataFrame:
-    """(path, block, id, value): the lines of gzip files, range by range; at most `lines` of each range,
-    so that the first lines of a file cost no more than these. Folders and patterns are taken as Spark's
+    """(path, block, id, value): the lines of gzip files, range by range; with `lines` of so many first ranges
+    of each file as hold its first `lines`, and at most so many of each range, so that the first lines of a
+    file cost no more than some times these, however long it is. Folders and patterns are taken as Spark's
     readers take them; the list of files, not their content, comes to the driver."""
     spark.dataSource.register(GzipLines)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length").orderBy("path")
     files = [(r.path, r.length) for r in found.collect()]
     reader = spark.read.format("gzip_lines").option("files", json.dumps(files)).option("range", str(bytes_of_range))
-    return (reader if lines is None else reader.option("lines", str(lines))).load()
+    if lines is None:
+        return reader.load()
+    reader, ranges = reader.option("lines", str(lines)), FIRST
+    while True:
+        rows = reader.option("ranges", str(ranges)).load()
+        # Files that go on beyond these ranges and have too few lines in them: four times as many ranges.
+        longer = {p for p, n in files if n > ranges * bytes_of_range}
+        if not longer:
+            return rows
+        enough = {r.path for r in rows.groupBy("path").count().where(F.col("count") >= lines).collect()}
+        if longer <= enough:
+            return rows
+        ranges *= 4

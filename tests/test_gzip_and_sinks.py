@@ -77,3 +77,16 @@ def test_one_file_equals_that_of_one_task(spark, tmp_path):
         assert f.read().decode().split() == ["head", *map(str, range(5000))]
     none = onefile.write_lines(rows.limit(0), str(tmp_path / "none"), line="text", order=["n"], head=["only"])
     assert open(none.removeprefix("file:")).read() == "only\n"
+
+
+def test_first_lines_open_only_the_first_ranges(spark, tmp_path):
+    with open(tmp_path / "a.gz", "wb") as f:
+        for k in range(200):
+            f.write(gzip.compress("".join(f"{k} {j}\n" for j in range(50)).encode()))
+    size, step = (tmp_path / "a.gz").stat().st_size, 500
+    for lines in (10, 3000, 20_000):
+        found = gzipped.gzip_lines(spark, str(tmp_path), bytes_of_range=step, lines=lines)
+        parts = found.rdd.getNumPartitions()
+        assert parts == gzipped.FIRST if lines == 10 else parts <= -(-size // step)
+        got = [r.value for r in found.orderBy("block", "id").collect()]
+        assert got[:lines] == [f"{k} {j}" for k in range(200) for j in range(50)][:lines]
