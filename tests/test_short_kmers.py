@@ -38,6 +38,12 @@ def test_counts(odd_reads, monkeypatch, by):
     both(monkeypatch, lambda: kmers.count(odd_reads, 4, by=by))
 
 
+def test_origins(odd_reads, monkeypatch):
+    monkeypatch.setattr(kmers, "LETTERS", 300)
+    for by in (("sample",), ()):
+        both(monkeypatch, lambda: kmers.origins(odd_reads, 2, by=by))
+
+
 def test_bitmaps(odd_reads, monkeypatch):
     far = odd_reads.withColumn("read_no", F.col("read_no") * 1001)
     monkeypatch.setattr(kmers, "LETTERS", 300)
