@@ -6,10 +6,17 @@ Rows are motif.read_hits() joined with their reads: (..., m, ori, rc, r, c, seq)
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
+from seqloom.operators import kmers
 
 
 def turned(positions: Column | str, length: Column) -> Column:
@@ -65,7 +72,49 @@ def nearest_left(rows: DataFrame) -> DataFrame:
 def counts_around(rows: DataFrame, k: int) -> DataFrame:
     """(name, min_dir, kmer, at, n): k-mers without N by their centre's distance to the nearest hit,
     rounded up, plus the read's length less 1. Rows: nearest_left()."""
-    # Exploded before anything is counted from the place, so that a row's own values are made once.
-    found = rows.select("name", "min_dir", "min_dist", F.length("seq").alias("length"), F.posexplode(S.kmers("seq", k)).alias("i", "kmer")).where(~F.contains("kmer", F.lit("N")))
-    at = F.ceil(F.col("i") + (k + 1) / 2 - F.col("min_dist")) + F.col("length") - 1
-    return found.groupBy("name", "min_dir", "kmer", at.alias("at")).agg(F.count("*").alias("n"))
+    if not 1 <= k <= kmers.TABLED:
+        # Exploded before anything is counted from the place, so that a row's own values are made once.
+        found = rows.select("name", "min_dir", "min_dist", F.length("seq").alias("length"), F.posexplode(S.kmers("seq", k)).alias("i", "kmer")).where(~F.contains("kmer", F.lit("N")))
+        at = F.ceil(F.col("i") + (k + 1) / 2 - F.col("min_dist")) + F.col("length") - 1
+        return found.groupBy("name", "min_dir", "kmer", at.alias("at")).agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of this task's rows, so many cells at a time."""
+        spelled, groups = kmers.names(k), {}
+        cells, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        others: Counter = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys = list(groups)
+            for lo in range(0, len(cells), 1 << 16):
+                c, n = cells[lo : lo + (1 << 16)], counts[lo : lo + (1 << 16)]
+                g = pa.array(c >> 2 * k + 32)
+                yield pa.RecordBatch.from_arrays([*(pa.array([key[x] for key in keys], pa.string()).take(g) for x in (0, 1)), spelled.take(pa.array(c & 4**k - 1)), pa.array((c >> 2 * k & (1 << 32) - 1) - (1 << 31)), pa.array(n)], names=["name", "min_dir", "kmer", "at", "n"])
+            if others:
+                columns = list(zip(*((*key, n) for key, n in others.items())))
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["name", "min_dir", "kmer", "at", "n"])
+
+        for batch in batches:
+            for part, texts in kmers.pieces(batch, 3):
+                name, side, dist = (part.column(x).to_pylist() for x in range(3))
+                number, place, i, odd = kmers.numbered(texts, k)
+                owner = np.array([groups.setdefault(key, len(groups)) for key in zip(name, side)], np.int64)
+                far = np.array([np.nan if d is None else d for d in dist], float)
+                length = np.array([len(t or "") for t in texts], np.int64)
+                known = ~np.isnan(far)[place]
+                where = np.ceil(i[known] + (k + 1) / 2 - far[place[known]]).astype(np.int64) + length[place[known]] - 1
+                cell, n = np.unique((owner[place[known]] << 32 | where + (1 << 31)) << 2 * k | number[known], return_counts=True)
+                cells, back = np.unique(np.append(cells, cell), return_inverse=True)
+                counts = np.bincount(back, np.append(counts, n), minlength=len(cells)).astype(np.int64)
+                for r in {*odd, *np.flatnonzero(np.isnan(far)).tolist()}:  # other letters, no distance
+                    t = texts[r] or ""
+                    for x in range(len(t) - k + 1):
+                        if "N" not in t[x : x + k]:
+                            others[name[r], side[r], t[x : x + k], None if dist[r] is None else math.ceil(x + (k + 1) / 2 - dist[r]) + len(t) - 1] += 1
+                if len(cells) > 1 << 21 or len(others) > 1 << 18:
+                    yield from out()
+                    cells, counts, others = cells[:0], counts[:0], Counter()
+        yield from out()
+
+    found = rows.select("name", "min_dir", F.col("min_dist").cast("double").alias("min_dist"), "seq").mapInArrow(run, "name string, min_dir string, kmer string, at long, n long")
+    return found.groupBy("name", "min_dir", "kmer", "at").agg(F.sum("n").alias("n"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import kmers
+from seqloom.operators import dimers, kmers
 
 
 @pytest.fixture
@@ -53,3 +53,9 @@ def test_bitmaps(odd_reads, monkeypatch):
     bits = kmers.origin_bitmaps(far, 2)
     numbers = kmers.bitmap_numbers(bits).groupBy("sample", "kmer").agg(F.min("read_no").alias("first"), F.max("read_no").alias("last"), F.sum("read_no").alias("total"))
     assert sorted(map(repr, kmers.bitmap_spans(bits).collect())) == sorted(map(repr, numbers.collect()))
+
+
+def test_counts_around(odd_reads, monkeypatch):
+    dist = F.when(F.col("read_no") % 7 > 0, F.col("read_no") % 9 + F.col("part") / 2)
+    rows = odd_reads.select(F.col("sample").alias("name"), F.when(F.col("part") == 1, "ori").otherwise("rc").alias("min_dir"), dist.alias("min_dist"), "seq")
+    both(monkeypatch, lambda: dimers.counts_around(rows, 3))
