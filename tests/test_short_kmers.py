@@ -59,3 +59,11 @@ def test_counts_around(odd_reads, monkeypatch):
     dist = F.when(F.col("read_no") % 7 > 0, F.col("read_no") % 9 + F.col("part") / 2)
     rows = odd_reads.select(F.col("sample").alias("name"), F.when(F.col("part") == 1, "ori").otherwise("rc").alias("min_dir"), dist.alias("min_dist"), "seq")
     both(monkeypatch, lambda: dimers.counts_around(rows, 3))
+
+
+def test_keys_that_are_not_plain(odd_reads):
+    rows = odd_reads.withColumn("span", F.struct("sample", "part"))
+    for make in (kmers.count, kmers.origins, kmers.origin_bitmaps):
+        got = make(rows.where("read_no is not null"), 2, by=("span",)).select("span.*", "kmer").collect()
+        want = make(rows.where("read_no is not null"), 2, by=("sample", "part")).select("sample", "part", "kmer").collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want)) and got
