@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
+from seqloom.operators import anchors
 from seqloom.operators.components import components
 from seqloom.sources.shared import discard, stored
 
@@ -41,22 +42,42 @@ SHARES = [0.5**k for k in range(1, 31)]
 
 def holdings(numbered: DataFrame, width: int = 20) -> DataFrame:
     """(w, s, own, part, parts): which reads hold which anchor, their own or another's, where at least two
-    do. Reads are (id, seq), the ids in the order of the sequences.
+    do; an anchor is a number. Reads are (id, seq), distinct, the ids in the order of the sequences.
 
     Reads meet at anchors, never each other: the table grows with the reads, however many of
-    them share an anchor, and the holders of one anchor are dealt to as many parts as they need.
+    them share an anchor, and the holders of one anchor are dealt to as many parts as they need. Reads
+    shorter than `width` hold only themselves, so they are left out.
     """
-    w = F.least(F.length("seq"), F.lit(width))
-    last = F.length("seq") - w
-    three = [F.substr("seq", i + 1, w) for i in (F.lit(0), F.floor((last + 1) / 2).cast("int"), last)]
-    all_windows = F.when(F.length("seq") >= width, F.array_distinct(S.kmers("seq", width))).otherwise(F.array("seq"))
-    sources = numbered.select(F.explode(F.array_distinct(F.array(*three))).alias("w"))
-    windows = numbered.select(F.col("id").alias("s"), *[x.alias(f"a{k}") for k, x in enumerate(three)], F.explode(all_windows).alias("w"))
-    windows = windows.select("w", "s", ((F.col("w") == F.col("a0")) | (F.col("w") == F.col("a1")) | (F.col("w") == F.col("a2"))).alias("own"))
+    long = numbered.where(F.length("seq") >= width).select("id", "seq")
+    odd = "(?s)." if width > anchors.ROOM else "[^ACGTN]"
+    seen = long.agg(F.count("*").alias("n"), F.max(F.col("seq").rlike(odd)).alias("odd")).first()
+    found = stored(anchors.met(long, width, seen.n, HELD), name="held") if width <= anchors.ROOM else None
+    if seen.odd:
+        others = spelled_out(long.where(F.col("seq").rlike(odd)), width, odd)
+        found = others if found is None else found.union(others)
+    elif found is None:
+        return long.select(*[F.lit(0).cast(t).alias(c) for c, t in (("w", "long"), ("s", "long"), ("own", "boolean"), ("part", "int"), ("parts", "int"))]).limit(0)
+    # One row in some HELD at most, so they go to all tasks.
+    many = F.broadcast(found.where("s is null").select("w", F.ceil(F.col("n") / HELD).cast("int").alias("many")))
+    parts = F.coalesce("many", F.lit(1))
+    held = found.where("s is not null").join(many, "w", "left").select("w", "s", "own", F.pmod(F.xxhash64("s"), parts).cast("int").alias("part"), parts.alias("parts"))
+    held.stored_at = getattr(found, "stored_at", None)
+    return held
+
+
+def spelled_out(reads: DataFrame, width: int, odd: str) -> DataFrame:
+    """The same of windows with a letter that is no base or N, or too long for a number: (w, s, own, n), anchors numbered below 0."""
+    last = F.length("seq") - width
+    three = [F.substr("seq", i + 1, F.lit(width)) for i in (F.lit(0), F.floor((last + 1) / 2).cast("int"), last)]
+    sources = reads.select(F.explode(F.array_distinct(F.array(*three))).alias("text"))
+    windows = reads.select(F.col("id").alias("s"), *[x.alias(f"a{k}") for k, x in enumerate(three)], F.explode(F.array_distinct(S.kmers("seq", width))).alias("text")).where(F.col("text").rlike(odd))
+    windows = windows.select("text", "s", ((F.col("text") == F.col("a0")) | (F.col("text") == F.col("a1")) | (F.col("text") == F.col("a2"))).alias("own"))
     # Of the hashed side each anchor is one row, so it is even whatever the reads; windows, many times as many, stay unsorted.
-    held = stored(windows.join(sources.distinct().hint("shuffle_hash"), "w", "left_semi"), name="held")
-    shared = held.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w", F.ceil(F.col("n") / HELD).cast("int").alias("parts"))
-    return held.join(shared, "w").select("w", "s", "own", F.pmod(F.xxhash64("s"), "parts").cast("int").alias("part"), "parts")
+    held = stored(windows.join(sources.distinct().hint("shuffle_hash"), "text", "left_semi"), name="held")
+    shared = held.groupBy("text").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(shared.select((-1 - F.monotonically_increasing_id()).alias("w"), "text", "n"), name="shared")
+    rows = held.join(shared, "text").select("w", "s", "own", F.lit(None).cast("long").alias("n"))
+    return stored(rows.union(shared.where(F.col("n") > HELD).select("w", F.lit(None).cast("long"), F.lit(None).cast("boolean"), "n")), name="held")
 
 
 def to_parts(of_anchor: DataFrame) -> DataFrame:
@@ -75,11 +96,11 @@ def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     It holds the anchors kept in one component at a time.
     """
-    kept: set[str] = set()
+    kept: set[int] = set()
     decided: list[tuple[int, bool]] = []
     component = read = None
-    windows: list[str] = []
-    own: list[str] = []
+    windows: list[int] = []
+    own: list[int] = []
 
     def decide() -> None:
         goes = not kept.isdisjoint(windows)
@@ -141,7 +162,7 @@ def three_anchor(reads: DataFrame, *, width: int = 20, strict: bool = False, rou
     """
     unique = exact(reads)
     numbered = stored(unique.orderBy("seq").withColumn("_id", F.monotonically_increasing_id()), name="numbered")
-    held = stored(holdings(numbered.where(F.length("seq") > 0).select(F.col("_id").alias("id"), "seq"), width), name="anchors")
+    held = holdings(numbered.select(F.col("_id").alias("id"), "seq"), width)
     parts = [hit(held, held.where("own"))] if strict else []
 
     def without(rows: DataFrame, *decided: DataFrame) -> DataFrame:
@@ -161,15 +182,14 @@ def three_anchor(reads: DataFrame, *, width: int = 20, strict: bool = False, rou
     for number in range(0 if strict else rounds):
         if held.isEmpty():
             break
-        if number >= early:
-            decided = by_components(held, bound)
-            parts.append(decided.where("goes").select("s"))
-            held = without(held, decided, drops(held, decided.where("not goes")))
-            if held.isEmpty():
-                break
         free = stored(held.select("s").distinct().join(hit(held, held.where("own")), "s", "left_anti"), name="kept")
         held = without(held, free, drops(held, free))
         discard(free)
+        # Groups are looked for in what a round leaves, some eighth of the holdings here.
+        if number >= early and not held.isEmpty():
+            decided = by_components(held, bound)
+            parts.append(decided.where("goes").select("s"))
+            held = without(held, decided, drops(held, decided.where("not goes")))
     else:
         if not strict:
             raise RuntimeError(f"the three-anchor rule did not settle in {rounds} rounds")

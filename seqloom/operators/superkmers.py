@@ -40,37 +40,56 @@ def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _CODE[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)], starts
 
 
-def runs(code: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(where it begins, minimiser, packed bases, bases) of each run of k-mers with one minimiser."""
+def numbered(code: np.ndarray, k: int, base: int) -> np.ndarray:
+    """The k digits from each place on as a number, by ever longer stretches."""
+    found, have, stretch, size = np.zeros(len(code), np.int64), 0, code.astype(np.int64), 1
+    while True:
+        if k & size:  # stretches begin where what is found ends
+            found = found[: len(stretch) - have] * base**size + stretch[have:]
+            have += size
+        if have == k:
+            return found
+        stretch = stretch[:-size] * base**size + stretch[size:]
+        size *= 2
+
+
+def runs(code: np.ndarray, k: int, m: int, *, base: int = 4, room: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(where it begins, minimiser, packed bases, bases) of each run of k-mers with one minimiser.
+
+    Bases are digits below `base`; others are in no k-mer. At most `room` are packed into a number.
+    """
     windows = len(code) - k + 1
     none = np.empty(0, np.int64)
     if windows < 1:
         return none, none, none, none
-    bad = np.concatenate([[0], np.cumsum(code > 3)])
+    bad = np.concatenate([[0], np.cumsum(code >= base)])
     fine = bad[k:] == bad[:-k]
-    short = np.zeros(len(code) - m + 1, np.uint64)
-    for j in range(m):
-        short = short << np.uint64(2) | (code[j : len(code) - m + 1 + j] & 3).astype(np.uint64)
-    order = (short + np.uint64(1)) * SPREAD
-    least, at = order[:windows].copy(), np.arange(windows)
-    for j in range(1, k - m + 1):
-        lower = order[j : windows + j] < least
-        least = np.where(lower, order[j : windows + j], least)
-        at = np.where(lower, np.arange(j, windows + j), at)
+    short = numbered(code, m, base).view(np.uint64)
+    least = (short + np.uint64(1)) * SPREAD
+    at = np.arange(len(least))
+    span = 1
+    while span < k - m + 1:  # the least of a span and of one that overlaps it
+        step = min(span, k - m + 1 - span)
+        lower = least[step:] < least[:-step]
+        least = np.where(lower, least[step:], least[:-step])
+        at = np.where(lower, at[step:], at[:-step])
+        span += step
     fresh = fine & ~np.concatenate([[False], fine[:-1] & (at[1:] == at[:-1])])
     begin = np.flatnonzero(fresh)
     # A run ends where the next begins or its k-mers do; one of too many bases is cut.
     number = np.cumsum(fresh) - 1
     size = np.bincount(number[fine], minlength=len(begin))
-    most = RUN - k + 1
+    most = room - k + 1
     times = -(-size // most)
     begin = np.repeat(begin, times) + most * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
     size = np.minimum(np.repeat(size, times) - (begin - np.repeat(np.flatnonzero(fresh), times)), most)
     length = size + k - 1
-    packed = np.zeros(len(begin), np.int64)
-    for j in range(RUN):
-        inside = j < length
-        packed[inside] = packed[inside] << 2 | code[begin[inside] + j]
+    packed = numbered(code, k, base)[begin]
+    for j in range(k, room):
+        inside = np.flatnonzero(j < length)
+        if not len(inside):
+            break
+        packed[inside] = packed[inside] * base + code[begin[inside] + j]
     return begin, short[at[begin]].astype(np.int64), packed, length
 
 
