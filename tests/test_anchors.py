@@ -51,3 +51,21 @@ def test_windows_are_shuffled_as_runs(spark):
     twice = seqs.union(seqs.select(F.col("id") + 2000, F.concat(F.lit("C"), "seq")))
     got = dedup.holdings(twice).groupBy("s").agg(F.count("*").alias("n")).groupBy().agg(F.count("*").alias("reads"), F.min("n").alias("least")).first()
     assert got.reads == 4000 and got.least >= 3
+
+
+def test_groups_are_looked_for_in_what_a_round_leaves(spark, monkeypatch):
+    """A search for groups over all holdings was most of what was shuffled."""
+    given = []
+    real = dedup.by_components
+    monkeypatch.setattr(dedup, "by_components", lambda held, bound: given.append(held.count()) or real(held, bound))
+    rng = random.Random(3)
+    spell = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    alike = [[head + spell(30) for _ in range(4)] for head in (spell(20) for _ in range(25))]
+    # Each of these is hit by the one before it.
+    chain = sorted(["A" * 5 + f"{'ACGT'[k // 4]}{'ACGT'[k % 4]}" + spell(13) for k in range(8)])
+    chain = [a + b for a, b in zip(chain, chain[1:])]
+    rows = spark.createDataFrame([("s", k, x) for k, x in enumerate([x for xs in alike for x in xs] + chain)], "sample string, read_no long, seq string")
+    got = sorted(r.seq for r in dedup.three_anchor(rows, early=0, bound=1000).collect())
+    assert got == sorted([min(xs) for xs in alike] + chain[::2])
+    everything = dedup.holdings(rows.select(F.col("read_no").alias("id"), "seq")).count()
+    assert len(given) == 1 and 0 < given[0] < everything / 4
