@@ -1,4 +1,5 @@
 import gzip
+import math
 import random
 
 import numpy as np
@@ -133,6 +134,22 @@ def test_significance(spark):
     assert r.y_min == -1 and tails[r.y_max].p_gt < 0.025 <= tails[r.y_max - 1].p_gt
 
 
+def test_significance_of_large_counts(spark, monkeypatch):
+    """One sum a count: no row for each y, of as many steps, which took the square of a count and more."""
+    cases = [(0, 100.0, 100.0), (0, 1.0, 4000.0), (3, 10.0, 700.0), (9, 900.0, 20.0), (40, 10.0, 10.0), (700, 5e4, 7e4), (300_000, 8e6, 5e6), (7, 5.0, 0.0)]
+    rows = spark.createDataFrame([*cases, cases[0], (2, 0.0, 5.0)], "x int, n1 double, n2 double")
+    got = stats.interval(rows)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.x, r.n1, r.n2): (r.y_min, r.y_max) for r in got.collect()}
+    assert got.pop((2, 0.0, 5.0)) == (None, None) and got.pop((7, 5.0, 0.0)) == (-1, 0) and len(got) == 7
+    for (x, n1, n2), (low, high) in got.items():
+        term = lambda y: math.exp(math.lgamma(x + y + 1) - math.lgamma(x + 1) - math.lgamma(y + 1) + (x + 1) * math.log(n1 / (n1 + n2)) + y * math.log(n2 / (n1 + n2)))  # noqa: B023, E731
+        sums = np.cumsum([term(y) for y in range(high + 1)])
+        assert (low < 0 or sums[low] < 0.025) and sums[low + 1] >= 0.025 and 1 - sums[high] < 0.025 and (high == 0 or 1 - sums[high - 1] >= 0.025)
+    monkeypatch.setattr(stats, "STEPS", 3)
+    assert all(stats.limits(*key, 0.025) == found for key, found in got.items() if key[0] < 1000)
+
+
 def test_curvature_goldens(spark):
     rows = spark.createDataFrame([(1, "ATGCAAATTG" * 5), (2, "ac"), (3, ""), (4, None)], "read_no long, seq string")
     got = {(r.id, r.pos): r for r in curvature.curved(rows).collect()}
