@@ -1,7 +1,11 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from seqloom.operators import adm, align, kmers, spectral
+from seqloom.plans import rest
+from seqloom.sources import fixtures
 
 
 def profile(spark, values, kmer="A"):
@@ -24,6 +28,18 @@ def test_position_matrices(spark):
     assert {(r.kmer, r.pos): r.val for r in freq.collect()}[("A", 1)] == 0.5
 
 
+def test_round_trip_is_the_whole_matrix(spark, tmp_path):
+    """All bases and positions, what was not seen as 0, also of texts without a source."""
+    schema = "doc_id long, text string, lang string, source string"
+    docs = [(1, "AB" * 100, "en", "src0"), (2, "TTTF", "de", None), (3, None, "en", "src1"), (4, "C!", None, "src2")]
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = rest.array_table_roundtrip(spark, str(tmp_path))
+    rows = {(r.sample, r.kmer, r.pos): r.val for r in got.collect()}
+    assert got.count() == len(rows) == 3 * 4 * 147 and {s for s, _, _ in rows} == {"src0", None, "src2"}
+    want = Counter((s, b, i % 147) for _, t, _, s in docs if t for i, b in enumerate(t.replace("!", "").translate(str.maketrans(fixtures.LETTERS, fixtures.AS_BASES))) if b != "N")
+    assert {k: v for k, v in rows.items() if v} == want and 0.0 in rows.values()
+
+
 def test_background(spark):
     sig, bk = profile(spark, [10, 12, 14]).drop("sample"), profile(spark, [5, 6, 10]).drop("sample")
     plain = {r.pos: r.val for r in adm.background_removed(sig, bk, at=0).collect()}
