@@ -2,8 +2,9 @@
 
 Neighbouring k-mers share most of their bases, so shuffling each by itself moves a base up to k
 times. Here a read is cut into runs of k-mers with one minimiser, the m-mer of the least hash in
-them; a run goes out as one number, two bits a base, to the bucket of its minimiser, where equal
-k-mers meet, as equal k-mers have equal minimisers. Each bucket is counted by itself. Buckets with very
+them; a run is one number, two bits a base, and goes to the group of its minimiser, where equal
+k-mers meet, as equal k-mers have equal minimisers. What a task has for a group goes out as one block: equal
+runs once, in order and compressed. Each group is counted by itself. Groups with very
 many runs are taken apart before the shuffle instead: each task counts some of their k-mers at once and passes
 on arrays of numbers, dealt by the k-mers themselves, so that a k-mer is no row of its own.
 """
@@ -17,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.packed import opened, squeezed, steps
 from seqloom.sources.shared import stored
 
 #: Bases of a run: 62 bits.
 RUN = 31
-#: Runs of a bucket that one task counts at once: some 100 MB.
+#: Runs of a group that one task counts at once: some 300 MB.
 HELD = 1_000_000
+#: Groups of minimisers, and runs that a task deals to them at once: some 150 MB.
+GROUPS, CHUNK = 1 << 13, 1 << 21
 #: k-mers of hot buckets that a task merges at once, of one array, and runs that it takes apart at once.
 MERGED, ARRAY, APART = 1 << 22, 4096, 1 << 18
 #: Spreads m-mers, so that runs of one base aren't the least.
@@ -123,10 +127,84 @@ def cut(reads: DataFrame, k: int, m: int, *, by: str = "sample") -> DataFrame:
     return reads.select(F.col(by).cast("string").alias("by"), "seq").mapInArrow(run, "by string, bucket long, packed long, n byte")
 
 
+def group_of(bucket: np.ndarray) -> np.ndarray:
+    """The group of each minimiser, by other bits than those that made it the least."""
+    x = bucket.view(np.uint64)
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    return ((x ^ x >> np.uint64(33)) % np.uint64(GROUPS)).astype(np.int64)
+
+
+def blocks(reads: DataFrame, k: int, m: int, *, by: str = "sample") -> DataFrame:
+    """(part, names, sizes, runs, kmers, block): the runs of all reads by groups of their minimisers. A block has `runs` different ones
+    in order, sizes[i] of them of names[i], with `kmers` k-mers in all: their lengths, how often each occurs, packed bases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str | None, int] = {}
+
+        def out(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            group, own, n, packed = (np.concatenate(x) for x in zip(*held))
+            own = (group * len(names) + own) << 5 | n
+            order = np.lexsort((packed, own))
+            own, packed = own[order], packed[order]
+            new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (packed[1:] != packed[:-1]))) if len(own) else np.empty(0, np.int64)
+            times = np.diff(np.append(new, len(own)))
+            own, packed = own[new], packed[new]
+            n, own = (own & 31).astype(np.int8), own >> 5
+            kmers = np.append(0, np.cumsum(times * (n.astype(np.int64) - (k - 1))))
+            of = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own)) if len(own) else np.zeros(1, np.int64)
+            group, name, size = own[of[:-1]] // len(names), own[of[:-1]] % len(names), np.diff(of)
+            cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist() if len(group) else []
+            known, rows = list(names), []
+            for a, b in zip(cuts, [*cuts[1:], len(group)]):
+                lo, hi = int(of[a]), int(of[b])
+                rows.append((int(group[a]), [known[x] for x in name[a:b]], size[a:b].tolist(), hi - lo, int(kmers[hi] - kmers[lo]), squeezed(n[lo:hi], times[lo:hi].astype(np.int32), packed[lo:hi])))
+                if len(rows) == 256 or b == len(group):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), KINDS.values())], names=list(KINDS))
+                    rows = []
+
+        held, size = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                own = np.array([names.setdefault(x, len(names)) for x in part.column(0).to_pylist()], np.int64)
+                code, starts = letters(part.column(1))
+                begin, bucket, packed, length = runs(code, k, m)
+                held.append((group_of(bucket), own[np.searchsorted(starts, begin, "right") - 1], length, packed))
+                size += len(begin)
+                if size >= CHUNK:
+                    yield from out(held)
+                    held, size = [], 0
+                    names.clear()
+        if size:
+            yield from out(held)
+
+    return reads.select(F.col(by).cast("string").alias("by"), "seq").mapInArrow(run, "part int, names array<string>, sizes array<int>, runs int, kmers long, block binary")
+
+
+#: Columns of blocks.
+KINDS = {"part": pa.int32(), "names": pa.list_(pa.string()), "sizes": pa.list_(pa.int32()), "runs": pa.int32(), "kmers": pa.int64(), "block": pa.binary()}
+
+
+def unpacked(block: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bases, times, packed) of a block's runs."""
+    n, times, packed = opened(block, (np.int8, size), (np.int32, size), (np.int64, size))
+    return n.astype(np.int64), times.astype(np.int64), packed
+
+
+def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(by, packed, n), each run by itself, of blocks (names, sizes, runs, block)."""
+    for batch in batches:
+        for names, sizes, size, block in zip(*(x.to_pylist() for x in batch.columns)):
+            n, times, packed = unpacked(block, size)
+            own = np.repeat(np.repeat(np.arange(len(names)), sizes), times)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(own)), pa.array(np.repeat(packed, times)), pa.array(np.repeat(n, times).astype(np.int8))], names=["by", "packed", "n"])
+
+
 def merged(rows: DataFrame, k: int, kmers: int, *, most: int = MERGED) -> DataFrame:
-    """(by, kmer, cnt) of runs (by, packed, n), some `kmers` in all: counted in the tasks, some runs at once, and summed in
-    parts of some `most` k-mers, each part and sample by itself."""
+    """(by, kmer, cnt) of runs (by, packed, n), or blocks of them, some `kmers` in all: counted in the tasks, some runs at
+    once, and summed in parts of some `most` k-mers, each part and sample by itself."""
     parts = max(1, -(-kmers // most))
+    whole = "block" in rows.columns
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +229,10 @@ def merged(rows: DataFrame, k: int, kmers: int, *, most: int = MERGED) -> DataFr
             for lo in range(0, len(spans), 256):
                 some = spans[lo : lo + 256]
                 at = [b for b, _ in some]
-                yield pa.RecordBatch.from_arrays([pa.array(part[at]), names.take(pa.array(own[at])), *(pa.array([x[b:e].tobytes() for b, e in some], pa.binary()) for x in (kmer, n))], names=["part", "by", "kmers", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[at]), names.take(pa.array(own[at])), pa.array([e - b for b, e in some], pa.int32()), pa.array([squeezed(steps(kmer[b:e]), n[b:e]) for b, e in some], pa.binary())], names=["part", "by", "kmers", "block"])
 
         held, size = [], 0
-        for batch in batches:
+        for batch in alone(batches) if whole else batches:
             held.append(batch)
             size += batch.num_rows
             if size >= APART:
@@ -167,7 +245,7 @@ def merged(rows: DataFrame, k: int, kmers: int, *, most: int = MERGED) -> DataFr
         key, held = None, []
 
         def out() -> Iterator[pa.RecordBatch]:
-            kmer, n = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held))
+            kmer, n = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(kmer)
             kmer, n = kmer[order], n[order]
             new = np.flatnonzero(np.append(True, kmer[1:] != kmer[:-1]))
@@ -177,16 +255,18 @@ def merged(rows: DataFrame, k: int, kmers: int, *, most: int = MERGED) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([key[1]] * len(kmer[some]), pa.string()), pa.array(kmer[some]), pa.array(n[some])], names=["by", "kmer", "cnt"])
 
         for batch in batches:
-            for part, by, *arrays in zip(*(x.to_pylist() for x in batch.columns)):
+            for part, by, size, block in zip(*(x.to_pylist() for x in batch.columns)):
                 if key != (part, by):
                     if held:
                         yield from out()
                     key, held = (part, by), []
-                held.append(arrays)
+                kmer, n = opened(block, (np.int64, size), (np.int64, size))
+                held.append((np.cumsum(kmer), n))
         if held:
             yield from out()
 
-    dealt = rows.select("by", "packed", "n").mapInArrow(counted, "part long, by string, kmers binary, counts binary").repartition("part").sortWithinPartitions("part", "by")
+    found = rows.select("names", "sizes", "runs", "block") if whole else rows.select("by", "packed", "n")
+    dealt = found.mapInArrow(counted, "part long, by string, kmers int, block binary").repartition("part").sortWithinPartitions("part", "by")
     return dealt.mapInArrow(summed, "by string, kmer long, cnt long")
 
 
@@ -195,66 +275,66 @@ def count(reads: DataFrame, k: int, *, m: int | None = None, by: str = "sample",
 
     See numbers(), of which these are the k-mers as letters.
     """
+    return numbers(reads, k, m=m, by=by, held=held, as_letters=True).withColumnRenamed("by", by)
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), spelled(batch.column(1).to_numpy(), k), batch.column(2)], names=[by, "kmer", "cnt"])
 
-    return numbers(reads, k, m=m, by=by, held=held).mapInArrow(spell, f"`{by}` string, kmer string, cnt long")
-
-
-def numbers(reads: DataFrame, k: int, *, m: int | None = None, by: str = "sample", held: int = HELD) -> DataFrame:
+def numbers(reads: DataFrame, k: int, *, m: int | None = None, by: str = "sample", held: int = HELD, as_letters: bool = False) -> DataFrame:
     """(by, kmer, cnt): occurrences of each k-mer of A, C, G and T alone, as a number of two bits a base; k up to 31.
 
     m-mers of `m` bases are the minimisers, by default so many that the longest run fits a number.
-    Null and short reads have none. Buckets of over `held` runs are counted k-mer by k-mer.
+    Null and short reads have none. Groups of over `held` runs a minimiser, and of over HELD in all, are counted k-mer by k-mer.
     """
     if not 1 <= k <= RUN:
         raise ValueError(f"k-mers of 1 to {RUN} bases")
     m = min(k, max(1, 2 * k - RUN, min(k, 9))) if m is None else m
-    pieces = stored(cut(reads, k, m, by=by), name="runs")
-    sizes = pieces.groupBy("by", "bucket").agg(F.count("*").alias("runs"), F.sum(F.col("n") - (k - 1)).alias("kmers"))
-    large = stored(sizes.where(F.col("runs") > held).select("by", "bucket", "kmers"), name="large")  # at most a 1 / held part of all runs
-    hot = large.agg(F.sum("kmers")).first()[0] or 0
+    most = min(held * max(1, 4**m // GROUPS), max(held, HELD))
+    pieces = stored(blocks(reads, k, m, by=by), name="runs")
+    sizes = pieces.groupBy("part").agg(F.sum("runs").alias("runs"), F.sum("kmers").alias("kmers"))
+    large = sizes.where(F.col("runs") > most).collect()  # at most GROUPS rows
+    kind = "string" if as_letters else "long"
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.RecordBatch] = []
-        rows = 0
+    def shown(kmer: np.ndarray) -> pa.Array:
+        return spelled(kmer, k) if as_letters else pa.array(kmer)
 
-        def out(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            keys = part.column("by").combine_chunks().dictionary_encode()
-            own = keys.indices.fill_null(len(keys.dictionary)).to_numpy()
-            kmer, owner = taken_apart(*(part.column(c).to_numpy().astype(np.int64) for c in ("packed", "n")), k)
-            order = np.lexsort((kmer, own[owner]))
-            a, b = own[owner][order], kmer[order]
-            new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(b) else np.empty(0, np.int64)
-            names = pa.concat_arrays([keys.dictionary, pa.nulls(1, pa.string())])
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            own, n, times, packed = (np.concatenate(x) for x in zip(*found))
+            kmer, owner = taken_apart(packed, n, k)
+            own = own[owner]
+            order = np.argsort(own << 2 * k | kmer) if len(names) <= 1 << 62 - 2 * k else np.lexsort((kmer, own))
+            own, kmer = own[order], kmer[order]
+            new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (kmer[1:] != kmer[:-1])))
+            own, kmer, cnt = own[new], kmer[new], np.add.reduceat(times[owner[order]], new)
+            known = pa.array(list(names), pa.string())
             for lo in range(0, len(new), 1 << 16):
-                some = new[lo : lo + (1 << 16)]
-                ends = np.append(new, len(b))[lo + 1 : lo + 1 + len(some)]
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(a[some])), pa.array(b[some]), pa.array(ends - some)], names=["by", "kmer", "cnt"])
+                some = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(own[some])), shown(kmer[some]), pa.array(cnt[some])], names=["by", "kmer", "cnt"])
 
+        names: dict[str | None, int] = {}
+        found, rows, last = [], 0, None
         for batch in batches:
-            parts.append(batch)
-            rows += batch.num_rows
-            if rows < AT_ONCE:
-                continue
-            table = pa.Table.from_batches(parts)
-            bucket = table.column("bucket").to_numpy()
-            start = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
-            if start:  # whole buckets; the last may go on
-                yield from out(table.slice(0, start))
-                parts, rows = table.slice(start).to_batches(), rows - start
-        if parts:
-            yield from out(pa.Table.from_batches(parts))
-
-    # The runs of one bucket number are one task's, those of all samples behind each other.
-    dealt = pieces.join(large, ["by", "bucket"], "left_anti").select("by", "bucket", "packed", "n").repartition("bucket").sortWithinPartitions("bucket")
-    counted = dealt.mapInArrow(buckets, "by string, kmer long, cnt long")
-    if not hot:
-        return counted
-    return counted.unionByName(merged(pieces.join(large, ["by", "bucket"], "left_semi"), k, hot))
-
-
-#: Runs that a task counts together, whole buckets of them.
+            for part, own, sizes, size, block in zip(*(x.to_pylist() for x in batch.columns)):
+                if part != last and rows >= AT_ONCE:  # whole groups
+                    yield from out(found)
+                    names, found, rows = {}, [], 0
+                last = part
+                found.append((np.repeat(np.array([names.setdefault(x, len(names)) for x in own], np.int64), sizes), *unpacked(block, size)))
+                rows += size
+        if found:
+            yield from out(found)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), shown(batch.column(1).to_numpy()), batch.column(2)], names=["by", "kmer", "cnt"])
+
+    hot = F.col("part").isin([r.part for r in large])
+    dealt = (pieces.where(~hot) if large else pieces).select("part", "names", "sizes", "runs", "block").repartition("part").sortWithinPartitions("part")
+    rows = dealt.mapInArrow(counted, f"by string, kmer {kind}, cnt long")
+    if not large:
+        return rows
+    apart = merged(pieces.where(hot), k, sum(r.kmers for r in large))
+    return rows.unionByName(apart.mapInArrow(spell, "by string, kmer string, cnt long") if as_letters else apart)
+
+
+#: Runs that a task counts together, whole groups of them.
 AT_ONCE = 200_000

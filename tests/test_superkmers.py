@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import genome, kmers, superkmers
+from seqloom.operators import genome, kmers, packed, superkmers
 from seqloom.sources import reads as R
 
 
@@ -90,3 +90,34 @@ def test_hot_buckets_pass_arrays_on_and_are_summed_in_parts(spark, monkeypatch):
             assert got == plain(rows, 9)
     plan = superkmers.count(df, 9, m=5, held=2)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(part" in plan and "hashpartitioning(by" not in plan  # no k-mer is a row of a shuffle
+
+
+def test_runs_travel_as_blocks(spark, monkeypatch):
+    """Equal runs of a task once, many of them a row, however often tasks hand theirs on."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ACGT" * 20 + "N") for _ in range(147)) for _ in range(40)]
+    rows = [(s, t) for t in texts for s in ("a", None, "b")] * 15
+    df = spark.createDataFrame(rows, "sample string, seq string")
+    found = superkmers.blocks(df.coalesce(1), 21, 11).collect()
+    assert len({r.part for r in found}) == len(found) and all(sum(r.sizes) == r.runs for r in found)
+    code, _ = superkmers.letters(pa.array(texts))
+    _, _, bases, length = superkmers.runs(code, 21, 11)
+    assert sum(r.runs for r in found) == 3 * len(set(zip(bases.tolist(), length.tolist())))
+    assert sum(r.kmers for r in found) == sum(plain(rows, 21).values())
+    for chunk, at_once in ((superkmers.CHUNK, superkmers.AT_ONCE), (2000, 7)):
+        monkeypatch.setattr(superkmers, "CHUNK", chunk)
+        monkeypatch.setattr(superkmers, "AT_ONCE", at_once)
+        counts = superkmers.count(df.repartition(3), 21, m=11)
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        assert "block" in plan and "packed" not in plan  # no run is a row of a shuffle
+        assert {(r.sample, r.kmer): r.cnt for r in counts.collect()} == plain(rows, 21)
+
+
+def test_numbers_as_few_bytes():
+    rng = np.random.default_rng(1)
+    up, small = np.sort(rng.integers(-(2**62), 2**62, 5000)), rng.integers(0, 9, 77).astype(np.int32)
+    data = packed.squeezed(packed.steps(up), small)
+    got, other = packed.opened(data, (np.int64, 5000), (np.int32, 77))
+    assert (np.cumsum(got) == up).all() and (other == small).all() and len(data) < 8 * 5000
+    none = packed.squeezed(up[:0], small[:0])
+    assert [len(x) for x in packed.opened(none, (np.int64, 0), (np.int32, 0))] == [0, 0]
