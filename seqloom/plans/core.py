@@ -53,8 +53,7 @@ def kmer_bin_rc_legacy_total(spark: SparkSession, sf: str) -> DataFrame:
 
 @add(f"WITH {X.READS}, {windows(6)} SELECT sample, kmer, string_agg(read_no, ';' ORDER BY read_no) AS ori FROM w GROUP BY ALL")
 def kmer_origin_list(spark: SparkSession, sf: str) -> DataFrame:
-    found = kmers.origins(X.reads(spark, sf), 6)
-    return found.select("sample", "kmer", F.array_join(F.col("ori").cast("array<string>"), ";").alias("ori"))
+    return kmers.origins(X.reads(spark, sf), 6, sep=";")
 
 
 @add(f"""WITH {X.READS}, {windows(5)}, c AS (SELECT sample, kmer, count(*) AS cnt FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY cnt DESC, kmer) AS rank FROM c)

@@ -44,6 +44,25 @@ def test_origins(odd_reads, monkeypatch):
         both(monkeypatch, lambda: kmers.origins(odd_reads, 2, by=by))
 
 
+def test_origins_travel_as_blocks(spark, odd_reads, monkeypatch):
+    """Lists of many k-mers a row, squeezed, whatever the numbers' order, and put together again in slices."""
+    far = odd_reads.withColumn("read_no", F.when(F.col("read_no") % 5 == 0, -F.col("read_no") * 2**55).otherwise(F.pmod(F.col("read_no") * 7919, F.lit(1000)) * 2**24))
+    for span, together, listed in ((1 << 21, 1 << 21, 1 << 20), (300, 40, 3)):
+        monkeypatch.setattr(kmers, "LETTERS", 200)
+        monkeypatch.setattr(kmers, "SPAN", span)
+        monkeypatch.setattr(kmers, "TOGETHER", together)
+        monkeypatch.setattr(kmers, "LISTED", listed)
+        for by in (("part", "sample"), ()):
+            both(monkeypatch, lambda: kmers.origins(far, 3, by=by))
+            both(monkeypatch, lambda: kmers.origins(far, 3, by=by, sep=";"))
+    rows = [("a", 2**24 * (k // 8) + k % 8, "ACGTTGCA" * 18) for k in range(4000)]
+    reads = spark.createDataFrame(rows, "sample string, read_no long, seq string").coalesce(1)
+    blocks = reads.mapInArrow(kmers.in_blocks(("sample",), 3, 64), "sample string, _part int, _word string, _kmers int, _numbers int, _block binary")
+    found = blocks.agg(F.count("*"), F.sum("_numbers"), F.sum(F.octet_length("_block"))).first()
+    assert found[0] < 10 and found[1] == 4000 * 142 and found[2] < found[1]  # under a byte a number, which took 8
+    assert "_block" in kmers.origins(reads, 3)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bitmaps(odd_reads, monkeypatch):
     far = odd_reads.withColumn("read_no", F.col("read_no") * 1001)
     monkeypatch.setattr(kmers, "LETTERS", 300)
